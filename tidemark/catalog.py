@@ -1,6 +1,659 @@
-"""The registered queries of the interval, signal and graph operators, and their SQL."""
+"""The registered queries of the interval, signal, variant and graph operators, and the SQL that they are checked against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as fx
+from .functions.align import align_cigar
+from .operators import edges as ed
+from .operators import graph as gr
+from .operators import islands as isl
+from .operators import joins as jn
+from .operators import kmers as km
+from .operators import reads as rd
+from .operators import variants as va
+from .operators.sweep import as_bed, depth
+from .plans import callers as ca
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+LIMITS = rd.Limits(fx.LEAST, fx.MOST, fx.CLIP)
+READ_LENGTH = 25
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- SQL that several checks share ----
+
+_READS = f"reads AS ({fx.READS_SQL}), mapped AS (SELECT *, {fx.ORIENTATION_SQL} AS orientation FROM reads)"
+_HITS = f"""hits AS (
+  SELECT 'Coverage' AS signal, contig, aln_start, aln_end, 1 AS score FROM mapped WHERE mapq <> 0
+  UNION ALL SELECT 'Clipped', contig, aln_start, aln_end, 1 FROM mapped WHERE mapq <> 0 AND ref_len < {fx.CLIP} AND is_clipped
+  UNION ALL SELECT 'MAPQ0', contig, aln_start, aln_end, 1 FROM mapped WHERE mapq = 0
+  UNION ALL SELECT 'InterChr', contig, aln_start, aln_end, 1 FROM mapped WHERE mapq <> 0 AND NOT mate_unmapped AND mate_contig <> contig
+  UNION ALL SELECT 'DiscordantTandemOrientation', contig, aln_start, aln_end, 1 FROM mapped WHERE mapq <> 0 AND NOT mate_unmapped AND mate_contig = contig AND orientation = 'TANDEM'
+  UNION ALL SELECT 'MappingErrors', contig, aln_start, aln_end, nm FROM mapped WHERE mapq <> 0 AND nm <> 0
+  UNION ALL SELECT 'InsertSizeTooSmall', contig, aln_start, aln_end, 1 FROM mapped WHERE mapq <> 0 AND NOT mate_unmapped AND abs(tlen) < {fx.LEAST}
+  UNION ALL SELECT 'InsertSizeTooBig', contig, aln_start, aln_end, 1 FROM mapped WHERE mapq <> 0 AND NOT mate_unmapped AND orientation = 'FR' AND abs(tlen) > {fx.MOST}
+  UNION ALL SELECT 'CigarIndels', contig, aln_start, aln_end, 1 FROM mapped WHERE mapq <> 0 AND n_cigar > 2
+  UNION ALL SELECT 'MateUnmapped', contig, aln_start, aln_end, 1 FROM mapped WHERE mapq <> 0 AND mate_unmapped
+  UNION ALL SELECT 'ForwardInsertSizeTooBig', contig, aln_start, aln_end, 1 FROM mapped WHERE mapq <> 0 AND NOT mate_unmapped AND orientation = 'FR' AND abs(tlen) > {fx.MOST} AND NOT is_reverse
+)"""
+_SEGMENTS = """events AS (SELECT signal, contig, aln_start AS pos, score AS d FROM hits UNION ALL SELECT signal, contig, aln_end, -score FROM hits),
+  summed AS (SELECT signal, contig, pos, sum(d) AS d FROM events GROUP BY ALL),
+  run AS (SELECT signal, contig, pos AS start, lead(pos) OVER w AS stop, sum(d) OVER w AS value FROM summed WINDOW w AS (PARTITION BY signal, contig ORDER BY pos)),
+  segments AS (
+    SELECT signal, contig, start, stop, value::BIGINT AS value FROM run WHERE stop IS NOT NULL
+    UNION ALL SELECT signal, contig, min(pos) - 1, min(pos), 0::BIGINT FROM summed GROUP BY signal, contig)"""
+_SIGNALS = f"WITH {_READS}, {_HITS}, {_SEGMENTS}"
+_COVERAGE = f"{_SIGNALS}, coverage AS (SELECT contig, start, stop, value FROM segments WHERE signal = 'Coverage')"
+
+
+def _merge_sql(source: str) -> str:
+    """Merged intervals of ``source`` (contig, start, stop), well-formed, as a table ``merged``: islands of the running largest stop."""
+    return f"""flagged AS (SELECT contig, start, stop, CASE WHEN start <= max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM ({source}) x),
+  numbered AS (SELECT *, sum(f) OVER (PARTITION BY contig ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM flagged),
+  merged AS (SELECT contig, min(start) AS start, max(stop) AS stop FROM numbered GROUP BY contig, island)"""
+
+
+def signals(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    return rd.signal_segments(fx.reads(spark, sf_dir), LIMITS, list(names) or None)
+
+
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ca.of_signal(signals(spark, sf_dir, "Coverage"), "Coverage")
+
+
+# ---- signals ----
+
+
+@query(f"{_SIGNALS} SELECT * FROM segments")
+def signal_segments(spark, sf_dir):
+    return signals(spark, sf_dir)
+
+
+@query(f"WITH {_READS} SELECT contig, count(*) AS n, count(*) FILTER (orientation = 'FR') AS n_fr, count(*) FILTER (orientation = 'RF') AS n_rf, count(*) FILTER (orientation = 'TANDEM') AS n_tandem, count(*) FILTER (nm > 5) AS n_edit FROM mapped GROUP BY contig")
+def read_orientations(spark, sf_dir):
+    o = rd.orientation()
+    return fx.reads(spark, sf_dir).groupBy("contig").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(o == k).alias(f"n_{k.lower()}") for k in ("FR", "RF", "TANDEM")), F.count_if(rd.edit_distance_over(5)).alias("n_edit"))
+
+
+def _named_sql(where: str) -> str:
+    return f"""WITH {_READS}, hits AS (SELECT 'x' AS signal, contig, aln_start, aln_end, 1 AS score FROM mapped WHERE {where}), {_SEGMENTS}
+      SELECT contig, start - 1 AS start, stop - 1 AS stop, value FROM segments"""
+
+
+@query(_named_sql("true"))
+def depth_all(spark, sf_dir):
+    return rd.named_signal(fx.reads(spark, sf_dir), "all")
+
+
+@query(_named_sql("is_clipped"))
+def depth_clipped(spark, sf_dir):
+    return rd.named_signal(fx.reads(spark, sf_dir), "clipped")
+
+
+@query(_named_sql("mapq = 0"))
+def depth_mapq0(spark, sf_dir):
+    return rd.named_signal(fx.reads(spark, sf_dir), "mapq0")
+
+
+@query(_named_sql("nm > 7"))
+def depth_edit_distance(spark, sf_dir):
+    return rd.named_signal(fx.reads(spark, sf_dir), "edit", 7)
+
+
+@query(_named_sql("NOT mate_unmapped AND mate_contig = contig AND orientation <> 'FR'"))
+def depth_tandem(spark, sf_dir):
+    return rd.named_signal(fx.reads(spark, sf_dir), "tandem")
+
+
+@query(_named_sql("NOT mate_unmapped AND mate_contig = contig AND orientation <> 'FR' AND mapq <> 0"))
+def depth_tandem_mapped(spark, sf_dir):
+    return rd.named_signal(fx.reads(spark, sf_dir), "tandem_mapped")
+
+
+@query(f"""WITH {_READS}, good AS (SELECT abs(tlen)::DOUBLE AS x FROM mapped WHERE NOT mate_unmapped AND contig = mate_contig AND mapq > 0 AND tlen <> 0
+    ORDER BY qname, file_ord, contig, aln_start, aln_end, tlen, mate_start, nm LIMIT 10000),
+  s AS (SELECT list(x ORDER BY x) AS xs, avg(x) AS mean, stddev_samp(x) AS sd, count(*) AS n FROM good),
+  m AS (SELECT *, CASE WHEN n % 2 = 1 THEN xs[n // 2 + 1] ELSE (xs[n // 2] + xs[n // 2 + 1]) / 2 END AS median FROM s),
+  dev AS (SELECT list(abs(x - median) ORDER BY abs(x - median)) AS ds FROM good, m)
+  SELECT round(mean, 6) AS mean, median, round(sd, 6) AS stddev,
+    round(1.4826 * (CASE WHEN n % 2 = 1 THEN ds[n // 2 + 1] ELSE (ds[n // 2] + ds[n // 2 + 1]) / 2 END), 6) AS mad,
+    round(xs[floor(0.005 * (n + 1))::INT] + (0.005 * (n + 1) - floor(0.005 * (n + 1))) * (xs[floor(0.005 * (n + 1))::INT + 1] - xs[floor(0.005 * (n + 1))::INT]), 6) AS low,
+    round(xs[floor(0.995 * (n + 1))::INT] + (0.995 * (n + 1) - floor(0.995 * (n + 1))) * (xs[floor(0.995 * (n + 1))::INT + 1] - xs[floor(0.995 * (n + 1))::INT]), 6) AS high
+  FROM m, dev""")
+def fragment_thresholds(spark, sf_dir):
+    t = rd.fragment_thresholds(fx.reads(spark, sf_dir), ["qname", "file_ord", "contig", "aln_start", "aln_end", "tlen", "mate_start", "nm"])
+    return t.select(*(F.round(c, 6).alias(c) if c != "median" else F.col(c) for c in ("mean", "median", "stddev", "mad", "low", "high")))
+
+
+@query(f"""WITH {_READS}, good AS (SELECT DISTINCT ref_len FROM (SELECT ref_len FROM mapped WHERE mapq > 0 ORDER BY qname, file_ord, contig, aln_start, aln_end LIMIT 10000))
+  SELECT (sum(ref_len) // count(*))::BIGINT AS length, count(*) = 1 AS homogeneous FROM good""")
+def read_length(spark, sf_dir):
+    return rd.read_length(fx.reads(spark, sf_dir), ["qname", "file_ord", "contig", "aln_start", "aln_end"], F.col("ref_len"))
+
+
+@query(f"WITH {_READS} SELECT count(*) AS n_records, count(*) FILTER (mate_unmapped) AS n_unmapped_mates FROM mapped")
+def read_counts(spark, sf_dir):
+    return rd.read_counts(fx.reads(spark, sf_dir))
+
+
+@query(f"WITH {_READS} SELECT qname, file_ord, aln_start, aln_end FROM mapped WHERE contig = 'chr7' AND aln_start <= 1600 AND aln_end >= 1500")
+def region_overlapping(spark, sf_dir):
+    return rd.on_region(fx.reads(spark, sf_dir), "chr7", 1500, 1600).select("qname", "file_ord", "aln_start", "aln_end")
+
+
+@query(f"WITH {_READS} SELECT qname, file_ord, aln_start, aln_end FROM mapped WHERE contig = 'chr7' AND aln_start >= 1500 AND aln_end <= 1600")
+def region_contained(spark, sf_dir):
+    return rd.on_region(fx.reads(spark, sf_dir), "chr7", 1500, 1600, contained=True).select("qname", "file_ord", "aln_start", "aln_end")
+
+
+@query("SELECT p_name AS region, p_size AS size FROM part WHERE regexp_full_match(p_name, '(chr)?([0-9]+|[XxYy])') UNION ALL SELECT DISTINCT 'chr' || (1 + s_suppkey % 24), (1 + s_suppkey % 24)::INTEGER FROM supplier")
+def main_contigs(spark, sf_dir):
+    names = fx.table(spark, sf_dir, "part").select(F.col("p_name").alias("region"), F.col("p_size").alias("size"))
+    n = 1 + F.col("s_suppkey") % 24
+    more = fx.table(spark, sf_dir, "supplier").select(F.concat(F.lit("chr"), n.cast("string")).alias("region"), n.cast("int").alias("size")).distinct()
+    return rd.main_contigs(names.unionByName(more))
+
+
+# ---- islands ----
+
+
+@query(f"{_COVERAGE}, {_merge_sql('SELECT contig, start, stop FROM coverage WHERE value >= 28')} SELECT contig, start, stop, stop - start AS svlen FROM merged")
+def coverage_calls(spark, sf_dir):
+    return ca.threshold_calls(coverage(spark, sf_dir), F.col("value") >= 28).withColumn("svlen", F.col("stop") - F.col("start"))
+
+
+@query(f"WITH {_merge_sql(fx.TRUTH_SQL.replace(', o_orderkey AS ord', ''))} SELECT * FROM merged")
+def merge_intervals(spark, sf_dir):
+    return isl.merge_overlapping(fx.truth(spark, sf_dir))
+
+
+@query(f"""{_COVERAGE}, f AS (SELECT *, CASE WHEN lag(stop) OVER w = start THEN 0 ELSE 1 END AS f FROM coverage WHERE value >= 20 WINDOW w AS (PARTITION BY contig ORDER BY start, stop)),
+  n AS (SELECT *, sum(f) OVER (PARTITION BY contig ORDER BY start, stop) AS i FROM f) SELECT contig, min(start) AS start, max(stop) AS stop FROM n GROUP BY contig, i""")
+def join_touching(spark, sf_dir):
+    return isl.join_touching(coverage(spark, sf_dir).where("value >= 20"))
+
+
+@query(f"""{_COVERAGE}, l AS (SELECT contig, start, stop, value // 5 AS value FROM coverage),
+  f AS (SELECT *, CASE WHEN lag(stop) OVER w = start AND lag(value) OVER w = value THEN 0 ELSE 1 END AS f FROM l WINDOW w AS (PARTITION BY contig ORDER BY start, stop)),
+  n AS (SELECT *, sum(f) OVER (PARTITION BY contig ORDER BY start, stop) AS i FROM f) SELECT contig, value, min(start) AS start, max(stop) AS stop FROM n GROUP BY contig, i, value""")
+def join_same_valued(spark, sf_dir):
+    return isl.join_touching(coverage(spark, sf_dir).withColumn("value", F.expr("value div 5")), same_value=True)
+
+
+@query(f"""{_COVERAGE}, f AS (SELECT *, CASE WHEN start - lag(stop) OVER w < 10 THEN 0 ELSE 1 END AS f FROM coverage WHERE value >= 30 WINDOW w AS (PARTITION BY contig ORDER BY start, stop)),
+  n AS (SELECT *, sum(f) OVER (PARTITION BY contig ORDER BY start, stop) AS i FROM f) SELECT contig, min(start) AS start, arg_max(stop, start) AS stop FROM n GROUP BY contig, i""")
+def join_close(spark, sf_dir):
+    return isl.join_close(coverage(spark, sf_dir).where("value >= 30"))
+
+
+@query(f"""{_COVERAGE}, f AS (SELECT *, CASE WHEN lag(stop) OVER w = start THEN 0 ELSE 1 END AS f FROM coverage WHERE value < 12 WINDOW w AS (PARTITION BY contig ORDER BY start, stop)),
+  n AS (SELECT *, sum(f) OVER (PARTITION BY contig ORDER BY start, stop) AS i FROM f) SELECT contig, min(start) AS start, max(stop) AS stop, 'low¬cover' AS comment FROM n GROUP BY contig, i""")
+def contiguous_regions(spark, sf_dir):
+    return isl.join_contiguous_regions(coverage(spark, sf_dir), "low cover", F.col("value") < 12)
+
+
+@query(f"""{_COVERAGE}, h AS (SELECT contig, start, stop, value > 22 AS hit FROM coverage WHERE value % 3 <> 1),
+  f AS (SELECT *, CASE WHEN lag(hit) OVER w = hit THEN 0 ELSE 1 END AS f FROM h WINDOW w AS (PARTITION BY contig ORDER BY start, stop)),
+  n AS (SELECT *, sum(f) OVER (PARTITION BY contig ORDER BY start, stop) AS i FROM f) SELECT contig, min(start) AS start, max(stop) AS stop FROM n WHERE hit GROUP BY contig, i""")
+def predicate_runs(spark, sf_dir):
+    return isl.predicate_runs(coverage(spark, sf_dir).where("value % 3 != 1"), F.col("value") > 22)
+
+
+def _merged_as(name: str, source: str) -> str:
+    return _merge_sql(source).replace("flagged", f"{name}_f").replace("numbered", f"{name}_n").replace("merged", name)
+
+
+@query(f"""WITH {_merged_as('a', fx.TRUTH_SQL.replace(', o_orderkey AS ord', '') + ' AND o_orderkey % 5 = 0')}, {_merged_as('b', fx.CANDIDATES_SQL.replace(', o_orderkey AS ord', '') + ' AND o_orderkey % 5 = 1')}
+  SELECT a.contig, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM a JOIN b ON a.contig = b.contig AND a.start <= b.stop AND b.start <= a.stop""")
+def intersect_intervals(spark, sf_dir):
+    return isl.intersect(fx.truth(spark, sf_dir).where("ord % 5 = 0"), fx.candidates(spark, sf_dir).where("ord % 5 = 1"))
+
+
+@query()
+def fill_missing(spark, sf_dir):
+    runs = isl.join_touching(coverage(spark, sf_dir).withColumn("value", F.expr("value div 8")), same_value=True)
+    return isl.fill_missing(runs.where("stop - start > 3"))
+
+
+# ---- edges ----
+
+_PREV = f"{_COVERAGE}, p AS (SELECT *, lag(start) OVER w AS pstart, lag(stop) OVER w AS pstop, lag(value) OVER w AS pvalue, lead(value) OVER w AS nvalue FROM coverage WINDOW w AS (PARTITION BY contig ORDER BY start, stop))"
+
+
+@query(f"{_PREV} SELECT contig, start, start + 1 AS stop, value - pvalue AS height FROM p WHERE pstop = start AND abs(value - pvalue) >= 4")
+def jumps_absolute(spark, sf_dir):
+    return ed.jumps(coverage(spark, sf_dir), 4)
+
+
+@query(f"{_PREV} SELECT contig, start, start + 1 AS stop, value - pvalue AS height FROM p WHERE pstop = start AND abs(value - pvalue) >= 2 AND abs(value - pvalue) >= 0.33 * greatest(value, pvalue)")
+def jumps_relative(spark, sf_dir):
+    return ed.jumps(coverage(spark, sf_dir), 2, 0.33)
+
+
+@query(f"{_PREV} SELECT contig, start, stop, CASE WHEN value > pvalue THEN 'jump' ELSE 'fall' END AS kind, abs(value - pvalue) AS height FROM p WHERE abs(value - pvalue) > 3")
+def adjacent_changes(spark, sf_dir):
+    return ed.changes(coverage(spark, sf_dir), 3)
+
+
+@query(f"""{_COVERAGE}, s AS (SELECT * FROM coverage WHERE value % 4 <> 0),
+  p AS (SELECT *, lag(stop) OVER w AS pstop, lag(value) OVER w AS pvalue FROM s WINDOW w AS (PARTITION BY contig ORDER BY start, stop)),
+  j AS (SELECT contig, start AS pos, value - CASE WHEN pstop = start THEN pvalue ELSE 0 END AS height, NOT coalesce(pstop = start, false) AS at_gap FROM p
+    UNION ALL SELECT contig, pstop, -pvalue, true FROM p WHERE pstop IS NOT NULL AND pstop <> start)
+  SELECT * FROM j WHERE abs(height) > 5""")
+def jumps_with_gaps(spark, sf_dir):
+    return ed.jumps_with_gaps(coverage(spark, sf_dir).where("value % 4 != 0"), 5)
+
+
+@query(f"""{_COVERAGE}, p AS (SELECT contig, start AS pos, value - lag(value) OVER (PARTITION BY contig ORDER BY start) AS height FROM coverage WHERE start >= 300 AND start < 2000)
+  SELECT * FROM p WHERE abs(height) > 3""")
+def count_jumps(spark, sf_dir):
+    return ed.count_jumps(coverage(spark, sf_dir).select("contig", F.col("start").alias("pos"), "value"), 300, 2000, 3)
+
+
+@query(f"{_PREV} SELECT contig, start, start AS stop, value - pvalue AS value FROM p WHERE pvalue IS NOT NULL")
+def derivative(spark, sf_dir):
+    return ed.derivative(coverage(spark, sf_dir))
+
+
+@query(f"{_PREV} SELECT contig, start, stop, value FROM p WHERE value > 25 AND value > pvalue AND value > nvalue")
+def peaks(spark, sf_dir):
+    return ed.peaks(coverage(spark, sf_dir), 25)
+
+
+_LEVELS = f"""{_PREV}, g AS (SELECT *, CASE WHEN pstop = start AND pvalue <> 0 AND value <> 0 AND abs(value - pvalue) <= 3 THEN 0 ELSE 1 END AS f FROM p),
+  n AS (SELECT *, sum(f) OVER (PARTITION BY contig ORDER BY start, stop) AS i FROM g),
+  levels AS (SELECT contig, min(start) AS start, max(stop) AS stop, (sum(value * (stop - start)) // greatest(1, max(stop) - min(start)))::BIGINT AS value FROM n GROUP BY contig, i)"""
+
+
+@query(f"{_LEVELS} SELECT * FROM levels")
+def level_segments(spark, sf_dir):
+    return ed.level_segments(coverage(spark, sf_dir), 3)
+
+
+@query(f"{_COVERAGE} SELECT contig, (sum(value * (stop - start)) // sum(stop - start))::BIGINT AS depth FROM coverage WHERE value > 0 GROUP BY contig")
+def average_depth(spark, sf_dir):
+    return ed.average_depth(coverage(spark, sf_dir))
+
+
+@query(f"{_COVERAGE} SELECT contig, start, stop, value, 1 AS below, CASE WHEN value > 20 * 2.0 / 3 THEN 1 ELSE 0 END AS above_ratio FROM coverage WHERE value <= 18")
+def low_coverage(spark, sf_dir):
+    return coverage(spark, sf_dir).where("value <= 18").withColumn("below", F.lit(1)).withColumn("above_ratio", F.when(F.col("value") > 20 * 2.0 / 3, 1).otherwise(0))
+
+
+# ---- joins ----
+
+
+@query(f"""WITH {_READS}, t AS ({fx.TRUTH_SQL}) SELECT t.ord, count(*) AS n, min(aln_start) AS first, max(aln_end) AS last FROM mapped r JOIN t ON r.contig = t.contig AND r.aln_start <= t.stop AND t.start <= r.aln_end
+  WHERE t.ord % 11 = 1 GROUP BY t.ord""")
+def overlap_join(spark, sf_dir):
+    pairs = jn.overlap_join(ca.as_intervals(fx.reads(spark, sf_dir)), fx.truth(spark, sf_dir).where("ord % 11 = 1"))
+    return pairs.groupBy(F.col("b.ord").alias("ord")).agg(F.count(F.lit(1)).alias("n"), F.min("a.start").alias("first"), F.max("a.stop").alias("last"))
+
+
+@query(f"""WITH {_READS}, t AS ({fx.TRUTH_SQL}) SELECT t.ord, count(*) AS n, sum(aln_end - aln_start)::BIGINT AS bases FROM mapped r JOIN t ON r.contig = t.contig AND r.aln_start >= t.start AND r.aln_end <= t.stop
+  WHERE t.ord % 11 = 1 GROUP BY t.ord""")
+def containment_join(spark, sf_dir):
+    pairs = jn.overlap_join(ca.as_intervals(fx.reads(spark, sf_dir)), fx.truth(spark, sf_dir).where("ord % 11 = 1"), how="within")
+    return pairs.groupBy(F.col("b.ord").alias("ord")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a.stop") - F.col("a.start")).alias("bases"))
+
+
+_JUMPS = f"{_PREV}, j AS (SELECT contig, start AS pos, value - pvalue AS value FROM p WHERE pstop = start AND abs(value - pvalue) >= 3)"
+_BRIDGE = """near AS (SELECT DISTINCT contig, start, stop FROM rng),
+  inside AS (SELECT n.contig, n.start, n.stop, min({'s': b.start, 'e': b.stop}) AS x FROM near n JOIN bridges b ON n.contig = b.contig AND b.start BETWEEN n.start AND n.stop GROUP BY ALL),
+  prior AS (SELECT n.contig, n.start, n.stop, max({'s': b.start, 'e': b.stop}) AS x FROM near n JOIN bridges b ON n.contig = b.contig AND b.start < n.start GROUP BY ALL),
+  bridged AS (SELECT rng.*, CASE WHEN i.x IS NOT NULL THEN i.x.s ELSE rng.start + (rng.stop - rng.start) // 2 END AS b_from, coalesce(i.x.e, q.x.e) AS b_to
+    FROM rng LEFT JOIN inside i ON i.contig = rng.contig AND i.start = rng.start AND i.stop = rng.stop
+    LEFT JOIN prior q ON q.contig = rng.contig AND q.start = rng.start AND q.stop = rng.stop AND q.x.e >= rng.start WHERE i.x IS NOT NULL OR q.x IS NOT NULL)"""
+
+
+@query(f"""{_JUMPS}, t AS ({fx.TRUTH_SQL}), pairs AS (SELECT t.contig, t.start, t.stop, t.ord, j.pos, j.value, row_number() OVER (PARTITION BY t.contig, t.start, t.stop, t.ord ORDER BY j.value DESC, j.pos) AS rn
+    FROM t JOIN j ON t.contig = j.contig AND j.pos BETWEEN t.start AND t.stop) SELECT contig, start, stop, ord, pos, value FROM pairs WHERE rn = 1""")
+def range_argmax(spark, sf_dir):
+    points = ed.jumps(coverage(spark, sf_dir), 3).select("contig", F.col("start").alias("pos"), F.col("height").alias("value"))
+    return jn.argmax_in_range(fx.truth(spark, sf_dir), points).select("contig", "start", "stop", "ord", "best.pos", "best.value")
+
+
+@query(f"""{_COVERAGE}, rng AS ({fx.TRUTH_SQL}), {_merge_sql('SELECT contig, start, stop FROM coverage WHERE value >= 30')}, bridges AS (SELECT * FROM merged), {_BRIDGE} SELECT contig, start, stop, ord, b_from, b_to FROM bridged""")
+def asof_bridge(spark, sf_dir):
+    bridges = ca.threshold_calls(coverage(spark, sf_dir), F.col("value") >= 30)
+    return jn.bridge(fx.truth(spark, sf_dir), bridges).select("contig", "start", "stop", "ord", F.col("bridge.from").alias("b_from"), F.col("bridge.to").alias("b_to"))
+
+
+def _bridged_sql(starters: str, enders: str, runs: str) -> str:
+    """Unmerged (contig, start, stop): ``runs`` is a condition on the entries h(signal, contig, start, stop, value) whose maximal runs are the bridges."""
+    signal, condition = runs.split(":")
+    return f"""{_JUMPS}, s AS (SELECT contig, start, stop, {condition} AS hit FROM segments WHERE signal = '{signal}'),
+  sf AS (SELECT *, CASE WHEN lag(hit) OVER (PARTITION BY contig ORDER BY start, stop) = hit THEN 0 ELSE 1 END AS f FROM s),
+  sn AS (SELECT *, sum(f) OVER (PARTITION BY contig ORDER BY start, stop) AS i FROM sf),
+  bridges AS (SELECT contig, min(start) AS start, max(stop) AS stop FROM sn WHERE hit GROUP BY contig, i),
+  rng AS (SELECT contig, pos - 5 AS start, pos + 5 AS stop, pos AS ord FROM j WHERE {starters}), {_BRIDGE},
+  best AS (SELECT b.contig, b.ord AS start, j.pos AS stop, row_number() OVER (PARTITION BY b.contig, b.ord, b.b_from, b.b_to ORDER BY j.value DESC, j.pos) AS rn
+    FROM bridged b JOIN j ON j.contig = b.contig AND j.pos BETWEEN b.b_from AND b.b_to + 5 AND {enders})
+  SELECT contig, start, stop FROM best WHERE rn = 1"""
+
+
+@query(_bridged_sql("value > 0", "j.value < 0", "Clipped:value > 0"))
+def bridged_increases(spark, sf_dir):
+    return ca.bridged_increases(signals(spark, sf_dir, "Coverage", "Clipped"), 3, merged=False)
+
+
+@query(_bridged_sql("value < 0", "j.value > 0", "Coverage:value <= 18"))
+def hard_drops(spark, sf_dir):
+    return ca.hard_drops(signals(spark, sf_dir, "Coverage"), 18, 3)
+
+
+@query(_bridged_sql("value < 0", "j.value > 0", "Clipped:value < 2"))
+def drops_without_clips(spark, sf_dir):
+    return ca.drops_without_clips(signals(spark, sf_dir, "Coverage", "Clipped"), 3, merged=False)
+
+
+@query(f"""WITH t AS ({fx.TRUTH_SQL}), c AS ({fx.CANDIDATES_SQL})
+  SELECT t.ord, t.start <= c.stop AND c.start <= t.stop AS overlap, c.start BETWEEN t.start AND t.stop AS within,
+    CASE WHEN t.start <= c.stop AND c.start <= t.stop THEN greatest(t.start, c.start) END AS i_start, CASE WHEN t.start <= c.stop AND c.start <= t.stop THEN least(t.stop, c.stop) END AS i_stop,
+    round(greatest(0, least(t.stop, c.stop) - greatest(t.start, c.start))::DOUBLE / greatest(greatest(t.stop - t.start, 1), greatest(c.stop - c.start, 1)), 9) AS share
+  FROM t JOIN c ON t.ord = c.ord""")
+def interval_predicates(spark, sf_dir):
+    t, c = fx.truth(spark, sf_dir), fx.candidates(spark, sf_dir).select("ord", F.col("start").alias("s2"), F.col("stop").alias("e2"))
+    four = (F.col("start"), F.col("stop"), F.col("s2"), F.col("e2"))
+    both = jn.intersection(*four)
+    return t.join(c, "ord").select("ord", jn.overlaps(*four).alias("overlap"), jn.in_interval(F.col("s2"), F.col("start"), F.col("stop")).alias("within"), both["start"].alias("i_start"), both["stop"].alias("i_stop"), F.round(jn.reciprocal_overlap(*four), 9).alias("share"))
+
+
+# ---- callers ----
+
+
+def _signal_call(signal: str, condition: str) -> str:
+    chosen = f"SELECT contig, start, stop FROM segments WHERE signal = '{signal}' AND {condition}"
+    return f"{_SIGNALS}, {_merge_sql(chosen)} SELECT * FROM merged"
+
+
+@query(_signal_call("MappingErrors", "value > 160"))
+def call_edit_distance(spark, sf_dir):
+    return ca.high_edit_distance(signals(spark, sf_dir, "MappingErrors"), 160)
+
+
+@query(_signal_call("CigarIndels", "value > 12"))
+def call_cigar_indels(spark, sf_dir):
+    return ca.many_cigar_elements(signals(spark, sf_dir, "CigarIndels"))
+
+
+@query(_signal_call("Coverage", "value <= 8"))
+def call_no_coverage(spark, sf_dir):
+    return ca.no_coverage(signals(spark, sf_dir, "Coverage"), 8)
+
+
+@query(_signal_call("DiscordantTandemOrientation", "value >= 4"))
+def call_inversion_breakpoints(spark, sf_dir):
+    return ca.inversion_breakpoints(signals(spark, sf_dir, "DiscordantTandemOrientation"), 4)
+
+
+@query(_signal_call("InterChr", "value >= 4"))
+def call_cross_contig_breakpoints(spark, sf_dir):
+    return ca.cross_contig_breakpoints(signals(spark, sf_dir, "InterChr"), 4)
+
+
+@query(f"""{_SIGNALS}, p AS (SELECT contig, start, stop, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM segments WHERE signal = 'InsertSizeTooBig' WINDOW w AS (PARTITION BY contig ORDER BY start, stop)),
+  tops AS (SELECT * FROM p WHERE value > 2 AND value > a AND value > b),
+  s AS (SELECT t.contig, t.start AS ts, t.value, max(r.aln_end) AS start, min(r.mate_start) AS stop, count(*) AS n FROM tops t JOIN mapped r ON r.contig = t.contig AND r.aln_start <= t.stop AND t.start <= r.aln_end
+    WHERE NOT r.mate_unmapped AND r.orientation = 'FR' AND r.tlen > {fx.MOST} GROUP BY t.contig, t.start, t.stop, t.value)
+  SELECT DISTINCT contig, start, stop, n FROM s WHERE n >= value AND start < stop""")
+def call_deletions_coarse(spark, sf_dir):
+    return ca.deletions_from_insert_sizes(signals(spark, sf_dir, "InsertSizeTooBig"), fx.reads(spark, sf_dir), most=fx.MOST)
+
+
+_CLOSE = """{name}_f AS (SELECT *, CASE WHEN start - lag(stop) OVER w < {distance} THEN 0 ELSE 1 END AS f FROM ({source}) x WINDOW w AS (PARTITION BY contig ORDER BY start, stop)),
+  {name}_n AS (SELECT *, sum(f) OVER (PARTITION BY contig ORDER BY start, stop) AS i FROM {name}_f),
+  {name} AS (SELECT contig, min(start) AS start, arg_max(stop, start) AS stop FROM {name}_n GROUP BY contig, i)"""
+
+
+@query(f"""{_SIGNALS}, {_CLOSE.format(name='islands', distance=2 * READ_LENGTH, source="SELECT contig, start, stop FROM segments WHERE signal = 'ForwardInsertSizeTooBig' AND value > 2")},
+  found AS (SELECT i.contig, i.start AS i_start, max(r.aln_end) AS start, min(r.mate_start) AS stop, max(r.mate_start) - min(r.mate_start) AS spread, count(*) AS n_reads FROM islands i JOIN mapped r
+    ON r.contig = i.contig AND r.aln_start <= i.stop AND i.start <= r.aln_end WHERE NOT r.is_reverse AND NOT r.mate_unmapped AND r.orientation = 'FR' AND r.tlen > {fx.MOST} GROUP BY i.contig, i.start, i.stop),
+  spans AS (SELECT DISTINCT contig, start, stop FROM found WHERE stop >= start AND stop - start < 1000000),
+  d AS (SELECT s.contig, s.start, s.stop, (coalesce(sum(r.aln_end - r.aln_start + 1), 0) // greatest(1, s.stop - s.start))::BIGINT AS depth FROM spans s LEFT JOIN mapped r ON r.contig = s.contig AND r.aln_start >= s.start AND r.aln_end <= s.stop GROUP BY s.contig, s.start, s.stop),
+  k AS (SELECT found.*, depth, CASE WHEN depth IS NULL THEN 'SV' WHEN depth < 15 THEN 'DEL' WHEN depth < 45 THEN 'LOH' ELSE 'SV' END AS kind FROM found LEFT JOIN d USING (contig, start, stop))
+  SELECT contig, start, stop, CASE WHEN kind = 'SV' THEN '<SV>' ELSE '<DEL>' END AS alt, kind, spread >= {3 * fx.MOST} AS imprecise, n_reads, depth FROM k""")
+def call_deletions_fine(spark, sf_dir):
+    return ca.deletions_fine(signals(spark, sf_dir, "ForwardInsertSizeTooBig"), fx.reads(spark, sf_dir), LIMITS, READ_LENGTH, ca.DeletionParameters(2, 30))
+
+
+@query(f"""{_SIGNALS}, {_CLOSE.format(name='close', distance=10, source="SELECT contig, start, stop FROM segments WHERE signal = 'DiscordantTandemOrientation' AND value > 2")},
+  islands AS (SELECT *, start + (stop - start) // 2 AS middle FROM close WHERE stop - start > 10),
+  l AS (SELECT a.contig, a.middle AS x, b.middle AS y FROM islands a JOIN mapped r ON r.contig = a.contig AND r.aln_start <= a.stop AND a.start <= r.aln_end
+    JOIN islands b ON b.contig = a.contig AND r.mate_start BETWEEN b.start AND b.stop
+    WHERE a.stop - a.start <= 10000 AND NOT r.mate_unmapped AND r.mapq <> 0 AND r.mate_contig = r.contig AND r.orientation = 'TANDEM' AND a.middle <> b.middle)
+  SELECT contig, least(x, y) AS start, greatest(x, y) AS stop, count(*) AS score FROM l GROUP BY ALL HAVING count(*) > 2""")
+def call_inversions(spark, sf_dir):
+    return ca.inversions(signals(spark, sf_dir, "DiscordantTandemOrientation"), fx.reads(spark, sf_dir), 10, over=2, links=2)
+
+
+@query(f"""{_SIGNALS}, {_merge_sql("SELECT contig, start, stop FROM segments WHERE signal = 'InterChr' AND value >= 4")},
+  c AS (SELECT m.contig, m.start, m.stop, r.mate_contig AS mate, count(*) AS n FROM merged m JOIN mapped r ON r.contig = m.contig AND r.aln_start <= m.stop AND m.start <= r.aln_end
+    WHERE NOT r.mate_unmapped AND r.mate_contig <> r.contig GROUP BY ALL)
+  SELECT contig, start, stop, mate, n FROM c""")
+def call_breakpoint_mates(spark, sf_dir):
+    rows = ca.breakpoints_with_mates(signals(spark, sf_dir, "InterChr"), fx.reads(spark, sf_dir), 4)
+    return rows.select("contig", "start", "stop", F.explode("mates").alias("mate", "n"))
+
+
+@query(f"""{_LEVELS.replace('<= 3 THEN', '<= 2 THEN')}, avg_depth AS (SELECT contig, sum(value * (stop - start)) // sum(stop - start) AS depth FROM coverage WHERE value > 0 GROUP BY contig),
+  high AS (SELECT l.contig, l.start, l.stop FROM levels l JOIN avg_depth USING (contig) WHERE l.value > depth + depth // 2),
+  {_CLOSE.format(name='dups', distance=20, source='SELECT * FROM high')} SELECT contig, start, stop FROM dups WHERE stop - start > 40""")
+def call_duplications(spark, sf_dir):
+    return ca.duplications(signals(spark, sf_dir, "Coverage"), 10, 2)
+
+
+@query()
+def call_copy_numbers(spark, sf_dir):
+    return ca.copy_numbers(signals(spark, sf_dir, "Coverage"), 8, 5, 2)
+
+
+@query(f"""WITH {_READS}, t AS ({fx.TRUTH_SQL}), x AS (SELECT t.contig, t.start // 200 AS bin, r.mate_contig, r.mate_start // 200 AS mate_bin FROM t JOIN mapped r ON r.contig = t.contig AND r.aln_start <= t.stop AND t.start <= r.aln_end
+    WHERE NOT r.mate_unmapped AND r.mapq <> 0 AND r.mate_contig <> r.contig)
+  SELECT contig, bin, mate_contig, mate_bin, count(*) AS n FROM x GROUP BY ALL HAVING count(*) > 10""")
+def cross_contig_graph(spark, sf_dir):
+    return ca.graph_bins(fx.truth(spark, sf_dir), fx.reads(spark, sf_dir), 200)
+
+
+# ---- variants ----
+
+_VCF = f"""lines AS ({fx.VCF_SQL}), f AS (SELECT ord, value, string_split(value, chr(9)) AS f FROM lines),
+  v AS (SELECT ord, CASE WHEN f[1] LIKE 'chr%' THEN f[1] ELSE 'chr' || f[1] END AS chr, f[2]::INTEGER AS pos, f[3] AS id, f[4] AS ref, f[5] AS alt, f[8] AS info,
+    nullif(regexp_extract(f[8], '(?:^|;)END=([^;=]*)', 1), '') AS e, nullif(regexp_extract(f[8], '(?:^|;)SVLEN=([^;=]*)', 1), '') AS l FROM f),
+  c AS (SELECT *, pos AS start, coalesce(try_cast(e AS INTEGER), pos + length(ref))::INTEGER AS stop, abs(try_cast(l AS INTEGER)) AS length FROM v)"""
+
+
+@query(f"""WITH {_VCF}, p AS (SELECT ord, chr, pos, unnest(string_split(info, ';')) AS x FROM v)
+  SELECT ord, chr, pos, string_split(x, '=')[1] AS k, coalesce(string_split(x, '=')[2], string_split(x, '=')[1]) AS v FROM p WHERE x <> ''""")
+def vcf_info(spark, sf_dir):
+    return va.parse_lines(fx.vcf_lines(spark, sf_dir)).select("ord", "chr", "pos", F.explode("info").alias("k", "v"))
+
+
+@query(f"WITH {_VCF} SELECT ord, chr, start, stop, length FROM c")
+def event_coordinates(spark, sf_dir):
+    return va.coordinates(va.parse_lines(fx.vcf_lines(spark, sf_dir))).select("ord", "chr", "start", "stop", "length")
+
+
+@query(f"""WITH {_VCF}, g AS (SELECT *, trunc(2.5 * coalesce(length, stop - start))::BIGINT - (stop - start) AS g FROM c)
+  SELECT ord, chr, greatest(1, start - trunc(g / 2.0)::BIGINT)::BIGINT AS w_start, (stop + trunc(g / 2.0)::BIGINT)::BIGINT AS w_stop, chr || ':' || format('{{:,}}', start) || '-' || format('{{:,}}', stop) AS text FROM g""")
+def scaled_windows(spark, sf_dir):
+    c = va.coordinates(va.parse_lines(fx.vcf_lines(spark, sf_dir)))
+    a, b = va.scaled_window(F.col("start"), F.col("stop"), 2.5, F.col("length"))
+    return c.select("ord", "chr", a.cast("long").alias("w_start"), b.cast("long").alias("w_stop"), va.position_text(F.col("chr"), F.col("start"), F.col("stop")).alias("text"))
+
+
+@query(f"""WITH {_VCF}, n AS (SELECT ord, f, row_number() OVER (ORDER BY ord) - 1 AS i FROM f)
+  SELECT ord, array_to_string(f[:2] || ['sv_' || i, 'N'] || f[5:], chr(9)) AS value FROM n""")
+def vcf_renumbered(spark, sf_dir):
+    return va.fill_reference(va.renumber(fx.vcf_lines(spark, sf_dir), "ord", "sv_")).select("ord", "value")
+
+
+@query(f"WITH {_VCF} SELECT ord, value FROM lines WHERE value LIKE '#%' OR contains(value, 'SVTYPE=DEL')")
+def vcf_filtered(spark, sf_dir):
+    return va.filter_lines(fx.vcf_lines(spark, sf_dir), F.col("value").contains("SVTYPE=DEL")).select("ord", "value")
+
+
+_PAIRS = f"""t AS ({fx.TRUTH_SQL}), raw AS ({fx.CANDIDATES_SQL}), cand AS (SELECT contig, start, arg_max(stop, ord) AS stop FROM raw GROUP BY contig, start),
+  ok AS (SELECT t.contig, t.start, t.stop, c.start AS c_start, c.stop AS c_stop FROM t JOIN cand c ON c.contig = t.contig AND c.start >= greatest(0, t.start - (t.stop - t.start)) AND c.start < t.stop + (t.stop - t.start)
+    WHERE greatest(0, least(t.stop, c.stop) - greatest(t.start, c.start))::DOUBLE / greatest(greatest(t.stop - t.start, 1), greatest(c.stop - c.start, 1)) >= CASE WHEN t.stop - t.start <= 1000 THEN 0.6 ELSE 0.8 END),
+  found AS (SELECT t.* FROM t SEMI JOIN ok USING (contig, start, stop)), missed AS (SELECT t.* FROM t ANTI JOIN ok USING (contig, start, stop)),
+  fps AS (SELECT DISTINCT contig, start, stop FROM raw r WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.contig = r.contig AND c_start = r.start AND c_stop = r.stop))"""
+
+
+@query(f"WITH {_PAIRS} SELECT 'found' AS part, contig, start, stop FROM found UNION ALL SELECT 'missed', contig, start, stop FROM missed UNION ALL SELECT 'false_positive', contig, start, stop FROM fps")
+def compare_sets(spark, sf_dir):
+    parts = va.compare(fx.truth(spark, sf_dir), fx.candidates(spark, sf_dir), ["ord"])
+    one = lambda k, name: parts[k].select(F.lit(name).alias("part"), "contig", "start", "stop")
+    return one("found", "found").unionByName(one("missed", "missed")).unionByName(one("false_positives", "false_positive"))
+
+
+@query(f"""WITH {_PAIRS}, rows AS (SELECT contig, 'tp' AS k FROM found UNION ALL SELECT contig, 'fn' FROM missed UNION ALL SELECT contig, 'fp' FROM fps UNION ALL SELECT contig, 'n' FROM raw),
+  s AS (SELECT contig, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'fn') AS fn, count(*) FILTER (k = 'fp') AS fp, count(*) FILTER (k = 'n') AS n_candidates FROM rows GROUP BY ROLLUP (contig))
+  SELECT *, tp::DOUBLE / (tp + fp) AS precision, fp::DOUBLE / (tp + fp) AS fdr, tp::DOUBLE / (tp + fn) AS recall, fn::DOUBLE / (tp + fn) AS fnr FROM s""")
+def compare_statistics(spark, sf_dir):
+    return va.statistics(fx.truth(spark, sf_dir), fx.candidates(spark, sf_dir), ["ord"])
+
+
+@query(f"""WITH t AS ({fx.TRUTH_SQL}), c AS ({fx.CANDIDATES_SQL}), a AS (SELECT *, floor((stop - start) * CASE WHEN stop - start <= 1000 THEN 0.4 ELSE 0.2 END)::BIGINT AS r FROM t),
+  hit AS (SELECT DISTINCT a.contig, a.start, a.stop FROM a JOIN c ON a.contig = c.contig AND c.start BETWEEN a.start - r AND a.start + r
+    WHERE greatest(0, least(a.stop, c.stop) - greatest(a.start, c.start))::DOUBLE / greatest(greatest(a.stop - a.start, 1), greatest(c.stop - c.start, 1)) >= CASE WHEN a.stop - a.start <= 1000 THEN 0.6 ELSE 0.8 END),
+  n AS (SELECT contig, count(*) AS n_truth FROM t GROUP BY 1), m AS (SELECT contig, count(*) AS n_candidates FROM c GROUP BY 1), k AS (SELECT contig, count(*) AS tp FROM t SEMI JOIN hit USING (contig, start, stop) GROUP BY 1)
+  SELECT contig, coalesce(tp, 0) AS tp, coalesce(n_truth, 0) - coalesce(tp, 0) AS fn, coalesce(n_candidates, 0) - coalesce(tp, 0) AS fp, coalesce(n_candidates, 0) AS n_candidates FROM n FULL JOIN m USING (contig) LEFT JOIN k USING (contig)""")
+def compare_by_share(spark, sf_dir):
+    return va.compare_by_share(fx.truth(spark, sf_dir), fx.candidates(spark, sf_dir))
+
+
+# ---- graphs and k-mers ----
+
+
+@query(f"WITH s AS ({fx.SEQUENCES_SQL}), i AS (SELECT read_id, seq, unnest(range(1, greatest(length(seq) - 10, 1) + 1)) AS i FROM s WHERE length(seq) > 0) SELECT substr(seq, i, 11) AS kmer, count(*) AS n, count(DISTINCT read_id) AS n_reads FROM i GROUP BY 1")
+def kmer_counts(spark, sf_dir):
+    return km.kmers(fx.sequences(spark, sf_dir), 11).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("read_id").alias("n_reads"))
+
+
+_DBG = f"s AS ({fx.SEQUENCES_SQL}), i AS (SELECT seq, unnest(range(1, length(seq) - 8)) AS i FROM s WHERE length(seq) > 9), dbg AS (SELECT substr(seq, i, 9) AS src, substr(seq, i + 1, 9) AS dst, count(*) AS weight FROM i GROUP BY 1, 2)"
+
+
+@query(f"WITH {_DBG} SELECT * FROM dbg")
+def de_bruijn_edges(spark, sf_dir):
+    return km.de_bruijn(fx.sequences(spark, sf_dir), 9)
+
+
+@query(f"WITH {_DBG} SELECT weight, count(*) AS n FROM dbg GROUP BY weight")
+def weight_distribution(spark, sf_dir):
+    return gr.weight_distribution(km.de_bruijn(fx.sequences(spark, sf_dir), 9))
+
+
+@query(f"WITH {_DBG} SELECT src AS id, 'kept' AS part FROM dbg WHERE weight > 3 UNION SELECT dst, 'kept' FROM dbg WHERE weight > 3")
+def pruned_vertices(spark, sf_dir):
+    edges = km.de_bruijn(fx.sequences(spark, sf_dir), 9)
+    return gr.prune_edges(gr.vertices_of(edges), edges, F.col("weight") <= 3)[0].withColumn("part", F.lit("kept"))
+
+
+@query(f"WITH e AS ({fx.FOREST_SQL}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT id, id NOT IN (SELECT dst FROM e) AS starts, id NOT IN (SELECT src FROM e) AS ends FROM v")
+def graph_ends(spark, sf_dir):
+    e = fx.forest(spark, sf_dir)
+    v = gr.vertices_of(e)
+    s, t = gr.starting_points(v, e).withColumn("starts", F.lit(True)), gr.ending_points(v, e).withColumn("ends", F.lit(True))
+    return v.join(s, "id", "left").join(t, "id", "left").na.fill(False, ["starts", "ends"])
+
+
+@query(f"WITH e AS ({fx.EDGES_SQL}) SELECT dst AS src, src AS dst, weight FROM e")
+def graph_transposed(spark, sf_dir):
+    return gr.transpose(fx.edges(spark, sf_dir))
+
+
+@query(f"WITH e AS ({fx.EDGES_SQL}), o AS (SELECT max(c) <= 1 AS one_out FROM (SELECT count(*) AS c FROM e GROUP BY src)), i AS (SELECT max(c) <= 1 AS one_in FROM (SELECT count(*) AS c FROM e GROUP BY dst)) SELECT one_out, one_in, one_out AND one_in AS single_threads, false AS single_thread FROM o, i")
+def graph_degrees(spark, sf_dir):
+    e = fx.edges(spark, sf_dir)
+    return gr.degree_checks(gr.vertices_of(e), e)
+
+
+@query(f"""WITH e AS ({fx.EDGES_SQL}), r AS (SELECT weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC) AS a, row_number() OVER (PARTITION BY dst ORDER BY weight DESC) AS b FROM e)
+  SELECT CASE WHEN w <= 1000 THEN w END AS threshold FROM (SELECT greatest(1, max(weight)) AS w FROM r WHERE a = 2 OR b = 2)""")
+def thread_threshold(spark, sf_dir):
+    return gr.thread_threshold(fx.edges(spark, sf_dir), 1000)
+
+
+_SMALL_FOREST = fx.FOREST_SQL + " AND c_custkey <= 600"
+
+
+def _small_forest(spark, sf_dir):
+    """A bounded graph for enumerations, whose number of paths is exponential by nature."""
+    return fx.forest(spark, sf_dir).where("CAST(substring(src, 2) AS bigint) <= 600")
+
+
+@query(f"""WITH RECURSIVE e AS ({_SMALL_FOREST}), p AS (
+    SELECT [src] AS path, src AS last FROM e WHERE src NOT IN (SELECT dst FROM e)
+    UNION ALL SELECT list_append(p.path, e.dst), e.dst FROM p JOIN e ON p.last = e.src)
+  SELECT DISTINCT array_to_string(path, '>') AS path FROM p WHERE last NOT IN (SELECT src FROM e)""")
+def simple_paths(spark, sf_dir):
+    e = _small_forest(spark, sf_dir)
+    return gr.simple_paths(gr.vertices_of(e), e).select(F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH RECURSIVE e AS ({_SMALL_FOREST}), p AS (
+    SELECT [src] AS path, src AS last FROM e WHERE src NOT IN (SELECT dst FROM e)
+    UNION ALL SELECT list_append(p.path, e.dst), e.dst FROM p JOIN e ON p.last = e.src)
+  SELECT array_to_string(arg_max(path, len(path)), '>') AS path FROM p GROUP BY path[1]""")
+def single_strands(spark, sf_dir):
+    e = _small_forest(spark, sf_dir)
+    return gr.single_strands(gr.vertices_of(e), e).select(F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH RECURSIVE e AS ({fx.FOREST_SQL}), d AS (SELECT dst FROM e GROUP BY dst HAVING count(*) = 1), l AS (SELECT e.src, e.dst FROM e JOIN d USING (dst)),
+  v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), p AS (
+    SELECT id AS head, id, 0::BIGINT AS distance FROM v WHERE id NOT IN (SELECT dst FROM l)
+    UNION ALL SELECT p.head, l.dst, p.distance + 1 FROM p JOIN l ON p.id = l.src)
+  SELECT id, head, distance FROM p""")
+def chain_heads(spark, sf_dir):
+    return gr.longest_runs(fx.forest(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE e AS ({_SMALL_FOREST} UNION ALL SELECT 'v20', 'v11', 1 UNION ALL SELECT 'v31', 'v31', 1), p AS (
+    SELECT [src] AS path, src AS last, false AS closed FROM e WHERE src NOT IN (SELECT dst FROM e)
+    UNION ALL SELECT list_append(p.path, e.dst), e.dst, list_contains(p.path, e.dst) FROM p JOIN e ON p.last = e.src WHERE NOT p.closed)
+  SELECT array_to_string(path, '>') AS path FROM p WHERE closed ORDER BY len(p.path), p.path LIMIT 1""")
+def first_loop(spark, sf_dir):
+    e = _small_forest(spark, sf_dir)
+    e = e.unionByName(spark.createDataFrame([("v20", "v11", 1), ("v31", "v31", 1)], "src string, dst string, weight long"))
+    return gr.find_loop(gr.vertices_of(e), e).select(F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH s AS ({fx.SEQUENCES_SQL}), i AS (SELECT seq, read_id, unnest(range(1, length(seq) - 9)) AS i FROM s WHERE length(seq) > 10),
+  n AS (SELECT substr(seq, i, 11) AS kmer, CASE WHEN i > 2 THEN 100 + read_id % 3 + i END AS pos, count(*) AS n FROM i GROUP BY 1, 2),
+  k AS (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY n DESC, pos) AS r FROM n WHERE pos IS NOT NULL)
+  SELECT kmer, max(pos) FILTER (r = 1) AS best, CASE WHEN max(n) FILTER (r = 2) IS NULL OR max(n) FILTER (r = 1) > 2 * max(n) FILTER (r = 2) THEN max(pos) FILTER (r = 1) END AS voted FROM k GROUP BY kmer""")
+def kmer_votes(spark, sf_dir):
+    s = fx.sequences(spark, sf_dir).where("length(seq) > 10").withColumn("unclipped_start", 101 + F.col("read_id") % 3).withColumn("aln_start", F.col("unclipped_start") + 4).withColumn("aln_end", F.lit(1000))
+    positions = km.kmer_positions(s, 11, 0.3)
+    best = km.map_sequence(positions.select(F.col("kmer").alias("seq")), positions, 11).select("kmer", F.col("pos").alias("best"))
+    voted = positions.select("kmer", km.position_of(F.col("positions")).alias("voted"))
+    return best.join(voted, "kmer").where("best IS NOT NULL")
+
+
+@query()
+def contig_sequences(spark, sf_dir):
+    return km.contigs(km.de_bruijn(fx.sequences(spark, sf_dir), 25))
+
+
+@query()
+def global_alignment(spark, sf_dir):
+    s = fx.sequences(spark, sf_dir).where("length(seq) > 20")
+    return s.select("read_id", align_cigar(F.col("seq"), F.expr("concat(substring(seq, 4, 12), substring(seq, 20))")).alias("cigar"))
