@@ -31,13 +31,16 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return split.where(F.char_length("line") >= min_chars).select("doc_id", "text_key", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("tidemark"), "line").alias("h2"))
 
 
+#: The shared-half keys of a line, in their order: t is its length (it is the shorter line, or as long) or one less (the longer).
+BACK, SIDE = (0, 0, 1, 1), ("L", "R", "L", "R")
+
+
 def _half_keys() -> Column:
-    """The column line's shared-half keys: as the shorter or equally long one (t = its length) and as the longer one (t = length - 1)."""
+    """The column line's four keys: hashes of t and the left or right half of t."""
     made = []
-    for back in (0, 1):
-        t, half = F.char_length("line") - back, F.expr(f"(char_length(line) - {back}) div 2")
-        for side, part in (("L", F.left("line", half)), ("R", F.right("line", half))):
-            made.append(F.struct(F.xxhash64(t, F.lit(side), part).alias("key"), F.lit(back).alias("back"), F.lit(side).alias("side")))
+    for back, side in zip(BACK, SIDE):
+        half = F.expr(f"(char_length(line) - {back}) div 2")
+        made.append(F.xxhash64(F.char_length("line") - back, F.lit(side), (F.left if side == "L" else F.right)("line", half)))
     return F.array(*made)
 
 
@@ -57,13 +60,15 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         .agg(F.min("place").alias("first"), F.any_value("keys").alias("keys")),
         "lines",
     )
-    keyed = distinct.select("h1", "h2", "first", F.explode("keys").alias("k")).select("h1", "h2", "first", "k.key", "k.back", "k.side")
+    keyed = distinct.select("h1", "h2", "first", F.posexplode("keys").alias("i", "key"))
+    keyed = keyed.select("h1", "h2", "first", "key", F.get(F.array(*map(F.lit, BACK)), F.col("i")).alias("back"), F.get(F.array(*map(F.lit, SIDE)), F.col("i")).alias("side"))
     # A key matters where lines of its length, or one longer, meet a line of its length.
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("back").alias("least")).where("n > 1 AND least = 0").select("key")
-    near = cut(keyed.join(shared, "key"), "near")
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("back").alias("least")).where("n > 1 AND least = 0").select("key"), "shared")
+    near = cut(keyed.join(small_side(shared, 16, shared.count()), "key"), "near")
     n = near.count()
     wanted = near.select("h1", "h2").distinct()
     texts = lines.join(small_side(wanted, 24, n), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    texts = cut(texts, "texts")
     near = near.join(texts, ["h1", "h2"])
     length = F.char_length("line")
     half = F.expr("(char_length(line) - back) div 2")
@@ -75,10 +80,11 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     places = F.sequence(F.lit(1), F.greatest(F.col("m"), F.lit(1)))
     swapped = F.transform(places, lambda i: F.struct(F.xxhash64("key", F.lit("S"), i, without(i)).alias("v"), F.lit(0).alias("longer")))
-    longer = F.transform(places, lambda i: F.struct(F.xxhash64("key", F.lit("D"), without(i)).alias("v"), F.lit(1).alias("longer")))
+    longer = F.array_distinct(F.transform(places, lambda i: F.struct(F.xxhash64("key", F.lit("D"), without(i)).alias("v"), F.lit(1).alias("longer"))))
     itself = F.array(F.struct(F.xxhash64("key", F.lit("D"), F.col("rest")).alias("v"), F.lit(0).alias("longer")))
-    variants = near.select("h1", "h2", "first", "line", F.explode(F.when(F.col("back") == 0, F.concat(swapped, itself)).otherwise(longer)).alias("x")).select("h1", "h2", "first", "line", "x.v", "x.longer").dropDuplicates(["v", "longer", "h1", "h2"])
-    who = F.struct("first", "line", "h1", "h2")
+    # Variants carry hashes only; texts are joined to the pairs that are left.
+    variants = near.select("h1", "h2", "first", F.explode(F.when(F.col("back") == 0, F.concat(swapped, itself)).otherwise(longer)).alias("x")).select("h1", "h2", "first", "x.v", "x.longer")
+    who = F.struct("first", "h1", "h2")
     heads = variants.groupBy("v").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("longer") == 0, who)).alias("short"),
@@ -87,8 +93,9 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     met = variants.join(heads, "v")
     # Equal lengths meet the key's earliest; a longer line its one shorter line; that line the earliest longer one.
     others = F.when(F.col("longer") == 1, F.array("short")).otherwise(F.array("short", "long"))
-    pairs = met.select("h1", "h2", "first", "line", F.explode(others).alias("o")).where("o IS NOT NULL AND o.first < first")
-    found = pairs.where(F.levenshtein("line", F.col("o.line"), 1).between(0, 1)).groupBy("h1", "h2").agg(F.min("o.first").alias("earlier"))
+    pairs = met.select("h1", "h2", "first", F.explode(others).alias("o")).where("o IS NOT NULL AND o.first < first").select("h1", "h2", F.col("o.h1").alias("o1"), F.col("o.h2").alias("o2"), F.col("o.first").alias("of")).distinct()
+    other = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other"))
+    found = pairs.join(texts, ["h1", "h2"]).join(other, ["o1", "o2"]).where(F.levenshtein("line", "other", 1).between(0, 1)).groupBy("h1", "h2").agg(F.min("of").alias("earlier"))
     verdict = distinct.select("h1", "h2", "first").join(cut(found, "found"), ["h1", "h2"], "left")
     judged = lines.select("doc_id", "text_key", "line_no", "h1", "h2").join(verdict, ["h1", "h2"])
     mine = F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))
