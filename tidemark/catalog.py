@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions.align import align_cigar
+from .functions.stats import mean_or_zero, population_deviation
 from .operators import edges as ed
 from .operators import graph as gr
 from .operators import islands as isl
@@ -16,8 +17,11 @@ from .operators import joins as jn
 from .operators import kmers as km
 from .operators import reads as rd
 from .operators import variants as va
-from .operators.sweep import as_bed, depth
+from .operators.sweep import as_bed
 from .plans import callers as ca
+from .sources import bed
+from .sources.graphs import json_lines
+from .sources.vcf import calls, variant_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -225,7 +229,22 @@ def intersect_intervals(spark, sf_dir):
     return isl.intersect(fx.truth(spark, sf_dir).where("ord % 5 = 0"), fx.candidates(spark, sf_dir).where("ord % 5 = 1"))
 
 
-@query()
+def _fill_sql(value: str, shortest: int) -> str:
+    """``filled``: the runs of equal ``value`` longer than ``shortest``, with gaps filled one after the other."""
+    return _COVERAGE.replace("WITH", "WITH RECURSIVE", 1) + f""", lv AS (SELECT contig, start, stop, {value} AS value FROM coverage),
+  lf AS (SELECT *, CASE WHEN lag(stop) OVER w = start AND lag(value) OVER w = value THEN 0 ELSE 1 END AS f FROM lv WINDOW w AS (PARTITION BY contig ORDER BY start, stop)),
+  ln AS (SELECT *, sum(f) OVER (PARTITION BY contig ORDER BY start, stop) AS i FROM lf),
+  runs AS (SELECT contig, value, min(start) AS start, max(stop) AS stop FROM ln GROUP BY contig, i, value HAVING max(stop) - min(start) > {shortest}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY start) AS n FROM runs),
+  h AS (SELECT contig, n, start AS hs, stop AS he, value AS hv, NULL::BIGINT AS es, NULL::BIGINT AS ee, NULL::BIGINT AS ev FROM r WHERE n = 1
+    UNION ALL SELECT r.contig, r.n, CASE WHEN r.value = hv THEN hs WHEN he - hs >= r.stop - r.start THEN r.start ELSE least(he, r.start) END, r.stop, r.value,
+      CASE WHEN r.value <> hv THEN hs END, CASE WHEN r.value = hv THEN NULL WHEN he - hs >= r.stop - r.start THEN greatest(r.start, he) ELSE he END, CASE WHEN r.value <> hv THEN hv END
+    FROM h JOIN r ON r.contig = h.contig AND r.n = h.n + 1),
+  filled AS (SELECT contig, es AS start, ee AS stop, ev AS value FROM h WHERE es IS NOT NULL
+    UNION ALL SELECT contig, arg_max(hs, n), arg_max(he, n), arg_max(hv, n) FROM h GROUP BY contig)"""
+
+
+@query(f"{_fill_sql('value // 8', 3)} SELECT * FROM filled")
 def fill_missing(spark, sf_dir):
     runs = isl.join_touching(coverage(spark, sf_dir).withColumn("value", F.expr("value div 8")), same_value=True)
     return isl.fill_missing(runs.where("stop - start > 3"))
@@ -459,7 +478,7 @@ def call_duplications(spark, sf_dir):
     return ca.duplications(signals(spark, sf_dir, "Coverage"), 10, 2)
 
 
-@query()
+@query(f"{_fill_sql('value // 8', 5)} SELECT * FROM filled WHERE value > 2")
 def call_copy_numbers(spark, sf_dir):
     return ca.copy_numbers(signals(spark, sf_dir, "Coverage"), 8, 5, 2)
 
@@ -648,7 +667,10 @@ def kmer_votes(spark, sf_dir):
     return best.join(voted, "kmer").where("best IS NOT NULL")
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS ({fx.SEQUENCES_SQL}), w AS (SELECT seq, unnest(range(1, length(seq) - 24)) AS i FROM s WHERE length(seq) > 25), g AS (SELECT DISTINCT substr(seq, i, 25) AS src, substr(seq, i + 1, 25) AS dst FROM w),
+  o AS (SELECT src FROM g GROUP BY src HAVING count(*) = 1), i AS (SELECT dst FROM g GROUP BY dst HAVING count(*) = 1), l AS (SELECT src, dst FROM g SEMI JOIN o USING (src) SEMI JOIN i USING (dst)),
+  v AS (SELECT src AS id FROM g UNION SELECT dst FROM g), p AS (SELECT id AS head, id, id AS seq FROM v WHERE id NOT IN (SELECT dst FROM l) UNION ALL SELECT p.head, l.dst, p.seq || right(l.dst, 1) FROM p JOIN l ON p.id = l.src)
+  SELECT arg_max(seq, length(seq)) AS seq FROM p GROUP BY head""")
 def contig_sequences(spark, sf_dir):
     return km.contigs(km.de_bruijn(fx.sequences(spark, sf_dir), 25))
 
@@ -657,3 +679,63 @@ def contig_sequences(spark, sf_dir):
 def global_alignment(spark, sf_dir):
     s = fx.sequences(spark, sf_dir).where("length(seq) > 20")
     return s.select("read_id", align_cigar(F.col("seq"), F.expr("concat(substring(seq, 4, 12), substring(seq, 20))")).alias("cigar"))
+
+
+# ---- files as text, and small functions ----
+
+
+@query(f"{_COVERAGE} SELECT contig, start - 1 AS start, stop - 1 AS stop, value FROM coverage")
+def bed_round_trip(spark, sf_dir):
+    lines = bed.bed_lines(as_bed(coverage(spark, sf_dir))).select(F.col("line").alias("value"))
+    head = spark.createDataFrame([("# comment",), ("track type=bedGraph name=x",)], "value string")
+    return bed.parse(head.unionByName(lines))
+
+
+@query(f"""{_COVERAGE}, {_merge_sql('SELECT contig, start, stop FROM coverage WHERE value >= 28')}
+  SELECT concat_ws(chr(9), contig, start::VARCHAR, '.', 'N', '<DUP>', '.', 'None', 'END=' || stop || ';SVLEN=' || (stop - start) || ';TESTING', 'GT', '0/1') AS line FROM merged""")
+def vcf_calls(spark, sf_dir):
+    return variant_lines(calls(ca.threshold_calls(coverage(spark, sf_dir), F.col("value") >= 28), "<DUP>")).select("line")
+
+
+@query(f"""WITH e AS ({fx.EDGES_SQL}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)
+  SELECT '{{"kind":"vertex","id":"' || id || '"}}' AS value FROM v UNION ALL SELECT '{{"kind":"edge","src":"' || src || '","dst":"' || dst || '","weight":' || weight || '}}' FROM e""")
+def graph_json(spark, sf_dir):
+    return json_lines(fx.edges(spark, sf_dir))
+
+
+@query(f"WITH e AS ({fx.EDGES_SQL}) SELECT src, array_to_string(list(dst ORDER BY dst), ',') AS out FROM e WHERE weight > 20 GROUP BY src")
+def graph_adjacency(spark, sf_dir):
+    return gr.adjacency(fx.edges(spark, sf_dir).where("weight > 20")).select("src", F.array_join("out", ",").alias("out"))
+
+
+@query(f"WITH a AS ({fx.EDGES_SQL}), b AS ({fx.FOREST_SQL}) SELECT src, dst, sum(weight)::BIGINT AS weight FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT src, dst, 1 FROM a WHERE weight > 30) GROUP BY 1, 2")
+def graph_added_edges(spark, sf_dir):
+    e = fx.edges(spark, sf_dir)
+    return gr.add_edges(gr.add_edges(e, fx.forest(spark, sf_dir)), e.where("weight > 30").withColumn("weight", F.lit(1).cast("long")))
+
+
+@query(f"""WITH e AS ({fx.FOREST_SQL}), gone AS (SELECT src AS id FROM e WHERE weight = 3), k AS (SELECT * FROM e WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone))
+  SELECT src AS id FROM k UNION SELECT dst FROM k""")
+def graph_pruned_vertices(spark, sf_dir):
+    e = fx.forest(spark, sf_dir)
+    return gr.prune_vertices(gr.vertices_of(e), e, e.where("weight = 3").select(F.col("src").alias("id")))[0]
+
+
+@query(f"WITH s AS ({fx.SEQUENCES_SQL}), i AS (SELECT read_id, seq, unnest(range(1, greatest(length(seq) - 13, 1) + 1)) AS i FROM s WHERE length(seq) > 0) SELECT substr(seq, i, 14) AS kmer, array_to_string(list(DISTINCT read_id ORDER BY read_id), ',') AS reads FROM i GROUP BY 1")
+def kmer_read_sets(spark, sf_dir):
+    return km.read_sets(fx.sequences(spark, sf_dir), 14, "read_id").select("kmer", F.array_join(F.transform("reads", lambda x: x.cast("string")), ",").alias("reads"))
+
+
+@query(f"WITH s AS ({fx.SEQUENCES_SQL}) SELECT read_id, CASE WHEN length(seq) = 0 THEN 0 ELSE greatest(length(seq) - 20, 1) END::INTEGER AS n FROM s")
+def annotated_reads(spark, sf_dir):
+    return km.annotate_reads(fx.sequences(spark, sf_dir), 21).select("read_id", F.size("numbers").alias("n"))
+
+
+@query(f"WITH {_READS} SELECT contig, round(coalesce(avg(nm), 0), 6) AS mean, round(coalesce(stddev_pop(nm), 0), 6) AS deviation FROM mapped GROUP BY contig")
+def population_moments(spark, sf_dir):
+    return fx.reads(spark, sf_dir).groupBy("contig").agg(F.round(mean_or_zero(F.col("nm")), 6).alias("mean"), F.round(population_deviation(F.col("nm")), 6).alias("deviation"))
+
+
+@query(f"WITH {_READS} SELECT contig || ':' || aln_start || '-' || aln_end AS text, count(*) AS n FROM mapped GROUP BY 1")
+def window_texts(spark, sf_dir):
+    return fx.reads(spark, sf_dir).groupBy(va.window_text(F.col("contig"), F.col("aln_start"), F.col("aln_end")).alias("text")).agg(F.count(F.lit(1)).alias("n"))
