@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from ..tables import cut as cut  # for this subpackage's modules
 
 #: Rows of one Arrow batch: texts may be long, so a batch of the default 10,000 could be large.
 ARROW_ROWS = 1000
@@ -21,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local tests a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 #: Up to so many bytes a side is broadcast; beyond, it is joined by shuffling.
 BROADCAST_BYTES = 64 << 20
 
@@ -77,7 +56,7 @@ def to_arrow(schema: str) -> pa.Schema:
 class WordHashes(dict):
     """64-bit hash of each word's bytes, remembered; emptied when it has grown past ``most`` words."""
 
-    most = 500_000
+    most = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
