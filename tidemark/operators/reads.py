@@ -1,6 +1,6 @@
 """Aligned reads: the eleven signals' predicates, filters by region, sample statistics.
 
-Columns: file_ord long, qname string, contig string, aln_start int (from 1), aln_end int (inclusive), unclipped_start int,
+Columns: file_ord (any order of the reads), qname string, contig string, aln_start int (from 1), aln_end int (inclusive), unclipped_start int,
 unclipped_end int, mate_contig string, mate_start int, tlen int, mapq int, unmapped, mate_unmapped, is_reverse,
 mate_reverse, proper_pair, vendor_fail boolean, cigar string, n_cigar int, is_clipped boolean, ref_len int, nm int, seq string.
 """

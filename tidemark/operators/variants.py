@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
+from ..tables import cut
 from .joins import BIN, reciprocal_overlap
 
 
@@ -92,9 +93,10 @@ def renumber(lines: DataFrame, order: str, prefix: str, column: str = "value") -
     """Field 3 := prefix and the line's number from 0 among those that aren't header, by ``order``.
 
     The order is dealt out by ranges first, so the numbering is a running sum over the ranges' counts, not one sorted task.
+    The ranges are written down, as drawing them anew could cut them otherwise.
     """
     ranged = lines.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__is", (~F.col(column).startswith("#")).cast("long"))
-    ranged = ranged.withColumn("__in", F.monotonically_increasing_id())
+    ranged = cut(ranged.withColumn("__in", F.monotonically_increasing_id()))
     inside = W.partitionBy("__part").orderBy("__in").rowsBetween(W.unboundedPreceding, 0)
     numbered = ranged.withColumn("__nth", F.sum("__is").over(inside))
     totals = ranged.groupBy("__part").agg(F.sum("__is").alias("__n")).withColumnRenamed("__part", "__p")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
-    """``value``; with ``ordered`` also ``ord``, which grows with the line's place within its file (gzip files are one split)."""
+    """``value``; with ``ordered`` also ``ord``, by which lines sort as they stand: file, place of its split, line within the split."""
     lines = spark.read.text(path)
-    return lines.withColumn("ord", F.monotonically_increasing_id()) if ordered else lines
+    if not ordered:
+        return lines
+    return lines.select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("ord"))
 
 
 def write_lines(df: DataFrame, path: str, compression: str = "none", mode: str = "errorifexists") -> None:
