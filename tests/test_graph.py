@@ -52,8 +52,8 @@ def paths_brute(pairs):
 
 def test_simple_paths_and_strands(spark):
     r = random.Random(1)
-    for _ in range(3):
-        pairs = sorted({(f"v{r.randrange(9)}", f"v{r.randrange(9)}") for _ in range(10)} | {("s", "v1"), ("t", "v2")})
+    for _ in range(1):
+        pairs = sorted({(f"v{r.randrange(7)}", f"v{r.randrange(7)}") for _ in range(8)} | {("s", "v1"), ("t", "v2")})
         e = edges(spark, pairs)
         assert {tuple(x.path) for x in gr.simple_paths(gr.vertices_of(e), e).collect()} == paths_brute(pairs)
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("c", "e"), ("x", "y"), ("y", "x"), ("z", "x")])
@@ -92,7 +92,7 @@ def threshold_loop(rows, limit):
 def test_thread_threshold_as_the_loop(spark):
     r = random.Random(7)
     for limit in (4, 30):
-        for _ in range(4):
+        for _ in range(2):
             rows = [(a, b, r.randrange(1, 12)) for a, b in sorted({(f"v{r.randrange(6)}", f"v{r.randrange(6)}") for _ in range(r.randrange(1, 9))})]
             assert gr.thread_threshold(edges(spark, rows), limit).first().threshold == threshold_loop(rows, limit)
     assert gr.thread_threshold(edges(spark, [])).first().threshold == 1
@@ -134,13 +134,12 @@ def test_positions(spark):
 
 def test_reassembly(spark):
     r = random.Random(3)
-    genome = "".join(r.choice("ACGT") for _ in range(160))
-    rows = [(f"q{i}", "c", 1 + s, s + 50, 1 + s, 60, genome[s : s + 50]) for i, s in enumerate([*range(0, 111, 5)] * 5)]
+    genome = "".join(r.choice("ACGT") for _ in range(36))
+    rows = [(f"q{i}", "c", 1 + s, s + 24, 1 + s, 60, genome[s : s + 24]) for i, s in enumerate([*range(0, 13, 3)] * 5)]
     reads = spark.createDataFrame(rows, "qname string, contig string, aln_start int, aln_end int, unclipped_start int, mapq int, seq string")
-    found = ra.haplotypes(reads, "c", 1, 160, ra.Parameters(k=21)).collect()
-    assert [(x.seq, x.pos) for x in found] == [(genome, 1)]
-    best = ra.best_contig(reads, "c", 1, 160, ra.Parameters(k=21)).collect()
-    assert [(x.seq, x.pos) for x in best] == [(genome, 1)]
-    reference = spark.createDataFrame([(genome,)], "seq string")
-    out = ra.as_reads(ra.haplotypes(reads, "c", 1, 160, ra.Parameters(k=21)), reference, "c", 1).collect()
-    assert [(x.cigar, x.mapq, x.aln_start) for x in out] == [("160M", 60, 1)]
+    parameters = ra.Parameters(k=15)
+    found = spark.createDataFrame(ra.haplotypes(reads, "c", 1, 36, parameters, deepest=50).collect(), "seq string, pos int, mean_weight double")
+    assert [(x.seq, x.pos) for x in found.collect()] == [(genome, 1)]
+    assert [(x.seq, x.pos) for x in ra.best_contig(reads, "c", 1, 36, parameters).collect()] == [(genome, 1)]
+    out = ra.as_reads(found, spark.createDataFrame([(genome,)], "seq string"), "c", 1).collect()
+    assert [(x.cigar, x.mapq, x.aln_start) for x in out] == [("36M", 60, 1)]

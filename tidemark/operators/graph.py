@@ -118,8 +118,8 @@ def _grow(spark: SparkSession, starts: DataFrame, edges: DataFrame, step: str, d
           SELECT concat(p.path, array(e.dst)), e.dst, array_contains(p.path, e.dst)
           FROM paths p JOIN {{edges}} e ON p.last = e.src WHERE NOT p.closed AND size(p.path) <= {deepest} AND {step}
         ) SELECT path, closed FROM paths WHERE {done}""",
-        starts=starts.select("id"),
-        edges=edges.select("src", "dst").distinct(),
+        starts=cut(starts.select("id")),  # each level reads both again
+        edges=cut(edges.select("src", "dst").distinct()),
     )
 
 

@@ -11,6 +11,7 @@ from ..functions.align import align_cigar
 from ..operators.graph import prune_edges, prune_vertices, simple_paths, thread_threshold, vertices_of
 from ..operators.kmers import anchored, contigs, de_bruijn, kmer_positions, kmers, map_sequence, path_sequence, position_of
 from ..operators.reads import on_region
+from ..tables import cut
 
 
 @dataclass(frozen=True)
@@ -38,11 +39,12 @@ def haplotypes(reads: DataFrame, contig: str, start: int, stop: int, parameters:
     """
     p = parameters
     local = region_reads(reads, contig, start, stop, 0)
-    edges = de_bruijn(local, p.k)
+    edges = cut(de_bruijn(local, p.k))
     vertices, edges = prune_edges(vertices_of(edges), edges, F.col("weight") < p.prune_less_than)
     trusted = kmers(local.where("mapq > 0").select("seq"), p.k).select(F.col("kmer").alias("id")).distinct()
     vertices, edges = prune_vertices(vertices, edges, vertices.join(trusted, "id", "left_anti"))
-    paths = simple_paths(vertices, edges, deepest=deepest).withColumn("pid", F.xxhash64("path"))
+    vertices, edges = cut(vertices), cut(edges)
+    paths = cut(simple_paths(vertices, edges, deepest=deepest).withColumn("pid", F.xxhash64("path")))
     steps = paths.select("pid", F.posexplode("path").alias("i", "kmer"))
     places = kmer_positions(local, p.k).select("kmer", position_of(F.col("positions")).alias("pos"))
     placed = steps.join(places, "kmer", "left").groupBy("pid").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "pos"))), lambda x: x["pos"]).alias("positions"))
@@ -57,7 +59,7 @@ def best_contig(reads: DataFrame, contig: str, start: int, stop: int, parameters
     """seq, pos of the longest contig after pruning to single threads, placed by its k-mers' votes (the least place if equal)."""
     p = parameters
     local = region_reads(reads, contig, start, stop, p.mapq)
-    edges = de_bruijn(local, p.k)
+    edges = cut(de_bruijn(local, p.k))
     threshold = thread_threshold(edges, p.prune_until)
     kept = edges.join(F.broadcast(threshold), F.col("weight") > F.col("threshold")).select("src", "dst", "weight")  # one row
     longest = contigs(kept).agg(F.max(F.struct(F.length("seq").alias("n"), "seq")).alias("m")).select("m.seq").where("seq IS NOT NULL")
