@@ -1,12 +1,13 @@
 """Byte-level BPE: ranked merges folded by Spark's higher-order functions over distinct words.
 
 A block of documents is cut into words in Python (the vocabulary's pattern needs Unicode classes and look-ahead as
-its library has them) and becomes one row: the block's distinct words as byte arrays, and each document as numbers of
-words. Spark folds the merges over each distinct word, so a word costs once per block, however often it occurs. The
-ids are then put together per document. All three steps are narrow: no shuffle, nothing collected, and a block is bounded.
+its library has them) and becomes one row: the distinct words that its task hasn't sent yet, as arrays of their bytes' ids,
+and each document as numbers of words. Spark folds the merges over each of these words, so a word costs once per task,
+however often it occurs. The ids are then put together per document, in the same task and order. All three steps are
+narrow: no shuffle, nothing collected, and both a block and the words that a task remembers are bounded.
 
 The rank map is a literal. Spark looks a map up by scanning its keys, so the literal is laid out as a hash table in an
-array: a piece's own hash gives the two slots that can hold it.
+array: a pair's own hash gives the two slots that can hold its rank.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import by_column, table, to_arrow
-
-#: Slots of the rank table; a power of two, over twice the pieces.
-SLOTS = 1 << 17
-#: Bytes of text of a block, unless one text is larger.
-BLOCK_BYTES = 32 << 20
+from .common import bound_batches, by_column, lean, table, to_arrow
+
+#: Bits of an id.
+BITS = 18
+#: Code points of a block, unless one text is larger, and words that a task remembers before it starts anew.
+BLOCK_CHARS, MOST_WORDS = 2 << 20, 600_000
+#: Input splits that a task takes at most, while there are two tasks a core: longer tasks meet a word more often.
+SPLITS = 4
 NO_RANK = 2**31 - 1
 
 
@@ -47,122 +51,156 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def rank_table(ranks: dict[bytes, int], slots: int = SLOTS) -> np.ndarray:
-    """Cuckoo table of (xxhash64 of the piece, rank) pairs: a piece is in slot h mod slots or (h / 2^32) mod slots."""
-    hashes = [xxhash.xxh64_intdigest(piece, seed=42) for piece in ranks]  # as Spark's xxhash64
-    if len(set(hashes)) != len(hashes):
-        raise ValueError("two pieces have the same hash")
-    place: dict[int, tuple[int, int]] = {}
-    for item in zip(hashes, ranks.values()):
-        at = item[0] % slots
+def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """(id, id) of two pieces -> rank of their concatenation, for all ways to cut a piece in two."""
+    out = {}
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if a is not None and b is not None:
+                out[a, b] = rank
+    return out
+
+
+def pair_table(ranks: dict[bytes, int]) -> np.ndarray:
+    """Cuckoo table of longs id | id | rank, BITS each: a pair is in slot h mod n or (h / 2^32) mod n; -1 is empty. n is a power of two."""
+    entries = [(a << BITS | b, rank) for (a, b), rank in pair_ranks(ranks).items()]
+    slots = 1 << (2 * len(entries) + 1).bit_length()
+    place: dict[int, tuple[int, int, int]] = {}
+    for key, rank in entries:
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42)  # as Spark's xxhash64 of a long
+        item, at = (key, rank, h), h % slots
         for _ in range(500):
             item, place[at] = place.get(at), item
             if item is None:
                 break
-            one, two = item[0] % slots, (item[0] >> 32) % slots
+            one, two = item[2] % slots, (item[2] >> 32) % slots
             at = two if at == one else one
         else:
             raise ValueError("the table is too small")
-    table_ = np.zeros((slots, 2), np.uint64)
-    table_[:, 1] = NO_RANK
-    for at, pair in place.items():
-        table_[at] = pair
-    return table_.reshape(-1).view(np.int64)
+    table_ = np.full(slots, -1, np.int64)
+    for at, (key, rank, _) in place.items():
+        table_[at] = key << BITS | rank
+    return table_
 
 
-def rank_literal(spark: SparkSession, ranks: dict[bytes, int], slots: int = SLOTS) -> Column:
-    """The rank map as one array<bigint> literal."""
-    values = rank_table(ranks, slots)
+def long_literal(spark: SparkSession, values: np.ndarray) -> Column:
+    """array<bigint> as one literal."""
     gateway = spark.sparkContext._gateway
     longs = gateway.new_array(gateway.jvm.long, len(values))
     gateway.jvm.java.nio.ByteBuffer.wrap(values.astype(">i8").tobytes()).asLongBuffer().get(longs)
     return Column(gateway.jvm.org.apache.spark.sql.functions.lit(longs))
 
 
-def rank_of(piece: Column, literal: Column, slots: int = SLOTS) -> Column:
-    """The piece's rank, NO_RANK if it has none; ``slots`` is a power of two."""
-
-    def look(h: Column) -> Column:
-        one = 2 * h.bitwiseAND(F.lit(slots - 1)).cast("int")
-        two = 2 * F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(slots - 1)).cast("int")
-        return F.when(F.get(literal, one) == h, F.get(literal, one + 1)).when(F.get(literal, two) == h, F.get(literal, two + 1)).otherwise(F.lit(NO_RANK)).cast("int")
-
-    return _let(F.xxhash64(piece), look)
-
-
 def _let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(word: Column, literal: Column, slots: int = SLOTS) -> Column:
-    """The pieces (array<binary>) of one word: of all neighbours the pair of least rank is joined, leftmost first, until none has a rank."""
+def fold_merges(ids: Column, ranks: Column, table_: Column, slots: int) -> Column:
+    """The ids of one word, from the ids (array<int>) of its bytes and the ranks of neighbouring ones: of all neighbours the pair of
+    least rank is joined, leftmost first, until none has a rank. A joined pair's id is its rank. The state is ids and ranks."""
+    mask, low = F.lit(slots - 1).cast("long"), F.lit((1 << BITS) - 1).cast("long")
 
-    def rank(piece: Column) -> Column:
-        return rank_of(piece, literal, slots)
+    def rank(a: Column, b: Column) -> Column:
+        def of(key: Column) -> Column:
+            one = F.get(table_, F.xxhash64(key).bitwiseAND(mask).cast("int"))
+            two = F.get(table_, F.shiftrightunsigned(F.xxhash64(key), 32).bitwiseAND(mask).cast("int"))
+            return F.when(F.shiftright(one, BITS) == key, one.bitwiseAND(low).cast("int")).when(F.shiftright(two, BITS) == key, two.bitwiseAND(low).cast("int")).otherwise(F.lit(NO_RANK))
 
-    def merge(state: Column) -> Column:
-        pieces, ranks = state["p"], state["r"]
+        return _let(F.shiftleft(a.cast("long"), BITS).bitwiseOR(b.cast("long")), of)
 
-        def at(i: Column) -> Column:
-            def put(joined: Column) -> Column:
-                n = F.size(pieces)
-                none = F.array().cast("array<int>")
-                before = F.when(i > 1, F.concat(F.slice(ranks, F.lit(1), i - 2), F.array(rank(F.concat(F.get(pieces, i - 2), joined))))).otherwise(none)
-                after = F.when(i + 1 < n, F.concat(F.array(rank(F.concat(joined, F.get(pieces, i + 1)))), F.slice(ranks, i + 2, n))).otherwise(none)
-                return F.struct(F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(joined), F.slice(pieces, i + 2, n)).alias("p"), F.concat(before, after).alias("r"))
+    def merge(state: Column) -> Column:
+        ids, ranks = state["ids"], state["ranks"]
 
-            return _let(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), put)
+        def at(i: Column) -> Column:  # from 1
+            joined = F.get(ranks, i - 1)
+            moved = F.transform(F.slice(ids, F.lit(2), F.size(ids)), lambda x, k: F.when(k >= i, x).when(k < i - 1, F.get(ids, k)).otherwise(joined))
+            anew = F.transform(F.slice(ranks, F.lit(2), F.size(ranks)), lambda x, k: F.when(k >= i, x).when(k < i - 2, F.get(ranks, k)).when(k < i - 1, rank(F.get(ids, i - 2), joined)).otherwise(rank(joined, F.get(ids, i + 1))))
+            return F.struct(moved.alias("ids"), anew.alias("ranks"))
 
         return F.when(F.coalesce(F.array_min(ranks), F.lit(NO_RANK)) == NO_RANK, state).otherwise(_let(F.array_position(ranks, F.array_min(ranks)).cast("int"), at))
 
-    length = F.octet_length(word)
-    single = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.when(length > 1, F.transform(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), lambda i: rank(F.substring(word, i, F.lit(2))))).otherwise(F.array().cast("array<int>"))
-    steps = F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1)))
-    folded = F.aggregate(steps, F.struct(single.alias("p"), pairs.alias("r")), lambda state, _: merge(state))["p"]
-    return F.when(length == 0, F.array().cast("array<binary>")).when(rank(word) != NO_RANK, F.array(word)).otherwise(folded)
+    # As many steps as there are pairs: more can't be joined.
+    return F.when(F.size(ranks) == 0, ids).otherwise(F.aggregate(ranks, F.struct(ids.alias("ids"), ranks.alias("ranks")), lambda state, _: merge(state))["ids"])
 
 
-def encode_words(words: Column, literal: Column, slots: int = SLOTS) -> Column:
-    """array<binary> of words -> array<array<int>> of their ids. The literal is bound to a name, so the plan holds it once."""
-    return _let(literal, lambda ranks: F.transform(words, lambda word: F.transform(fold_merges(word, ranks, slots), lambda piece: rank_of(piece, ranks, slots))))
+def encode_words(ids: Column, ranks: Column, table_: Column, slots: int) -> Column:
+    """array<array<int>> of words' byte ids, and of their neighbours' ranks -> of tokens. The literal is bound to a name, so the plan holds it once."""
+    return _let(table_, lambda pairs: F.zip_with(ids, ranks, lambda i, r: fold_merges(i, r, pairs, slots)))
 
 
-BLOCK_SCHEMA = "words array<binary>, doc_ids array<long>, counts array<int>, numbers array<int>"
+BLOCK_SCHEMA = "known long, words array<array<int>>, ranks array<array<int>>, doc_ids array<long>, counts array<int>, numbers array<int>"
 
 
-def cut_words(docs: DataFrame, pat: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row a block: its distinct words, and for each document how many words it has and which."""
-    ship(docs.sparkSession)
-    pat, arrow = pat or pattern(), to_arrow(BLOCK_SCHEMA)
+def cut_words(docs: DataFrame, ranks: dict[bytes, int], block_chars: int = BLOCK_CHARS, most_words: int = MOST_WORDS) -> DataFrame:
+    """One row a block: its new words, numbered from ``known`` on (0: all numbers begin anew), and for each document how many words it has and which.
+
+    A word is the ids of its bytes; one that is a piece itself is that piece's id, as the library has it.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    bound_batches(spark)
+    pat, arrow = pattern(), to_arrow(BLOCK_SCHEMA)
+    shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
 
     def run(batches):
-        find = regex.compile(pat).findall
-        state: list = [{}, [], [], [], 0]
+        find, pieces = regex.compile(pat).findall, shared.value
+        of_byte = np.array([pieces[bytes([b])] for b in range(256)], np.int32)
+        of_two = np.array([[pieces.get(bytes([a, b]), NO_RANK) for b in range(256)] for a in range(256)], np.int32)
+
+        def lists(ends: np.ndarray, flat: np.ndarray) -> pa.Array:
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat, pa.int32()))
+            return pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), inner)
+
+        def start(seen) -> tuple[pa.Array, pa.Array]:
+            """Of each word the ids of its bytes, and the ranks of each byte and the next."""
+            raw = [w.encode() for w in seen]
+            whole = np.array([pieces.get(w, -1) for w in raw], np.int32)
+            raw = [w if k < 0 else b"\0" for w, k in zip(raw, whole)]
+            size = np.fromiter(map(len, raw), np.int64, len(raw))
+            ends = np.cumsum(size)
+            letters = np.frombuffer(b"".join(raw), np.uint8)
+            flat = of_byte[letters]
+            flat[(ends - size)[whole >= 0]] = whole[whole >= 0]
+            inner = np.ones(len(letters), bool)
+            inner[ends - 1] = False
+            at = np.flatnonzero(inner)
+            return lists(ends, flat), lists(ends - np.arange(1, len(ends) + 1), of_two[letters[at], letters[np.minimum(at + 1, len(letters) - 1)]])
+
+        seen: dict[str, int] = {}
+        known, size = 0, 0
+        ids: list = []
+        counts: list[int] = []
+        numbers: list[np.ndarray] = []
 
         def row():
-            seen, ids, counts, numbers, _ = state
-            number = pa.ListArray.from_arrays(pa.array([0, sum(counts)], pa.int32()), pa.array(np.concatenate(numbers) if numbers else np.zeros(0, np.int32)))
-            state[:] = [{}, [], [], [], 0]
-            return pa.RecordBatch.from_arrays([pa.array([[w.encode() for w in seen]], arrow.field(0).type), pa.array([ids], arrow.field(1).type), pa.array([counts], arrow.field(2).type), number.cast(arrow.field(3).type)], schema=arrow)
+            words, ranks_ = start(list(islice(seen, known, None)))
+            number = pa.ListArray.from_arrays(pa.array([0, sum(counts)], pa.int32()), pa.array(np.concatenate(numbers)))
+            made = (pa.array([known]), words, ranks_, pa.array([ids], pa.list_(pa.int64())), pa.array([counts]), number)
+            return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow)], schema=arrow)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen, ids, counts, numbers, _ = state
+                if not ids and len(seen) >= most_words:
+                    seen.clear()
+                    known = 0
                 words = find(text or "")
                 for w in set(words):
                     seen.setdefault(w, len(seen))
                 ids.append(doc_id)
                 counts.append(len(words))
                 numbers.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
-                state[4] += len(text or "")
-                if state[4] >= block_bytes:
+                size += len(text or "")
+                if size >= block_chars:
                     yield row()
-        if state[1]:
+                    known, size, ids, counts, numbers = len(seen), 0, [], [], []
+        if ids:
             yield row()
 
-    return docs.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA)
+    rows = docs.select("doc_id", "text")
+    n = rows.rdd.getNumPartitions()  # of the plan; nothing runs
+    return rows.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-n // SPLITS))).mapInArrow(lean(run), BLOCK_SCHEMA)
 
 
 RESULT_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -185,30 +223,31 @@ def put_together(encoded: DataFrame, ranks: dict[bytes, int], with_ids: bool = F
         size = np.array([len(p) for p in pieces], np.int64)
         at, raw = np.cumsum(size) - size, np.frombuffer(b"".join(pieces), np.uint8)
 
-        def block(ids_of_words, doc_ids, counts, numbers):
-            offsets = np.asarray(ids_of_words.offsets).astype(np.int64)
-            flat = np.asarray(ids_of_words.flatten())
-            offsets, length = offsets[:-1] - offsets[0], np.diff(offsets)
-            word_end = np.cumsum(counts)
-            out = []
-            for doc_id, end, n in zip(doc_ids, word_end, counts):
-                own = numbers[end - n : end]
-                ids = flat[_ragged(offsets[own], length[own])]
-                decoded = raw[_ragged(at[ids], size[ids])].tobytes()
-                out.append((doc_id, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest(), *([ids.tolist(), decoded] if with_ids else [])))
-            return out
+        flat, offsets, length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)  # ids of all words known so far
+
+        def one(doc_id, own):
+            ids = flat[_ragged(offsets[own], length[own])]
+            decoded = raw[_ragged(at[ids], size[ids])].tobytes()
+            return (doc_id, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest(), *([ids.tolist(), decoded] if with_ids else []))
 
         for batch in batches:
-            words, doc_ids, counts, numbers = (batch.column(c) for c in ("ids", "doc_ids", "counts", "numbers"))
             for i in range(batch.num_rows):
-                out = block(words[i].values, doc_ids[i].as_py(), np.asarray(counts[i].values), np.asarray(numbers[i].values))
+                known, words, doc_ids, counts, numbers = (batch.column(c)[i] for c in ("known", "ids", "doc_ids", "counts", "numbers"))
+                words, kept = words.values, slice(0, None if known.as_py() else 0)
+                new = np.asarray(words.offsets).astype(np.int64)
+                length = np.concatenate([length[kept], np.diff(new)])
+                flat = np.concatenate([flat[kept], np.asarray(words.flatten())])
+                offsets = np.cumsum(length) - length
+                counts, numbers = np.asarray(counts.values), np.asarray(numbers.values)
+                ends = np.cumsum(counts)
+                out = [one(doc_id, numbers[end - n : end]) for doc_id, end, n in zip(doc_ids.as_py(), ends, counts)]
                 cols = by_column([f.name for f in arrow], out)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lean(run), schema)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", with_ids: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", with_ids: bool = False, block_chars: int = BLOCK_CHARS, most_words: int = MOST_WORDS) -> DataFrame:
     """doc_id, n_tokens and digests of the ids (little-endian, 32 bits) and of the decoded bytes; with ``with_ids`` both too.
 
     Each match of the vocabulary's pattern is encoded by itself; strings of special tokens are ordinary text. A null or
@@ -223,9 +262,11 @@ def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", wi
         ranks = dict(sorted(ranks.items(), key=lambda x: x[1]))
     if list(ranks.values()) != list(range(len(ranks))):
         raise ValueError("ranks must run from 0 without gaps")
-    slots = max(SLOTS, 1 << (2 * len(ranks)).bit_length())
-    blocks = cut_words(docs, None, block_bytes)
-    encoded = blocks.select(encode_words(F.col("words"), rank_literal(spark, ranks, slots), slots).alias("ids"), "doc_ids", "counts", "numbers")
+    if len(ranks) >= 1 << BITS:
+        raise ValueError("the vocabulary has too many pieces")
+    pairs = pair_table(ranks)
+    blocks = cut_words(docs, ranks, block_chars, most_words)
+    encoded = blocks.select(encode_words(F.col("words"), F.col("ranks"), long_literal(spark, pairs), len(pairs)).alias("ids"), "known", "doc_ids", "counts", "numbers")
     return put_together(encoded, ranks, with_ids)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,8 +15,8 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from ..tables import cut as cut  # for this subpackage's modules
 
-#: Rows of one Arrow batch: texts may be long, so a batch of the default 10,000 could be large.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch: texts may be long, so a batch of the default 10,000 rows could be large.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +32,34 @@ def small_side(df: DataFrame, row_bytes: int, rows: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded rows and bytes, unless the session has bounds of its own."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "67108864"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with Arrow on the system's allocator and freed memory given back at the end: Python workers stay alive between tasks."""
+
+    def leanly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return leanly
+
+
 def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
     """Apply ``make()`` (called once in each task) to dicts of column lists, batch by batch, without a shuffle."""
     spark = df.sparkSession
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    bound_batches(spark)
     arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +68,7 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[], Callable[[
             out = work({c: batch.column(c).to_pylist() for c in columns})
             yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(lean(run), schema)
 
 
 def to_arrow(schema: str) -> pa.Schema:
