@@ -153,7 +153,8 @@ def _tiles(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Blocks are cut by a hash of the member, so their number follows from the bucket's totals without ordering it in one task.
     sized = groups.join(sets.select("doc_id", F.size("shingles").cast("long").alias("n")), "doc_id")
     total = sized.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("blocks"))
-    placed = sized.drop("n").join(total, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
+    total = cut(total, "blocks")
+    placed = sized.drop("n").join(small_side(total, 16, total.count()), "key").withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "own").alias("i"), F.greatest(i, "own").alias("j")))
     dealt = placed.select("key", "doc_id", "component", "own", F.explode(others).alias("t")).select("key", "doc_id", "component", "own", "t.i", "t.j")
     arrow = to_arrow("a long, b long")
