@@ -62,6 +62,20 @@ def test_mcd_resists_a_third_of_outliers(spark):
     assert d.min() > ol.CUTOFF
 
 
+def test_single_statistics_reject(docs_of):
+    r = np.random.RandomState(5)
+    good = [prose(r, r.randint(100, 400)) for _ in range(200)]
+    words = prose(r, 200).split()
+    long_words = " ".join(w + w[: len(w) // 2] for w in words)
+    lines = "".join(f"{w}{i}\nx\n" for i, w in enumerate(words[:30]))
+    unique = [f"{w}{i}" for i, w in enumerate(words)]
+    repeats = " ".join(unique[:104] + unique[:48] + unique[104:152])
+    got = {x.doc_id: x for x in ol.judge(docs_of([*good, long_words, lines, repeats])).collect()}
+    assert np.mean([got[i].kept for i in range(200)]) >= 0.99
+    assert (got[201].n_dup_lines, got[201].n_repeat_words) == (29, 0) and got[202].n_repeat_words == 96
+    assert not any(got[i].base_failed or got[i].kept for i in (200, 201, 202))
+
+
 def test_quality_labels(spark):
     sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in ol.op9_quality_rules(spark, sf).collect()}
