@@ -27,6 +27,17 @@ def test_grammar_scores_clauses():
     assert g.score(g.evidence("scum " * 9, {})) > g.score(g.evidence("scum", {})) > g.score(g.evidence(None, {})) == g.score(g.evidence("", {}))
 
 
+def test_threats_meet_targets_on_either_side():
+    g = tx.Grammar({}, {})
+    raw = lambda text: g.evidence(text, {})[0]
+    for text in ("I will kill you", "we hurt you", "you, kill them", "they killed your dog", "ich töte dich", "wir haben dich umgebracht", "je te tuerai", "on vous frappe", "voy a matarte", "os mataré a ti"):
+        assert raw(text) > 0, text
+    assert raw("I will kill you") == raw("you I will kill") > raw("I will not kill you") > 0
+    assert raw("he said I will kill you") < raw("I will kill you")
+    assert raw("they kill time") == raw("they kill. you rest") == 0
+    assert raw("kill and burn you") > raw("kill you")
+
+
 def test_rows_nulls_and_no_labels(spark, docs_of):
     docs = docs_of([(None, "you fool"), (1, None), (1, None), (2, ""), (3, "fool " * 40000)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -3,8 +3,9 @@
 A text is cut into clauses at sentence marks and line ends. Five transducers read each
 clause's words from left to right, in one composed pass: insult (learned stems with
 weights), threat, target, negation and reported speech. A clause's score is its
-insults' and threats' weight, raised by a target, lowered by a negation that governs
-the hit or by reported speech. A document's evidence is what its clauses sum to and
+insults' weight, which needs no target but is raised by one, and that of threats, which
+counts only if the clause has a target before or after them; a negation that governs
+the hit or reported speech lowers it. A document's evidence is what its clauses sum to and
 their largest; a logistic curve, fitted on the same labelled rows, makes it a score.
 
 The insult transducer's stems come from labels: a stem is a word's beginning of
@@ -32,7 +33,19 @@ THRESHOLD = 0.7
 
 # Function words of the four languages that the other transducers read.
 TARGET = frozenset("you your yours u du dich dir dein deine ihr euch tu te toi ton ta vous votre usted ustedes tú ti tus".split())
-THREAT = frozenset("kill hurt burn destroy punish töten umbringen verletzen tuer frapper brûler matar golpear quemar".split())
+# Threat verbs in the forms that threats take: infinitive, present, past and participles.
+THREAT = frozenset(
+    """kill kills killed killing hurt hurts hurting burn burns burned burnt burning destroy destroys destroyed destroying punish punishes punished punishing
+    töten töte tötest tötet tötete töteten getötet umbringen umbringe umbringst umbringt umgebracht umzubringen verletzen verletze verletzt verletzte verletzten
+    tuer tue tues tuons tuez tuent tué tuée tués tuées tuerai tueras tuera tuerons tueront tuant
+    frapper frappe frappes frappons frappez frappent frappé frappée frappés frapperai frappera frapperons frapperont
+    brûler brûle brûles brûlons brûlez brûlent brûlé brûlée brûlés brûlerai brûlera brûlerons brûleront
+    matar mato matas mata matamos matan mató maté mataron mataré matará mataremos matarán matando matado matarte matarlos mataros
+    golpear golpeo golpea golpeamos golpean golpeó golpeé golpearé golpeará golpearemos golpeando golpeado golpearte
+    quemar quemo quema quemamos queman quemó quemé quemaré quemará quemaremos quemando quemado quemarte""".split()
+)
+#: Threats that name their target in the verb itself.
+BOUND = frozenset("matarte mataros golpearte quemarte".split())
 NEGATION = frozenset("not no never isn't aren't don't nicht kein keine nie pas jamais aucun nunca jamás ni".split())
 REPORT = frozenset("said says called wrote quoted claimed sagte nannte schrieb dit disait écrit dijo llamó escribió".split())
 #: Words after which a negation no longer governs.
@@ -56,26 +69,30 @@ class Grammar:
         return best
 
     def clause(self, words: list[str], memory: dict) -> float:
-        """One pass of the composed transducers: state is (reported, targeted, words since a negation)."""
+        """One pass of the composed transducers: state is (reported, targeted, words since a negation, pending threats).
+
+        A threat's weight is pending until the clause has a target, before or after it, and is lost without one.
+        """
         reported = targeted = False
         since = REACH + 1
-        total = 0.0
+        total = pending = 0.0
         for w in words:
             since += 1
             weight = memory.get(w)
             if weight is None:
                 if len(memory) > 300_000:
                     memory.clear()
-                weight = memory[w] = (self.insult(w), (w in TARGET) + 2 * (w in NEGATION) + 4 * (w in REPORT) + 8 * (w in THREAT))
+                weight = memory[w] = (self.insult(w), (w in TARGET or w in BOUND) + 2 * (w in NEGATION) + 4 * (w in REPORT) + 8 * (w in THREAT))
             hit, kind = weight
             if kind:
                 targeted |= bool(kind & 1)
                 reported |= bool(kind & 4)
                 since = 0 if kind & 2 else since
-                hit += 2.0 * bool(kind & 8 and targeted)
+                if kind & 8:
+                    pending += 2.0 * (0.5 if since <= REACH else 1.0)
             if hit:
                 total += hit * (0.5 if since <= REACH else 1.0)
-        return total * (1.25 if targeted else 1.0) * (0.7 if reported else 1.0)
+        return (1.25 * (total + pending) if targeted else total) * (0.7 if reported else 1.0)
 
     def evidence(self, text: str | None, memory: dict) -> tuple[float, float, float]:
         """(sum of clause scores, largest, sum a hundred words), each on a log scale."""
