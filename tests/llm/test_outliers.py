@@ -94,3 +94,12 @@ def test_kept_rows_nulls_and_empty(spark, docs_of):
     assert ol.judge(docs_of([])).collect() == [] and ol.keep_good(docs_of([])).collect() == []
     nulls = spark.createDataFrame([(1, good, None, None), (2, None, None, None)], "doc_id long, text string, lang string, source string")
     assert {x.doc_id: x.kept for x in ol.judge(nulls).collect()} == {1: True, 2: False}
+
+
+def test_each_row_goes_by_its_own_verdict(docs_of):
+    r = np.random.RandomState(4)
+    good = [prose(r, 200) for _ in range(4)]
+    docs = docs_of([(None, good[0]), (None, "short"), (None, good[1]), (None, None), (7, good[2]), (7, "short"), (8, good[3]), (8, good[3])])
+    kept = ol.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr) == sorted([(None, good[0]), (None, good[1]), (7, good[2]), (8, good[3]), (8, good[3])], key=repr)

@@ -43,7 +43,7 @@ CONSISTENCY = 0.5 / 0.2616
 
 
 def word_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every whole text (null: none).
+    """doc_id, lang, source, two hashes of the text, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of every whole text (null: none).
 
     Words are runs of characters but space and U+0009 to U+000D.
     """
@@ -83,11 +83,13 @@ def word_statistics(docs: DataFrame) -> DataFrame:
 
         def work(rows):
             stats = np.array([one(t) for t in rows["text"]], np.int64).reshape(-1, 5)
-            return {"doc_id": rows["doc_id"], "lang": rows["lang"], "source": rows["source"], **{n: pa.array(stats[:, i]) for i, n in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}}
+            return {**{c: rows[c] for c in carried}, **{n: pa.array(stats[:, i]) for i, n in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}}
 
         return work
 
-    return map_batches(docs, ["doc_id", "text", "lang", "source"], make, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    carried = ["doc_id", "lang", "source", "__text", "__text2"]
+    hashed = docs.withColumns({"__text": F.xxhash64("text"), "__text2": F.xxhash64(F.lit("tidemark"), "text")})
+    return map_batches(hashed, [*carried, "text"], make, "doc_id long, lang string, source string, __text long, __text2 long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
 
 
 def with_features(stats: DataFrame) -> DataFrame:
@@ -165,13 +167,14 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return est
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, keys: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance and kept of every row.
 
     kept is false if the base rules fail, else whether the squared robust distance from the document's group is at most
     CUTOFF. Estimates come from the documents that pass the base rules. A null language or source is a group of its own;
     a group of under MIN_GROUP such documents takes the estimates of all documents. Null and empty texts fail the base
-    rules. Repeated rows get the same result each; other columns are ignored; an empty table gives no rows.
+    rules. Repeated rows get the same result each; other columns are ignored; an empty table gives no rows. With ``keys``
+    language, source and the text's hashes come along.
     """
     stats = cut(with_features(word_statistics(docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")))), "statistics")
     passed = stats.where("NOT base_failed")
@@ -182,13 +185,22 @@ def judge(docs: DataFrame) -> DataFrame:
     everyone = passed.select(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source"), *FEATURES)
     est = mcd(usable.where("g_lang != '*'").unionByName(everyone))
     away = placed.join(small_side(est, 400, n + 1), ["g_lang", "g_source"], "left").withColumn("distance", F.round(_distance(), 6))
-    return away.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"))
+    also = ["lang", "source", "__text", "__text2"] if keys else []
+    return away.select("doc_id", *also, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id has no rejected row, with their columns. A null id's rows go together, too."""
-    rejected = judge(docs).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(rejected["__id"]), "left_anti")
+    """The rows of ``docs`` that ``judge`` keeps, with their columns.
+
+    A row goes by its own verdict: rejected rows are found by id, text, language and source, so rows of one id, or without
+    one, that differ in these don't share a verdict; rows that agree in all have the same one.
+    """
+    # Ids and languages as judge() reads them.
+    own = {"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64("text"), "__text2": F.xxhash64(F.lit("tidemark"), "text"), "__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))}
+    rejected = judge(docs, keys=True).where("NOT kept").select(F.col("doc_id").alias("__id"), "__text", "__text2", F.col("lang").alias("__lang"), F.col("source").alias("__source")).distinct()
+    keyed = docs.withColumns(own)
+    same = [keyed[k].eqNullSafe(rejected[k]) for k in own]
+    return keyed.join(rejected, same, "left_anti").select(*docs.columns)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
