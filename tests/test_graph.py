@@ -60,6 +60,24 @@ def test_simple_paths_and_strands(spark):
     assert sorted(x.path for x in gr.single_strands(gr.vertices_of(e), e).collect()) == [["a", "b", "c"], ["z", "x", "y"]]
 
 
+def test_paths_of_any_length(spark):
+    chain = [f"v{i:04d}" for i in range(1101)]
+    e = edges(spark, list(zip(chain, chain[1:])))
+    assert [r.path for r in gr.single_strands(gr.vertices_of(e), e).collect()] == [chain]
+    short = chain[:111]
+    e = edges(spark, list(zip(short, short[1:])))
+    assert [r.path for r in gr.simple_paths(gr.vertices_of(e), e).collect()] == [short]
+    e = edges(spark, list(zip(short, short[1:])) + [(short[-1], short[1])])
+    assert [r.path for r in gr.find_loop(gr.vertices_of(e), e).collect()] == [[*short, short[1]]]
+
+
+def test_a_given_depth_fails_loudly(spark):
+    e = edges(spark, [("a", "b"), ("b", "c"), ("c", "d")])
+    assert [r.path for r in gr.simple_paths(gr.vertices_of(e), e, deepest=3).collect()] == [["a", "b", "c", "d"]]
+    with pytest.raises(Exception, match="longer than 2 steps"):
+        gr.simple_paths(gr.vertices_of(e), e, deepest=2).collect()
+
+
 def test_pruning_and_ends(spark):
     e = edges(spark, [("a", "b", 5), ("b", "c", 1), ("c", "d", 7), ("e", "e", 9)])
     v = gr.vertices_of(e)

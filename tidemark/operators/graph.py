@@ -103,51 +103,66 @@ def weight_distribution(edges: DataFrame) -> DataFrame:
     return edges.groupBy("weight").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _grow(spark: SparkSession, starts: DataFrame, edges: DataFrame, step: str, done: str, deepest: int) -> DataFrame:
-    """(path, closed): paths by recursion from ``starts``; ``step`` is the condition on p.path and e to go on, ``done`` the final filter.
+def _grow(spark: SparkSession, starts: DataFrame, edges: DataFrame, done: str, deepest: int | None) -> DataFrame:
+    """(path, closed): paths by recursion from ``starts``, level by level until none grows; ``done`` is the final filter.
 
-    A path whose last vertex it has visited before is closed and grows no further.
+    A path whose last vertex it has visited before is closed and grows no further. With ``deepest``, a path
+    that would grow past so many steps is an error.
     """
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(deepest + 2, int(spark.conf.get("spark.sql.cteRecursionLevelLimit")))))
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    # The error names e.dst, so that it is not raised before the join, for a path that ends.
+    grows = "NOT p.closed" if deepest is None else f"CASE WHEN p.closed THEN false WHEN size(p.path) > {deepest} THEN CAST(raise_error(concat('a path is longer than {deepest} steps, at ', e.dst)) AS BOOLEAN) ELSE true END"
     return spark.sql(
         f"""
         WITH RECURSIVE paths(path, last, closed) AS (
           SELECT array(id), id, false FROM {{starts}}
           UNION ALL
           SELECT concat(p.path, array(e.dst)), e.dst, array_contains(p.path, e.dst)
-          FROM paths p JOIN {{edges}} e ON p.last = e.src WHERE NOT p.closed AND size(p.path) <= {deepest} AND {step}
+          FROM paths p JOIN {{edges}} e ON p.last = e.src WHERE {grows}
         ) SELECT path, closed FROM paths WHERE {done}""",
         starts=cut(starts.select("id")),  # each level reads both again
         edges=cut(edges.select("src", "dst").distinct()),
     )
 
 
-def single_strands(vertices: DataFrame, edges: DataFrame, deepest: int = 1000) -> DataFrame:
-    """From each starting point the path along vertices with one edge out, until it ends, forks or would loop. ``path`` is ordered."""
-    spark = edges.sparkSession
-    one = edges.select("src", "dst").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).where("n = 1").select("src", "dst")
-    paths = _grow(spark, starting_points(vertices, edges).select("id"), one, "NOT array_contains(p.path, e.dst)", "true", deepest)
-    return paths.groupBy(F.col("path")[0].alias("start")).agg(F.max_by("path", F.size("path")).alias("path")).select("path")
+def single_strands(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """From each starting point the path along vertices with one edge out, until it ends, forks or would loop. ``path`` is ordered.
+
+    By doubling: a round appends, to the first 2^k vertices of each strand, those 2^k steps on, so strands of any length
+    take a logarithmic number of shuffles.
+    """
+    jump = cut(edges.select("src", "dst").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).where("n = 1").select("src", "dst"))
+    rows = cut(starting_points(vertices, edges).select(F.col("id").alias("start"), F.lit(0).cast("long").alias("pos"), "id"))
+    n, reach = rows.count(), 1
+    while True:
+        on = rows.join(jump, F.col("id") == F.col("src")).select("start", (F.col("pos") + reach).alias("pos"), F.col("dst").alias("id"))
+        # What a strand meets again lies behind its first repeat.
+        rows = cut(rows.unionByName(on).groupBy("start", "id").agg(F.min("pos").alias("pos")))
+        if (more := rows.count()) == n:
+            break
+        n, reach = more, 2 * reach
+        jump = cut(jump.alias("a").join(jump.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst"))
+    return rows.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("x")).select(F.transform("x", lambda e: e["id"]).alias("path"))
 
 
-def simple_paths(vertices: DataFrame, edges: DataFrame, starts: DataFrame | None = None, deepest: int = 100) -> DataFrame:
+def simple_paths(vertices: DataFrame, edges: DataFrame, starts: DataFrame | None = None, deepest: int | None = None) -> DataFrame:
     """All paths from the starting points that visit no vertex twice and end at a sink, or where every way on would loop or a way would close a loop."""
     spark = edges.sparkSession
     begin = (starting_points(vertices, edges) if starts is None else starts).select("id")
-    grown = _grow(spark, begin, edges, "true", "true", deepest)
+    grown = _grow(spark, begin, edges, "true", deepest)
     sinks = ending_points(vertices, edges).select(F.col("id").alias("__sink"))
     ended = grown.where("NOT closed").join(sinks, F.element_at("path", -1) == F.col("__sink"), "left_semi").select("path")
     before = grown.where("closed").select(F.expr("slice(path, 1, size(path) - 1)").alias("path"))
     return ended.unionByName(before).distinct()
 
 
-def find_loop(vertices: DataFrame, edges: DataFrame, deepest: int = 100) -> DataFrame:
+def find_loop(vertices: DataFrame, edges: DataFrame, deepest: int | None = None) -> DataFrame:
     """At most one row: the least closing path (with the repeated vertex) from a starting point, else, reversed, from an ending point."""
     spark = edges.sparkSession
-    ahead = _grow(spark, starting_points(vertices, edges).select("id"), edges, "true", "closed", deepest).select(F.lit(0).alias("o"), "path")
+    ahead = _grow(spark, starting_points(vertices, edges).select("id"), edges, "closed", deepest).select(F.lit(0).alias("o"), "path")
     back_edges = transpose(edges.select("src", "dst"))
-    back = _grow(spark, ending_points(vertices, edges).select("id"), back_edges, "true", "closed", deepest).select(F.lit(1).alias("o"), F.reverse("path").alias("path"))
+    back = _grow(spark, ending_points(vertices, edges).select("id"), back_edges, "closed", deepest).select(F.lit(1).alias("o"), F.reverse("path").alias("path"))
     return ahead.unionByName(back).orderBy("o", F.size("path"), "path").limit(1).select("path")
 
 

@@ -32,10 +32,11 @@ def region_reads(reads: DataFrame, contig: str, start: int, stop: int, least_map
     return here.unionByName(reads.join(here.select("qname").distinct(), "qname", "left_semi").select(*reads.columns)).distinct()
 
 
-def haplotypes(reads: DataFrame, contig: str, start: int, stop: int, parameters: Parameters = Parameters(), deepest: int = 2000) -> DataFrame:
+def haplotypes(reads: DataFrame, contig: str, start: int, stop: int, parameters: Parameters = Parameters(), deepest: int | None = None) -> DataFrame:
     """seq, pos, mean_weight of the anchored simple paths longer than half the region, the ``haplotypes`` lightest of them.
 
-    Edges under ``prune_less_than`` go, and k-mers that only reads of mapping quality 0 hold.
+    Edges under ``prune_less_than`` go, and k-mers that only reads of mapping quality 0 hold. With ``deepest``, a path of more
+    k-mers than that is an error.
     """
     p = parameters
     local = region_reads(reads, contig, start, stop, 0)
