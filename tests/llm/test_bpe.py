@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 
 from tidemark.llm import bpe
@@ -35,6 +36,46 @@ def test_as_the_library(docs_of, name):
         assert bytes(got[i].decoded) == (t or "").encode() and got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_long_words(docs_of):
+    """Words beyond a window: letters at random, repeats, and 200,000 letters without a space."""
+    r = random.Random(7)
+    e = library(VOCABULARIES[0])
+    made = ["".join(r.choice("etaoinshrdlu") for _ in range(n)) for n in (60, 63, 64, 65, 95, 96, 97, 128, 129, 500, 2000, 200_000)]
+    made += [x * n for x in ("a", "ab", "abc", "the", "é", "中文", "ACGT", "-=") for n in (33, 64, 700)]
+    got = {x.doc_id: x.ids for x in bpe.encode_decode(docs_of(made), with_ids=True).collect()}
+    assert all(got[i] == e.encode_ordinary(t) for i, t in enumerate(made))
+
+
+def test_windows_splice_or_merge_whole():
+    """Spliced windows and the heap give what the library gives, whether neighbours share tokens or not."""
+    r, name = random.Random(8), VOCABULARIES[0]
+    ranks, e = bpe.load_ranks(name), library(name)
+    pieces = list(ranks)
+    size = np.array([len(p) for p in pieces])
+    for k in range(300):
+        letters = r.choice(["ab", "=", "etaoin shrdlu", "0123456789", "éüß"]).replace(" ", "")
+        raw = "".join(r.choice(letters) for _ in range(r.randrange(65, 400))).encode()
+        want = e._encode_single_piece(raw)
+        assert bpe.merge_bytes(raw, ranks) == want
+        parts = [np.array(bpe.merge_bytes(w, ranks)) for w in bpe.windows(raw)]
+        assert bpe.splice(parts, size, pieces, ranks).tolist() == want
+    first, second = b"a" * 64, b"a" * 64
+    shifted = [np.array(bpe.merge_bytes(w, ranks)) for w in (first, second)]
+    shifted[1] = np.array(bpe.merge_bytes(b"a", ranks) * 64)  # no token in common
+    assert bpe.splice(shifted, size, pieces, ranks).tolist() == e._encode_single_piece(b"a" * 96)
+
+
+def test_matches_below_u0100():
+    """Python's matcher cuts texts of the first 256 code points as the pattern itself does."""
+    fast, full, r = bpe.latin(bpe.pattern()), regex.compile(bpe.pattern()), random.Random(9)
+    every = [chr(i) for i in range(256)]
+    for text in ["".join(p) for c in every for p in ((c,), (" ", c), ("a", c, "1"), (c, c, " "), (" ", c, "x"))]:
+        assert fast.findall(text) == full.findall(text), repr(text)
+    for _ in range(2000):
+        text = "".join(r.choice(every) for _ in range(40))
+        assert fast.findall(text) == full.findall(text), repr(text)
+
+
 def test_every_piece_encodes_to_itself():
     """Whole pieces are passed by their own id; the merges would find the same for those that are text of one word."""
     ranks = bpe.load_ranks(VOCABULARIES[0])

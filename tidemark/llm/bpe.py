@@ -1,10 +1,17 @@
-"""Byte-level BPE: ranked merges folded by Spark's higher-order functions over distinct words.
+"""Byte-level BPE: ranked merges folded by Spark's higher-order functions over byte arrays of distinct words.
 
 A block of documents is cut into words in Python (the vocabulary's pattern needs Unicode classes and look-ahead as
-its library has them) and becomes one row: the distinct words that its task hasn't sent yet, as arrays of their bytes' ids,
-and each document as numbers of words. Spark folds the merges over each of these words, so a word costs once per task,
-however often it occurs. The ids are then put together per document, in the same task and order. All three steps are
-narrow: no shuffle, nothing collected, and both a block and the words that a task remembers are bounded.
+its library has them) and becomes one row: the bytes of the distinct words that its task hasn't sent yet, and each
+document as numbers of words. Spark folds the merges over each of these words, so a word costs once per task, however
+often it occurs. The ids are put together per document, in the same task and order, and Spark decodes them: it looks up
+each id's piece and concatenates. All steps are narrow: no shuffle, nothing collected; a block and the words that a
+task remembers are bounded.
+
+The fold's cost grows with the square of a word's length, so a word of more than WINDOW bytes is folded as overlapping
+windows of WINDOW bytes. Two windows' tokens are spliced at a token that both have in the same place. This is exact:
+tokens are the encoding of their bytes if and only if every two neighbours are the encoding of theirs, since the first
+merge across a boundary would also happen in the two tokens beside it alone. A word whose windows share no token is
+merged as a whole, by a heap.
 
 The rank map is a literal. Spark looks a map up by scanning its keys, so the literal is laid out as a hash table in an
 array: a pair's own hash gives the two slots that can hold its rank.
@@ -15,7 +22,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from itertools import islice
+import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +33,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import bound_batches, by_column, lean, table, to_arrow
+from .common import bound_batches, lean, table, to_arrow
 
-#: Bits of an id.
-BITS = 18
+#: Bits of an id, and of a place in a window: an element of a fold's state is rank | place | id.
+BITS, PLACE = 18, 10
 #: Code points of a block, unless one text is larger, and words that a task remembers before it starts anew.
 BLOCK_CHARS, MOST_WORDS = 2 << 20, 600_000
-#: Input splits that a task takes at most, while there are two tasks a core: longer tasks meet a word more often.
-SPLITS = 4
-NO_RANK = 2**31 - 1
+#: Bytes that are folded at once, and by how much one window of a longer word begins behind another.
+WINDOW, STEP = 64, 32
+NO_RANK = (1 << BITS) - 1
 
 
 @functools.lru_cache(maxsize=4)
@@ -51,6 +59,40 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+#: What the pattern's classes hold below U+0100.
+LATIN = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9²³¹¼-¾", r"\s": r"\t-\r \x85\xa0"}
+
+
+def latin(pattern_: str) -> re.Pattern | None:
+    """What ``pattern_`` matches in texts below U+0100, for Python's own faster matcher; None if it has other classes."""
+    out, inside = "", False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern_):
+        inside = part == "[" or inside and part != "]"
+        if part in LATIN:
+            out += LATIN[part] if inside else f"[{LATIN[part]}]"
+        elif part == r"\S" and not inside:
+            out += f"[^{LATIN[chr(92) + 's']}]"
+        elif part[0] == "\\":
+            return None
+        else:
+            out += part
+    return re.compile(out)
+
+
+def word_finder(pattern_: str):
+    """text -> its words."""
+    find, find_latin = regex.compile(pattern_).findall, latin(pattern_)
+
+    def words(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return find(text)
+        return find_latin.findall(text) if find_latin else find(text)
+
+    return words
+
+
 def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     """(id, id) of two pieces -> rank of their concatenation, for all ways to cut a piece in two."""
     out = {}
@@ -84,6 +126,13 @@ def pair_table(ranks: dict[bytes, int]) -> np.ndarray:
     return table_
 
 
+def byte_table(ranks: dict[bytes, int]) -> np.ndarray:
+    """A fold's first elements, without their places: at 256 a + b for byte a before byte b, at 65,536 + a for a last byte a."""
+    own = np.array([ranks[bytes([a])] for a in range(256)], np.int64)
+    both = np.array([[ranks.get(bytes([a, b]), NO_RANK) for b in range(256)] for a in range(256)], np.int64)
+    return np.concatenate([(both << (BITS + PLACE) | own[:, None]).reshape(-1), NO_RANK << (BITS + PLACE) | own])
+
+
 def long_literal(spark: SparkSession, values: np.ndarray) -> Column:
     """array<bigint> as one literal."""
     gateway = spark.sparkContext._gateway
@@ -97,46 +146,105 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(ids: Column, ranks: Column, table_: Column, slots: int) -> Column:
-    """The ids of one word, from the ids (array<int>) of its bytes and the ranks of neighbouring ones: of all neighbours the pair of
-    least rank is joined, leftmost first, until none has a rank. A joined pair's id is its rank. The state is ids and ranks."""
-    mask, low = F.lit(slots - 1).cast("long"), F.lit((1 << BITS) - 1).cast("long")
+def fold_merges(word: Column, first: Column, pairs: Column, slots: int) -> Column:
+    """The ids of one word (array<int>: each byte with its neighbour, as ``byte_table`` numbers them).
+
+    Of all neighbours the pair of least rank is joined, leftmost first, until none has a rank; a joined pair's id is its
+    rank. The state is one array with an element rank | place | id for each token, rank being that of it and the next.
+    """
+    shift = BITS + PLACE
+    low, places, none = F.lit((1 << BITS) - 1).cast("long"), F.lit((1 << PLACE) - 1).cast("long"), F.lit(NO_RANK << shift)
+    mask, one_place = F.lit(slots - 1).cast("long"), F.lit(1 << BITS).cast("long")
 
     def rank(a: Column, b: Column) -> Column:
-        def of(key: Column) -> Column:
-            one = F.get(table_, F.xxhash64(key).bitwiseAND(mask).cast("int"))
-            two = F.get(table_, F.shiftrightunsigned(F.xxhash64(key), 32).bitwiseAND(mask).cast("int"))
-            return F.when(F.shiftright(one, BITS) == key, one.bitwiseAND(low).cast("int")).when(F.shiftright(two, BITS) == key, two.bitwiseAND(low).cast("int")).otherwise(F.lit(NO_RANK))
+        def at(h: Column, key: Column) -> Column:
+            one, two = F.get(pairs, h.bitwiseAND(mask).cast("int")), F.get(pairs, F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int"))
+            return F.when(F.shiftright(one, BITS) == key, F.shiftleft(one.bitwiseAND(low), shift)).when(F.shiftright(two, BITS) == key, F.shiftleft(two.bitwiseAND(low), shift)).otherwise(none)
 
-        return _let(F.shiftleft(a.cast("long"), BITS).bitwiseOR(b.cast("long")), of)
+        return _let(F.shiftleft(a, BITS).bitwiseOR(b), lambda key: _let(F.xxhash64(key), lambda h: at(h, key)))
 
     def merge(state: Column) -> Column:
-        ids, ranks = state["ids"], state["ranks"]
-
-        def at(i: Column) -> Column:  # from 1
-            joined = F.get(ranks, i - 1)
-            moved = F.transform(F.slice(ids, F.lit(2), F.size(ids)), lambda x, k: F.when(k >= i, x).when(k < i - 1, F.get(ids, k)).otherwise(joined))
-            anew = F.transform(F.slice(ranks, F.lit(2), F.size(ranks)), lambda x, k: F.when(k >= i, x).when(k < i - 2, F.get(ranks, k)).when(k < i - 1, rank(F.get(ids, i - 2), joined)).otherwise(rank(joined, F.get(ids, i + 1))))
-            return F.struct(moved.alias("ids"), anew.alias("ranks"))
-
-        return F.when(F.coalesce(F.array_min(ranks), F.lit(NO_RANK)) == NO_RANK, state).otherwise(_let(F.array_position(ranks, F.array_min(ranks)).cast("int"), at))
-
+        def join(least: Column, i: Column) -> Column:
+            joined, place = F.shiftright(least, shift), F.shiftleft(i.cast("long"), BITS)
+            behind = F.coalesce(rank(joined, F.get(state, i + 2).bitwiseAND(low)), none)
+            before = F.get(state, i - 1).bitwiseAND(low)
+            return F.transform(
+                F.slice(state, F.lit(2), F.size(state)),
+                lambda x, k: F.when(k > i, x - one_place).when(k < i - 1, F.get(state, k)).when(k == i, behind + place + joined).otherwise(rank(before, joined) + (place - one_place) + before),
+            )
+
+        return _let(F.array_min(state), lambda least: F.when(least >= none, state).otherwise(_let(F.shiftright(least, BITS).bitwiseAND(places).cast("int"), lambda i: join(least, i))))
+
+    start = F.transform(word, lambda code, k: F.get(first, code).bitwiseOR(F.shiftleft(k.cast("long"), BITS)))
     # As many steps as there are pairs: more can't be joined.
-    return F.when(F.size(ranks) == 0, ids).otherwise(F.aggregate(ranks, F.struct(ids.alias("ids"), ranks.alias("ranks")), lambda state, _: merge(state))["ids"])
-
-
-def encode_words(ids: Column, ranks: Column, table_: Column, slots: int) -> Column:
-    """array<array<int>> of words' byte ids, and of their neighbours' ranks -> of tokens. The literal is bound to a name, so the plan holds it once."""
-    return _let(table_, lambda pairs: F.zip_with(ids, ranks, lambda i, r: fold_merges(i, r, pairs, slots)))
-
-
-BLOCK_SCHEMA = "known long, words array<array<int>>, ranks array<array<int>>, doc_ids array<long>, counts array<int>, numbers array<int>"
+    return F.transform(F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, lambda state, _: merge(state)), lambda x: x.bitwiseAND(low).cast("int"))
+
+
+def encode_words(words: Column, whole: Column, first: Column, pairs: Column, slots: int) -> Column:
+    """array<array<int>> of words -> of tokens; ``whole`` has the id of a word that is a piece itself, else -1. The literals are bound to names, so the plan holds each once."""
+    return _let(first, lambda f: _let(pairs, lambda p: F.zip_with(words, whole, lambda w, piece: F.when(piece >= 0, F.array(piece)).otherwise(fold_merges(w, f, p, slots)))))
+
+
+def merge_bytes(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for any number of bytes, by a heap of pairs and links between neighbours."""
+    ids = [ranks[raw[i : i + 1]] for i in range(len(raw))]
+    end = list(range(1, len(raw) + 1))  # of the token that begins here
+    prev = list(range(-1, len(raw) - 1))
+    heap = [(ranks[raw[i : i + 2]], i, i + 1, i + 2) for i in range(len(raw) - 1) if raw[i : i + 2] in ranks]
+    heapq.heapify(heap)
+    alive = [True] * len(raw)
+    while heap:
+        rank, a, b, to = heapq.heappop(heap)
+        if not alive[a] or end[a] != b or not alive[b] or end[b] != to:
+            continue
+        ids[a], end[a], alive[b] = rank, to, False
+        if to < len(raw):
+            prev[to] = a
+            if (piece := raw[a : end[to]]) in ranks:
+                heapq.heappush(heap, (ranks[piece], a, to, end[to]))
+        if prev[a] >= 0 and (piece := raw[prev[a] : to]) in ranks:
+            heapq.heappush(heap, (ranks[piece], prev[a], a, to))
+    return [ids[i] for i in range(len(raw)) if alive[i]]
+
+
+def windows(raw: bytes) -> list[bytes]:
+    """A word's pieces of WINDOW bytes, each STEP behind the one before."""
+    return [raw[a : a + WINDOW] for a in range(0, max(len(raw) - WINDOW + STEP, 1), STEP)]
+
+
+def splice(parts: list[np.ndarray], size: np.ndarray, pieces: list[bytes], ranks: dict[bytes, int]) -> np.ndarray:
+    """The ids of a word from its windows' ids, joined at tokens that two neighbours share; without one, merged anew."""
+    kept = [parts[0]]
+    base, at = 0, np.cumsum(size[parts[0]]) - size[parts[0]]  # where the last kept part's tokens begin
+    for k, part in enumerate(parts[1:], 1):
+        mine = k * STEP + np.cumsum(size[part]) - size[part]
+        _, i, j = np.intersect1d(at + base, mine, assume_unique=True, return_indices=True)
+        same = np.flatnonzero(kept[-1][i] == part[j])
+        if not len(same):
+            whole = b"".join(b"".join(pieces[x] for x in p.tolist())[(0 if n == 0 else WINDOW - STEP) :] for n, p in enumerate(parts))
+            return np.array(merge_bytes(whole, ranks), np.int32)
+        i, j = i[same[0]], j[same[0]]
+        kept[-1] = kept[-1][:i]
+        kept.append(part[j:])
+        base, at = 0, mine[j:]
+    return np.concatenate(kept).astype(np.int32)
+
+
+class Numbers(dict):
+    """word -> its number, in the order of their first appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+BLOCK_SCHEMA = "known long, words array<array<int>>, whole array<int>, parts array<int>, doc_ids array<long>, counts array<int>, numbers array<int>"
 
 
 def cut_words(docs: DataFrame, ranks: dict[bytes, int], block_chars: int = BLOCK_CHARS, most_words: int = MOST_WORDS) -> DataFrame:
-    """One row a block: its new words, numbered from ``known`` on (0: all numbers begin anew), and for each document how many words it has and which.
+    """One row a block: its new words, numbered from ``known`` on (0: all numbers begin anew), each as so many ``parts``, and for each document how many words it has and which.
 
-    A word is the ids of its bytes; one that is a piece itself is that piece's id, as the library has it.
+    A part is its bytes; one that is a piece itself has that piece's id as ``whole``, as the library's rule is.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -145,39 +253,26 @@ def cut_words(docs: DataFrame, ranks: dict[bytes, int], block_chars: int = BLOCK
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
 
     def run(batches):
-        find, pieces = regex.compile(pat).findall, shared.value
-        of_byte = np.array([pieces[bytes([b])] for b in range(256)], np.int32)
-        of_two = np.array([[pieces.get(bytes([a, b]), NO_RANK) for b in range(256)] for a in range(256)], np.int32)
-
-        def lists(ends: np.ndarray, flat: np.ndarray) -> pa.Array:
-            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat, pa.int32()))
-            return pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), inner)
-
-        def start(seen) -> tuple[pa.Array, pa.Array]:
-            """Of each word the ids of its bytes, and the ranks of each byte and the next."""
-            raw = [w.encode() for w in seen]
-            whole = np.array([pieces.get(w, -1) for w in raw], np.int32)
-            raw = [w if k < 0 else b"\0" for w, k in zip(raw, whole)]
-            size = np.fromiter(map(len, raw), np.int64, len(raw))
-            ends = np.cumsum(size)
-            letters = np.frombuffer(b"".join(raw), np.uint8)
-            flat = of_byte[letters]
-            flat[(ends - size)[whole >= 0]] = whole[whole >= 0]
-            inner = np.ones(len(letters), bool)
-            inner[ends - 1] = False
-            at = np.flatnonzero(inner)
-            return lists(ends, flat), lists(ends - np.arange(1, len(ends) + 1), of_two[letters[at], letters[np.minimum(at + 1, len(letters) - 1)]])
-
-        seen: dict[str, int] = {}
+        find, pieces = word_finder(pat), shared.value
+        seen = Numbers()
         known, size = 0, 0
         ids: list = []
-        counts: list[int] = []
         numbers: list[np.ndarray] = []
 
         def row():
-            words, ranks_ = start(list(islice(seen, known, None)))
-            number = pa.ListArray.from_arrays(pa.array([0, sum(counts)], pa.int32()), pa.array(np.concatenate(numbers)))
-            made = (pa.array([known]), words, ranks_, pa.array([ids], pa.list_(pa.int64())), pa.array([counts]), number)
+            new = [w.encode() for w in list(seen)[known:]] if known else [w.encode() for w in seen]
+            parts = [1 if len(w) <= WINDOW or w in pieces else len(windows(w)) for w in new]
+            units = new if max(parts, default=1) == 1 else [u for w, n in zip(new, parts) for u in ([w] if n == 1 else windows(w))]
+            whole = [pieces.get(u, -1) if n == 1 else -1 for u, n in zip(units, parts)] if len(units) == len(new) else [pieces.get(w, -1) if n == 1 else -1 for w, n in zip(new, parts) for _ in range(n)]
+            units = [u if k < 0 else b"\0" for u, k in zip(units, whole)]
+            ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+            letters = np.frombuffer(b"".join(units), np.uint8).astype(np.int32)
+            codes = letters << 8
+            codes[:-1] |= letters[1:]
+            codes[ends - 1] = letters[ends - 1] | 1 << 16
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(codes, pa.int32()))
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            made = (pa.array([known]), one(words), one(pa.array(whole, pa.int32())), one(pa.array(parts, pa.int32())), pa.array([ids], pa.list_(pa.int64())), one(pa.array([len(n) for n in numbers], pa.int32())), one(pa.array(np.concatenate(numbers))))
             return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow)], schema=arrow)
 
         for batch in batches:
@@ -185,25 +280,20 @@ def cut_words(docs: DataFrame, ranks: dict[bytes, int], block_chars: int = BLOCK
                 if not ids and len(seen) >= most_words:
                     seen.clear()
                     known = 0
-                words = find(text or "")
-                for w in set(words):
-                    seen.setdefault(w, len(seen))
+                words = find(text) if text else []
                 ids.append(doc_id)
-                counts.append(len(words))
                 numbers.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
                 size += len(text or "")
                 if size >= block_chars:
                     yield row()
-                    known, size, ids, counts, numbers = len(seen), 0, [], [], []
+                    known, size, ids, numbers = len(seen), 0, [], []
         if ids:
             yield row()
 
-    rows = docs.select("doc_id", "text")
-    n = rows.rdd.getNumPartitions()  # of the plan; nothing runs
-    return rows.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-n // SPLITS))).mapInArrow(lean(run), BLOCK_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), BLOCK_SCHEMA)
 
 
-RESULT_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+IDS_SCHEMA = "doc_id long, ids_sha256 string, ids array<int>"
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -212,39 +302,51 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def put_together(encoded: DataFrame, ranks: dict[bytes, int], with_ids: bool = False) -> DataFrame:
-    """Each document's ids from its words' ids, digested; its decoded bytes are its ids' pieces, concatenated."""
-    schema = RESULT_SCHEMA + ", ids array<int>, decoded binary" * with_ids
-    arrow, spark = to_arrow(schema), encoded.sparkSession
-    shared = spark.sparkContext.broadcast(list(ranks))  # in the order of their ranks; as large as the vocabulary
+def put_together(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Each document's ids from its words' ids, and their digest."""
+    arrow, spark = to_arrow(IDS_SCHEMA), encoded.sparkSession
+    shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
 
     def run(batches):
-        pieces = shared.value
-        size = np.array([len(p) for p in pieces], np.int64)
-        at, raw = np.cumsum(size) - size, np.frombuffer(b"".join(pieces), np.uint8)
-
+        ranks_ = shared.value
+        pieces = list(ranks_)
+        piece_size = np.array([len(p) for p in pieces], np.int64)
         flat, offsets, length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)  # ids of all words known so far
 
-        def one(doc_id, own):
-            ids = flat[_ragged(offsets[own], length[own])]
-            decoded = raw[_ragged(at[ids], size[ids])].tobytes()
-            return (doc_id, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest(), *([ids.tolist(), decoded] if with_ids else []))
+        def new_words(units: pa.ListArray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(lengths, ids) of words, from those of their parts."""
+            ends = np.asarray(units.offsets).astype(np.int64)
+            ids = np.asarray(units.flatten())
+            if not len(parts) or parts.max() == 1:
+                return np.diff(ends), ids
+            each = np.split(ids, ends[1:-1] - ends[0])
+            starts = np.cumsum(parts) - parts
+            words = [each[a] if n == 1 else splice(each[a : a + n], piece_size, pieces, ranks_) for a, n in zip(starts.tolist(), parts.tolist())]
+            return np.array([len(w) for w in words], np.int64), np.concatenate(words)
 
         for batch in batches:
             for i in range(batch.num_rows):
-                known, words, doc_ids, counts, numbers = (batch.column(c)[i] for c in ("known", "ids", "doc_ids", "counts", "numbers"))
-                words, kept = words.values, slice(0, None if known.as_py() else 0)
-                new = np.asarray(words.offsets).astype(np.int64)
-                length = np.concatenate([length[kept], np.diff(new)])
-                flat = np.concatenate([flat[kept], np.asarray(words.flatten())])
+                known, units, parts, doc_ids, counts, numbers = (batch.column(c)[i] for c in ("known", "ids", "parts", "doc_ids", "counts", "numbers"))
+                kept = slice(0, None if known.as_py() else 0)
+                more, ids = new_words(units.values, np.asarray(parts.values))
+                length = np.concatenate([length[kept], more])
+                flat = np.concatenate([flat[kept], ids])
                 offsets = np.cumsum(length) - length
                 counts, numbers = np.asarray(counts.values), np.asarray(numbers.values)
-                ends = np.cumsum(counts)
-                out = [one(doc_id, numbers[end - n : end]) for doc_id, end, n in zip(doc_ids.as_py(), ends, counts)]
-                cols = by_column([f.name for f in arrow], out)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
+                tokens = flat[_ragged(offsets[numbers], length[numbers])]
+                upto = np.concatenate([[0], np.cumsum(length[numbers])])[np.concatenate([[0], np.cumsum(counts)])]
+                raw = memoryview(tokens.astype("<u4")).cast("B")
+                digests = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(tokens, pa.int32()))
+                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(digests), lists.cast(arrow.field("ids").type)], schema=arrow)
+
+    return encoded.mapInArrow(lean(run), IDS_SCHEMA)
+
 
-    return encoded.mapInArrow(lean(run), schema)
+def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """binary: the pieces of ``ids`` (array<int>), concatenated. A byte is the code point of its number while pieces are joined."""
+    pieces = F.split(F.lit("Ā".join(p.decode("latin-1") for p in ranks)), "Ā")  # in the order of their ranks
+    return F.encode(_let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")), "ISO-8859-1")
 
 
 def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", with_ids: bool = False, block_chars: int = BLOCK_CHARS, most_words: int = MOST_WORDS) -> DataFrame:
@@ -252,7 +354,7 @@ def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", wi
 
     Each match of the vocabulary's pattern is encoded by itself; strings of special tokens are ordinary text. A null or
     empty text has no tokens. Repeated rows and null ids give rows of their own; other columns are ignored; an empty
-    table gives no rows.
+    table gives no rows. Words of any length are encoded; the work grows in proportion to a long word's length.
     """
     spark = docs.sparkSession
     if docs.schema["doc_id"].dataType.simpleString() != "bigint":
@@ -262,12 +364,15 @@ def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", wi
         ranks = dict(sorted(ranks.items(), key=lambda x: x[1]))
     if list(ranks.values()) != list(range(len(ranks))):
         raise ValueError("ranks must run from 0 without gaps")
-    if len(ranks) >= 1 << BITS:
+    if len(ranks) >= NO_RANK:
         raise ValueError("the vocabulary has too many pieces")
     pairs = pair_table(ranks)
     blocks = cut_words(docs, ranks, block_chars, most_words)
-    encoded = blocks.select(encode_words(F.col("words"), F.col("ranks"), long_literal(spark, pairs), len(pairs)).alias("ids"), "known", "doc_ids", "counts", "numbers")
-    return put_together(encoded, ranks, with_ids)
+    words = encode_words(F.col("words"), F.col("whole"), long_literal(spark, byte_table(ranks)), long_literal(spark, pairs), len(pairs))
+    rows = put_together(blocks.select(words.alias("ids"), "known", "parts", "doc_ids", "counts", "numbers"), ranks)
+    rows = rows.select("doc_id", "ids_sha256", "ids", decode(F.col("ids"), ranks).alias("decoded"))
+    also = ["ids", "decoded"] if with_ids else []
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), *also)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
