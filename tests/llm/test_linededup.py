@@ -14,18 +14,18 @@ def near(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def brute(rows, least=ld.MIN_CHARS):
-    lines = sorted({(i, t, n, x) for i, t in rows for n, x in enumerate((t or "").split("\n")) if t is not None and len(x) >= least}, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+def brute(rows, least=1, long=20):
+    lines = sorted({(i, t, n, x) for i, t in rows for n, x in enumerate((t or "").split("\n")) if t is not None and len(x) >= least and x.strip(" \t\n\v\f\r")}, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     first = {}
     for i, _, n, x in lines:
         first.setdefault(x, (i, n))
     order = {p: k for k, p in enumerate(sorted(set(first.values()), key=lambda p: (p[0] is not None, p[0] or 0, p[1])))}
     out = []
     texts = list(first)
-    earlier = {x: min((first[y] for y in texts if y != x and order[first[y]] < order[first[x]] and near(x, y)), key=lambda p: order[p], default=None) for x in texts}
+    earlier = {x: min((first[y] for y in texts if y != x and min(len(x), len(y)) >= long and order[first[y]] < order[first[x]] and near(x, y)), key=lambda p: order[p], default=None) for x in texts}
     for i, t in rows:
         for n, x in enumerate((t or "").split("\n")):
-            if t is not None and len(x) >= least:
+            if t is not None and len(x) >= least and x.strip(" \t\n\v\f\r"):
                 of = earlier[x] or (first[x] if (i, n) != first[x] else None)
                 out.append((i, n, of is None, *(of or (None, None))))
     return sorted(out, key=repr)
@@ -43,7 +43,7 @@ def corpus(seed=0):
 
     docs = ["\n".join(edit(r.choice(base), r.choice([0, 0, 1, 1, 2, 3])) for _ in range(r.randrange(1, 9))) for _ in range(60)]
     counter = ["\n".join(f"the page number is {i:04d} of many" for i in range(120))]
-    return list(enumerate([*docs, *counter, None, "", "\n\n", docs[0], "q" * 40, "q" * 41, "q" * 42, "long line " * 9000, "short"]))
+    return list(enumerate([*docs, *counter, None, "", "\n\n", docs[0], "q" * 40, "q" * 41, "q" * 42, "long line " * 9000, "short", "short\nshors\n \t\n\nx\nx", "a" * 18 + "b", "a" * 19 + "b", "a" * 20 + "b"]))
 
 
 def test_against_all_pairs(docs_of):
@@ -60,14 +60,37 @@ def test_shuffled_joins_give_the_same(docs_of, monkeypatch):
     assert sorted((tuple(r) for r in ld.near_lines(docs_of(rows)).drop("text_key").collect()), key=repr) == brute(rows)
 
 
+def test_bounds_are_parameters(docs_of):
+    rows = corpus(6)
+    for least, long in ((1, 1), (20, 30)):
+        got = sorted((tuple(r) for r in ld.near_lines(docs_of(rows), least, long).drop("text_key").collect()), key=repr)
+        assert got == brute(rows, least, long)
+
+
+def test_very_long_lines(docs_of):
+    """Work grows far less than with the square of a line's length: lines of 40,000 and 150,000 letters, with an edit anywhere."""
+    r = random.Random(1)
+    for n in (40_000, 150_000):
+        x = "".join(r.choice("abcdefgh") for _ in range(n))
+        p = r.randrange(n)
+        rows = list(enumerate([x, x[:p] + "z" + x[p + 1 :], x[:p] + x[p + 1 :], "z" + x, x + "z", x[:p] + "zz" + x[p + 2 :]]))
+        assert [tuple(r)[2:] for r in ld.near_lines(docs_of(rows)).drop("text_key").orderBy("doc_id").collect()] == [(True, None, None), (False, 0, 0), (False, 0, 0), (False, 0, 0), (False, 0, 0), (False, 1, 0)]
+
+
 def test_texts_are_rebuilt(docs_of):
     one, two = "a line of over twenty letters", "another line of over twenty letters"
-    docs = docs_of([(1, f"{one}\nx\n{two}"), (2, f"x\n{one}!\nx"), (3, two), (4, None), (5, "tiny"), (3, two)])
+    docs = docs_of([(1, f"{one}\nx\n{two}"), (2, f"x\n{one}!\n\n y"), (3, two), (3, f"\n{one}\n "), (4, None), (5, "tiny"), (3, two), (6, "")])
     got = sorted(((r.doc_id, r.text, r.n_chars) for r in ld.drop_lines(docs).collect()), key=repr)
-    assert got == [(1, f"{one}\nx\n{two}", len(one) + len(two) + 3), (2, "x\nx", 3), (4, None, 0), (5, "tiny", 4)]
+    assert got == [(1, f"{one}\nx\n{two}", len(one) + len(two) + 3), (2, "\n y", 3), (4, None, 0), (5, "tiny", 4), (6, "", 0)]
     assert ld.drop_lines(docs).columns == docs.columns
 
 
+def test_many_lines_of_one_document(docs_of):
+    """A document of many lines, all of which but one are equal: it is rebuilt in proportion to their number."""
+    text = "\n".join(["same"] * 100_000 + ["last"])
+    assert [r.text for r in ld.drop_lines(docs_of([text])).collect()] == ["same\nlast"]
+
+
 def test_null_ids_repeats_and_empty(docs_of):
     line = "the same line in all of these"
     got = sorted(map(tuple, ld.near_lines(docs_of([(None, line), (4, line), (4, line)])).drop("text_key").collect()), key=repr)
