@@ -70,5 +70,82 @@ def test_variable_sizes_compact_sizes_and_long_boxes():
         assert track.keyframes == [0, 1, 2, 3]
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def full(kind, flags, *parts):
+    return box(kind, struct.pack(">I", flags), *parts)
+
+
+def fragmented(header_flags, trun_flags, sizes, data_offset=True):
+    """Two fragments of two samples each; only each fragment's first sample is a keyframe."""
+    tkhd = full(b"tkhd", 3, struct.pack(">III", 0, 0, 7))
+    mdia = box(b"mdia", full(b"mdhd", 0, struct.pack(">5I", 0, 0, 10, 0, 0)), full(b"hdlr", 0, bytes(4), b"vide", bytes(13)), box(b"minf", box(b"stbl", full(b"stsd", 0, struct.pack(">I", 1), box(b"avc1", bytes(78))))))
+    moov = box(b"moov", box(b"trak", tkhd, mdia), box(b"mvex", full(b"trex", 0, struct.pack(">5I", 7, 1, 3, 4, 0x10000))))
+    out, want = moov, []
+    for a, b in (sizes[:2], sizes[2:]):
+        def moof(offset):
+            head = full(b"tfhd", header_flags, struct.pack(">I", 7))
+            rows = b"".join(struct.pack(">I", n) for n in (a, b)) if trun_flags & 0x200 else b""
+            return box(b"moof", full(b"mfhd", 0, bytes(4)), box(b"traf", head, full(b"trun", trun_flags | 1, struct.pack(">Ii", 2, offset), struct.pack(">I", 0) if trun_flags & 4 else b"", rows)))
+
+        at = len(out) + len(moof(0)) + 8
+        want += [(at, a), (at + a, b)]
+        out += moof(at - len(out)) + box(b"mdat", bytes(range(a + b)))
+    return out, want
+
+
+@pytest.mark.parametrize("flags, sizes", [(0x4, [4, 4, 4, 4]), (0x204, [5, 1, 2, 9])])
+def test_fragments_are_decoded(flags, sizes):
+    stored, want = fragmented(0x20000, flags, sizes)
+    (track,) = m.read_tracks(stored)
+    assert (track.codec, list(zip(track.offsets, track.sizes)), track.keyframes, track.duration) == ("avc1", want, [0, 2], 12)
+    assert m.payload(stored, track) == b"".join(stored[a : a + n] for a, n in want)
+
+
+def test_any_damage_is_a_media_error():
+    """Cut anywhere, or with any byte changed, a file gives tracks or a MediaError, nothing else."""
+    import random
+
+    r = random.Random(3)
+    for good in (m.write_gray_video(b"x" * 1920), fragmented(0x20000, 0x204, [5, 1, 2, 9])[0]):
+        front = good[:-1800] if len(good) > 2000 else good
+        cases = [front[:n] for n in range(len(front))]
+        for _ in range(4000):
+            bad = bytearray(good)
+            for _ in range(r.choice([1, 1, 2, 8])):
+                bad[r.randrange(min(len(bad), 900))] = r.choice([0, 1, 255, r.randrange(256)])
+            cases.append(bytes(bad))
+        for case in cases:
+            try:
+                m.read_tracks(case)
+            except m.MediaError:
+                pass
+    # An mdhd without a byte, and one too short for its fields.
+    for body in (b"", bytes(4), b"\1" + bytes(20)):
+        with pytest.raises(m.MediaError):
+            m.read_tracks(box(b"moov", box(b"trak", box(b"mdia", box(b"mdhd", body)))))
+
+
+def test_deep_nesting():
+    stored = b""
+    for _ in range(20_000):
+        stored = struct.pack(">I4s", 8 + len(stored), b"udta") + stored if len(stored) < 160_000 else stored
+    assert len(m.read_tracks(box(b"moov", box(b"trak", stored)))) == 1
+
+
+def test_the_video_track_is_indexed(spark):
+    sound = box(b"trak", box(b"mdia", full(b"hdlr", 0, bytes(4), b"soun", bytes(13))))
+    stored = fragmented(0x20000, 0x4, [4] * 4)[0]
+    both = bytearray(stored)
+    (size,) = struct.unpack_from(">I", stored)
+    both[8:8] = sound
+    both[:4] = struct.pack(">I", size + len(sound))
+    df = spark.createDataFrame([(1, bytes(both))], "doc_id long, media binary")
+    assert [(r.codec, r.n_samples) for r in m.index_media(df).collect()] == [("avc1", 4)]
+
+
 def test_empty_table(docs_of):
     assert m.digest_media(m.store_texts(docs_of([]))).collect() == []

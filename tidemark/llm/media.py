@@ -1,7 +1,7 @@
 """ISO base media containers (ISO/IEC 14496-12): box walk, sample tables, keyframe byte ranges.
 
-Payloads are never decoded: a track's samples are located by its sample tables
-(stts, stsc, stsz or stz2, stco or co64, stss) and read as byte ranges.
+Payloads are never decoded: a track's samples are located by its sample tables (stts, stsc, stsz or stz2, stco or co64,
+stss) and by the runs of movie fragments (moof, traf, trun), and read as byte ranges. Every read is bounded by its box.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from .common import by_column, map_batches, table
 #: Boxes whose payload is a list of boxes.
 CONTAINERS = frozenset({b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"})
 FRAME_BYTES, FRAMES_A_CHUNK, KEYFRAME_EVERY, WIDTH, HEIGHT, TIMESCALE = 192, 64, 25, 16, 12, 25
-#: Nesting that a damaged or hostile file may not exceed.
-MAX_DEPTH = 16
 
 
 class MediaError(ValueError):
@@ -47,8 +45,29 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
+def leaves(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """The boxes below data[start:end] that hold no boxes, at any depth, in the order of the file."""
+    inside = [boxes(data, start, end)]
+    while inside:
+        for kind, a, b in inside[-1]:
+            if kind in CONTAINERS:
+                inside.append(boxes(data, a, b))
+                break
+            yield kind, a, b
+        else:
+            inside.pop()
+
+
+def _unpack(fmt: str, data: memoryview, at: int, end: int) -> tuple:
+    """Values at ``at`` of a box that ends at ``end``."""
+    if at + struct.calcsize(fmt) > end:
+        raise MediaError("a box is cut short")
+    return struct.unpack_from(fmt, data, at)
+
+
 @dataclass
 class Track:
+    number: int = 0
     codec: str = ""
     handler: str = ""
     width: int = 0
@@ -124,22 +143,17 @@ def _sample_offsets(chunks: list[int], runs: list[tuple], sizes: list[int]) -> l
 
 def _track(data: memoryview, start: int, end: int) -> Track:
     track, found = Track(), {}
-
-    def walk(at: int, to: int, depth: int) -> None:
-        if depth > MAX_DEPTH:
-            raise MediaError("boxes are nested too deep")
-        for kind, a, b in boxes(data, at, to):
-            if kind in CONTAINERS:
-                walk(a, b, depth + 1)
-            else:
-                found.setdefault(kind, (a, b))
-
-    walk(start, end, 0)
+    for kind, a, b in leaves(data, start, end):
+        found.setdefault(kind, (a, b))
+    if b"tkhd" in found:
+        at, to = found[b"tkhd"]
+        (track.number,) = _unpack(">I", data, at + (20 if _unpack(">B", data, at, to)[0] == 1 else 12), to)
     if b"mdhd" in found:
-        at, _ = found[b"mdhd"]
-        track.timescale, track.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+        at, to = found[b"mdhd"]
+        track.timescale, track.duration = _unpack(">IQ", data, at + 20, to) if _unpack(">B", data, at, to)[0] == 1 else _unpack(">II", data, at + 12, to)
     if b"hdlr" in found:
-        track.handler = bytes(data[found[b"hdlr"][0] + 8 : found[b"hdlr"][0] + 12]).decode("latin-1")
+        at, to = found[b"hdlr"]
+        track.handler = _unpack(">4s", data, at + 8, to)[0].decode("latin-1")
     if b"stsd" in found:
         at, to = found[b"stsd"]
         for kind, a, b in boxes(data, at + 8, to):
@@ -155,21 +169,92 @@ def _track(data: memoryview, start: int, end: int) -> Track:
     if b"stts" in found and not track.duration:
         track.duration = sum(n * d for n, d in _table(data, *found[b"stts"], ">II"))
     track.keyframes = [k - 1 for (k,) in _table(data, *found[b"stss"], ">I") if 0 < k <= len(track.sizes)] if b"stss" in found else list(range(len(track.sizes)))
-    for at, size in zip(track.offsets, track.sizes):
-        if at + size > len(data):
-            raise MediaError("a sample lies outside the file")
     return track
 
 
+#: A sample's flag that it depends on others.
+NOT_SYNC = 0x10000
+
+
+def _fragment(data: memoryview, box: int, start: int, end: int, tracks: dict[int, Track], defaults: dict[int, tuple[int, int, int]]) -> None:
+    """Add the samples of one moof, a box that begins at ``box``, to their tracks."""
+    at_end = box  # where the data of the run before ends
+    for kind, a, b in boxes(data, start, end):
+        if kind != b"traf":
+            continue
+        track, base, own = None, at_end, (0, 0, 0)
+        for part, x, to in boxes(data, a, b):
+            if part == b"tfhd":
+                word, number = _unpack(">II", data, x, to)
+                flags, at = word & 0xFFFFFF, x + 8
+                track, own = tracks.get(number), defaults.get(number, (0, 0, 0))
+                if flags & 0x1:
+                    (base,), at = _unpack(">Q", data, at, to), at + 8
+                elif flags & 0x20000:
+                    base = box
+                at += 4 * bool(flags & 0x2)
+                own = list(own)
+                for i, bit in enumerate((0x8, 0x10, 0x20)):
+                    if flags & bit:
+                        (own[i],), at = _unpack(">I", data, at, to), at + 4
+                at_end = base
+            elif part == b"trun":
+                if track is None:
+                    raise MediaError("a run belongs to no track")
+                word, count = _unpack(">II", data, x, to)
+                flags, at, place = word & 0xFFFFFF, x + 8, at_end
+                if flags & 0x1:
+                    (offset,), at = _unpack(">i", data, at, to), at + 4
+                    place = base + offset
+                first = None
+                if flags & 0x4:
+                    (first,), at = _unpack(">I", data, at, to), at + 4
+                fields = [bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800)]
+                if count * max(4 * sum(fields), 0 if fields[1] else own[1], 1) > len(data):
+                    raise MediaError(f"a run of {count} samples is cut short")
+                values = iter(_unpack(f">{count * sum(fields)}I", data, at, to))
+                for n in range(count):
+                    duration, size, sample = (next(values) if f else o for f, o in zip(fields[:3], own))
+                    if fields[3]:
+                        next(values)
+                    if not (first if n == 0 and first is not None and not fields[2] else sample) & NOT_SYNC:
+                        track.keyframes.append(len(track.sizes))
+                    track.sizes.append(size)
+                    track.offsets.append(place)
+                    track.duration += duration
+                    place += size
+                at_end = place
+
+
 def read_tracks(stored: bytes) -> list[Track]:
-    """The tracks of a container; MediaError if its boxes or tables are damaged."""
+    """The tracks of a container, samples of movie fragments included; MediaError if its boxes or tables are damaged."""
     data, out = memoryview(stored), []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragments = []
     try:
+        box = 0
         for kind, a, b in boxes(data, 0, len(data)):
             if kind == b"moov":
-                out += [_track(data, x, y) for k, x, y in boxes(data, a, b) if k == b"trak"]
-    except struct.error as e:
+                for k, x, y in boxes(data, a, b):
+                    if k == b"trak":
+                        out.append(_track(data, x, y))
+                    elif k == b"mvex":
+                        for part, u, v in boxes(data, x, y):
+                            if part == b"trex":
+                                number, _, *own = _unpack(">5I", data, u + 4, v)
+                                defaults[number] = tuple(own)
+            elif kind == b"moof":
+                fragments.append((box, a, b))
+            box = b
+        tracks = {t.number: t for t in out}
+        for fragment in fragments:
+            _fragment(data, *fragment, tracks, defaults)
+    except (struct.error, OverflowError) as e:
         raise MediaError(str(e)) from e
+    for track in out:
+        for at, size in zip(track.offsets, track.sizes):
+            if at < 0 or at + size > len(data):
+                raise MediaError("a sample lies outside the file")
     return out
 
 
@@ -226,9 +311,9 @@ INDEX_SCHEMA = "status string, codec string, width int, height int, duration_s d
 
 
 def index_media(df: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """``key`` and the index of each container in the binary ``column``: its first track's codec, frame size,
-    duration and keyframe byte ranges. A null or damaged container has its reason in ``status`` and nulls else.
-    One row for each row; other columns are not read.
+    """``key`` and the index of each container in the binary ``column``: codec, frame size, duration and keyframe byte
+    ranges of its first video track, or without one of its first track. A null or damaged container has its reason in
+    ``status`` and nulls else; so has one without a track. One row for each row; other columns are not read.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -242,7 +327,7 @@ def index_media(df: DataFrame, key: str = "doc_id", column: str = "media") -> Da
                 return (str(e), None, None, None, None, None, None)
             if not tracks:
                 return ("no track", None, None, None, None, None, None)
-            t = tracks[0]
+            t = next((t for t in tracks if t.handler == "vide"), tracks[0])
             return ("ok", t.codec, t.width, t.height, t.duration / t.timescale if t.timescale else None, len(t.sizes), [{"start": a, "length": n} for a, n in t.keyframe_ranges()])
 
         names = ["status", "codec", "width", "height", "duration_s", "n_samples", "keyframes"]
