@@ -1,30 +1,34 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then sampling by calibrated probabilities.
 
-Cells (source, language, topic) hold the documents' tokens. Raking multiplies the cells'
-weights until each margin's weighted tokens have their target shares. A document is
-then kept with a probability proportional to its cell's weight, calibrated so that the
-expected tokens are the wanted fraction of all; the draw is a hash of its id, so a
-document's fate depends on nothing but its id, its cell and the cells' totals.
+Cells (source, language, topic) hold the documents' tokens. Raking multiplies the cells' weights until each margin's
+weighted tokens have their target shares. A document is then kept with a probability proportional to its cell's weight,
+calibrated so that the expected tokens are the wanted fraction of all; the draw is a hash of its id, so a document's
+fate depends on nothing but its id, its cell and the cells' totals.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_side, table
+from .common import BROADCAST_BYTES, cut, table
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Target shares: each margin's own shares to this power, so that large sources are damped and small ones raised.
+#: Target shares of tokens by dimension and value. Values without one share what these leave, each in proportion to its
+#: own tokens to the power TEMPERATURE, so that large sources are damped and small ones raised.
+TARGETS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}}
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 FRACTION = 0.6
-ROUNDS, TOLERANCE = 60, 1e-6
-#: Cells that are raked on the driver; more are raked as a DataFrame.
-DRIVER_CELLS = 200_000
-NONE = "(none)"
+#: Rounds of raking at most, and the relative departure of a margin from its target that ends it. It also ends where PATIENCE
+#: rounds lower the departure by under a hundredth: then the targets contradict each other.
+ROUNDS, TOLERANCE, PATIENCE = 5000, 1e-6, 30
+#: Bytes of the cells' table up to which it is raked on the driver and broadcast; beyond, it stays a table.
+DRIVER_BYTES = BROADCAST_BYTES
+#: Parts of a cell's rows where the cells' table is too large to broadcast.
+SALTS = 16
 
 
 def topic(text: Column) -> Column:
@@ -43,105 +47,131 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """The documents' columns and __source, __lang, __topic, __tokens; a null source or language is a cell value of its own."""
+def described(docs: DataFrame, topic_of=topic) -> DataFrame:
+    """row (all of a document's columns, whatever their names), doc_id, source, lang, topic and n_tokens."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("*", F.coalesce("source", F.lit(NONE)).alias("__source"), F.coalesce("lang", F.lit(NONE)).alias("__lang"), topic(text).alias("__topic"), tokens(text).alias("__tokens"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, F.col("doc_id"), F.col("source").alias("source"), F.col("lang").alias("lang"), topic_of(text).alias("topic"), tokens(text).alias("n_tokens"))
 
 
-def targets(cells: DataFrame) -> dict[str, DataFrame]:
-    """For each dimension (value, share): shares of tokens to the power TEMPERATURE, normed."""
-    out = {}
-    for d in DIMENSIONS:
-        margin = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0").select(F.col(d).alias("value"), F.pow("t", F.lit(TEMPERATURE[d])).alias("s"))
-        total = margin.agg(F.sum("s")).first()[0] or 1.0
-        out[d] = margin.select("value", (F.col("s") / total).alias("share"))
-    return out
+def _want(d: str, values: list, own: np.ndarray, targets: dict) -> np.ndarray:
+    """Target shares of a dimension's values, ``own`` being their tokens; 0 without tokens, else summing to 1."""
+    named = targets.get(d) or {}
+    given = np.array([float(named.get(v, np.nan)) for v in values])
+    damped = np.where((own > 0) & np.isnan(given), np.maximum(own, 1e-300) ** TEMPERATURE[d], 0.0)
+    left = max(0.0, 1.0 - sum(named.values()))
+    want = np.where(own > 0, np.nan_to_num(given), 0.0) + damped * (left / max(damped.sum(), 1e-300))
+    return want / max(want.sum(), 1e-300)
+
+
+class _Progress:
+    """Whether raking is done, from each round's departure."""
+
+    def __init__(self, tolerance: float):
+        self.tolerance, self.best, self.since = tolerance, float("inf"), 0
 
+    def done(self, worst: float) -> bool:
+        self.since = 0 if worst < 0.99 * self.best else self.since + 1
+        self.best = min(self.best, worst)
+        return worst < self.tolerance or self.since >= PATIENCE
 
-def rake_driver(cells: list[tuple], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Weights of cells (source, lang, topic, tokens), in their order."""
+
+def rake_driver(cells: list[tuple], targets: dict | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+    """Weights of cells (source, lang, topic, tokens), in their order, and the last round's worst departure."""
     t = np.array([c[3] for c in cells], float)
-    codes = [np.unique([c[d] for c in cells], return_inverse=True)[1] for d in range(3)]
-    share = []
-    for d, code in zip(DIMENSIONS, codes):
-        own = np.bincount(code, t)
-        damped = np.where(own > 0, own, 0) ** TEMPERATURE[d] * (own > 0)
-        share.append(damped / max(damped.sum(), 1e-300))
-    w = np.ones(len(t))
+    margins = []
+    for i, d in enumerate(DIMENSIONS):
+        values = list(dict.fromkeys(c[i] for c in cells))
+        number = {v: k for k, v in enumerate(values)}
+        code = np.array([number[c[i]] for c in cells], np.int64)
+        margins.append((code, _want(d, values, np.bincount(code, t, len(values)).astype(float), TARGETS if targets is None else targets) * t.sum()))
+    w, worst, progress = np.ones(len(t)), 0.0, _Progress(tolerance)
     for _ in range(rounds):
         worst = 0.0
-        for code, want in zip(codes, share):
-            now = np.bincount(code, w * t)
-            factor = np.divide(want * t.sum(), now, out=np.ones_like(now), where=now > 0)
+        for code, want in margins:
+            now = np.bincount(code, w * t, len(want)).astype(float)
+            factor = np.divide(want, now, out=np.ones_like(now), where=now > 0)
             worst = max(worst, np.abs(factor[now > 0] - 1).max(initial=0.0))
             w *= factor[code]
-        if worst < tolerance:
+        if progress.done(worst):
             break
-    return w
+    return w, float(worst)
 
 
-def rake_frame(cells: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The same for any number of cells: (source, lang, topic, tokens, weight)."""
-    goal = {d: cut(t, "target") for d, t in targets(cells).items()}
+def rake_frame(cells: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """The same for any number of cells: (source, lang, topic, tokens, weight), and the departure."""
+    spark, goals, targets = cells.sparkSession, {}, TARGETS if targets is None else targets
+    for d in DIMENSIONS:
+        named = targets.get(d) or {}
+        given = spark.createDataFrame([(v, float(x)) for v, x in named.items()], "value string, given double")
+        margin = cells.groupBy(F.col(d).alias("v")).agg(F.sum("tokens").alias("t")).where("t > 0").join(given, F.col("v").eqNullSafe(F.col("value")), "left")
+        margin = margin.select("v", "given", F.when(F.col("given").isNull(), F.pow("t", F.lit(TEMPERATURE[d]))).otherwise(0.0).alias("damped"))
+        damped = margin.agg(F.sum("damped")).first()[0] or 1.0
+        margin = margin.select("v", (F.coalesce("given", F.lit(0.0)) + F.col("damped") * (max(0.0, 1.0 - sum(named.values())) / damped)).alias("want"))
+        total = margin.agg(F.sum("want")).first()[0] or 1.0
+        goals[d] = cut(margin.select("v", (F.col("want") / total).alias("want")), "target")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = cells.withColumn("weight", F.lit(1.0))
+    now, worst, progress = cells.withColumn("weight", F.lit(1.0)), 0.0, _Progress(tolerance)
     for _ in range(rounds):
         steps = []
         for d in DIMENSIONS:
-            factor = now.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("t")).where("t > 0").join(goal[d].withColumnRenamed("value", d), d).select(d, (F.col("share") * total / F.col("t")).alias(f"f_{d}"))
-            now = now.join(factor, d, "left").withColumn("weight", F.col("weight") * F.coalesce(f"f_{d}", F.lit(1.0)))
+            sums = now.groupBy(F.col(d).alias("u")).agg(F.sum(F.col("weight") * F.col("tokens")).alias("t")).where("t > 0")
+            factor = sums.join(goals[d], F.col("u").eqNullSafe(F.col("v"))).select(F.col("u").alias(f"u_{d}"), (F.col("want") * total / F.col("t")).alias(f"f_{d}"))
+            now = now.join(factor, F.col(d).eqNullSafe(F.col(f"u_{d}")), "left").withColumn("weight", F.col("weight") * F.coalesce(f"f_{d}", F.lit(1.0)))
             steps.append(F.abs(F.coalesce(f"f_{d}", F.lit(1.0)) - 1))
-        now = cut(now.withColumn("__worst", F.greatest(*steps)).drop(*(f"f_{d}" for d in DIMENSIONS)), "rake")
-        worst = now.agg(F.max("__worst")).first()[0]
-        now = now.drop("__worst")
-        if worst is None or worst < tolerance:
+        now = cut(now.select(*DIMENSIONS, "tokens", "weight", F.greatest(*steps).alias("worst")), "rake")
+        worst = now.agg(F.max("worst")).first()[0] or 0.0
+        now = now.drop("worst")
+        if progress.done(worst):
             break
-    return now
+    return now, worst
 
 
-def calibrate(weights: np.ndarray, t: np.ndarray, fraction: float) -> float:
-    """c such that the tokens expected from probabilities min(1, c * weight) are ``fraction`` of all."""
-    if not t.sum():
-        return 1.0
-    low, high = 0.0, 1.0
-    expected = lambda c: (np.minimum(1.0, c * weights) * t).sum()
-    while expected(high) < fraction * t.sum() and high < 1e12:
-        high *= 2
-    for _ in range(100):
-        c = (low + high) / 2
-        low, high = (c, high) if expected(c) < fraction * t.sum() else (low, c)
-    return (low + high) / 2
-
+def calibrate(expected, total: float, weighted: float, least: float, fraction: float) -> float:
+    """c such that ``expected([c])``, the tokens that probabilities min(1, c * weight) select, is ``fraction`` of ``total``.
 
-def _calibrate_frame(cells: DataFrame, fraction: float) -> float:
-    """As ``calibrate``, by sums over the cells' table: each pass narrows c among 64 candidates."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    if not total:
+    ``weighted`` is the sum of weight times tokens, ``least`` the least positive weight: c lies between what would do
+    without the bound of 1 and what makes all probabilities 1. Each pass narrows it among 64 candidates.
+    """
+    if not total or not weighted:
         return 1.0
-    low, high = 1e-9, 1e9
-    for _ in range(9):
-        grid = np.geomspace(low, high, 64)
-        sums = cells.agg(*(F.sum(F.least(F.lit(1.0), F.col("weight") * float(c)) * F.col("tokens")).alias(f"c{i}") for i, c in enumerate(grid))).first()
-        k = next((i for i, s in enumerate(sums) if s >= fraction * total), 63)
-        low, high = float(grid[max(k - 1, 0)]), float(grid[k])
+    low, high = fraction * total / weighted, 1 / least
+    for _ in range(10):
+        if high <= low * (1 + 1e-14):
+            break
+        grid = np.geomspace(low, high, 64).tolist()
+        k = next((i for i, s in enumerate(expected(grid)) if s >= fraction * total), 63)
+        low, high = grid[max(k - 1, 0)], grid[k]
     return (low + high) / 2
 
 
-def cell_probabilities(cells: DataFrame, fraction: float = FRACTION, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """(__source, __lang, __topic, weight, probability) of cells (source, lang, topic, tokens)."""
-    spark, names = cells.sparkSession, ("__source", "__lang", "__topic")
-    n = cells.count()
-    if n <= driver_cells:
-        rows = sorted((r.source, r.lang, r.topic, r.tokens) for r in cells.collect())
-        weights = rake_driver(rows) if rows else np.zeros(0)
-        c = calibrate(weights, np.array([r[3] for r in rows], float), fraction)
-        made = [(*r[:3], float(w), float(min(1.0, c * w))) for r, w in zip(rows, weights)]
-        return F.broadcast(spark.createDataFrame(made, ", ".join(f"{x} string" for x in names) + ", weight double, probability double"))
-    raked = rake_frame(cells)
-    c = _calibrate_frame(raked, fraction)
-    out = raked.select(*(F.col(d).alias(x) for d, x in zip(DIMENSIONS, names)), "weight", F.least(F.lit(1.0), F.col("weight") * c).alias("probability"))
-    return small_side(out, 200, n)
+def cell_probabilities(cells: DataFrame, fraction: float = FRACTION, targets: dict | None = None, strict: bool = False, driver_bytes: int = DRIVER_BYTES, rounds: int = ROUNDS) -> DataFrame:
+    """(c_source, c_lang, c_topic, c_salt, weight, probability, gap) of cells (source, lang, topic, tokens).
+
+    c_salt is null where the table is broadcast, else each cell has SALTS rows. gap is the worst relative departure of a
+    margin from its target: margins that contradict each other (a value's documents all lie in cells that other targets
+    bound) have no solution. Then the last round's weights hold, with a warning; with ``strict`` it is an error.
+    """
+    spark, names = cells.sparkSession, ("c_source", "c_lang", "c_topic")
+    size = cells.agg(F.sum(sum((F.coalesce(F.octet_length(d), F.lit(0)) for d in DIMENSIONS), F.lit(80)))).first()[0] or 0
+    if size <= driver_bytes:
+        rows = sorted(((r.source, r.lang, r.topic, r.tokens) for r in cells.collect()), key=repr)
+        weights, gap = rake_driver(rows, targets, rounds)
+        t = np.array([r[3] for r in rows], float)
+        c = calibrate(lambda grid: [(np.minimum(1.0, x * weights) * t).sum() for x in grid], t.sum(), (weights * t).sum(), weights[weights > 0].min(initial=1.0), fraction)
+        made = [(*r[:3], None, float(w), float(min(1.0, c * w)), gap) for r, w in zip(rows, weights)]
+        out = F.broadcast(spark.createDataFrame(made, ", ".join(f"{x} string" for x in names) + ", c_salt int, weight double, probability double, gap double"))
+    else:
+        raked, gap = rake_frame(cells, targets, rounds)
+        s = raked.agg(F.sum("tokens"), F.sum(F.col("weight") * F.col("tokens")), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
+        c = calibrate(lambda grid: raked.agg(*(F.sum(F.least(F.lit(1.0), F.col("weight") * x) * F.col("tokens")) for x in grid)).first(), s[0], s[1], s[2], fraction)
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("c_salt")
+        out = raked.select(*(F.col(d).alias(x) for d, x in zip(DIMENSIONS, names)), salts, "weight", F.least(F.lit(1.0), F.col("weight") * c).alias("probability"), F.lit(gap).alias("gap"))
+    if gap >= TOLERANCE:
+        if strict:
+            raise ValueError(f"the targets can't be met together: a margin is off by {gap:.2g}")
+        warnings.warn(f"the targets can't be met together: a margin is off by {gap:.2g}", stacklevel=2)
+    return out
 
 
 def draw(doc_id: Column) -> Column:
@@ -149,23 +179,36 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mixed(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
-    """The documents' columns, __source, __lang, __topic, __tokens, weight, probability and selected.
+def mixed(docs: DataFrame, fraction: float = FRACTION, targets: dict | None = None, strict: bool = False, topic_of=topic, driver_bytes: int = DRIVER_BYTES, rounds: int = ROUNDS) -> DataFrame:
+    """row (the document's columns as a struct, so that their names can't clash), doc_id, source, lang, topic, n_tokens,
+    weight, probability, gap and selected of every document.
 
-    Null sources and languages are cells of their own. A null or empty text has no tokens; a cell without tokens has
-    weight 1. Repeated rows have the same draw. A null id has one draw too. An empty table gives no rows.
+    ``targets`` are shares of tokens by dimension and value (TARGETS). Null sources and languages are values of their
+    own, named None. A null or empty text has no tokens; a cell without tokens keeps the weight that its margins give it.
+    Repeated rows have the same draw. A null id has one draw too. An empty table gives no rows.
     """
-    full = described(docs)
-    cells = cut(full.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "cells")
-    joined = full.join(cell_probabilities(cells, fraction), ["__source", "__lang", "__topic"])
-    return joined.withColumn("selected", draw(F.col("doc_id")) < F.col("probability"))
+    full = described(docs, topic_of)
+    cells = cut(full.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    found = cell_probabilities(cells, fraction, targets, strict, driver_bytes, rounds)
+    salt = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int")
+    same = F.col("source").eqNullSafe(F.col("c_source")) & F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("topic").eqNullSafe(F.col("c_topic"))
+    joined = full.join(found, same & (F.col("c_salt").isNull() | (salt == F.col("c_salt"))))
+    return joined.drop("c_source", "c_lang", "c_topic", "c_salt").withColumn("selected", draw(F.col("doc_id")) < F.col("probability"))
+
+
+def shares(rows: DataFrame) -> DataFrame:
+    """Of rows of ``mixed``: dimension, value, tokens, and shares of tokens: own, raked (weighted) and sampled (expected)."""
+    weighted = rows.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS))).alias("v"), "n_tokens", (F.col("n_tokens") * F.col("weight")).alias("w"), (F.col("n_tokens") * F.col("probability")).alias("p"))
+    sums = weighted.groupBy("v.dimension", "v.value").agg(F.sum("n_tokens").alias("tokens"), F.sum("w").alias("w"), F.sum("p").alias("p"))
+    whole = sums.groupBy("dimension").agg(F.sum("tokens").alias("t_all"), F.sum("w").alias("w_all"), F.sum("p").alias("p_all"))
+    return sums.join(whole, "dimension").select("dimension", "value", "tokens", (F.col("tokens") / F.col("t_all")).alias("own"), (F.col("w") / F.col("w_all")).alias("raked"), (F.col("p") / F.col("p_all")).alias("sampled"))
 
 
-def sample_documents(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
+def sample_documents(docs: DataFrame, fraction: float = FRACTION, targets: dict | None = None) -> DataFrame:
     """The selected documents, with their own columns only."""
-    return mixed(docs, fraction).where("selected").select(*(F.col(c) for c in docs.columns))
+    return mixed(docs, fraction, targets).where("selected").select("row.*")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return rows.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), "selected")
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), F.round("gap", 9).alias("gap"), "selected")
