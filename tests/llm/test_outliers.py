@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -48,20 +49,81 @@ def test_statistics_and_base_rules(docs_of):
     assert not any(got[len(good) + i].kept for i in range(len(bad)))
 
 
+def rows_of(spark, x, g=1):
+    return spark.createDataFrame([(g, *map(float, np.round(v * ol.GRID) / ol.GRID)) for v in x], "g long, " + ", ".join(f"{f} double" for f in ol.FEATURES))
+
+
 def test_mcd_resists_a_third_of_outliers(spark):
     r = np.random.RandomState(1)
     k = len(ol.FEATURES)
     clean = r.randn(2000, k) * 0.8 + 2
     far = r.randn(900, k) * 0.1 + 9
-    rows = [("g", "s", *map(float, np.round(x, 6))) for x in np.vstack([clean, far])]
-    (est,) = ol.mcd(spark.createDataFrame(rows, "g_lang string, g_source string, " + ", ".join(f"{f} double" for f in ol.FEATURES))).collect()
-    assert np.abs(np.array(est.est.m) - 2).max() < 0.15
-    cov = np.linalg.inv(np.array(est.est.inv).reshape(k, k)) - np.diag(np.square(ol.FLOOR))
+    (est,) = ol.mcd(rows_of(spark, np.vstack([clean, far]))).collect()
+    assert np.abs(np.array(est.m) - 2).max() < 0.15
+    cov = np.linalg.inv(np.array(est.inv).reshape(k, k)) - np.diag(np.square(ol.FLOOR))
     assert 0.4 < np.diag(cov).min() and np.diag(cov).max() < 1.3
-    d = np.array([(x - est.est.m) @ np.array(est.est.inv).reshape(k, k) @ (x - est.est.m) for x in far])
+    d = np.array([(x - est.m) @ np.array(est.inv).reshape(k, k) @ (x - est.m) for x in far])
     assert d.min() > ol.CUTOFF
 
 
+def covariance(x, scale=1.0):
+    cov = np.cov(x.T, bias=True) * scale
+    return x.mean(0), cov + np.diag(np.maximum(np.square(ol.LEAST) - np.diag(cov), 0) + np.square(ol.FLOOR))
+
+
+def test_determinant_among_all_halves(spark):
+    """On a small group: under one in a hundred of all halves of the rows has a covariance of smaller determinant than the one that is found."""
+    r = np.random.RandomState(0)
+    x = np.vstack([r.randn(11, 5) @ r.randn(5, 5) * 2, r.randn(5, 5) * 3 + 40])
+    x = np.round(x * ol.GRID) / ol.GRID
+    (est,) = ol.mcd(rows_of(spark, x), raw=True).collect()
+    halves = [covariance(x[list(c)], ol.CONSISTENCY) for c in itertools.combinations(range(16), 8)]
+    dets = np.array([np.linalg.slogdet(cov)[1] for _, cov in halves])
+    assert est.n == 8 and np.abs(dets - est.logdet).min() < 1e-9 and np.mean(dets < est.logdet - 1e-9) < 0.01
+    assert np.allclose(halves[np.abs(dets - est.logdet).argmin()][0], est.m) and max(est.m) < 20
+
+
+def fast_mcd(x, seed=0, starts=200):
+    """Random subsets, concentration steps to the end, least determinant, reweighting: in numpy, on one group."""
+    r, best = np.random.RandomState(seed), None
+    h = -(-len(x) // 2)
+    far = lambda e, y: np.einsum("ni,ij,nj->n", y - e[0], np.linalg.inv(e[1]), y - e[0])
+    for _ in range(starts):
+        e, last = covariance(x[r.choice(len(x), 12, replace=False)]), np.inf
+        while True:
+            e = covariance(x[np.argsort(far(e, x), kind="stable")[:h]], ol.CONSISTENCY)
+            det = np.linalg.slogdet(e[1])[1]
+            if det >= last - 1e-9:
+                break
+            last = det
+        if best is None or last < best[0]:
+            best = (last, e)
+    e = best[1]
+    for _ in range(ol.REWEIGHTS):
+        e = covariance(x[far(e, x) <= ol.FAR])
+    return lambda y: far(e, y)
+
+
+def test_distances_are_those_of_a_separate_implementation(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in ol.judge(docs).collect()}
+    groups = {}
+    for r in docs.select("doc_id", "lang", "source").collect():
+        if not got[r.doc_id].base_failed:
+            groups.setdefault((r.lang, r.source), []).append(r.doc_id)
+    large = sorted((len(v), k, v) for k, v in groups.items() if len(v) >= ol.MIN_GROUP)
+    for _, _, ids in [large[0], large[-1], large[len(large) // 2]]:
+        n = np.array([[getattr(got[i], c) for c in ol.STAT_NAMES] for i in ids], float)
+        words = np.maximum(n[:, 0], 1)
+        x = np.stack([np.log(words), np.log(np.maximum(n[:, 1], 1) / words), np.log1p(100 * n[:, 2] / words), np.log1p(n[:, 3]), np.log1p(100 * n[:, 4] / words)], 1)
+        x = np.round(x * ol.GRID) / ol.GRID
+        want, have = fast_mcd(x)(x), np.array([got[i].distance for i in ids])
+        assert np.median(np.abs(have - want) / (1 + want)) < 0.05
+        assert np.mean((have <= ol.CUTOFF) == (want <= ol.CUTOFF)) > 0.99
+        assert all(got[i].kept == (got[i].distance <= ol.CUTOFF) for i in ids)
+
+
 def test_single_statistics_reject(docs_of):
     r = np.random.RandomState(5)
     good = [prose(r, r.randint(100, 400)) for _ in range(200)]
@@ -96,6 +158,26 @@ def test_kept_rows_nulls_and_empty(spark, docs_of):
     assert {x.doc_id: x.kept for x in ol.judge(nulls).collect()} == {1: True, 2: False}
 
 
+def test_groups_of_any_name(spark):
+    """Languages and sources named *, empty or null are groups like others, each judged by its own."""
+    r = np.random.RandomState(6)
+    bad = "".join(f"{w}{'#$%'[i % 3] * 3} " for i, w in enumerate(prose(r, 120).split()))
+    short, long = [prose(r, r.randint(60, 200)) for _ in range(60)], [prose(r, r.randint(2000, 2400)) for _ in range(60)]
+    made = [(lang, source, t) for lang, source, texts in (("*", "*", short), (None, "s", short), ("", "s", long)) for t in texts] + [(lang, source, bad) for lang, source in (("*", "*"), (None, "s"), ("", "s"))]
+    docs = spark.createDataFrame([(i, *row) for i, row in enumerate(made)], "doc_id long, lang string, source string, text string")
+    got = {x.doc_id: x for x in ol.judge(docs).collect()}
+    assert all(got[i].kept and got[i].distance is not None for i in range(180)) and not any(got[i].kept or got[i].base_failed for i in range(180, 183))
+    swapped = docs.selectExpr("doc_id", "CASE WHEN doc_id = 61 THEN '' ELSE lang END AS lang", "source", "text")
+    assert [x.kept for x in ol.judge(swapped).where("doc_id = 61").collect()] == [False]
+
+
+def test_clashing_columns(spark, docs_of):
+    r = np.random.RandomState(7)
+    docs = docs_of([prose(r, 200), "short"]).selectExpr("*", "1 AS stats", "2 AS kept", "'x' AS own", "3 AS g", "4 AS row", "5 AS distance")
+    kept = ol.keep_good(docs)
+    assert kept.columns == docs.columns and [tuple(x) for x in kept.collect()] == [tuple(x) for x in docs.where("doc_id = 0").collect()]
+
+
 def test_each_row_goes_by_its_own_verdict(docs_of):
     r = np.random.RandomState(4)
     good = [prose(r, 200) for _ in range(4)]
