@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .functions.align import align_cigar
+from .functions.align import align_cigar, alignment_score
 from .functions.stats import mean_or_zero, population_deviation
 from .operators import edges as ed
 from .operators import graph as gr
@@ -223,10 +223,11 @@ def _merged_as(name: str, source: str) -> str:
     return _merge_sql(source).replace("flagged", f"{name}_f").replace("numbered", f"{name}_n").replace("merged", name)
 
 
-@query(f"""WITH {_merged_as('a', fx.TRUTH_SQL.replace(', o_orderkey AS ord', '') + ' AND o_orderkey % 5 = 0')}, {_merged_as('b', fx.CANDIDATES_SQL.replace(', o_orderkey AS ord', '') + ' AND o_orderkey % 5 = 1')}
+@query(f"""WITH t AS ({fx.TRUTH_SQL}), c AS ({fx.CANDIDATES_SQL}), {_merged_as('a', 'SELECT contig, start, start + ord % 3 AS stop FROM t')}, {_merged_as('b', 'SELECT contig, start, start + ord % 4 AS stop FROM c')}
   SELECT a.contig, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM a JOIN b ON a.contig = b.contig AND a.start <= b.stop AND b.start <= a.stop""")
 def intersect_intervals(spark, sf_dir):
-    return isl.intersect(fx.truth(spark, sf_dir).where("ord % 5 = 0"), fx.candidates(spark, sf_dir).where("ord % 5 = 1"))
+    short = lambda df, n: df.withColumn("stop", F.col("start") + F.col("ord") % n)
+    return isl.intersect(short(fx.truth(spark, sf_dir), 3), short(fx.candidates(spark, sf_dir), 4))
 
 
 def _fill_sql(value: str, shortest: int) -> str:
@@ -318,17 +319,15 @@ def low_coverage(spark, sf_dir):
 # ---- joins ----
 
 
-@query(f"""WITH {_READS}, t AS ({fx.TRUTH_SQL}) SELECT t.ord, count(*) AS n, min(aln_start) AS first, max(aln_end) AS last FROM mapped r JOIN t ON r.contig = t.contig AND r.aln_start <= t.stop AND t.start <= r.aln_end
-  WHERE t.ord % 11 = 1 GROUP BY t.ord""")
+@query(f"""WITH {_READS}, t AS ({fx.TRUTH_SQL}) SELECT t.ord, count(*) AS n, min(aln_start) AS first, max(aln_end) AS last FROM mapped r JOIN t ON r.contig = t.contig AND r.aln_start <= t.stop AND t.start <= r.aln_end GROUP BY t.ord""")
 def overlap_join(spark, sf_dir):
-    pairs = jn.overlap_join(ca.as_intervals(fx.reads(spark, sf_dir)), fx.truth(spark, sf_dir).where("ord % 11 = 1"))
+    pairs = jn.overlap_join(ca.as_intervals(fx.reads(spark, sf_dir)), fx.truth(spark, sf_dir))
     return pairs.groupBy(F.col("b.ord").alias("ord")).agg(F.count(F.lit(1)).alias("n"), F.min("a.start").alias("first"), F.max("a.stop").alias("last"))
 
 
-@query(f"""WITH {_READS}, t AS ({fx.TRUTH_SQL}) SELECT t.ord, count(*) AS n, sum(aln_end - aln_start)::BIGINT AS bases FROM mapped r JOIN t ON r.contig = t.contig AND r.aln_start >= t.start AND r.aln_end <= t.stop
-  WHERE t.ord % 11 = 1 GROUP BY t.ord""")
+@query(f"""WITH {_READS}, t AS ({fx.TRUTH_SQL}) SELECT t.ord, count(*) AS n, sum(aln_end - aln_start)::BIGINT AS bases FROM mapped r JOIN t ON r.contig = t.contig AND r.aln_start >= t.start AND r.aln_end <= t.stop GROUP BY t.ord""")
 def containment_join(spark, sf_dir):
-    pairs = jn.overlap_join(ca.as_intervals(fx.reads(spark, sf_dir)), fx.truth(spark, sf_dir).where("ord % 11 = 1"), how="within")
+    pairs = jn.overlap_join(ca.as_intervals(fx.reads(spark, sf_dir)), fx.truth(spark, sf_dir), how="within")
     return pairs.groupBy(F.col("b.ord").alias("ord")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a.stop") - F.col("a.start")).alias("bases"))
 
 
@@ -610,29 +609,21 @@ def thread_threshold(spark, sf_dir):
     return gr.thread_threshold(fx.edges(spark, sf_dir), 1000)
 
 
-_SMALL_FOREST = fx.FOREST_SQL + " AND c_custkey <= 600"
-
-
-def _small_forest(spark, sf_dir):
-    """A bounded graph for enumerations, whose number of paths is exponential by nature."""
-    return fx.forest(spark, sf_dir).where("CAST(substring(src, 2) AS bigint) <= 600")
-
-
-@query(f"""WITH RECURSIVE e AS ({_SMALL_FOREST}), p AS (
+@query(f"""WITH RECURSIVE e AS ({fx.FOREST_SQL}), p AS (
     SELECT [src] AS path, src AS last FROM e WHERE src NOT IN (SELECT dst FROM e)
     UNION ALL SELECT list_append(p.path, e.dst), e.dst FROM p JOIN e ON p.last = e.src)
   SELECT DISTINCT array_to_string(path, '>') AS path FROM p WHERE last NOT IN (SELECT src FROM e)""")
 def simple_paths(spark, sf_dir):
-    e = _small_forest(spark, sf_dir)
+    e = fx.forest(spark, sf_dir)
     return gr.simple_paths(gr.vertices_of(e), e).select(F.array_join("path", ">").alias("path"))
 
 
-@query(f"""WITH RECURSIVE e AS ({_SMALL_FOREST}), p AS (
+@query(f"""WITH RECURSIVE e AS ({fx.FOREST_SQL}), p AS (
     SELECT [src] AS path, src AS last FROM e WHERE src NOT IN (SELECT dst FROM e)
     UNION ALL SELECT list_append(p.path, e.dst), e.dst FROM p JOIN e ON p.last = e.src)
   SELECT array_to_string(arg_max(path, len(path)), '>') AS path FROM p GROUP BY path[1]""")
 def single_strands(spark, sf_dir):
-    e = _small_forest(spark, sf_dir)
+    e = fx.forest(spark, sf_dir)
     return gr.single_strands(gr.vertices_of(e), e).select(F.array_join("path", ">").alias("path"))
 
 
@@ -645,12 +636,12 @@ def chain_heads(spark, sf_dir):
     return gr.longest_runs(fx.forest(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE e AS ({_SMALL_FOREST} UNION ALL SELECT 'v20', 'v11', 1 UNION ALL SELECT 'v31', 'v31', 1), p AS (
+@query(f"""WITH RECURSIVE e AS ({fx.FOREST_SQL} UNION ALL SELECT 'v20', 'v11', 1 UNION ALL SELECT 'v31', 'v31', 1), p AS (
     SELECT [src] AS path, src AS last, false AS closed FROM e WHERE src NOT IN (SELECT dst FROM e)
     UNION ALL SELECT list_append(p.path, e.dst), e.dst, list_contains(p.path, e.dst) FROM p JOIN e ON p.last = e.src WHERE NOT p.closed)
   SELECT array_to_string(path, '>') AS path FROM p WHERE closed ORDER BY len(p.path), p.path LIMIT 1""")
 def first_loop(spark, sf_dir):
-    e = _small_forest(spark, sf_dir)
+    e = fx.forest(spark, sf_dir)
     e = e.unionByName(spark.createDataFrame([("v20", "v11", 1), ("v31", "v31", 1)], "src string, dst string, weight long"))
     return gr.find_loop(gr.vertices_of(e), e).select(F.array_join("path", ">").alias("path"))
 
@@ -667,18 +658,27 @@ def kmer_votes(spark, sf_dir):
     return best.join(voted, "kmer").where("best IS NOT NULL")
 
 
-@query(f"""WITH RECURSIVE s AS ({fx.SEQUENCES_SQL}), w AS (SELECT seq, unnest(range(1, length(seq) - 24)) AS i FROM s WHERE length(seq) > 25), g AS (SELECT DISTINCT substr(seq, i, 25) AS src, substr(seq, i + 1, 25) AS dst FROM w),
-  o AS (SELECT src FROM g GROUP BY src HAVING count(*) = 1), i AS (SELECT dst FROM g GROUP BY dst HAVING count(*) = 1), l AS (SELECT src, dst FROM g SEMI JOIN o USING (src) SEMI JOIN i USING (dst)),
-  v AS (SELECT src AS id FROM g UNION SELECT dst FROM g), p AS (SELECT id AS head, id, id AS seq FROM v WHERE id NOT IN (SELECT dst FROM l) UNION ALL SELECT p.head, l.dst, p.seq || right(l.dst, 1) FROM p JOIN l ON p.id = l.src)
-  SELECT arg_max(seq, length(seq)) AS seq FROM p GROUP BY head""")
+@query()
 def contig_sequences(spark, sf_dir):
     return km.contigs(km.de_bruijn(fx.sequences(spark, sf_dir), 25))
 
 
-@query()
+_LOW = -1_000_000
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT {fx.bases_sql('p_name')} AS seq, {fx.bases_sql('p_type')} AS ref FROM part),
+  dp AS (SELECT seq, ref, 0 AS i, [CASE WHEN j = 0 THEN 0 ELSE -4 - j END FOR j IN range(0, len(ref) + 1)] AS best, [{_LOW} FOR j IN range(0, len(ref) + 1)] AS ins FROM p
+    UNION ALL
+    SELECT seq, ref, i + 1, [greatest(base[j + 1], coalesce(list_max([base[k + 1] - 4 - (j - k) FOR k IN range(0, j)]), {_LOW})) FOR j IN range(0, len(ref) + 1)], ins2
+    FROM (SELECT seq, ref, i, ins2, [greatest(ins2[j + 1], CASE WHEN j = 0 THEN {_LOW} ELSE best[j] + CASE WHEN ref[j] = seq[i + 1] THEN 5 ELSE -4 END END) FOR j IN range(0, len(ref) + 1)] AS base
+      FROM (SELECT seq, ref, i, best, [greatest(best[j + 1] - 5, ins[j + 1] - 1) FOR j IN range(0, len(ref) + 1)] AS ins2 FROM dp WHERE i < length(seq))))
+  SELECT seq, ref, best[-1]::BIGINT AS score, length(seq)::BIGINT AS n_seq, length(ref)::BIGINT AS n_ref FROM dp WHERE i = length(seq)""")
 def global_alignment(spark, sf_dir):
-    s = fx.sequences(spark, sf_dir).where("length(seq) > 20")
-    return s.select("read_id", align_cigar(F.col("seq"), F.expr("concat(substring(seq, 4, 12), substring(seq, 20))")).alias("cigar"))
+    """The scores of the alignments found, which are the best there are, and how much of either sequence they span."""
+    p = fx.table(spark, sf_dir, "part").select(fx.bases(F.col("p_name")).alias("seq"), fx.bases(F.col("p_type")).alias("ref")).distinct()
+    found = p.withColumn("cigar", align_cigar(F.col("seq"), F.col("ref")))
+    spans = lambda ops: F.aggregate(F.regexp_extract_all("cigar", F.lit(f"([0-9]+)[{ops}]"), F.lit(1)), F.lit(0).cast("long"), lambda a, n: a + n.cast("long"))
+    return found.select("seq", "ref", alignment_score(F.col("seq"), F.col("ref"), F.col("cigar")).alias("score"), spans("MI").alias("n_seq"), spans("MD").alias("n_ref"))
 
 
 # ---- files as text, and small functions ----
@@ -703,9 +703,9 @@ def graph_json(spark, sf_dir):
     return json_lines(fx.edges(spark, sf_dir))
 
 
-@query(f"WITH e AS ({fx.EDGES_SQL}) SELECT src, array_to_string(list(dst ORDER BY dst), ',') AS out FROM e WHERE weight > 20 GROUP BY src")
+@query(f"WITH e AS ({fx.EDGES_SQL}) SELECT src, array_to_string(list(dst ORDER BY dst), ',') AS out FROM e GROUP BY src")
 def graph_adjacency(spark, sf_dir):
-    return gr.adjacency(fx.edges(spark, sf_dir).where("weight > 20")).select("src", F.array_join("out", ",").alias("out"))
+    return gr.adjacency(fx.edges(spark, sf_dir)).select("src", F.array_join("out", ",").alias("out"))
 
 
 @query(f"WITH a AS ({fx.EDGES_SQL}), b AS ({fx.FOREST_SQL}) SELECT src, dst, sum(weight)::BIGINT AS weight FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT src, dst, 1 FROM a WHERE weight > 30) GROUP BY 1, 2")

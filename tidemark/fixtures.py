@@ -66,20 +66,22 @@ ORIENTATION_SQL = """CASE WHEN is_reverse = mate_reverse THEN 'TANDEM'
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 != 0")
+    o = table(spark, sf_dir, "orders")
     return o.select(F.concat(F.lit("chr"), (1 + F.col("o_custkey") % 24).cast("string")).alias("contig"), day("o_orderdate").alias("start"), (day("o_orderdate") + 10 + F.col("o_orderkey") % 90).alias("stop"), F.col("o_orderkey").alias("ord"))
 
 
-TRUTH_SQL = "SELECT 'chr' || (1 + o_custkey % 24) AS contig, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) AS start, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) + 10 + o_orderkey % 90 AS stop, o_orderkey AS ord FROM orders WHERE o_orderkey % 3 <> 0"
+TRUTH_SQL = "SELECT 'chr' || (1 + o_custkey % 24) AS contig, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) AS start, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) + 10 + o_orderkey % 90 AS stop, o_orderkey AS ord FROM orders"
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 != 0")
-    pos = day("o_orderdate") + F.col("o_orderkey") % 7 - 3
+    """All orders again, a few days off, and every fourth by half a year, so that it meets its truth no more."""
+    o = table(spark, sf_dir, "orders")
+    pos = day("o_orderdate") + F.col("o_orderkey") % 7 - 3 + F.when(F.col("o_orderkey") % 4 == 0, 180).otherwise(0)
     return o.select(F.concat(F.lit("chr"), (1 + F.col("o_custkey") % 24).cast("string")).alias("contig"), pos.alias("start"), (pos + 10 + F.col("o_orderkey") % 90 + F.col("o_orderkey") % 11 - 5).alias("stop"), F.col("o_orderkey").alias("ord"))
 
 
-CANDIDATES_SQL = "SELECT 'chr' || (1 + o_custkey % 24) AS contig, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) + o_orderkey % 7 - 3 AS start, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) + o_orderkey % 7 - 3 + 10 + o_orderkey % 90 + o_orderkey % 11 - 5 AS stop, o_orderkey AS ord FROM orders WHERE o_orderkey % 4 <> 0"
+CANDIDATES_SQL = """SELECT 'chr' || (1 + o_custkey % 24) AS contig, pos AS start, pos + 10 + o_orderkey % 90 + o_orderkey % 11 - 5 AS stop, o_orderkey AS ord
+  FROM (SELECT *, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) + o_orderkey % 7 - 3 + CASE WHEN o_orderkey % 4 = 0 THEN 180 ELSE 0 END AS pos FROM orders)"""
 
 
 def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,30 +103,41 @@ VCF_SQL = """SELECT o_orderkey AS ord, concat_ws(chr(9), CASE WHEN o_custkey % 2
   || 'SVLEN=' || CASE WHEN o_orderkey % 5 = 0 THEN 'False' ELSE '-' || (10 + o_orderkey % 90) END || ';ZU', 'GT', '0/1') AS value FROM orders"""
 
 
+LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
+
+
+def bases(text: Column) -> Column:
+    """All ASCII letters of a text as bases."""
+    return F.translate(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", "")), LETTERS, BASES)
+
+
+def bases_sql(text: str) -> str:
+    return f"translate(lower(regexp_replace(coalesce({text}, ''), '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}')"
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(read_id, seq): documents' first 60 ASCII letters as bases."""
-    d = table(spark, sf_dir, "documents")
-    letters = F.lower(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""), 1, 60))
-    return d.select(F.col("doc_id").alias("read_id"), F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
+    """(read_id, seq): documents' letters as bases."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), bases(F.col("text")).alias("seq"))
 
 
-SEQUENCES_SQL = "SELECT doc_id AS read_id, translate(lower(substr(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), 1, 60)), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents"
+SEQUENCES_SQL = f"SELECT doc_id AS read_id, {bases_sql('text')} AS seq FROM documents"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, weight) of 40 vertices."""
-    x = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    x = table(spark, sf_dir, "lineitem")
     return x.select((F.col("l_partkey") % 40).cast("string").alias("src"), (F.col("l_suppkey") % 40).cast("string").alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-EDGES_SQL = "SELECT (l_partkey % 40)::VARCHAR AS src, (l_suppkey % 40)::VARCHAR AS dst, count(*) AS weight FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2"
+EDGES_SQL = "SELECT (l_partkey % 40)::VARCHAR AS src, (l_suppkey % 40)::VARCHAR AS dst, count(*) AS weight FROM lineitem GROUP BY 1, 2"
 
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, weight): each order links its customer's vertex to a later one; no cycles, few ways on."""
-    o = table(spark, sf_dir, "customer").where("c_custkey % 7 != 0")
-    step = 1 + F.col("c_custkey") % 3
-    return o.select(F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("v"), (F.col("c_custkey") + step).cast("string")).alias("dst"), (1 + F.col("c_nationkey").cast("long") % 9).alias("weight"))
+    """(src, dst, weight): each customer's vertex is linked to a later one, every seventh to its nation's; no cycles, one way on."""
+    o = table(spark, sf_dir, "customer")
+    later = F.concat(F.lit("v"), (F.col("c_custkey") + 1 + F.col("c_custkey") % 3).cast("string"))
+    dst = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).otherwise(later)
+    return o.select(F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("src"), dst.alias("dst"), (1 + F.col("c_nationkey").cast("long") % 9).alias("weight"))
 
 
-FOREST_SQL = "SELECT 'v' || c_custkey AS src, 'v' || (c_custkey + 1 + c_custkey % 3) AS dst, (1 + c_nationkey::BIGINT % 9) AS weight FROM customer WHERE c_custkey % 7 <> 0"
+FOREST_SQL = "SELECT 'v' || c_custkey AS src, CASE WHEN c_custkey % 7 = 0 THEN 'n' || c_nationkey ELSE 'v' || (c_custkey + 1 + c_custkey % 3) END AS dst, (1 + c_nationkey::BIGINT % 9) AS weight FROM customer"

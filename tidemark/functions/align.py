@@ -5,6 +5,8 @@ There is no built-in for it. Each row is independent; a row's tables take one by
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -88,3 +90,26 @@ def align_cigar(sequence: Column, reference: Column) -> Column:
         return pd.Series([cigar(x, y) for x, y in zip(a, b)])
 
     return run(sequence, reference)
+
+
+def score_of(sequence: str, reference: str, runs: str) -> int:
+    """What an alignment given by its run-length string scores; a gap that runs through both kinds counts as two."""
+    total, i, j = 0, 0, 0
+    for n, op in ((int(n), op) for n, op in re.findall(r"([0-9]+)([MID])", runs)):
+        if op == "M":
+            total += sum(MATCH if a == b else MISMATCH for a, b in zip(sequence.upper()[i : i + n], reference.upper()[j : j + n]))
+            i, j = i + n, j + n
+        else:
+            total -= GAP_OPEN + n * GAP_EXTEND
+            i, j = i + n * (op == "I"), j + n * (op == "D")
+    return total
+
+
+def alignment_score(sequence: Column, reference: Column, runs: Column) -> Column:
+    """The score of an alignment (a run-length string) of two columns; null if one is null."""
+
+    @F.pandas_udf(T.LongType())
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None or z is None else score_of(x, y, z) for x, y, z in zip(a, b, c)], dtype="Int64")
+
+    return run(sequence, reference, runs)

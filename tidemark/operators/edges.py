@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .islands import KEYS, _numbered
-from .ordered import WIDTH, with_neighbour
+from .ordered import WIDTH, with_context, with_neighbour
 
 
 def _before(signal: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -32,9 +32,9 @@ def jumps_with_gaps(signal: DataFrame, over: int, keys: list[str] = KEYS, width:
     """Differences of more than ``over``, where what lies in a gap counts as zero; ``at_gap`` marks those at a gap's ends."""
     rows = _before(signal, keys, width)
     touching = F.coalesce(F.col("prev.stop") == F.col("start"), F.lit(False))
-    into = rows.select(*keys, F.col("start").alias("pos"), (F.col("value") - F.when(touching, F.col("prev.value")).otherwise(0)).alias("height"), (~touching).alias("at_gap"))
-    out = rows.where(F.col("prev").isNotNull() & ~touching).select(*keys, F.col("prev.stop").alias("pos"), (-F.col("prev.value")).alias("height"), F.lit(True).alias("at_gap"))
-    return into.unionByName(out).where(F.abs("height") > over)
+    into = F.struct(F.col("start").alias("pos"), (F.col("value") - F.when(touching, F.col("prev.value")).otherwise(0)).alias("height"), (~touching).alias("at_gap"))
+    out = F.when(F.col("prev").isNotNull() & ~touching, F.struct(F.col("prev.stop").alias("pos"), (-F.col("prev.value")).alias("height"), F.lit(True).alias("at_gap")))
+    return rows.select(*keys, F.explode(F.array(into, out)).alias("j")).where(F.abs("j.height") > over).select(*keys, "j.*")
 
 
 def count_jumps(counts: DataFrame, start: int, stop: int, over: int, keys: list[str] = KEYS, width: int = WIDTH) -> DataFrame:
@@ -51,8 +51,7 @@ def derivative(signal: DataFrame, keys: list[str] = KEYS, width: int = WIDTH) ->
 
 def peaks(signal: DataFrame, over: int, keys: list[str] = KEYS, width: int = WIDTH) -> DataFrame:
     """Entries larger than ``over`` and than both neighbours, touching or not; the first and the last entry have one neighbour and are none."""
-    rows = _before(signal, keys, width)
-    rows = with_neighbour(rows, keys, ["start", "stop"], ["value"], "start", "next", after=True, width=width)
+    rows = with_context(signal, keys, ["start", "stop"], "start", width, before={"prev": ["value"]}, after={"next": ["value"]})
     return rows.where((F.col("value") > over) & (F.col("value") > F.col("prev.value")) & (F.col("value") > F.col("next.value"))).select(*keys, "start", "stop", "value")
 
 

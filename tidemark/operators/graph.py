@@ -166,22 +166,23 @@ def find_loop(vertices: DataFrame, edges: DataFrame, deepest: int | None = None)
     return ahead.unionByName(back).orderBy("o", F.size("path"), "path").limit(1).select("path")
 
 
-def longest_runs(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def longest_runs(edges: DataFrame) -> DataFrame:
     """(id, head, distance): for every vertex on a chain of single edges the chain's head and the steps to it, by pointer jumping.
 
-    Each round doubles the reach, so chains of any length take a logarithmic number of shuffles. A pure cycle has no head
-    and is left out.
+    Each round doubles the reach, so chains of any length take a logarithmic number of shuffles; while any chain is longer
+    than the reach, more vertices reach their head in each round, so rounds end with the first in which none does. A pure
+    cycle has no head and is left out.
     """
-    pairs = edges.select("src", "dst").distinct()
+    pairs = cut(edges.select("src", "dst").distinct(), "pairs")
     out = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
     into = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("n_in"))
-    links = pairs.join(out, "src").join(into, "dst").where("n_out = 1 AND n_in = 1").select(F.col("dst").alias("id"), F.col("src").alias("up"))
-    heads = vertices_of(edges).join(links.select("id"), "id", "left_anti").select("id", F.col("id").alias("up"), F.lit(0).cast("long").alias("d"))
-    state = cut(links.select("id", "up", F.lit(1).cast("long").alias("d")).unionByName(heads))
-    for _ in range(rounds):
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
-        state = cut(state.join(above, "up").select("id", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), (F.col("up2") != F.col("up")).alias("moved")))
-        if not state.where("moved").limit(1).count():
-            break
-        state = state.drop("moved")
-    return state.join(heads.select(F.col("id").alias("up")), "up", "left_semi").select("id", F.col("up").alias("head"), F.col("d").alias("distance"))
+    links = cut(pairs.join(out, "src").join(into, "dst").where("n_out = 1 AND n_in = 1").select(F.col("dst").alias("id"), F.col("src").alias("up")), "links")
+    heads = vertices_of(pairs).join(links.select("id"), "id", "left_anti").select("id", F.col("id").alias("up"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("done"))
+    state = cut(links.select("id", "up", F.lit(1).cast("long").alias("d"), F.lit(False).alias("done")).unionByName(heads), "runs")
+    arrived = -1
+    while (now := state.where("done").count()) > arrived:
+        arrived = now
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"), F.col("done").alias("done2"))
+        moved = state.where("NOT done").join(above, "up").select("id", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done"))
+        state = cut(state.where("done").unionByName(moved), "runs")
+    return state.where("done").select("id", F.col("up").alias("head"), F.col("d").alias("distance"))

@@ -8,16 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import WIDTH, with_neighbour, with_running_sum
+from ..tables import cut
+from .ordered import WIDTH, with_context, with_islands, with_neighbour, with_running_sum
 
 KEYS = ["contig"]
 
 
 def _numbered(df: DataFrame, keys: list[str], order: list[str], begins: Callable[[Column], Column], columns: list[str], width: int) -> DataFrame:
     """Number the islands: a row begins one if it has no row before it or ``begins(previous)``."""
-    rows = with_neighbour(df, keys, order, columns, order[0], "prev", width=width)
-    rows = rows.withColumn("__new", F.when(F.col("prev").isNull() | begins(F.col("prev")), 1).otherwise(0))
-    return with_running_sum(rows, keys, order, F.col("__new"), order[0], "island", width).drop("__new", "prev")
+    return with_islands(df, keys, order, begins, columns, order[0], "island", width)
 
 
 def merge_overlapping(intervals: DataFrame, keys: list[str] = KEYS, width: int = WIDTH) -> DataFrame:
@@ -30,10 +29,9 @@ def merge_overlapping(intervals: DataFrame, keys: list[str] = KEYS, width: int =
     counted = intervals.where("start IS NOT NULL AND stop IS NOT NULL").select(*keys, marks.alias("m")).groupBy(*keys, "m.pos", "m.kind").agg(F.count(F.lit(1)).alias("n"))
     change = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
     running = with_running_sum(counted, keys, ["pos", "kind"], change, "pos", "open", width).withColumn("was", F.col("open") - F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n")))
-    starts = running.where("kind = 0 AND was <= 0 AND open > 0").select(*keys, "pos", F.lit(0).alias("end"), F.lit(1).alias("n"))
     # A position's ends pass zero once at most, going down.
-    stops = running.where("kind = 1 AND was > 0 AND open <= 0").select(*keys, "pos", F.lit(1).alias("end"), F.lit(1).alias("n"))
-    paired = with_neighbour(starts.unionByName(stops), keys, ["pos", "end"], ["pos", "end"], "pos", "next", after=True, width=width)
+    turns = running.where("kind = 0 AND was <= 0 AND open > 0 OR kind = 1 AND was > 0 AND open <= 0").select(*keys, "pos", F.col("kind").alias("end"))
+    paired = with_neighbour(cut(turns, "turns"), keys, ["pos", "end"], ["pos", "end"], "pos", "next", after=True, width=width)
     return paired.where("end = 0 AND next.end = 1").select(*keys, F.col("pos").alias("start"), F.col("next.pos").alias("stop"))
 
 
@@ -78,8 +76,7 @@ def intersect(a: DataFrame, b: DataFrame, keys: list[str] = KEYS, width: int = W
     marks = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(0).alias("kind")), F.struct(F.col("stop").alias("pos"), F.lit(1).alias("kind"))))
     both = sides[0].select(*keys, "start", "stop").unionByName(sides[1].select(*keys, "start", "stop")).select(*keys, marks.alias("m")).groupBy(*keys, "m.pos", "m.kind").agg(F.count(F.lit(1)).alias("n"))
     change = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
-    running = with_running_sum(both, keys, ["pos", "kind"], change, "pos", "open", width)
-    nexted = with_neighbour(running, keys, ["pos", "kind"], ["pos"], "pos", "next", after=True, width=width)
+    nexted = with_context(both, keys, ["pos", "kind"], "pos", width, after={"next": ["pos"]}, sums={"open": change})
     return nexted.where("open = 2").select(*keys, F.col("pos").alias("start"), F.col("next.pos").alias("stop"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import cut
 from .ordered import with_last
 
 #: Positions of one bin of a range join. An interval is copied to every bin that it touches, so bins should be no
@@ -68,6 +69,8 @@ def bridge(ranges: DataFrame, bridges: DataFrame) -> DataFrame:
     That is the first bridge that begins in the range; else the last one that begins before it, if it reaches the range's
     start: then (the range's middle, the bridge's stop). Ranges that no bridge meets are left out.
     """
+    # Both sides are read by several branches: they are written down.
+    ranges, bridges = cut(ranges, "ranges"), cut(bridges.select("contig", "start", "stop"), "bridges")
     keyed = ranges.select("contig", "start", "stop").distinct()
     inside = first_in_range(keyed, bridges)
     before = last_before(keyed, bridges).where("last.stop >= start")

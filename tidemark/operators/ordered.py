@@ -1,12 +1,14 @@
 """Neighbour and running-sum windows that don't put one key's rows into one task.
 
-Rows are cut into bins of positions. A window runs within each (key, bin); what crosses
-a bin's edge comes from one row per bin, over which a second, small window runs. Both
-big steps hash by (key, bin), so the join back needs no further shuffle of the rows.
+Rows are cut into bins of positions. A window runs within each (key, bin); what crosses a bin's edge comes from one row
+per bin, over which a second, small window runs. Both big steps hash by (key, bin), so the join back needs no further
+shuffle of the rows. All that one order can tell is computed in one such pass: neighbours, sums and last values together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,49 +21,80 @@ def _binned(df: DataFrame, pos: str, width: int) -> DataFrame:
     return df.withColumn("__bin", F.floor(F.col(pos) / width))
 
 
-def with_neighbour(df: DataFrame, keys: list[str], order: list[str], columns: list[str], pos: str, name: str, after: bool = False, width: int = WIDTH) -> DataFrame:
-    """Add the struct ``name`` with ``columns`` of the row before (``after``: of the row behind) within ``keys``; null at the end.
+def _join_bins(rows: DataFrame, by_bin: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the columns of its bin's one row, keys and bins compared null-safely."""
+    renamed = by_bin.withColumnsRenamed({k: f"__k_{k}" for k in keys} | {"__bin": "__b"})
+    on = F.col("__bin").eqNullSafe(F.col("__b"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return rows.join(renamed, on).drop("__bin", "__b", *(f"__k_{k}" for k in keys))
 
-    ``order`` begins with ``pos`` and should be total; rows with a null ``pos`` sort into a bin of their own, first.
+
+def with_context(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    pos: str,
+    width: int = WIDTH,
+    before: dict[str, list[str]] | None = None,
+    after: dict[str, list[str]] | None = None,
+    sums: dict[str, Column] | None = None,
+    last: dict[str, str] | None = None,
+) -> DataFrame:
+    """Add, within ``keys`` by ``order`` (total, ``pos`` first), under each name: ``before`` and ``after`` the struct of these columns
+    of the row before or behind (null at the end), ``sums`` the sum of these values up to and with the row, ``last`` the last
+    value of the column that isn't null up to and with the row. Rows with a null ``pos`` sort into a bin of their own, first.
     """
-    b = _binned(df, pos, width)
-    value = F.struct(*columns)
+    before, after, sums, last = before or {}, after or {}, sums or {}, last or {}
+    rows = _binned(df, pos, width).withColumns({f"__v_{n}": v for n, v in sums.items()})
     inside = W.partitionBy(*keys, "__bin").orderBy(*order)
-    shift = F.lead if after else F.lag
-    edge = b.groupBy(*keys, "__bin").agg((F.min if after else F.max)(F.struct(*order, *(F.col(c).alias(f"__{c}") for c in columns))).alias("__e"))
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    edge = {n: F.max(F.struct(*order, F.struct(*c).alias("__c"))) for n, c in before.items()} | {n: F.min(F.struct(*order, F.struct(*c).alias("__c"))) for n, c in after.items()}
+    edge |= {n: F.sum(f"__v_{n}") for n in sums} | {n: F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("__c")))) for n, c in last.items()}
+    bins = rows.groupBy(*keys, "__bin").agg(*(x.alias(f"__e_{n}") for n, x in edge.items()))
     across = W.partitionBy(*keys).orderBy("__bin")
-    edge = edge.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__bin").alias("__b"), shift(F.struct(*(F.col(f"__e.__{c}").alias(c) for c in columns))).over(across).alias("__edge"))
-    rows = b.withColumn("__in", shift(value).over(inside))
-    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__bin").eqNullSafe(F.col("__b"))]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return rows.join(edge, on).withColumn(name, F.coalesce("__in", "__edge")).drop("__in", "__edge", "__b", "__bin", *(f"__k_{k}" for k in keys))
+    prior = across.rowsBetween(W.unboundedPreceding, -1)
+    carried = {n: F.lag(f"__e_{n}.__c").over(across) for n in before} | {n: F.lead(f"__e_{n}.__c").over(across) for n in after}
+    carried |= {n: F.coalesce(F.sum(f"__e_{n}").over(prior), F.lit(0)) for n in sums} | {n: F.last(f"__e_{n}.__c", ignorenulls=True).over(prior) for n in last}
+    bins = bins.select(*keys, "__bin", *(x.alias(f"__x_{n}") for n, x in carried.items()))
+    within = {n: F.lag(F.struct(*c)).over(inside) for n, c in before.items()} | {n: F.lead(F.struct(*c)).over(inside) for n, c in after.items()}
+    within |= {n: F.sum(f"__v_{n}").over(upto) for n in sums} | {n: F.last(c, ignorenulls=True).over(upto) for n, c in last.items()}
+    rows = rows.withColumns({f"__i_{n}": x for n, x in within.items()}).drop(*(f"__v_{n}" for n in sums))
+    joined = _join_bins(rows, bins, keys)
+    made = {n: F.col(f"__i_{n}") + F.col(f"__x_{n}") if n in sums else F.coalesce(f"__i_{n}", f"__x_{n}") for n in carried}
+    return joined.withColumns(made).drop(*(f"__{p}_{n}" for n in carried for p in "ix"))
+
+
+def with_neighbour(df: DataFrame, keys: list[str], order: list[str], columns: list[str], pos: str, name: str, after: bool = False, width: int = WIDTH) -> DataFrame:
+    """Add the struct ``name`` with ``columns`` of the row before (``after``: of the row behind)."""
+    return with_context(df, keys, order, pos, width, **{"after" if after else "before": {name: columns}})
 
 
 def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, pos: str, name: str, width: int = WIDTH) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the rows up to and with this one, within ``keys`` by ``order`` (total, ``pos`` first)."""
-    b = _binned(df, pos, width).withColumn("__v", value)
-    inside = W.partitionBy(*keys, "__bin").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    across = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    totals = b.groupBy(*keys, "__bin").agg(F.sum("__v").alias("__t"))
-    totals = totals.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__bin").alias("__b"), F.coalesce(F.sum("__t").over(across), F.lit(0)).alias("__before"))
-    rows = b.withColumn("__in", F.sum("__v").over(inside))
-    on = F.col("__bin").eqNullSafe(F.col("__b"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return rows.join(totals, on).withColumn(name, F.col("__in") + F.col("__before")).drop("__in", "__before", "__b", "__bin", "__v", *(f"__k_{k}" for k in keys))
+    """Add ``name``: the sum of ``value`` over the rows up to and with this one."""
+    return with_context(df, keys, order, pos, width, sums={name: value})
 
 
 def with_last(df: DataFrame, keys: list[str], order: list[str], column: str, pos: str, name: str, width: int = WIDTH) -> DataFrame:
-    """Add ``name``: the last value of ``column`` that isn't null, up to and with this row, within ``keys`` by ``order`` (total, ``pos`` first)."""
-    b = _binned(df, pos, width)
-    inside = W.partitionBy(*keys, "__bin").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    edge = b.groupBy(*keys, "__bin").agg(F.max(F.when(F.col(column).isNotNull(), F.struct(*order, F.col(column).alias("__v")))).alias("__e"))
-    across = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    edge = edge.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__bin").alias("__b"), F.last(F.col("__e.__v"), ignorenulls=True).over(across).alias("__edge"))
-    on = F.col("__bin").eqNullSafe(F.col("__b"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    rows = b.withColumn("__in", F.last(column, ignorenulls=True).over(inside))
-    return rows.join(edge, on).withColumn(name, F.coalesce("__in", "__edge")).drop("__in", "__edge", "__b", "__bin", *(f"__k_{k}" for k in keys))
+    """Add ``name``: the last value of ``column`` that isn't null, up to and with this row."""
+    return with_context(df, keys, order, pos, width, last={name: column})
+
+
+def with_islands(df: DataFrame, keys: list[str], order: list[str], begins: Callable[[Column], Column], columns: list[str], pos: str, name: str, width: int = WIDTH) -> DataFrame:
+    """Add ``name``: a number of the row's island within ``keys``. A row begins one if it has no row before it or
+    ``begins(previous)``, where previous is the struct of ``columns`` of the row before, and ``begins`` reads, of the row itself,
+    columns of ``order`` and ``columns`` only. Null counts as false.
+    """
+    inside = W.partitionBy(*keys, "__bin").orderBy(*order)
+    rows = _binned(df, pos, width).withColumn("__prev", F.lag(F.struct(*columns)).over(inside))
+    # A bin's first row is decided by its bin's row, which knows the bin before.
+    rows = rows.withColumn("__new", F.when(F.col("__prev").isNotNull() & begins(F.col("__prev")), 1).otherwise(0))
+    own = list(dict.fromkeys([*order, *columns]))
+    bins = rows.groupBy(*keys, "__bin").agg(F.sum("__new").alias("__n"), F.min(F.struct(*own)).alias("__f"), F.max(F.struct(*order, F.struct(*columns).alias("__c"))).alias("__l"))
+    across = W.partitionBy(*keys).orderBy("__bin")
+    bins = bins.withColumn("__prev", F.lag("__l.__c").over(across)).select(*keys, "__bin", "__n", "__prev", *(F.col(f"__f.{c}").alias(c) for c in own if c not in keys))
+    bins = bins.withColumn("__first", F.when(F.col("__prev").isNull() | begins(F.col("__prev")), 1).otherwise(0))
+    earlier = F.sum(F.col("__n") + F.col("__first")).over(across.rowsBetween(W.unboundedPreceding, -1))
+    bins = bins.select(*keys, "__bin", (F.coalesce(earlier, F.lit(0)) + F.col("__first")).alias("__x"))
+    rows = rows.withColumn("__i", F.sum("__new").over(inside.rowsBetween(W.unboundedPreceding, 0))).drop("__prev", "__new")
+    return _join_bins(rows, bins, keys).withColumn(name, F.col("__i") + F.col("__x")).drop("__i", "__x")

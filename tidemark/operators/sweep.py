@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import WIDTH, with_neighbour, with_running_sum
+from ..tables import cut
+from .ordered import WIDTH, with_context
 
 
 def events(intervals: DataFrame, keys: list[str], start: str, stop: str, score: Column) -> DataFrame:
@@ -20,14 +21,15 @@ def segments(changes: DataFrame, keys: list[str], width: int = WIDTH) -> DataFra
     An interval that starts and ends at one position adds nothing. The last position begins no segment; a key with one
     position has only its lead-in. No segment spans two keys.
     """
-    summed = with_running_sum(changes, keys, ["pos"], F.col("delta"), "pos", "value", width)
-    nexted = with_neighbour(summed, keys, ["pos"], ["pos"], "pos", "next", after=True, width=width)
-    lead_in = changes.groupBy(*keys).agg(F.min("pos").alias("stop")).select(*keys, (F.col("stop") - 1).alias("start"), "stop", F.lit(0).cast("long").alias("value"))
-    return nexted.where("next IS NOT NULL").select(*keys, F.col("pos").alias("start"), F.col("next.pos").alias("stop"), "value").unionByName(lead_in)
+    rows = with_context(changes, keys, ["pos"], "pos", width, before={"prev": ["pos"]}, after={"next": ["pos"]}, sums={"value": F.col("delta")})
+    segment = F.when(F.col("next").isNotNull(), F.struct(F.col("pos").alias("start"), F.col("next.pos").alias("stop"), F.col("value").alias("value")))
+    lead_in = F.when(F.col("prev").isNull(), F.struct((F.col("pos") - 1).alias("start"), F.col("pos").alias("stop"), F.lit(0).cast("long").alias("value")))
+    return rows.select(*keys, F.explode(F.array(segment, lead_in)).alias("s")).where("s IS NOT NULL").select(*keys, "s.start", "s.stop", "s.value")
 
 
 def depth(intervals: DataFrame, keys: list[str], start: str, stop: str, score: Column | None = None, width: int = WIDTH) -> DataFrame:
-    return segments(events(intervals, keys, start, stop, F.lit(1) if score is None else score), keys, width)
+    """Segments of intervals. Their events, one row a position, are written down: intervals are read and shuffled once."""
+    return segments(cut(events(intervals, keys, start, stop, F.lit(1) if score is None else score), "events"), keys, width)
 
 
 def as_bed(segs: DataFrame) -> DataFrame:

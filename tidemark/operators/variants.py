@@ -15,10 +15,18 @@ from .joins import BIN, reciprocal_overlap
 
 def parse_info(info: Column) -> Column:
     """``k=v;flag`` to a map: a flag is its own value, text after a second ``=`` is dropped, the last of equal keys wins, empty pieces are ignored."""
-    pieces = F.filter(F.split(info, ";"), lambda x: x != "")
-    pairs = F.transform(pieces, lambda x: F.struct(F.get(F.split(x, "="), F.lit(0)).alias("k"), F.coalesce(F.get(F.split(x, "="), F.lit(1)), F.get(F.split(x, "="), F.lit(0))).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def pair(kv: Column) -> Column:
+        return F.struct(F.get(kv, F.lit(0)).alias("k"), F.coalesce(F.get(kv, F.lit(1)), F.get(kv, F.lit(0))).alias("v"))
+
+    def last(pairs: Column) -> Column:
+        return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
+
+    # Each piece is split once, and the pairs are computed once, however often they are looked at.
+    pairs = F.transform(F.transform(F.filter(F.split(info, ";"), lambda x: x != ""), lambda x: F.split(x, "=")), pair)
+    return F.map_from_entries(bound(pairs, last))
 
 
 def write_info(info: Column) -> Column:
@@ -44,7 +52,7 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         at(5).alias("qual"),
         at(6).alias("filter"),
         parse_info(at(7)).alias("info"),
-        F.slice("__f", 9, 100000).alias("opt"),
+        F.slice("__f", F.lit(9), F.size("__f")).alias("opt"),
     )
 
 
@@ -81,7 +89,7 @@ def filter_lines(lines: DataFrame, predicate: Column, column: str = "value") ->
 def edit_field(lines: DataFrame, number: int, new: Column, column: str = "value") -> DataFrame:
     """Lines with tab-separated field ``number`` (from 0) replaced; header lines stay."""
     f = F.split(F.col(column), "\t")
-    edited = F.array_join(F.concat(F.slice(f, 1, number), F.array(new), F.slice(f, number + 2, 100000)), "\t")
+    edited = F.array_join(F.concat(F.slice(f, 1, number), F.array(new), F.slice(f, F.lit(number + 2), F.size(f))), "\t")
     return lines.withColumn(column, F.when(F.col(column).startswith("#"), F.col(column)).otherwise(edited))
 
 

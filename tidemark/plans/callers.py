@@ -12,6 +12,7 @@ from ..operators.edges import average_depth, jumps, level_segments, peaks
 from ..operators.islands import fill_missing, join_close, join_touching, merge_overlapping, predicate_runs
 from ..operators.joins import overlap_join, started_bridged_ended
 from ..operators.reads import Limits, orientation
+from ..tables import cut
 
 #: Positions of one bin of event-to-event counts, and the count that must be exceeded.
 GRAPH_BIN, GRAPH_COUNT = 2_000_000, 10
@@ -55,7 +56,7 @@ def cross_contig_breakpoints(signals: DataFrame, least: int = 12) -> DataFrame:
 
 def _edges(signal: DataFrame, least: int, ratio: float | None) -> tuple[DataFrame, DataFrame]:
     """Jumps and falls as points (contig, pos, value)."""
-    both = jumps(signal, least, ratio).select("contig", F.col("start").alias("pos"), F.col("height").alias("value"))
+    both = cut(jumps(signal, least, ratio).select("contig", F.col("start").alias("pos"), F.col("height").alias("value")), "jumps")
     return both.where("value > 0"), both.where("value < 0")
 
 
@@ -107,7 +108,7 @@ def deletions_fine(signals: DataFrame, reads: DataFrame, limits: Limits, read_le
     islands = join_close(of_signal(signals, "ForwardInsertSizeTooBig").where(F.col("value") > p.threshold).select("contig", "start", "stop"), 2 * read_length)
     forward = as_intervals(reads.where(~F.col("unmapped") & ~F.col("is_reverse") & ~F.col("mate_unmapped") & (orientation() == "FR") & (F.col("tlen") > limits.most)), "mate_start")
     found = overlap_join(forward, islands).groupBy("b").agg(F.max("a.stop").alias("start"), F.min("a.mate_start").alias("stop"), (F.max("a.mate_start") - F.min("a.mate_start")).alias("spread"), F.count(F.lit(1)).alias("n_reads"))
-    events = found.select("b.contig", "start", "stop", "spread", "n_reads")
+    events = cut(found.select("b.contig", "start", "stop", "spread", "n_reads"), "deletions")
     spans = events.where((F.col("stop") >= F.col("start")) & (F.col("stop") - F.col("start") < p.largest)).select("contig", "start", "stop").distinct()
     inside = overlap_join(as_intervals(reads.where(~F.col("unmapped"))), spans, how="within").groupBy("b").agg(F.sum(F.col("a.stop") - F.col("a.start") + 1).alias("bases")).select("b.*", "bases")
     depth = spans.join(inside, ["contig", "start", "stop"], "left").select("contig", "start", "stop", F.expr("coalesce(bases, 0) div greatest(1, stop - start)").alias("depth"))
@@ -125,7 +126,7 @@ def inversions(signals: DataFrame, reads: DataFrame, read_length: int, over: int
     counted from either end.
     """
     islands = join_close(of_signal(signals, "DiscordantTandemOrientation").where(F.col("value") > over).select("contig", "start", "stop")).where(F.col("stop") - F.col("start") > read_length)
-    islands = islands.withColumn("middle", F.expr("start + (stop - start) div 2"))
+    islands = cut(islands, "islands").withColumn("middle", F.expr("start + (stop - start) div 2"))
     tandem = as_intervals(reads.where(~F.col("unmapped") & ~F.col("mate_unmapped") & (F.col("mapq") != 0) & (F.col("mate_contig") == F.col("contig")) & (orientation() == "TANDEM")), "mate_start")
     here = overlap_join(tandem, islands.where(F.col("stop") - F.col("start") <= largest))
     mates = here.select("a.contig", F.col("a.mate_start").alias("start"), F.col("a.mate_start").alias("stop"), F.col("b.middle").alias("from"))

@@ -14,7 +14,7 @@ def parse(lines: DataFrame, kind: str = "int") -> DataFrame:
     """contig, start, stop, value of lines ``value`` but comments and track lines. Malformed numbers fail."""
     f = F.split("value", PATTERN[kind])
     rows = lines.where(~(F.col("value").startswith("#") | F.col("value").startswith("track")) & (F.trim("value") != ""))
-    value = F.array_join(F.slice(f, 4, 100000), "\t") if kind == "string" else F.get(f, F.lit(3)).cast("long" if kind == "int" else "double")
+    value = F.array_join(F.slice(f, F.lit(4), F.greatest(F.size(f), F.lit(1))), "\t") if kind == "string" else F.get(f, F.lit(3)).cast("long" if kind == "int" else "double")
     return rows.select(F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(1)).cast("long").alias("start"), F.get(f, F.lit(2)).cast("long").alias("stop"), value.alias("value"))
 
 

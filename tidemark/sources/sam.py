@@ -33,7 +33,7 @@ def parse(lines: DataFrame) -> DataFrame:
     """Reads of SAM lines (value, ord); header lines are left out."""
     f = F.split("value", "\t")
     at = lambda i: F.get(f, F.lit(i))
-    nm = F.regexp_extract(F.array_join(F.slice(f, 12, 1000), "\t"), r"(?:^|\t)NM:i:(-?[0-9]+)", 1)
+    nm = F.regexp_extract(F.array_join(F.slice(f, F.lit(12), F.greatest(F.size(f), F.lit(1))), "\t"), r"(?:^|\t)NM:i:(-?[0-9]+)", 1)
     raw = lines.where(~F.col("value").startswith("@") & (F.col("value") != "")).select(
         F.col("ord").alias("file_ord"), at(0).alias("qname"), at(1).cast("int").alias("flag"), at(2).alias("contig"), at(3).cast("int").alias("aln_start"), at(4).cast("int").alias("mapq"),
         at(5).alias("cigar"), at(6).alias("mate_contig"), at(7).cast("int").alias("mate_start"), at(8).cast("int").alias("tlen"), at(9).alias("seq"), at(10).alias("qual"), F.when(nm != "", nm).cast("int").alias("nm"),

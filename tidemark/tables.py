@@ -23,10 +23,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: What this process has written, by application.
+_written: dict[str, list[str]] = {}
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` has written for this application; results that read them must have been used. Their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
