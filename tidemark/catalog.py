@@ -19,9 +19,10 @@ from .operators import reads as rd
 from .operators import variants as va
 from .operators.sweep import as_bed
 from .plans import callers as ca
+from .plans import reassembly as ra
 from .sources import bed
-from .sources.graphs import json_lines
-from .sources.vcf import calls, variant_lines
+from .sources.graphs import graphml, json_lines
+from .sources.vcf import calls, position_lines, variant_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -313,7 +314,8 @@ def average_depth(spark, sf_dir):
 
 @query(f"{_COVERAGE} SELECT contig, start, stop, value, 1 AS below, CASE WHEN value > 20 * 2.0 / 3 THEN 1 ELSE 0 END AS above_ratio FROM coverage WHERE value <= 18")
 def low_coverage(spark, sf_dir):
-    return coverage(spark, sf_dir).where("value <= 18").withColumn("below", F.lit(1)).withColumn("above_ratio", F.when(F.col("value") > 20 * 2.0 / 3, 1).otherwise(0))
+    low = ed.low_coverage(coverage(spark, sf_dir), 18).withColumn("below", F.lit(1)).withColumn("held", F.col("value"))
+    return ed.over_share(low, 20).withColumnsRenamed({"value": "above_ratio", "held": "value"})
 
 
 # ---- joins ----
@@ -739,3 +741,140 @@ def population_moments(spark, sf_dir):
 @query(f"WITH {_READS} SELECT contig || ':' || aln_start || '-' || aln_end AS text, count(*) AS n FROM mapped GROUP BY 1")
 def window_texts(spark, sf_dir):
     return fx.reads(spark, sf_dir).groupBy(va.window_text(F.col("contig"), F.col("aln_start"), F.col("aln_end")).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- the rest of the inventory ----
+
+
+@query(f"WITH {_VCF} SELECT ord, 'length' AS by, chr, start, (start + length)::INTEGER AS stop FROM c WHERE length IS NOT NULL UNION ALL SELECT ord, 'end', chr, start, try_cast(e AS INTEGER) FROM c WHERE try_cast(e AS INTEGER) IS NOT NULL")
+def event_intervals(spark, sf_dir):
+    v = va.parse_lines(fx.vcf_lines(spark, sf_dir))
+    both = va.interval_by_length(v).withColumn("by", F.lit("length")).unionByName(va.interval_by_end(v).withColumn("by", F.lit("end")))
+    return both.select("ord", "by", "chr", "start", "stop")
+
+
+@query(f"WITH {_VCF} SELECT chr || ':' || format('{{:,}}', start) || '-' || format('{{:,}}', stop) AS value FROM c")
+def event_positions(spark, sf_dir):
+    return position_lines(va.parse_lines(fx.vcf_lines(spark, sf_dir)))
+
+
+@query(f"""WITH t AS ({fx.TRUTH_SQL}), c AS ({fx.CANDIDATES_SQL})
+  SELECT t.ord, greatest(0, least(t.stop, c.stop) - greatest(t.start, c.start))::DOUBLE / greatest(greatest(t.stop - t.start, 1), greatest(c.stop - c.start, 1)) >= 0.5 AS half FROM t JOIN c ON t.ord = c.ord""")
+def half_overlaps(spark, sf_dir):
+    c = fx.candidates(spark, sf_dir).select("ord", F.col("start").alias("s2"), F.col("stop").alias("e2"))
+    return fx.truth(spark, sf_dir).join(c, "ord").select("ord", va.accept_half(F.col("start"), F.col("stop"), F.col("s2"), F.col("e2")).alias("half"))
+
+
+def _merged_bridges(sql: str) -> str:
+    return f"WITH found AS ({sql}), {_merge_sql('SELECT contig, start, stop FROM found WHERE start <= stop')} SELECT * FROM merged"
+
+
+@query(_merged_bridges(_bridged_sql("value > 0", "j.value < 0", "Clipped:value > 0")))
+def bridged_increases_merged(spark, sf_dir):
+    found = ca.bridged_increases(signals(spark, sf_dir, "Coverage", "Clipped"), 3, merged=False)
+    return isl.merge_overlapping(found.where("start <= stop"))
+
+
+@query(_merged_bridges(_bridged_sql("value < 0", "j.value > 0", "Clipped:value < 2")))
+def drops_without_clips_merged(spark, sf_dir):
+    found = ca.drops_without_clips(signals(spark, sf_dir, "Coverage", "Clipped"), 3, merged=False)
+    return isl.merge_overlapping(found.where("start <= stop"))
+
+
+@query(_bridged_sql("value < 0", "j.value > 0", "Clipped:value < 2").replace("abs(value - pvalue) >= 3", "abs(value - pvalue) >= 2 AND abs(value - pvalue) >= 0.2 * greatest(value, pvalue)"))
+def relative_drops_without_clips(spark, sf_dir):
+    return ca.drops_without_clips(signals(spark, sf_dir, "Coverage", "Clipped"), 2, ratio=0.2, merged=False)
+
+
+@query(f"WITH e AS ({fx.EDGES_SQL}), f AS ({fx.FOREST_SQL}), m AS (SELECT src, dst, weight + 7 AS weight FROM e WHERE weight % 2 = 0 UNION ALL SELECT * FROM f) SELECT src, dst, weight FROM e ANTI JOIN m USING (src, dst) UNION ALL SELECT src, dst, max(weight) FROM m GROUP BY src, dst")
+def graph_set_weights(spark, sf_dir):
+    e = fx.edges(spark, sf_dir)
+    return gr.set_weights(e, e.where("weight % 2 = 0").withColumn("weight", F.col("weight") + 7).unionByName(fx.forest(spark, sf_dir)))
+
+
+@query(f"WITH e AS ({fx.FOREST_SQL}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), m AS (SELECT id FROM v UNION SELECT 's' || s_suppkey FROM supplier), k AS (SELECT * FROM e WHERE src NOT LIKE '%7' AND dst NOT LIKE '%7') SELECT id, id IN (SELECT src FROM k UNION SELECT dst FROM k) AS linked FROM m WHERE id NOT LIKE '%7'")
+def graph_vertices(spark, sf_dir):
+    """Vertices added, then pruned by a predicate, unconnected ones kept."""
+    e = fx.forest(spark, sf_dir)
+    more = fx.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    v, kept = gr.prune_vertices_where(gr.add_vertices(gr.vertices_of(e), more), e, F.col("id").endswith("7"), isolated=False)
+    return v.join(gr.vertices_of(kept).withColumn("linked", F.lit(True)), "id", "left").na.fill(False, ["linked"])
+
+
+@query(f"""WITH {_READS}, t AS ({fx.TRUTH_SQL}), x AS (SELECT t.contig, t.start // 200 AS bin, r.mate_contig, r.mate_start // 200 AS mate_bin FROM t JOIN mapped r ON r.contig = t.contig AND r.aln_start <= t.stop AND t.start <= r.aln_end
+    WHERE NOT r.mate_unmapped AND r.mapq <> 0 AND r.mate_contig <> r.contig), n AS (SELECT contig, bin, mate_contig, mate_bin, count(*) AS n FROM x GROUP BY ALL HAVING count(*) > 10)
+  SELECT 'here' AS side, contig, bin * 200 AS start, (bin + 1) * 200 AS stop, n AS value FROM n UNION ALL SELECT 'there', mate_contig, mate_bin * 200, (mate_bin + 1) * 200, n FROM n""")
+def cross_contig_ends(spark, sf_dir):
+    here, there = ca.graph_ends(ca.graph_bins(fx.truth(spark, sf_dir), fx.reads(spark, sf_dir), 200), 200)
+    return here.withColumn("side", F.lit("here")).unionByName(there.withColumn("side", F.lit("there")))
+
+
+@query(f"{_COVERAGE} SELECT contig, start, stop, (value + 0.25)::DOUBLE AS number, 'v' || value || chr(9) || 'x' AS text FROM coverage")
+def bed_numbers_and_texts(spark, sf_dir):
+    c = coverage(spark, sf_dir)
+    line = lambda v: F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("stop").cast("string"), v).alias("value")
+    numbers = bed.parse(c.select(line((F.col("value") + 0.25).cast("string"))), "double").withColumnRenamed("value", "number")
+    texts = bed.parse(c.select(line(F.concat(F.lit("v"), F.col("value").cast("string"), F.lit("\tx")))), "string").withColumnRenamed("value", "text")
+    return numbers.join(texts, ["contig", "start", "stop"])
+
+
+@query(f"WITH {_READS} SELECT contig, aln_start AS pos, arg_max(mapq, {{'q': qname, 'f': file_ord, 'm': mapq}})::BIGINT AS value FROM mapped WHERE contig = 'chr3' GROUP BY contig, aln_start")
+def last_counts(spark, sf_dir):
+    r = fx.reads(spark, sf_dir)
+    line = F.concat_ws("\t", "contig", F.col("aln_start").cast("string"), (F.col("aln_start") + 1).cast("string"), F.col("mapq").cast("string"))
+    return bed.last_counts(r.select(line.alias("value"), F.struct("qname", "file_ord", "mapq").alias("ord")), "chr3")
+
+
+@query(f"{_COVERAGE} SELECT concat_ws(chr(9), contig, start::VARCHAR, stop::VARCHAR, 'low¬cover') AS line FROM coverage WHERE value <= 18")
+def low_coverage_warnings(spark, sf_dir):
+    return bed.commented(ed.low_coverage(coverage(spark, sf_dir), 18), "low cover").select("line")
+
+
+_PLACES = "SELECT l_orderkey AS ord, list(l_linenumber ORDER BY l_linenumber) AS numbers, list(CASE WHEN l_linenumber <> 2 THEN date_diff('day', TIMESTAMP '1992-01-01', l_shipdate) END ORDER BY l_linenumber, l_shipdate, l_partkey) AS days FROM lineitem GROUP BY l_orderkey"
+
+
+@query(f"""WITH p AS ({_PLACES}), k AS (SELECT *, list_filter(days, lambda x: x IS NOT NULL) AS known FROM p)
+  SELECT ord, len(list_filter(range(1, len(known)), lambda i: known[i] >= known[i + 1])) = 0 AS increasing,
+    len(numbers) >= 3 AND numbers[2] = numbers[1] + 1 AND numbers[3] = numbers[2] + 1 AND numbers[-2] = numbers[-3] + 1 AND numbers[-1] = numbers[-2] + 1 AS anchored FROM k""")
+def path_positions(spark, sf_dir):
+    """Whether arrays of positions grow, and whether their ends count up by one."""
+    x = fx.table(spark, sf_dir, "lineitem").withColumn("day", F.when(F.col("l_linenumber") != 2, fx.day("l_shipdate")))
+    rows = x.groupBy(F.col("l_orderkey").alias("ord")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_shipdate", "l_partkey", "day"))).alias("x"))
+    part = lambda c: F.transform("x", lambda e: e[c])
+    return rows.select("ord", km.is_increasing(part("day")).alias("increasing"), km.anchored(part("l_linenumber")).alias("anchored"))
+
+
+@query(f"""WITH {_READS}, b AS (SELECT qname, file_ord, aln_start, aln_end, aln_start - nm % 4 AS first, unnest(range(0, 12)) AS i FROM mapped)
+  SELECT CASE WHEN first + i BETWEEN aln_start AND aln_end THEN first + i END AS pos, count(*) AS n FROM b GROUP BY 1""")
+def base_positions(spark, sf_dir):
+    r = fx.reads(spark, sf_dir)
+    places = km.base_positions(F.col("aln_start"), F.col("aln_start") - F.col("nm") % 4, F.col("aln_end"), F.lit(12))
+    return r.select(F.explode(places).alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT 'ACGTNaC' AS s), l AS (SELECT unnest(range(0, length(s))) AS n, s FROM s), b AS (SELECT n, length(s) AS size, s[n + 1] AS base FROM l)
+  SELECT 0 AS ord, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' AS value UNION ALL SELECT 1, '<graph edgedefault="directed">' UNION ALL SELECT 17, '</graph></graphml>'
+  UNION ALL SELECT n + 2, '<node id="n' || n || '"><data key="base">' || base || '</data><data key="colour">' || CASE upper(base) WHEN 'A' THEN '0,160,0' WHEN 'C' THEN '0,0,200' WHEN 'G' THEN '220,160,0' WHEN 'T' THEN '200,0,0' ELSE '128,128,128' END || '</data></node>' FROM b
+  UNION ALL SELECT n + 2 + size, '<edge source="n' || (n - 1) || '" target="n' || n || '"/>' FROM b WHERE n > 0""")
+def graphml_lines(spark, sf_dir):
+    return graphml(spark, "ACGTNaC")
+
+
+def _short_reads(spark, sf_dir):
+    """Parts' names and types as reads of one place, whose sequences differ here and there."""
+    p = fx.table(spark, sf_dir, "part")
+    seq = fx.bases(F.concat("p_name", "p_type"))
+    return p.select(
+        F.col("p_partkey").cast("string").alias("qname"), F.lit("chr1").alias("contig"), F.lit(100).cast("long").alias("aln_start"), (F.lit(99) + F.length(seq)).cast("long").alias("aln_end"),
+        F.lit(100).cast("long").alias("unclipped_start"), F.when(F.col("p_size") % 5 == 0, 0).otherwise(60).alias("mapq"), seq.alias("seq"),
+    )
+
+
+@query()
+def haplotypes(spark, sf_dir):
+    return ra.haplotypes(_short_reads(spark, sf_dir), "chr1", 90, 110, ra.Parameters(k=9)).withColumn("mean_weight", F.round("mean_weight", 6))
+
+
+@query()
+def best_contig(spark, sf_dir):
+    return ra.best_contig(_short_reads(spark, sf_dir), "chr1", 90, 130, ra.Parameters(k=9, prune_until=1 << 30))

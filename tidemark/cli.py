@@ -1,4 +1,4 @@
-"""Command line: version, regions, signal extract, vcf generate, vcf re-identify, vcf compare."""
+"""Command line: version, regions, extract-region, signal extract, vcf generate, vcf re-identify, vcf compare."""
 
 from __future__ import annotations
 
@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .operators.reads import Limits, fragment_thresholds, main_contigs, read_length, signal_segments
+from .operators.reads import Limits, fragment_thresholds, main_contigs, on_region, read_length, signal_segments
 from .operators.sweep import as_bed
 from .operators.variants import coordinates, renumber, statistics
 from .plans.callers import callers
 from .session import session
 from .sources.bed import write_bedgraph
-from .sources.sam import header_contigs, read_bam, read_sam, write_contig_sizes
+from .sources.sam import header_contigs, read_bam, read_sam, write_contig_sizes, write_sam
 from .sources.text import read_lines, with_header
 from .sources.vcf import read_vcf, write_calls
+from .tables import clean
 
 
 def _reads(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +50,16 @@ def _extract(spark: SparkSession, a: argparse.Namespace) -> None:
             write_bedgraph(as_bed(stored.where(F.col("signal") == name)), f"{a.output}/{name}.bedgraph", name, name)
 
 
+def _region(spark: SparkSession, a: argparse.Namespace) -> None:
+    contig, _, span = a.region.partition(":")
+    start, stop = (int(x.replace(",", "")) for x in span.split("-")) if span else (1, 1 << 31)
+    found, missing = check_regions([contig], [r.region for r in header_contigs(spark, a.input).collect()])
+    if missing:
+        raise SystemExit(f"no such contig: {contig}")
+    contigs = [(r.region, r.size) for r in header_contigs(spark, a.input).collect()]
+    write_sam(on_region(_reads(spark, a.input), found[0], start, stop, a.contained), a.output, contigs)
+
+
 def _generate(spark: SparkSession, a: argparse.Namespace) -> None:
     reads = _on_regions(_reads(spark, a.input), a.region)
     signals = spark.read.parquet(a.signals)
@@ -75,7 +86,7 @@ def _reidentify(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _compare(spark: SparkSession, a: argparse.Namespace) -> None:
     sides = [coordinates(read_vcf(spark, p)).select(F.col("chr").alias("contig"), "start", "stop", "ord") for p in (a.truth, a.candidates)]
-    statistics(*sides, ["ord"]).orderBy(F.col("contig").asc_nulls_last()).show(100, truncate=False)
+    statistics(*sides, ["ord"]).orderBy(F.col("contig").asc_nulls_last()).show(1 << 30, truncate=False)  # a row a contig
 
 
 def parser() -> argparse.ArgumentParser:
@@ -93,6 +104,12 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("-r", "--region", nargs="*", default=[])
     e.add_argument("--bedgraph", action="store_true")
     e.set_defaults(run=_extract)
+    x = top.add_parser("extract-region", help="the reads of a region (contig or contig:start-stop) as SAM")
+    x.add_argument("-i", "--input", required=True)
+    x.add_argument("-o", "--output", required=True)
+    x.add_argument("-r", "--region", required=True)
+    x.add_argument("--contained", action="store_true", help="only reads that lie within it")
+    x.set_defaults(run=_region)
     vcf = top.add_parser("vcf", help="variant files").add_subparsers(dest="sub", required=True)
     g = vcf.add_parser("generate", help="call events from signals and reads")
     g.add_argument("-i", "--input", required=True)
@@ -121,7 +138,9 @@ def main(argv: list[str] | None = None) -> int:
         print(__version__)
         return 0
     began = time.perf_counter()
-    a.run(session(), a)
+    spark = session()
+    a.run(spark, a)
+    clean(spark)
     print(f"{time.perf_counter() - began:.1f} s", file=sys.stderr)
     return 0
 

@@ -71,3 +71,13 @@ def average_depth(signal: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     covered = F.col("value") > 0
     length = F.col("stop") - F.col("start")
     return signal.groupBy(*keys).agg(F.sum(F.when(covered, F.col("value") * length)).alias("area"), F.sum(F.when(covered, length)).alias("length")).select(*keys, F.expr("area div nullif(length, 0)").alias("depth"))
+
+
+def low_coverage(signal: DataFrame, most: int) -> DataFrame:
+    """Entries of value ``most`` at most."""
+    return signal.where(F.col("value") <= most)
+
+
+def over_share(signal: DataFrame, depth: int, share: float = 2 / 3) -> DataFrame:
+    """Entries with value 1 where the value exceeds ``share`` of ``depth``, else 0."""
+    return signal.withColumn("value", F.when(F.col("value") > depth * share, 1).otherwise(0))

@@ -31,6 +31,11 @@ def set_weights(edges: DataFrame, more: DataFrame) -> DataFrame:
     return tagged.groupBy("src", "dst").agg(F.max_by("weight", F.struct("o", "weight")).alias("weight"))
 
 
+def add_vertices(vertices: DataFrame, more: DataFrame) -> DataFrame:
+    """Union; a vertex (id, ...) that is there already stays as it is."""
+    return vertices.unionByName(more.join(vertices.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*vertices.columns))
+
+
 def vertices_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
@@ -56,6 +61,11 @@ def prune_vertices(vertices: DataFrame, edges: DataFrame, gone: DataFrame, isola
     return (remove_unconnected(left, kept) if isolated else left), kept
 
 
+def prune_vertices_where(vertices: DataFrame, edges: DataFrame, drop: Column, isolated: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``prune_vertices`` of the vertices that satisfy ``drop``; null counts as false."""
+    return prune_vertices(vertices, edges, vertices.where(F.coalesce(drop, F.lit(False))).select("id"), isolated)
+
+
 def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in edges.columns if c not in ("src", "dst")))
 

@@ -24,9 +24,13 @@ def read_bed(spark: SparkSession, path: str, kind: str = "int") -> DataFrame:
 
 def count_map(spark: SparkSession, path: str, contig: str) -> DataFrame:
     """contig, pos, value of one contig; of entries that start together the last in the file wins."""
-    lines = read_lines(spark, path, ordered=True).where(~F.col("value").startswith("#"))
+    return last_counts(read_lines(spark, path, ordered=True), contig)
+
+
+def last_counts(lines: DataFrame, contig: str) -> DataFrame:
+    """The same of lines (value, ord)."""
     f = F.split("value", "\t")
-    rows = lines.select(F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(1)).cast("long").alias("pos"), F.get(f, F.lit(3)).cast("long").alias("v"), "ord").where(F.col("contig") == contig)
+    rows = lines.where(~F.col("value").startswith("#")).select(F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(1)).cast("long").alias("pos"), F.get(f, F.lit(3)).cast("long").alias("v"), "ord").where(F.col("contig") == contig)
     return rows.groupBy("contig", "pos").agg(F.max_by("v", "ord").alias("value"))
 
 
@@ -46,3 +50,13 @@ def write_bedgraph(entries: DataFrame, path: str, name: str, description: str, c
 
 def append_bedgraph(entries: DataFrame, path: str, compression: str = "gzip") -> None:
     bed_lines(entries).orderBy("contig", "start", "stop").select("line").write.mode("append").text(path, compression=compression)
+
+
+def commented(entries: DataFrame, comment: str) -> DataFrame:
+    """``line`` of each entry with one comment in the fourth field, white space in it made visible."""
+    return bed_lines(entries.withColumn("comment", F.regexp_replace(F.lit(comment), r"\s", "¬")), "comment")
+
+
+def write_warnings(entries: DataFrame, path: str, comment: str = "low coverage") -> None:
+    """BED of places to be looked at, such as entries of low coverage."""
+    commented(entries, comment).orderBy("contig", "start", "stop").select("line").write.text(path)

@@ -24,3 +24,9 @@ def with_header(df: DataFrame, header: list[str], order: list[str], line: str) -
     spark = df.sparkSession
     top = spark.createDataFrame([(i, h) for i, h in enumerate(header)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value")
     return top.unionByName(df.orderBy(*order).select(F.col(line).alias("value")))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
