@@ -746,6 +746,22 @@ def window_texts(spark, sf_dir):
 # ---- the rest of the inventory ----
 
 
+@query(f"{_COVERAGE} SELECT * FROM coverage")
+def coverage_in_bins(spark, sf_dir):
+    """Depth with bins of 64 positions, so that sums and neighbours cross many of their edges."""
+    return ca.of_signal(rd.signal_segments(fx.reads(spark, sf_dir), LIMITS, ["Coverage"], width=64), "Coverage")
+
+
+@query(f"{_LEVELS} SELECT * FROM levels")
+def levels_in_bins(spark, sf_dir):
+    return ed.level_segments(coverage(spark, sf_dir), 3, width=64)
+
+
+@query(f"WITH t AS ({fx.TRUTH_SQL}), {_merge_sql('SELECT contig, start, start + ord % 3 AS stop FROM t')} SELECT * FROM merged")
+def merge_in_bins(spark, sf_dir):
+    return isl.merge_overlapping(fx.truth(spark, sf_dir).withColumn("stop", F.col("start") + F.col("ord") % 3), width=64)
+
+
 @query(f"WITH {_VCF} SELECT ord, 'length' AS by, chr, start, (start + length)::INTEGER AS stop FROM c WHERE length IS NOT NULL UNION ALL SELECT ord, 'end', chr, start, try_cast(e AS INTEGER) FROM c WHERE try_cast(e AS INTEGER) IS NOT NULL")
 def event_intervals(spark, sf_dir):
     v = va.parse_lines(fx.vcf_lines(spark, sf_dir))

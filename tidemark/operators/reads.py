@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import legacy_percentile
+from ..tables import cut
 from .ordered import WIDTH
 from .sweep import as_bed, depth, segments
 
@@ -62,7 +63,8 @@ def signal_segments(reads: DataFrame, limits: Limits = Limits(), names: list[str
     hits = F.filter(F.array(*(F.when(p, F.struct(F.lit(k).alias("signal"), s.cast("long").alias("score"))) for k, (p, s) in chosen.items())), lambda x: x.isNotNull())
     ends = F.explode(F.array(F.struct(F.col("aln_start").alias("pos"), F.col("h.score").alias("delta")), F.struct(F.col("aln_end").alias("pos"), (-F.col("h.score")).alias("delta"))))
     rows = reads.where(~F.col("unmapped")).select("contig", "aln_start", "aln_end", F.explode(hits).alias("h")).select("h.signal", "contig", ends.alias("e"))
-    return segments(rows.groupBy("signal", "contig", "e.pos").agg(F.sum("e.delta").alias("delta")), ["signal", "contig"], width)
+    # One row a signal and position; written down, so that nothing behind reads the reads again.
+    return segments(cut(rows.groupBy("signal", "contig", "e.pos").agg(F.sum("e.delta").alias("delta")), "events"), ["signal", "contig"], width)
 
 
 def named_signal(reads: DataFrame, name: str, threshold: int = 0, width: int = WIDTH) -> DataFrame:
