@@ -27,6 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
+def give_back(spark: SparkSession) -> None:
+    """Collect the driver's garbage once its heap has grown past half of what it may take, so that it shrinks again.
+
+    Plans of many short jobs, and literals in them, are garbage soon; the heap keeps what they took until then.
+    """
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -34,6 +44,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     schema = df.schema
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
+    give_back(spark)
     return spark.read.schema(schema).parquet(path)
 
 
