@@ -175,3 +175,14 @@ def test_edges_at_their_thresholds(spark):
     assert sorted((r.pos, r.height, r.at_gap) for r in ed.jumps_with_gaps(df, 0).collect()) == [(5, 10, False), (9, -9, False), (12, -1, True), (14, 30, True)]
     assert sorted(tuple(r)[1:] for r in ed.level_segments(df, 8).collect()) == [(0, 5, 0), (5, 9, 10), (9, 12, 1), (14, 22, 30)]
     assert [r.depth for r in ed.average_depth(df).collect()] == [(40 + 3 + 180 + 60) // 15]
+
+
+def test_plans_read_their_input_few_times(spark):
+    """One window pass reads its input twice, once for the rows and once for the bins; what feeds several branches is written down."""
+    from tidemark import catalog
+
+    def scans(name):
+        return catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString().count("FileScan")
+
+    found = {name: scans(name) for name in ("signal_segments", "level_segments", "bridged_increases", "asof_bridge")}
+    assert all(n <= most for n, most in zip(found.values(), (2, 4, 9, 8))), found

@@ -4,12 +4,13 @@ import gzip
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import cli
 from tidemark.operators import reads as rd
 from tidemark.sources import bed, fasta, sam
-from tidemark.sources.text import read_lines
+from tidemark.sources.text import path_exists, read_lines
 
 SAM = "\n".join([
     "@HD\tVN:1.6", "@SQ\tSN:chr1\tLN:1000", "@SQ\tSN:chrUn\tLN:50", "@SQ\tSN:X\tLN:70",
@@ -117,3 +118,17 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["vcf", "re-identify", "-i", str(tmp_path / "v/no_coverage.vcf"), "-o", str(tmp_path / "r"), "-p", "id_"])
     assert spark.read.text(str(tmp_path / "r")).where(F.col("value").contains("\tid_0\t")).count() == 1
     assert cli.check_regions(["chr1", "chr9"], ["chr1", "X"]) == (["chr1"], ["chr9"])
+
+
+def test_regions_paths_and_warnings(spark, tmp_path):
+    (tmp_path / "x.sam").write_text(SAM)
+    path = str(tmp_path / "x.sam")
+    assert path_exists(spark, path) and not path_exists(spark, path + "x")
+    cli.main(["extract-region", "-i", path, "-o", str(tmp_path / "part"), "-r", "chr1:1-50"])
+    assert [(r.qname, r.aln_start) for r in sam.read_sam(spark, str(tmp_path / "part")).collect()] == [("r1", 11)]
+    cli.main(["extract-region", "-i", path, "-o", str(tmp_path / "whole"), "-r", "chr1"])
+    assert sam.read_sam(spark, str(tmp_path / "whole")).count() == 2
+    with pytest.raises(SystemExit, match="no such contig"):
+        cli.main(["extract-region", "-i", path, "-o", str(tmp_path / "none"), "-r", "chr7"])
+    bed.write_warnings(spark.createDataFrame([("chr1", 5, 9)], "contig string, start long, stop long"), str(tmp_path / "w"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "w")).collect()] == ["chr1\t5\t9\tlow¬coverage"]
