@@ -18,6 +18,26 @@ def test_stages_and_run(spark, sf):
     assert {r[0] for r in last} == {r.doc_id for r in docs.collect()}
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, repeats, empty and blank texts, columns with clashing names, and an empty table."""
+    good = lambda k: "\n".join(f"line {i} of text {k} tells something about number {i * k + k} and more words to fill it up" for i in range(12))
+    rows = [(1, good(1)), (2, good(2)), (2, good(2)), (None, good(3)), (None, good(4)), (5, None), (6, ""), (7, " \n "), (8, good(5)), (9, good(5))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    made = spark.createDataFrame([(i, t, [None, "*", ""][k % 3], None, len(t or "")) for k, (i, t) in enumerate(rows)], schema)
+    docs = made.selectExpr("*", "'x' AS weight", "1 AS kept", "'r' AS row", "2 AS key", "3 AS selected", "4 AS __source", "5 AS size", "6 AS salt")
+    ids = lambda df: sorted((str(r.doc_id) for r in df.collect()))
+    quality, lines, near, mixing, encoding = (f for _, f in cp.STAGES)
+    for stage in (quality, lines, near, mixing):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        assert stage(spark, docs.where("false"), "").collect() == []
+    assert ids(quality(spark, docs, "")) == ["1", "2", "2", "8", "9", "None", "None"]
+    assert ids(lines(spark, docs, "")) == ["1", "2", "2", "5", "6", "7", "8", "None", "None"]
+    assert ids(near(spark, docs, "")) == ["1", "2", "2", "5", "6", "7", "8", "None", "None"]
+    assert sorted(r.n_tokens > 0 for r in encoding(spark, docs, "").collect()) == [False, False, *[True] * 8]
+    assert encoding(spark, docs.where("false"), "").collect() == []
+
+
 def test_registered():
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")}

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from ..tables import give_back
 from .common import bound_batches, lean, table, to_arrow
 
 #: Bits of an id, and of a place in a window: an element of a fold's state is rank | place | id.
@@ -255,38 +256,45 @@ def cut_words(docs: DataFrame, ranks: dict[bytes, int], block_chars: int = BLOCK
     def run(batches):
         find, pieces = word_finder(pat), shared.value
         seen = Numbers()
-        known, size = 0, 0
+        size = 0
         ids: list = []
-        numbers: list[np.ndarray] = []
+        words: list[str] = []
+        counts: list[int] = []
+
+        def one(values: pa.Array) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
         def row():
-            new = [w.encode() for w in list(seen)[known:]] if known else [w.encode() for w in seen]
+            if len(seen) >= most_words:
+                seen.clear()
+            known = len(seen)
+            coded = pa.array(words, pa.large_string()).dictionary_encode()
+            own = coded.dictionary.to_pylist()
+            number = np.fromiter(map(seen.__getitem__, own), np.int32, len(own))
+            new = [w.encode() for w, n in zip(own, number.tolist()) if n >= known]
             parts = [1 if len(w) <= WINDOW or w in pieces else len(windows(w)) for w in new]
-            units = new if max(parts, default=1) == 1 else [u for w, n in zip(new, parts) for u in ([w] if n == 1 else windows(w))]
-            whole = [pieces.get(u, -1) if n == 1 else -1 for u, n in zip(units, parts)] if len(units) == len(new) else [pieces.get(w, -1) if n == 1 else -1 for w, n in zip(new, parts) for _ in range(n)]
+            whole = [pieces.get(w, -1) for w, n in zip(new, parts) for _ in range(n)]
+            units = [u for w, n in zip(new, parts) for u in ([w] if n == 1 else windows(w))]
             units = [u if k < 0 else b"\0" for u, k in zip(units, whole)]
             ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
             letters = np.frombuffer(b"".join(units), np.uint8).astype(np.int32)
             codes = letters << 8
             codes[:-1] |= letters[1:]
             codes[ends - 1] = letters[ends - 1] | 1 << 16
-            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(codes, pa.int32()))
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            made = (pa.array([known]), one(words), one(pa.array(whole, pa.int32())), one(pa.array(parts, pa.int32())), pa.array([ids], pa.list_(pa.int64())), one(pa.array([len(n) for n in numbers], pa.int32())), one(pa.array(np.concatenate(numbers))))
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(codes, pa.int32()))
+            made = (pa.array([known]), one(flat), one(pa.array(whole, pa.int32())), one(pa.array(parts, pa.int32())), pa.array([ids], pa.list_(pa.int64())), one(pa.array(counts, pa.int32())), one(pa.array(number[coded.indices.to_numpy()], pa.int32())))
             return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow)], schema=arrow)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not ids and len(seen) >= most_words:
-                    seen.clear()
-                    known = 0
-                words = find(text) if text else []
+                found = find(text) if text else []
                 ids.append(doc_id)
-                numbers.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+                words += found
+                counts.append(len(found))
                 size += len(text or "")
                 if size >= block_chars:
                     yield row()
-                    known, size, ids, numbers = len(seen), 0, [], []
+                    size, ids, words, counts = 0, [], [], []
         if ids:
             yield row()
 
@@ -345,7 +353,11 @@ def put_together(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """binary: the pieces of ``ids`` (array<int>), concatenated. A byte is the code point of its number while pieces are joined."""
-    pieces = F.split(F.lit("Ā".join(p.decode("latin-1") for p in ranks)), "Ā")  # in the order of their ranks
+    # One literal, split into the pieces by a string that they don't hold, in the order of their ranks.
+    texts, mark = [p.decode("latin-1") for p in ranks], "ÿþÿ"
+    while mark.join(texts).split(mark) != texts:
+        mark += "þÿ"
+    pieces = F.split(F.lit(mark.join(texts)), mark)
     return F.encode(_let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")), "ISO-8859-1")
 
 
@@ -368,6 +380,7 @@ def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", wi
         raise ValueError("the vocabulary has too many pieces")
     pairs = pair_table(ranks)
     blocks = cut_words(docs, ranks, block_chars, most_words)
+    give_back(spark)  # the literals below are large
     words = encode_words(F.col("words"), F.col("whole"), long_literal(spark, byte_table(ranks)), long_literal(spark, pairs), len(pairs))
     rows = put_together(blocks.select(words.alias("ids"), "known", "parts", "doc_ids", "counts", "numbers"), ranks)
     rows = rows.select("doc_id", "ids_sha256", "ids", decode(F.col("ids"), ranks).alias("decoded"))

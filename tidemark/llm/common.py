@@ -32,6 +32,23 @@ def small_side(df: DataFrame, row_bytes: int, rows: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: A key that holds more than one row in HOT is dealt to SALTS tasks. Fewer than HOT keys can be.
+HOT, SALTS = 1000, 64
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, vary: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group: ``groups`` has one row for each of ``keys`` (never null), and how many of ``total`` rows it has as ``size``.
+
+    A large group's rows are dealt by a hash of ``vary``, columns that differ within it, and its one row is sent to each part.
+    """
+    hot = F.col("size") * HOT > total
+    salts = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    few = groups.where(hot).select(*keys, F.lit(True).alias("__hot"))  # fewer than HOT rows
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*vary), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salted = rows.join(F.broadcast(few), keys, "left").withColumn("__salt", salt).drop("__hot")
+    return salted.join(groups.withColumn("__salt", salts).drop("size"), [*keys, "__salt"]).drop("__salt")
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded rows and bytes, unless the session has bounds of its own."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10000:

@@ -21,13 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_side, table
+from .common import cut, join_groups, small_side, table
 
 #: Lines of fewer code points are left alone (1: none), and the edit bound is 0 under NEAR_CHARS, where lines are near
 #: each other by chance, and 1 from there on.
 MIN_CHARS, NEAR_CHARS = 1, 20
-#: A line that holds more than one row in HOT is dealt to SALTS tasks. At most HOT lines can be.
-HOT, SALTS = 1000, 64
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -130,12 +128,8 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NE
     other = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other"))
     found = pairs.join(texts, ["h1", "h2"]).join(other, ["o1", "o2"]).where(_one_edit(F.col("line"), F.col("other"), F.col("at"), F.col("size"))).groupBy("h1", "h2").agg(F.min("of").alias("earlier"))
     total = distinct.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT > total
-    verdict = distinct.select("h1", "h2", "first", "n").join(cut(found, "found"), ["h1", "h2"], "left").withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
-    # Fewer than HOT lines can hold more than one row in HOT: this broadcast has a bound.
-    salted = lines.select("doc_id", "text_key", "line_no", "h1", "h2").join(F.broadcast(distinct.where(hot).select("h1", "h2", F.lit(True).alias("hot"))), ["h1", "h2"], "left")
-    salted = salted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS)).cast("int")).otherwise(0))
-    judged = salted.join(verdict, ["h1", "h2", "salt"])
+    verdict = distinct.select("h1", "h2", "first", F.col("n").alias("size")).join(cut(found, "found"), ["h1", "h2"], "left")
+    judged = join_groups(lines.select("doc_id", "text_key", "line_no", "h1", "h2"), verdict, ["h1", "h2"], total, ["doc_id", "line_no"])
     mine = F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))
     of = F.when(F.col("earlier").isNotNull(), F.col("earlier")).when(~mine, F.col("first"))
     return judged.select("doc_id", "text_key", "line_no", (mine & F.col("earlier").isNull()).alias("kept"), of["doc_id"].alias("of_doc"), of["line_no"].alias("of_line"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, map_batches, small_side, table, to_arrow
+from .common import WordHashes, cut, join_groups, map_batches, small_side, table, to_arrow
 from .components import components
 
 #: 35 bands of 5 minima: two sets of similarity 0.8 share no bucket with probability (1 - 0.8^5)^35 < 1e-6.
@@ -133,18 +133,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _as_links(label: DataFrame) -> DataFrame:
+    """Components as stars: what is joined later starts from them, not from all links again."""
+    return label.select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def _undecided(members: DataFrame, label: DataFrame) -> DataFrame:
     """Members (key, doc_id) with their component, of the buckets that hold more than one component."""
-    labelled = members.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    several = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("n")).where("p != q AND n > 2").select("key")
-    return cut(labelled.join(several, "key", "left_semi"), "rest")
+    labelled = cut(members.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
+    several = cut(labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("n")).where("p != q AND n > 2").select("key"), "several")
+    return cut(labelled.join(small_side(several, 16, several.count()), "key", "left_semi"), "rest")
 
 
 def _stars(members: DataFrame, turn: int) -> DataFrame:
     """Pairs of each bucket's members with one of them, another in each turn, where the components differ."""
     draw = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "component")
-    center = members.groupBy("key").agg(F.min(draw).alias("c"))
-    pairs = members.join(center, "key").where("component != c.component")
+    center = cut(members.groupBy("key").agg(F.min(draw).alias("c")), "centers")
+    pairs = members.join(small_side(center, 60, center.count()), "key").where("component != c.component")
     return pairs.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
 
 
@@ -210,25 +215,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = cut(signatures(docs, width, bands, rows), "signatures")
     linkable = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"))
-    members = linkable.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
+    classes = cut(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("size")), "classes")
     # One row for each bucket and class; buckets of one class are dropped before anything else is joined.
     banded = classes.select("rep", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut(banded.join(shared, "key"), "buckets")
+    shared = cut(banded.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    buckets = cut(banded.join(small_side(shared, 40, shared.count()), "key"), "buckets")
     stars = cut(buckets.where("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     ids = cut(stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     wanted = docs.join(small_side(ids, 16, ids.count()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = cut(shingle_sets(wanted, width), "sets")
     links = cut(verified(stars, sets, percent), "links")
-    rest = buckets.select("key", F.col("rep").alias("doc_id"))
+    rest, label = buckets.select("key", F.col("rep").alias("doc_id")), components(links)
     for turn in range(CENTERS):
-        rest = _undecided(rest, components(links))
+        rest = _undecided(rest, label)
         if turn + 1 < CENTERS:
-            links = cut(links.unionByName(verified(_stars(rest, turn), sets, percent)), "links")
-    more = _tiles(rest, sets, percent)
-    final = components(links.unionByName(more))
-    by_doc = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component"))
+            label = components(_as_links(label).unionByName(verified(_stars(rest, turn), sets, percent)))
+    final = components(_as_links(label).unionByName(_tiles(rest, sets, percent)))
+    # Components are found for classes; a class of very many copies is dealt to many tasks.
+    labelled = classes.select("set_key", "rep", "size").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"), "size")
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    by_doc = join_groups(linkable.select("doc_id", "set_key"), labelled, ["set_key"], total, ["doc_id"]).groupBy("doc_id").agg(F.min("component").alias("component"))
     return (
         signed.select("doc_id", "n_shingles")
         .join(by_doc, "doc_id", "left")

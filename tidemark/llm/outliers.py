@@ -40,6 +40,10 @@ MIN_GROUP = 50
 #: Concentration steps of all starts, starts that go on, and steps that these take at most (they end by themselves long before).
 SHORT, KEPT, MOST_STEPS = 2, 2, 100
 STARTS = 5
+#: A step that lowers no logarithm of a determinant by more than this is the last.
+CONVERGED = 1e-3
+#: Rows of one file of features: steps read these files over and over, and a row takes some 50 bytes.
+FILE_ROWS = 50_000
 #: Reweighting steps, and the squared distance of what they leave out: the 0.9999 quantile of chi-squared with five degrees.
 REWEIGHTS, FAR = 2, 25.745
 #: Squared distance from which a document is rejected. Clean text has longer tails than chi-squared: calibrated on labelled
@@ -159,10 +163,6 @@ def _quantiles(bins: DataFrame, share: float, width: float) -> DataFrame:
     return reached.groupBy("g", "k").agg(((F.min("bin") + 1) * width).alias("q"))
 
 
-def _by_feature(quantiles: DataFrame, name: str) -> DataFrame:
-    return quantiles.groupBy("g").agg(F.array(*(F.max(F.when(F.col("k") == i, F.col("q"))) for i in range(K))).alias(name))
-
-
 MOMENTS = ["n", *(f"s{i}" for i in range(K)), *(f"s{i}_{j}" for i in range(K) for j in range(i, K))]
 
 
@@ -208,14 +208,25 @@ def _starts(rows: DataFrame, n_groups: int) -> DataFrame:
     are (0: none), under tanh (1), as spatial signs (2), clipped at 1.5 (3), and clipped at 3 (4)."""
     every = np.arange(K, dtype=np.int32)
 
-    def counted(batch: pa.RecordBatch, values: np.ndarray) -> tuple[dict, dict]:
-        return {"g": np.repeat(np.asarray(batch.column("g")), K), "k": np.tile(every, batch.num_rows), "bin": np.floor(values / BIN).astype(np.int64).reshape(-1)}, {"n": np.ones(values.size, np.int64)}
+    def counted(batch: pa.RecordBatch) -> tuple[dict, dict]:
+        x = _features(batch)
+        return {"g": np.repeat(np.asarray(batch.column("g")), K), "k": np.tile(every, len(x)), "bin": np.floor(x / BIN).astype(np.int64).reshape(-1)}, {"n": np.ones(x.size, np.int64)}
+
+    def middle(values: np.ndarray, n: np.ndarray) -> float:
+        """The median of values that occur n times."""
+        order = np.argsort(values, kind="stable")
+        upto = np.cumsum(n[order])
+        return float(values[order][np.searchsorted(upto, -(-upto[-1] // 2))])
+
+    def spread_of(bins: pa.Table) -> pa.Table:
+        """A group's medians and deviations, from its bins: at most as many as the features have steps of BIN."""
+        k, at, n = (np.asarray(bins.column(c)) for c in ("k", "bin", "n"))
+        med = [middle((at[k == i] + 0.5) * BIN, n[k == i]) for i in range(K)]
+        mad = [middle(np.abs((at[k == i] + 0.5) * BIN - med[i]), n[k == i]) for i in range(K)]
+        doubles = pa.list_(pa.float64())
+        return pa.table({"g": pa.array([bins.column("g")[0].as_py()], pa.int64()), "med": pa.array([med], doubles), "scale": pa.array([np.maximum(1.4826 * np.array(mad), LEAST).tolist()], doubles)})
 
-    median = cut(_by_feature(_quantiles(_summed(rows, "g long, k int, bin long", ["n"], lambda b: counted(b, _features(b))), 0.5, BIN), "med"), "medians")
-    placed = rows.join(small_side(median, 100, n_groups), "g")
-    aside = _by_feature(_quantiles(_summed(placed, "g long, k int, bin long", ["n"], lambda b: counted(b, np.abs(_features(b) - _matrix(b, "med", K)))), 0.5, BIN), "mad")
-    scale = F.transform("mad", lambda x, i: F.greatest(x * 1.4826, F.get(F.array(*map(F.lit, LEAST)), i)))
-    spread = cut(median.join(aside.select("g", scale.alias("scale")), "g"), "spread")
+    spread = cut(_summed(rows, "g long, k int, bin long", ["n"], counted).groupBy("g").applyInArrow(spread_of, "g long, med array<double>, scale array<double>"), "spread")
 
     def transformed(batch: pa.RecordBatch) -> tuple[dict, dict]:
         z = (_features(batch) - _matrix(batch, "med", K)) / _matrix(batch, "scale", K)
@@ -280,7 +291,7 @@ def mcd(rows: DataFrame, raw: bool = False) -> DataFrame:
         if still.isEmpty():
             break
         new = _refit(rows, still, n * KEPT, None).select("g", "k", F.struct("n", "m", "inv", "logdet").alias("new"))
-        better = F.col("new.logdet") < F.col("logdet") - 1e-9  # no step raises the determinant: one that doesn't lower it is the last
+        better = F.col("new.logdet") < F.col("logdet") - CONVERGED  # no step raises the determinant
         take = [F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("n", "m", "inv", "logdet")]
         est = cut(est.join(small_side(new, 400, n * KEPT), ["g", "k"], "left").select("g", "k", *take, F.coalesce(better, F.lit(False)).alias("open")), "estimates")
     est = cut(est.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank", "open"), "estimates")
@@ -300,12 +311,13 @@ def _judged(spark: SparkSession, docs: DataFrame, row: list[Column]) -> DataFram
     counted = docs.select(*row, own.alias("own"), statistics(spark, "text").alias("stats"))
     stats = cut(with_features(counted.select(*(c for c in counted.columns if c != "stats"), "stats.*")), "statistics")
     sizes = cut(stats.where("NOT base_failed").groupBy("own").agg(F.count(F.lit(1)).alias("size")), "groups")
-    n, n_small = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("size") < MIN_GROUP).cast("int")), F.lit(0))).first()
+    n, n_small, passed = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("size") < MIN_GROUP).cast("int")), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     large = F.col("size") >= MIN_GROUP
     sized = stats.join(small_side(sizes, 40, n), "own", "left")
     # Where all groups are large, nothing asks for the estimates of all documents together.
     groups = F.when(large, F.array("own", F.lit(POOLED).cast("long")) if n_small else F.array("own")).otherwise(F.array(F.lit(POOLED).cast("long")))
-    rows = cut(sized.where("NOT base_failed").select(F.explode(groups).alias("g"), *FEATURES), "features")
+    files = max(2 * spark.sparkContext.defaultParallelism, -(-passed // FILE_ROWS))
+    rows = cut(sized.where("NOT base_failed").select(F.explode(groups).alias("g"), *FEATURES).coalesce(files), "features")
     est = mcd(rows)
     away = sized.withColumn("g", F.when(large, F.col("own")).otherwise(F.lit(POOLED).cast("long"))).join(small_side(est.select("g", "m", "inv"), 400, n + 1), "g", "left")
     distance = F.when(~F.col("base_failed"), F.round(_distance(), 6))
