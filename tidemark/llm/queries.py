@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_token_alignment
 from .bpe import op5_byte_bpe
 from .chat import OP2_SQL, op2_chat_perspectives
 from .linededup import OP10_SQL, op10_line_dedup
@@ -9,6 +10,8 @@ from .media import op1_media_columns
 from .minhash import op4_minhash_near_dedup
 from .mixing import op8_source_mixing
 from .outliers import op9_quality_rules
+from .periodic import op12_periodic_runs
+from .pieces import op13_sentencepiece
 from .secrets import op3_secret_scans
 from .token_counts import op6_token_counts
 from .toxicity import op7_toxicity
@@ -26,6 +29,9 @@ QUERIES = {
         op8_source_mixing,
         op9_quality_rules,
         op10_line_dedup,
+        op11_token_alignment,
+        op12_periodic_runs,
+        op13_sentencepiece,
     )
 }
 ORACLE_SQL = {"op2_chat_perspectives": OP2_SQL, "op10_line_dedup": OP10_SQL}
