@@ -23,18 +23,25 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
 from .bpe import Numbers
 from .bpe import _ragged as ragged
-from .common import BROADCAST_BYTES, bound_batches, cut, join_groups, lean, map_batches, table, to_arrow
+from .common import BROADCAST_BYTES, bound_batches, cut, free_shuffles, join_groups, lean, map_batches, table, to_arrow
 
 #: Code points of a block, unless one text is larger.
 BLOCK_CHARS = 16 << 20
-#: Where segments begin: a space behind a character that no definition calls white space.
-CUT = re.compile(r"(?<=[^\s\x85᠎​-‍⁠﻿])(?= )")
+#: What some definition calls white space, beside the space itself.
+WHITE = r"\s\x85\u1680\u180e\u200b-\u200d\u2060\ufeff"
+#: A segment: from a space on, up to a space behind a character that isn't white space.
+SEGMENT = re.compile(f" [^ ]*(?:(?<=[{WHITE}]) [^ ]*)*")
+#: Segments that are tokenised in one call: each ends in a character that isn't white space, so it stays by itself.
+TOGETHER = 512
+#: What follows a token: another one of its kind in the group, the second kind, the next group, nothing.
+MARKS = ",", "|", ";", ""
 SPACE = "▁"
 
 
@@ -85,41 +92,71 @@ def load_pieces(name: str):
     return processor, raw
 
 
-def align(a: list[int], b: list[int], a_raw: list[bytes], b_raw: list[bytes]) -> tuple[str, list[int], list[int], list[int]]:
-    """(groups as text, each group's end in bytes, and its last tokens) of two token sequences over the same bytes.
-
-    Groups end where tokens of both end. Tokens have bytes, so two tokens end together only if both are a group's last.
+def tokenise(segments: list[str], first: str, second: str) -> list[np.ndarray]:
+    """For both vocabularies the tokens of all segments, one after another, and the byte at which each ends."""
+    (one, a_raw), (two, b_raw) = load_bytes(first), load_pieces(second)
+    runs, joined = [], []
+    for s in segments:
+        if SEGMENT.match(s + " ").end() > len(s):  # ends in white space: by itself
+            runs += ["".join(joined), s]
+            joined = []
+        else:
+            joined.append(s)
+            if len(joined) == TOGETHER:
+                runs.append("".join(joined))
+                joined = []
+    runs = [r for r in (*runs, "".join(joined)) if r]
+    mark = two.piece_to_id(SPACE)  # of a last space alone
+    ids_a = [i for e in one.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids]
+    ids_b = [i for p in two.encode([r[1:] for r in runs], num_threads=1) for i in p or [mark]]
+    whole = "".join(runs).encode()
+    out = []
+    for ids, raw in ((ids_a, a_raw), (ids_b, b_raw)):
+        parts = [raw[i] for i in ids]
+        if b"".join(parts) != whole:
+            raise ValueError(f"a vocabulary changes one of the texts {segments[:5]!r} ...")
+        out += [np.array(ids, np.int64), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
+    return out
+
+
+def align(segments: list[str], first: str, second: str) -> dict[str, list | np.ndarray]:
+    """n_a, n_b, groups (as text) and the groups' ends of each segment.
+
+    A group ends where tokens of both end. Tokens have bytes, so two tokens end together only if both are a group's last.
     """
-    groups, ends, last_a, last_b = [], [], [], []
-    i = j = at = 0
-    while i < len(a):
-        i0, j0 = i, j
-        x, y = at + len(a_raw[a[i]]), at + len(b_raw[b[j]])
-        i, j = i + 1, j + 1
-        while x != y:
-            if x < y:
-                x += len(a_raw[a[i]])
-                i += 1
-            else:
-                y += len(b_raw[b[j]])
-                j += 1
-        at = x
-        groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-        ends.append(at)
-        last_a.append(a[i - 1])
-        last_b.append(b[j - 1])
-    return ";".join(groups), ends, last_a, last_b
+    a, end_a, b, end_b = tokenise(segments, first, second)
+    stop = np.cumsum([len(s.encode()) for s in segments])
+    cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+    if not np.isin(stop, cuts).all():
+        raise ValueError(f"tokens go on across segments in {segments[:5]!r} ...")
+    upto_a, upto_b = np.searchsorted(end_a, cuts, "right"), np.searchsorted(end_b, cuts, "right")
+    last = np.searchsorted(cuts, stop)  # each segment's last group
+    # Groups' tokens in one sequence: a group's first tokens, then its second ones, each with what follows it.
+    texts = np.empty(len(a) + len(b), object)
+    size_a, size_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+    follows_a, follows_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    follows_a[upto_a - 1] = 1
+    follows_b[upto_b - 1] = 2
+    follows_b[upto_b[last] - 1] = 3
+    for ids, follows, places in ((a, follows_a, np.arange(len(a)) + np.repeat(upto_b - size_b, size_a)), (b, follows_b, np.arange(len(b)) + np.repeat(upto_a, size_b))):
+        known, which = np.unique(4 * ids + follows, return_inverse=True)
+        texts[places] = np.array([f"{x >> 2}{MARKS[x & 3]}" for x in known.tolist()], object)[which]
+    n_a, n_b = np.diff(upto_a[last], prepend=0), np.diff(upto_b[last], prepend=0)
+    flat, at = texts.tolist(), np.concatenate([[0], upto_a[last] + upto_b[last]]).tolist()
+    begin = np.concatenate([[0], last + 1])
+    ends = cuts - np.repeat(np.concatenate([[0], stop[:-1]]), np.diff(begin))
+    return {"n_a": n_a, "n_b": n_b, "groups": ["".join(flat[x:y]) for x, y in zip(at, at[1:])], "ends": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ends, pa.int32()))}
 
 
 def cut_segments(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row a block: its distinct segments and how often they occur, and for each document how many segments it has, and which.
+    """One row a block: its distinct segments and how often they occur, and for each document how many segments it has, and which (compressed 32-bit numbers of all documents together).
 
     Null and empty texts, and those with the space mark itself, have none: the second vocabulary takes the mark for a space, so its tokens aren't the text.
     """
     spark = docs.sparkSession
     ship(spark)
     bound_batches(spark)
-    schema = "segments array<string>, occurs array<long>, doc_ids array<long>, counts array<int>, numbers array<int>"
+    schema = "segments array<string>, occurs array<long>, doc_ids array<long>, counts array<int>, numbers binary"
     arrow = to_arrow(schema)
 
     def run(batches):
@@ -128,12 +165,12 @@ def cut_segments(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         def row():
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             flat = np.array(numbers, np.int32)
-            made = (one(pa.array(own, pa.string())), one(pa.array(np.bincount(flat, minlength=len(own)), pa.int64())), pa.array([ids], pa.list_(pa.int64())), one(pa.array(counts, pa.int32())), one(pa.array(flat)))
+            made = (one(pa.array(own, pa.string())), one(pa.array(np.bincount(flat, minlength=len(own)), pa.int64())), pa.array([ids], pa.list_(pa.int64())), one(pa.array(counts, pa.int32())), pa.array([pa.compress(flat.tobytes(), "zstd", asbytes=True)], pa.binary()))
             return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow)], schema=arrow)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                segments = CUT.split(f" {text}") if text and SPACE not in text else []
+                segments = SEGMENT.findall(f" {text}") if text and SPACE not in text else []
                 ids.append(doc_id)
                 counts.append(len(segments))
                 numbers.extend(map(own.__getitem__, segments))
@@ -148,48 +185,37 @@ def cut_segments(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     return cut(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
-def align_segments(segments: DataFrame, first: str, second: str) -> DataFrame:
-    """segment, n -> with an id, the tokens of both as groups, their ends, and the tokens that end together as links."""
+def align_segments(segments: DataFrame, first: str, second: str, with_ends: bool) -> DataFrame:
+    """segment, n -> with the tokens of both as groups and, if asked for, the groups' ends."""
+    schema = "segment string, n long, n_a int, n_b int, groups string" + (", ends array<int>" if with_ends else "")
 
     def make():
-        (one, a_raw), (two, b_raw) = load_bytes(first), load_pieces(second)
-        mark = two.piece_to_id(SPACE)
-
-        def work(rows):
-            out = {k: [] for k in ("segment", "n", "n_a", "n_b", "groups", "ends", "links")}
-            encoded = one.encode_batch_fast(rows["segment"], add_special_tokens=False)
-            pieces = [p or [mark] for p in two.encode([s[1:] for s in rows["segment"]], num_threads=1)]  # a last space alone is its mark
-            for segment, n, a, b in zip(rows["segment"], rows["n"], (e.ids for e in encoded), pieces):
-                raw = segment.encode()
-                if b"".join(map(a_raw.__getitem__, a)) != raw or b"".join(map(b_raw.__getitem__, b)) != raw:
-                    raise ValueError(f"a vocabulary changes the text {segment[:80]!r}")
-                groups, ends, last_a, last_b = align(a, b, a_raw, b_raw)
-                for k, v in zip(out, (segment, n, len(a), len(b), groups, ends, [{"a": x, "b": y} for x, y in zip(last_a, last_b)])):
-                    out[k].append(v)
-            return out
-
-        return work
-
-    rows = map_batches(segments, ["segment", "n"], make, "segment string, n long, n_a int, n_b int, groups string, ends array<int>, links array<struct<a:int,b:int>>")
-    return cut(rows.withColumn("id", F.monotonically_increasing_id()), "aligned")
-
-
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """a, b, count (links that hold the pair, over the whole corpus), best (no other a has a greater count with b), size (rows of ``aligned`` links)."""
-    pairs = aligned.select("n", F.explode("links").alias("x")).groupBy("x.a", "x.b").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("size"))
+        return lambda rows: rows | align(rows["segment"], first, second) if rows["segment"] else rows | {k: [] for k in ("n_a", "n_b", "groups", "ends")}
+
+    return cut(map_batches(segments, ["segment", "n"], make, schema), "aligned")
+
+
+def links(aligned: DataFrame) -> DataFrame:
+    """segment, n, a, b: of each group the last tokens, which end together."""
+    groups = aligned.select("segment", "n", F.explode(F.split("groups", ";")).alias("g")).select("segment", "n", F.split("g", r"[|]").alias("g"))
+    return groups.select("segment", "n", *(F.substring_index(F.get("g", F.lit(i)), ",", -1).cast("int").alias(name) for i, name in enumerate("ab")))
+
+
+def pair_counts(linked: DataFrame) -> DataFrame:
+    """a, b, count (links that hold the pair, over the whole corpus), best (no other a has a greater count with b), size (rows of ``linked``)."""
+    pairs = linked.groupBy("a", "b").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("size"))
     most = pairs.groupBy("b").agg(F.max("count").alias("most"))  # as many rows as the second vocabulary has pieces at most
     return cut(pairs.join(F.broadcast(most), "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("int").alias("best"), "size"), "pairs")
 
 
-def weigh(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, n_links, n_best and count_sum of each aligned segment."""
+def weigh(linked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """segment, n_links, n_best and count_sum of each aligned segment."""
     n_pairs, total = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    links = aligned.select("id", F.explode("links").alias("x")).select("id", "x.a", "x.b")
     if n_pairs * 40 <= BROADCAST_BYTES:
-        met = links.join(F.broadcast(pairs.drop("size")), ["a", "b"])
+        met = linked.join(F.broadcast(pairs.drop("size")), ["a", "b"])
     else:
-        met = join_groups(links, pairs, ["a", "b"], total, ["id"])
-    return met.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n_links"), F.sum("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
+        met = join_groups(linked, pairs, ["a", "b"], total, ["segment"])
+    return met.groupBy("segment").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -201,13 +227,15 @@ def compose(blocks: DataFrame, rows: DataFrame, with_ends: bool) -> DataFrame:
     arrow = to_arrow(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc_ids, counts, numbers = (left.column(c).combine_chunks().flatten() for c in ("doc_ids", "counts", "numbers"))
+        doc_ids, counts = (left.column(c).combine_chunks().flatten() for c in ("doc_ids", "counts"))
         right = right.sort_by("no").combine_chunks()
-        counts, numbers = counts.to_numpy().astype(np.int64), numbers.to_numpy()
+        counts = counts.to_numpy().astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(counts)])
+        numbers = np.frombuffer(pa.decompress(left.column("numbers")[0].as_py(), int(4 * upto[-1]), "zstd"), np.int32)
+        of = {c: right.column(c).to_numpy() for c in SUMS if c != "n_groups"} | {"n_groups": pc.count_substring(right.column("groups"), "|").to_numpy()}
         out = [doc_ids]
         for c in SUMS:
-            running = np.concatenate([[0], np.cumsum(right.column(c).to_numpy()[numbers], dtype=np.int64)])
+            running = np.concatenate([[0], np.cumsum(of[c][numbers], dtype=np.int64)])
             out.append(pa.array(running[upto[1:]] - running[upto[:-1]], pa.int64()))
         groups, own = right.column("groups").to_pylist(), numbers.tolist()
         out.append(pa.array([";".join([groups[i] for i in own[x:y]]) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.string()))
@@ -237,11 +265,11 @@ def align_tokens(docs: DataFrame, first: str = "byte_bpe_50k.json", second: str
     """
     blocks = cut_segments(docs, block_chars)
     listed = blocks.select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("segments", "occurs")).alias("no", "x")).select("of", "no", F.col("x.segments").alias("segment"), F.col("x.occurs").alias("n"))
-    aligned = align_segments(listed.groupBy("segment").agg(F.sum("n").alias("n")), first, second)
-    weights = weigh(aligned, pair_counts(aligned))
-    kept = ["n_a", "n_b", F.size("links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups", *(["ends"] if with_ends else [])]
-    known = aligned.join(weights, "id").select("segment", *kept)
-    rows = listed.drop("n").join(known, "segment").drop("segment")
+    aligned = align_segments(listed.groupBy("segment").agg(F.sum("n").alias("n")), first, second, with_ends)
+    linked = links(aligned)
+    weights = weigh(linked, pair_counts(linked))
+    free_shuffles(docs.sparkSession)
+    rows = listed.drop("n").join(aligned.drop("n"), "segment").join(weights, "segment").drop("segment")
     return compose(blocks, rows, with_ends)
 
 

@@ -57,6 +57,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over: it does so once the driver has collected what referred to them."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` with Arrow on the system's allocator and freed memory given back at the end: Python workers stay alive between tasks."""
 
