@@ -82,6 +82,19 @@ def test_users_pieces_stay_whole_and_words_that_may_not_be_cut():
     assert [across.pieces[i] for i in pc.encode_word(across, "▁a▁a")[0]] == ["▁", "a▁", "a"]
 
 
+def test_words_together_are_as_words_alone():
+    model, r = pc.load_model(NAME), random.Random(3)
+    words = ["▁" * r.randrange(3) + "".join(r.choice("abehlnorst\nÖ中.1😀\t") for _ in range(r.randrange(1, r.choice([4, 12, 60])))) for _ in range(3000)]
+    counts, ids, sizes = pc.encode_many(model, words)
+    at = 0
+    for w, n in zip(words, counts.tolist()):
+        assert (ids[at : at + n].tolist(), sizes[at : at + n].tolist()) == pc.encode_word(model, w), w
+        at += n
+    assert [len(x) for x in pc.encode_many(model, [])] == [0, 0, 0]
+    small = model_of([("<unk>", 2), ("▁", 1), ("a", 1)])
+    assert pc.encode_many(small, ["▁aa", "▁b"])[1].tolist() == [1, 2, 2, 1, 0]
+
+
 def test_whole_small_table(spark, sf, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = {r.doc_id: r for r in pc.op13_sentencepiece(spark, sf).collect()}

@@ -7,7 +7,7 @@ is recorded, so a piece, which is a number of code points of the result, project
 
 The normalised text is cut before each run of U+2581 if no piece of the vocabulary holds one after another character: then no
 merge can cross the cut, and since merges within a word don't depend on others, words are encoded once per task. A word's neighbours are
-joined in the order of scores, leftmost first; characters that are no piece become byte pieces.
+joined in the order of scores, leftmost first, in short words for thousands at once; characters that are no piece become byte pieces.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,18 @@ class Model:
         safe = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if safe else r"(?s:.+)").findall
         self.raw = [self._raw(i) for i in range(len(self.pieces))]
+        # For many words at once: each character's id, and each pair's place in the order of scores, by sorted keys.
+        size = len(self.pieces)
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+        for b in range(128 if self.byte_fallback else 0):
+            if self.of_char[b] < 0:
+                self.of_char[b] = self.byte_ids[b]
+        order = {score: k for k, score in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
+        pairs = [(x * size + y, order[self.scores[i]], i) for p, i in self.ids.items() for k in range(1, len(p)) if (x := self.ids.get(p[:k])) is not None and (y := self.ids.get(p[k:])) is not None]
+        self.keys, self.ranks, self.joined = np.array(sorted(pairs), np.int64).reshape(-1, 3).T.copy()
 
     def _raw(self, i: int) -> bytes:
         kind, piece = self.kinds[i], self.pieces[i]
@@ -267,6 +280,72 @@ def encode_word(model: Model, word: str) -> tuple[list[int], list[int]]:
     return out, sizes
 
 
+#: Longest words that are encoded many at once, and how many.
+SHORT, MANY = 48, 4096
+NEVER = 1 << 40
+
+
+def encode_many(model: Model, words: list[str]) -> list[np.ndarray]:
+    """(number of ids of each word; all ids; all ids' code points). Short words go through the merges together, one merge of each word a round."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(lengths) - lengths
+    chars = model.of_char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].astype(np.int64)
+    plain = (lengths <= SHORT) & (np.minimum.reduceat(chars, starts) >= 0) & (model.own is None) if len(words) else np.zeros(0, bool)
+    together = np.argsort(lengths, kind="stable")
+    together, alone = together[plain[together]], np.flatnonzero(~plain)
+    done = []
+    for at in range(0, len(together), MANY):
+        some = together[at : at + MANY]
+        places = np.minimum(starts[some][:, None] + np.arange(lengths[some[-1]]), len(chars) - 1)
+        done.append(_merge_rounds(model, chars[places], lengths[some]))
+    for i in alone.tolist():
+        ids, sizes = encode_word(model, words[i])
+        done.append(tuple(np.array(x, np.int64) for x in ([len(ids)], ids, sizes)))
+    counts, ids, sizes = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *done))
+    order = np.argsort(np.concatenate([together, alone]))
+    at = ragged((np.cumsum(counts) - counts)[order], counts[order]).astype(np.int64)
+    return [counts[order], ids[at], sizes[at]]
+
+
+def _merge_rounds(model: Model, chars: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of ids of each word, all ids, all ids' code points) of words given by rows of their characters' ids."""
+    width, size = chars.shape[1], len(model.pieces)
+    inside = np.arange(width) < lengths[:, None]
+    ids = np.full((len(chars), width + 1), -1, np.int64)
+    ids[:, :width][inside] = chars[inside]
+    behind, before = (np.tile(np.arange(width + 1) + d, (len(chars), 1)) for d in (1, -1))
+
+    def look(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (NEVER if it can't be joined) and what it is joined to."""
+        key = a * size + b
+        at = np.minimum(np.searchsorted(model.keys, key), max(len(model.keys) - 1, 0))
+        fits = (model.keys[at] == key) & (a >= 0) & (b >= 0) if len(model.keys) else np.zeros(key.shape, bool)
+        return (np.where(fits, model.ranks[at], NEVER), model.joined[at]) if len(model.keys) else (np.full(key.shape, NEVER), key)
+
+    rank, into = look(ids[:, :-1], ids[:, 1:])
+    rows = np.arange(len(chars))
+    while len(rows):
+        i = rank[rows].argmin(1)  # the leftmost of equal ones
+        more = rank[rows, i] < NEVER
+        rows, i = rows[more], i[more]
+        j = behind[rows, i]
+        k = behind[rows, j]
+        ids[rows, i], ids[rows, j] = into[rows, i], -1
+        behind[rows, i] = k
+        before[rows, k] = i
+        rank[rows, j] = NEVER
+        rank[rows, i], into[rows, i] = look(ids[rows, i], ids[rows, k])
+        left = before[rows, i] >= 0
+        r, b = rows[left], before[rows, i][left]
+        rank[r, b], into[r, b] = look(ids[r, b], ids[r, i[left]])
+    alive = (ids[:, :width] >= 0) & inside
+    place = np.nonzero(alive)[1]
+    counts = alive.sum(1)
+    ends = np.append(place[1:], 0)
+    ends[np.cumsum(counts) - 1] = lengths
+    return counts, ids[:, :width][alive], ends - place
+
+
 def decode(model: Model, ids: list[int]) -> str:
     """The text of ``ids``: one space that the prefix put in front goes, bytes that are no UTF-8 become U+FFFD each."""
     first, at = b"", 0
@@ -310,15 +389,14 @@ def replaced(raw: bytes) -> str:
 
 
 class Words(dict):
-    """word -> its number; what new words are encoded to is noted."""
+    """word -> its number; new words are noted."""
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.new: list[tuple[list[int], list[int]]] = []
+    def __init__(self):
+        self.new: list[str] = []
         self.count = 0
 
     def __missing__(self, word: str) -> int:
-        self.new.append(encode_word(self.model, word))
+        self.new.append(word)
         self.count += 1
         if len(word) <= MOST_CHARS:
             self[word] = self.count - 1
@@ -337,20 +415,18 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", with_span
 
     def make():
         m = load_model(model)
-        words = Words(m)
+        words = Words()
         flat, size, length = (np.zeros(0, np.int64) for _ in range(3))  # ids and code points of all words, and ids of each word
 
         def work(rows):
             nonlocal words, flat, size, length
             if words.count > MOST_WORDS:
-                words, flat, size, length = Words(m), *(np.zeros(0, np.int64) for _ in range(3))
+                words, flat, size, length = Words(), *(np.zeros(0, np.int64) for _ in range(3))
             source = [normalise(m, t or "") for t in rows["text"]]
             found = [m.words(t) for t, _ in source]
-            number = np.fromiter((words[w] for f in found for w in f), np.int64, sum(map(len, found)))
-            new, words.new = words.new, []
-            length = np.concatenate([length, np.array([len(i) for i, _ in new], np.int64)])
-            flat = np.concatenate([flat, np.array([x for i, _ in new for x in i], np.int64)])
-            size = np.concatenate([size, np.array([x for _, s in new for x in s], np.int64)])
+            number = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
+            new, words.new = encode_many(m, words.new), []
+            length, flat, size = (np.concatenate(x) for x in zip((length, flat, size), new))
             at = ragged((np.cumsum(length) - length)[number], length[number]).astype(np.int64)
             ids, sizes = flat[at], size[at]
             upto = np.concatenate([[0], np.cumsum(length[number])])[np.cumsum([0, *map(len, found)])]
