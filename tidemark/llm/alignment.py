@@ -119,8 +119,8 @@ def tokenise(segments: list[str], first: str, second: str) -> list[np.ndarray]:
     return out
 
 
-def align(segments: list[str], first: str, second: str) -> dict[str, list | np.ndarray]:
-    """n_a, n_b, groups (as text) and the groups' ends of each segment.
+def align(segments: list[str], first: str, second: str) -> dict[str, list | pa.Array]:
+    """Of each segment the tokens as ``pack`` has them, the tokens that end together as links, and the groups' ends.
 
     A group ends where tokens of both end. Tokens have bytes, so two tokens end together only if both are a group's last.
     """
@@ -132,20 +132,33 @@ def align(segments: list[str], first: str, second: str) -> dict[str, list | np.n
     upto_a, upto_b = np.searchsorted(end_a, cuts, "right"), np.searchsorted(end_b, cuts, "right")
     last = np.searchsorted(cuts, stop)  # each segment's last group
     # Groups' tokens in one sequence: a group's first tokens, then its second ones, each with what follows it.
-    texts = np.empty(len(a) + len(b), object)
     size_a, size_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
-    follows_a, follows_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    follows_a[upto_a - 1] = 1
-    follows_b[upto_b - 1] = 2
-    follows_b[upto_b[last] - 1] = 3
-    for ids, follows, places in ((a, follows_a, np.arange(len(a)) + np.repeat(upto_b - size_b, size_a)), (b, follows_b, np.arange(len(b)) + np.repeat(upto_a, size_b))):
-        known, which = np.unique(4 * ids + follows, return_inverse=True)
-        texts[places] = np.array([f"{x >> 2}{MARKS[x & 3]}" for x in known.tolist()], object)[which]
-    n_a, n_b = np.diff(upto_a[last], prepend=0), np.diff(upto_b[last], prepend=0)
-    flat, at = texts.tolist(), np.concatenate([[0], upto_a[last] + upto_b[last]]).tolist()
-    begin = np.concatenate([[0], last + 1])
-    ends = cuts - np.repeat(np.concatenate([[0], stop[:-1]]), np.diff(begin))
-    return {"n_a": n_a, "n_b": n_b, "groups": ["".join(flat[x:y]) for x, y in zip(at, at[1:])], "ends": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ends, pa.int32()))}
+    coded_a, coded_b = 4 * a, 4 * b
+    coded_a[upto_a - 1] += 1
+    coded_b[upto_b - 1] += 2
+    coded_b[upto_b[last] - 1] += 1
+    coded = np.empty(len(a) + len(b), np.int64)
+    coded[np.arange(len(a)) + np.repeat(upto_b - size_b, size_a)] = coded_a
+    coded[np.arange(len(b)) + np.repeat(upto_a, size_b)] = coded_b
+    begin = pa.array(np.concatenate([[0], last + 1]), pa.int32())
+    pairs = pa.StructArray.from_arrays([pa.array(x[upto - 1], pa.int32()) for x, upto in ((a, upto_a), (b, upto_b))], ["a", "b"])
+    ends = cuts - np.repeat(np.concatenate([[0], stop[:-1]]), np.diff(last, prepend=-1))
+    return {"tokens": pack(coded, upto_a[last] + upto_b[last]), "links": pa.ListArray.from_arrays(begin, pairs), "ends": pa.ListArray.from_arrays(begin, pa.array(ends, pa.int32()))}
+
+
+def pack(coded: np.ndarray, upto: np.ndarray) -> list[bytes]:
+    """Numbers 4 * id + place in MARKS, three bytes each, by segments that end at ``upto``."""
+    if len(coded) and coded.max() >= 1 << 24:
+        raise ValueError("ids from 2^22 on don't fit")
+    raw = coded.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    at = np.concatenate([[0], 3 * upto]).tolist()
+    return [raw[x:y] for x, y in zip(at, at[1:])]
+
+
+def unpack(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all segments, how many each segment has)."""
+    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
+    return raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, pc.binary_length(packed).to_numpy().astype(np.int64) // 3
 
 
 def cut_segments(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -186,21 +199,15 @@ def cut_segments(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 
 def align_segments(segments: DataFrame, first: str, second: str, with_ends: bool) -> DataFrame:
-    """segment, n -> with the tokens of both as groups and, if asked for, the groups' ends."""
-    schema = "segment string, n long, n_a int, n_b int, groups string" + (", ends array<int>" if with_ends else "")
+    """segment, n -> with packed tokens, links and, if asked for, the groups' ends."""
+    schema = "segment string, n long, tokens binary, links array<struct<a:int,b:int>>" + (", ends array<int>" if with_ends else "")
 
     def make():
-        return lambda rows: rows | align(rows["segment"], first, second) if rows["segment"] else rows | {k: [] for k in ("n_a", "n_b", "groups", "ends")}
+        return lambda rows: rows | align(rows["segment"], first, second) if rows["segment"] else rows | {k: [] for k in ("tokens", "links", "ends")}
 
     return cut(map_batches(segments, ["segment", "n"], make, schema), "aligned")
 
 
-def links(aligned: DataFrame) -> DataFrame:
-    """segment, n, a, b: of each group the last tokens, which end together."""
-    groups = aligned.select("segment", "n", F.explode(F.split("groups", ";")).alias("g")).select("segment", "n", F.split("g", r"[|]").alias("g"))
-    return groups.select("segment", "n", *(F.substring_index(F.get("g", F.lit(i)), ",", -1).cast("int").alias(name) for i, name in enumerate("ab")))
-
-
 def pair_counts(linked: DataFrame) -> DataFrame:
     """a, b, count (links that hold the pair, over the whole corpus), best (no other a has a greater count with b), size (rows of ``linked``)."""
     pairs = linked.groupBy("a", "b").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("size"))
@@ -209,20 +216,20 @@ def pair_counts(linked: DataFrame) -> DataFrame:
 
 
 def weigh(linked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """segment, n_links, n_best and count_sum of each aligned segment."""
+    """segment, n_best and count_sum of each aligned segment."""
     n_pairs, total = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     if n_pairs * 40 <= BROADCAST_BYTES:
         met = linked.join(F.broadcast(pairs.drop("size")), ["a", "b"])
     else:
         met = join_groups(linked, pairs, ["a", "b"], total, ["segment"])
-    return met.groupBy("segment").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    return met.groupBy("segment").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 def compose(blocks: DataFrame, rows: DataFrame, with_ends: bool) -> DataFrame:
-    """Each block's documents from its segments' rows (of: the block, no, SUMS, groups, ends)."""
+    """Each block's documents from its segments' rows (of: the block, no, tokens, n_best, count_sum, ends)."""
     schema = f"doc_id long, {', '.join(f'{c} long' for c in SUMS)}, groups string" + (", ends array<long>" if with_ends else "")
     arrow = to_arrow(schema)
 
@@ -232,12 +239,23 @@ def compose(blocks: DataFrame, rows: DataFrame, with_ends: bool) -> DataFrame:
         counts = counts.to_numpy().astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(counts)])
         numbers = np.frombuffer(pa.decompress(left.column("numbers")[0].as_py(), int(4 * upto[-1]), "zstd"), np.int32)
-        of = {c: right.column(c).to_numpy() for c in SUMS if c != "n_groups"} | {"n_groups": pc.count_substring(right.column("groups"), "|").to_numpy()}
+        coded, size = unpack(right.column("tokens"))
+        place = coded & 3
+        stop = np.cumsum(size)
+        of = {c: right.column(c).to_numpy() for c in ("n_best", "count_sum")}
+        # A group's second tokens are those behind its bar, up to its end; each group links its last two tokens.
+        for c, marked in (("n_b", np.cumsum((place == 1).astype(np.int8) - (place >= 2), dtype=np.int64) + (place >= 2)), ("n_groups", place == 1)):
+            running = np.concatenate([[0], np.cumsum(marked if c == "n_groups" else marked - (place == 1), dtype=np.int64)])
+            of[c] = running[stop] - running[stop - size]
+        of["n_a"], of["n_links"] = size - of["n_b"], of["n_groups"]
         out = [doc_ids]
         for c in SUMS:
             running = np.concatenate([[0], np.cumsum(of[c][numbers], dtype=np.int64)])
             out.append(pa.array(running[upto[1:]] - running[upto[:-1]], pa.int64()))
-        groups, own = right.column("groups").to_pylist(), numbers.tolist()
+        known, which = np.unique(coded, return_inverse=True)
+        words = np.array([f"{x >> 2}{MARKS[x & 3]}" for x in known.tolist()], object)[which].tolist()
+        groups, own = ["".join(words[x:y]) for x, y in zip((stop - size).tolist(), stop.tolist())], numbers.tolist()
+        del words
         out.append(pa.array([";".join([groups[i] for i in own[x:y]]) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.string()))
         if with_ends:
             edges = right.column("ends").combine_chunks()
@@ -266,10 +284,10 @@ def align_tokens(docs: DataFrame, first: str = "byte_bpe_50k.json", second: str
     blocks = cut_segments(docs, block_chars)
     listed = blocks.select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("segments", "occurs")).alias("no", "x")).select("of", "no", F.col("x.segments").alias("segment"), F.col("x.occurs").alias("n"))
     aligned = align_segments(listed.groupBy("segment").agg(F.sum("n").alias("n")), first, second, with_ends)
-    linked = links(aligned)
+    linked = aligned.select("segment", "n", F.explode("links").alias("x")).select("segment", "n", "x.a", "x.b")
     weights = weigh(linked, pair_counts(linked))
     free_shuffles(docs.sparkSession)
-    rows = listed.drop("n").join(aligned.drop("n"), "segment").join(weights, "segment").drop("segment")
+    rows = listed.drop("n").join(aligned.drop("n", "links"), "segment").join(weights, "segment").drop("segment")
     return compose(blocks, rows, with_ends)
 
 
