@@ -15,6 +15,7 @@ from .operators import graph as gr
 from .operators import islands as isl
 from .operators import joins as jn
 from .operators import kmers as km
+from .operators import ranges as rg
 from .operators import reads as rd
 from .operators import variants as va
 from .operators.sweep import as_bed
@@ -323,14 +324,13 @@ def low_coverage(spark, sf_dir):
 
 @query(f"""WITH {_READS}, t AS ({fx.TRUTH_SQL}) SELECT t.ord, count(*) AS n, min(aln_start) AS first, max(aln_end) AS last FROM mapped r JOIN t ON r.contig = t.contig AND r.aln_start <= t.stop AND t.start <= r.aln_end GROUP BY t.ord""")
 def overlap_join(spark, sf_dir):
-    pairs = jn.overlap_join(ca.as_intervals(fx.reads(spark, sf_dir)), fx.truth(spark, sf_dir))
-    return pairs.groupBy(F.col("b.ord").alias("ord")).agg(F.count(F.lit(1)).alias("n"), F.min("a.start").alias("first"), F.max("a.stop").alias("last"))
+    return rg.aggregate_ranges(fx.truth(spark, sf_dir), ca.as_intervals(fx.reads(spark, sf_dir))).where("n > 0").select("ord", "n", "first", "last")
 
 
 @query(f"""WITH {_READS}, t AS ({fx.TRUTH_SQL}) SELECT t.ord, count(*) AS n, sum(aln_end - aln_start)::BIGINT AS bases FROM mapped r JOIN t ON r.contig = t.contig AND r.aln_start >= t.start AND r.aln_end <= t.stop GROUP BY t.ord""")
 def containment_join(spark, sf_dir):
-    pairs = jn.overlap_join(ca.as_intervals(fx.reads(spark, sf_dir)), fx.truth(spark, sf_dir), how="within")
-    return pairs.groupBy(F.col("b.ord").alias("ord")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a.stop") - F.col("a.start")).alias("bases"))
+    bases = {"bases": F.col("stop") - F.col("start")}
+    return rg.aggregate_ranges(fx.truth(spark, sf_dir), ca.as_intervals(fx.reads(spark, sf_dir)), bases, within=True).where("n > 0").select("ord", "n", "bases")
 
 
 _JUMPS = f"{_PREV}, j AS (SELECT contig, start AS pos, value - pvalue AS value FROM p WHERE pstop = start AND abs(value - pvalue) >= 3)"
@@ -346,7 +346,7 @@ _BRIDGE = """near AS (SELECT DISTINCT contig, start, stop FROM rng),
     FROM t JOIN j ON t.contig = j.contig AND j.pos BETWEEN t.start AND t.stop) SELECT contig, start, stop, ord, pos, value FROM pairs WHERE rn = 1""")
 def range_argmax(spark, sf_dir):
     points = ed.jumps(coverage(spark, sf_dir), 3).select("contig", F.col("start").alias("pos"), F.col("height").alias("value"))
-    return jn.argmax_in_range(fx.truth(spark, sf_dir), points).select("contig", "start", "stop", "ord", "best.pos", "best.value")
+    return rg.argmax_in_range(fx.truth(spark, sf_dir), points).select("contig", "start", "stop", "ord", "best.pos", "best.value")
 
 
 @query(f"""{_COVERAGE}, rng AS ({fx.TRUTH_SQL}), {_merge_sql('SELECT contig, start, stop FROM coverage WHERE value >= 30')}, bridges AS (SELECT * FROM merged), {_BRIDGE} SELECT contig, start, stop, ord, b_from, b_to FROM bridged""")

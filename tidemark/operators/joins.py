@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..tables import cut
 from .ordered import with_last
+from .ranges import argmax_in_range, first_in_range
 
 #: Positions of one bin of a range join. An interval is copied to every bin that it touches, so bins should be no
 #: smaller than usual intervals; pairs meet once, in the bin where the later of the two starts lies.
@@ -32,24 +33,6 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "overlap", bin_wi
     return a.join(b, meet & over & once & inside).select("a", "b")
 
 
-def argmax_in_range(ranges: DataFrame, points: DataFrame, bin_width: int = BIN) -> DataFrame:
-    """For each range (contig, start, stop, ...) the point (contig, pos, value) of largest value in it, the first if equal.
-
-    Ranges without a point are left out. ``best`` is the struct (pos, value).
-    """
-    spans = points.select("contig", F.col("pos").alias("start"), F.col("pos").alias("stop"), "value")
-    pairs = overlap_join(ranges, spans, bin_width=bin_width)
-    best = pairs.groupBy("a").agg(F.max(F.struct(F.col("b.value").alias("value"), (-F.col("b.start")).alias("back"))).alias("m"))
-    return best.select("a.*", F.struct((-F.col("m.back")).alias("pos"), F.col("m.value").alias("value")).alias("best"))
-
-
-def first_in_range(ranges: DataFrame, points: DataFrame, bin_width: int = BIN) -> DataFrame:
-    """For each range the first of the points (contig, start, stop) that begin in it, as struct ``first``; ranges without one are left out."""
-    spans = points.select("contig", "start", F.col("start").alias("stop"), F.col("stop").alias("__stop"))
-    pairs = overlap_join(ranges, spans, bin_width=bin_width)
-    return pairs.groupBy("a").agg(F.min(F.struct(F.col("b.start").alias("start"), F.col("b.__stop").alias("stop"))).alias("first")).select("a.*", "first")
-
-
 def last_before(ranges: DataFrame, points: DataFrame) -> DataFrame:
     """For each range the last of the points (contig, start, stop) that begin before it, as struct ``last`` (null without one)."""
     none = F.lit(None).cast("struct<start:bigint,stop:bigint>")

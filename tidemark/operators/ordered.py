@@ -40,28 +40,36 @@ def with_context(
     after: dict[str, list[str]] | None = None,
     sums: dict[str, Column] | None = None,
     last: dict[str, str] | None = None,
+    greatest: dict[str, Column] | None = None,
+    least: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add, within ``keys`` by ``order`` (total, ``pos`` first), under each name: ``before`` and ``after`` the struct of these columns
     of the row before or behind (null at the end), ``sums`` the sum of these values up to and with the row, ``last`` the last
-    value of the column that isn't null up to and with the row. Rows with a null ``pos`` sort into a bin of their own, first.
+    value of the column that isn't null up to and with the row, ``greatest`` the largest value up to and with the row, ``least``
+    the least value from the row on. Rows with a null ``pos`` sort into a bin of their own, first.
     """
-    before, after, sums, last = before or {}, after or {}, sums or {}, last or {}
-    rows = _binned(df, pos, width).withColumns({f"__v_{n}": v for n, v in sums.items()})
+    before, after, sums, last, greatest, least = (x or {} for x in (before, after, sums, last, greatest, least))
+    valued = sums | greatest | least
+    rows = _binned(df, pos, width).withColumns({f"__v_{n}": v for n, v in valued.items()})
     inside = W.partitionBy(*keys, "__bin").orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     edge = {n: F.max(F.struct(*order, F.struct(*c).alias("__c"))) for n, c in before.items()} | {n: F.min(F.struct(*order, F.struct(*c).alias("__c"))) for n, c in after.items()}
     edge |= {n: F.sum(f"__v_{n}") for n in sums} | {n: F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("__c")))) for n, c in last.items()}
+    edge |= {n: F.max(f"__v_{n}") for n in greatest} | {n: F.min(f"__v_{n}") for n in least}
     bins = rows.groupBy(*keys, "__bin").agg(*(x.alias(f"__e_{n}") for n, x in edge.items()))
     across = W.partitionBy(*keys).orderBy("__bin")
-    prior = across.rowsBetween(W.unboundedPreceding, -1)
+    prior, later = across.rowsBetween(W.unboundedPreceding, -1), across.rowsBetween(1, W.unboundedFollowing)
     carried = {n: F.lag(f"__e_{n}.__c").over(across) for n in before} | {n: F.lead(f"__e_{n}.__c").over(across) for n in after}
     carried |= {n: F.coalesce(F.sum(f"__e_{n}").over(prior), F.lit(0)) for n in sums} | {n: F.last(f"__e_{n}.__c", ignorenulls=True).over(prior) for n in last}
+    carried |= {n: F.max(f"__e_{n}").over(prior) for n in greatest} | {n: F.min(f"__e_{n}").over(later) for n in least}
     bins = bins.select(*keys, "__bin", *(x.alias(f"__x_{n}") for n, x in carried.items()))
     within = {n: F.lag(F.struct(*c)).over(inside) for n, c in before.items()} | {n: F.lead(F.struct(*c)).over(inside) for n, c in after.items()}
     within |= {n: F.sum(f"__v_{n}").over(upto) for n in sums} | {n: F.last(c, ignorenulls=True).over(upto) for n, c in last.items()}
-    rows = rows.withColumns({f"__i_{n}": x for n, x in within.items()}).drop(*(f"__v_{n}" for n in sums))
+    within |= {n: F.max(f"__v_{n}").over(upto) for n in greatest} | {n: F.min(f"__v_{n}").over(inside.rowsBetween(0, W.unboundedFollowing)) for n in least}
+    rows = rows.withColumns({f"__i_{n}": x for n, x in within.items()}).drop(*(f"__v_{n}" for n in valued))
     joined = _join_bins(rows, bins, keys)
-    made = {n: F.col(f"__i_{n}") + F.col(f"__x_{n}") if n in sums else F.coalesce(f"__i_{n}", f"__x_{n}") for n in carried}
+    joint = {n: F.greatest for n in greatest} | {n: F.least for n in least} | {n: lambda i, x: F.col(i) + F.col(x) for n in sums}
+    made = {n: joint.get(n, F.coalesce)(f"__i_{n}", f"__x_{n}") for n in carried}
     return joined.withColumns(made).drop(*(f"__{p}_{n}" for n in carried for p in "ix"))
 
 
