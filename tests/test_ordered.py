@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import edges as ed
 from tidemark.operators import islands as isl
 from tidemark.operators import joins as jn
+from tidemark.operators import ranges as rg
 from tidemark.operators.ordered import with_last, with_neighbour, with_running_sum
 from tidemark.operators.sweep import as_bed, depth
 
@@ -128,7 +129,9 @@ def fill_fold(rows):
     return sorted(out)
 
 
-def test_fill(spark):
+@pytest.mark.parametrize("width", [7, 64, 1 << 16])
+def test_fill(spark, width):
+    """Ranges apart, touching and overlapping; chains in which each decision is the contrary of the one before, over many bins."""
     r, rows = random.Random(5), []
     for c in ("c1", "c2", "c3"):
         at = 0
@@ -136,8 +139,11 @@ def test_fill(spark):
             a = at + r.randrange(0, 6)
             at = a + r.randrange(1, 9)
             rows.append((c, a, at, r.randrange(3)))
+    rows += [("chain", 10 * i, 10 * i + 6 - i % 2, i % 5) for i in range(100)]
+    rows += [("long", 10 * i, 10 * i + 5, i) for i in range(60)]
+    rows += [(f"mixed{k}", a, b, v) for k in range(6) for _, a, b, v in intervals(60, k, value=True)]
     df = spark.createDataFrame(rows, INTERVALS + ", value long")
-    assert sorted(map(tuple, isl.fill_missing(df).collect())) == fill_fold(rows)
+    assert sorted(map(tuple, isl.fill_missing(df, width=width).collect())) == fill_fold(rows)
     tie = [("c", 0, 4, 1), ("c", 6, 10, 2), ("c", 12, 14, 2), ("c", 20, 40, 3)]
     assert sorted(map(tuple, isl.fill_missing(spark.createDataFrame(tie, INTERVALS + ", value long")).collect())) == [("c", 0, 6, 1), ("c", 6, 14, 2), ("c", 14, 40, 3)]
     assert isl.fill_missing(spark.createDataFrame([], INTERVALS + ", value long")).collect() == []
@@ -156,7 +162,7 @@ def test_overlap_join_by_bins(spark, width):
 def test_argmax_takes_the_first_of_equals(spark):
     ranges = spark.createDataFrame([("c", 0, 10), ("c", 20, 30)], INTERVALS)
     points = spark.createDataFrame([("c", 3, 5), ("c", 2, 5), ("c", 10, 4), ("c", 31, 9), ("d", 1, 9)], "contig string, pos long, value long")
-    assert [(r.start, r.best.pos, r.best.value) for r in jn.argmax_in_range(ranges, points).collect()] == [(0, 2, 5)]
+    assert [(r.start, r.best.pos, r.best.value) for r in rg.argmax_in_range(ranges, points).collect()] == [(0, 2, 5)]
 
 
 def test_bridges(spark):

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import cut
-from .ordered import WIDTH, with_context, with_islands, with_neighbour, with_running_sum
+from .ordered import WIDTH, with_context, with_islands, with_last, with_neighbour, with_running_sum
 
 KEYS = ["contig"]
 
@@ -80,37 +79,31 @@ def intersect(a: DataFrame, b: DataFrame, keys: list[str] = KEYS, width: int = W
     return nexted.where("open = 2").select(*keys, F.col("pos").alias("start"), F.col("next.pos").alias("stop"))
 
 
-def fill_missing(ranges: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def fill_missing(ranges: DataFrame, keys: list[str] = KEYS, width: int = WIDTH) -> DataFrame:
     """Fill gaps between neighbouring ranges (by start): equal values join over the gap, else the longer range takes it, the left one if equal.
 
-    A range's length counts what it took before, so each step depends on the one before: one ordered pass per key. The pass
-    holds one range; a key's rows stream through it in batches, sorted by Spark.
+    A range's length counts what it took before, so each step depends on the one before. But a run of equal values either
+    took the gap in front or didn't, and having taken it only makes the run longer. So whether the next run takes the gap
+    in front of it either doesn't depend on that, or is its contrary: a run takes its gap as the last run before it did
+    that was decided by itself, or contrary to that if an odd number of runs lies between. Windows in bins tell all that.
     """
-    types = {f.name: f.dataType.simpleString() for f in ranges.schema.fields}
-    columns = [*keys, "start", "stop", "value"]
-    ddl = ", ".join(f"{c} {types[c]}" for c in columns)
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-                key, (start, stop, value) = row[: len(keys)], row[len(keys) :]
-                if held is None or held[0] != key:
-                    if held:
-                        out.append((*held[0], *held[1:]))
-                    held = [key, start, stop, value]
-                elif held[3] == value:
-                    held[2] = stop
-                elif held[2] - held[1] >= stop - start:
-                    out.append((*held[0], held[1], max(start, held[2]), held[3]))
-                    held = [key, start, stop, value]
-                else:
-                    out.append((*held[0], *held[1:]))
-                    held = [key, min(held[2], start), stop, value]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], batch.schema.field(c).type) for i, c in enumerate(columns)], names=columns)
-        if held:
-            last = pa.RecordBatch.from_arrays([pa.array([x], batch.schema.field(c).type) for x, c in zip((*held[0], *held[1:]), columns)], names=columns)
-            yield last
-
-    return ranges.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "start", "stop").mapInArrow(run, ddl)
+    order = ["start", "stop", "value"]
+    rows = _numbered(ranges.select(*keys, *order), keys, order, lambda prev: ~prev["value"].eqNullSafe(F.col("value")), ["value"], width)
+    ends = rows.groupBy(*keys, "island").agg(F.min(F.struct("start", "stop")).alias("a"), F.max(F.struct("start", "stop")).alias("b"), F.first("value").alias("value"))
+    # Of each run the first row's start and stop, and the last row's stop.
+    runs = cut(ends.select(*keys, "island", F.col("a.start").alias("start"), F.col("a.stop").alias("own"), F.col("b.stop").alias("stop"), "value"), "runs")
+    order = ["start", "island"]
+    runs = with_neighbour(runs, keys, order, ["stop"], "start", "prev", width=width)
+    early = F.coalesce(F.least("prev.stop", "start"), F.col("start"))  # where the run begins if it takes the gap
+    runs = runs.withColumn("early", early).withColumn("short", F.col("stop") - F.col("start")).withColumn("long", F.col("stop") - F.col("early"))
+    runs = with_context(runs, keys, order, "start", width, before={"left": ["short", "long"]}, after={"next": ["start", "own"]})
+    length = F.col("own") - F.col("start")
+    # Taken if the run on the left is shorter than this one's first row; null where that depends on what the left one took.
+    decided = F.when(F.col("left").isNull() | (F.col("left.short") >= length), 0).when(F.col("left.long") < length, 1)
+    runs = runs.withColumn("decided", F.when(decided.isNotNull(), F.struct(decided.alias("taken"), F.col("island").alias("at"))))
+    runs = with_last(cut(runs, "decided"), keys, order, "decided", "start", "known", width)
+    taken = (F.col("known.taken") + F.col("island") - F.col("known.at")) % 2 == 1
+    start, held = F.when(taken, F.col("early")).otherwise(F.col("start")), F.when(taken, F.col("long")).otherwise(F.col("short"))
+    given = F.col("next").isNull() | (held < F.col("next.own") - F.col("next.start"))
+    stop = F.when(given, F.col("stop")).otherwise(F.greatest("next.start", "stop"))
+    return runs.select(*keys, start.alias("start"), stop.alias("stop"), "value")

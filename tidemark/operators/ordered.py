@@ -58,14 +58,17 @@ def with_context(
     edge |= {n: F.max(f"__v_{n}") for n in greatest} | {n: F.min(f"__v_{n}") for n in least}
     bins = rows.groupBy(*keys, "__bin").agg(*(x.alias(f"__e_{n}") for n, x in edge.items()))
     across = W.partitionBy(*keys).orderBy("__bin")
-    prior, later = across.rowsBetween(W.unboundedPreceding, -1), across.rowsBetween(1, W.unboundedFollowing)
+    prior = across.rowsBetween(W.unboundedPreceding, -1)
+    # Frames that end at the last row are computed anew for each row; running the other way they aren't.
+    later = W.partitionBy(*keys).orderBy(F.col("__bin").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    onward = W.partitionBy(*keys, "__bin").orderBy(*(F.col(c).desc_nulls_last() for c in order)).rowsBetween(W.unboundedPreceding, 0)
     carried = {n: F.lag(f"__e_{n}.__c").over(across) for n in before} | {n: F.lead(f"__e_{n}.__c").over(across) for n in after}
     carried |= {n: F.coalesce(F.sum(f"__e_{n}").over(prior), F.lit(0)) for n in sums} | {n: F.last(f"__e_{n}.__c", ignorenulls=True).over(prior) for n in last}
     carried |= {n: F.max(f"__e_{n}").over(prior) for n in greatest} | {n: F.min(f"__e_{n}").over(later) for n in least}
     bins = bins.select(*keys, "__bin", *(x.alias(f"__x_{n}") for n, x in carried.items()))
     within = {n: F.lag(F.struct(*c)).over(inside) for n, c in before.items()} | {n: F.lead(F.struct(*c)).over(inside) for n, c in after.items()}
     within |= {n: F.sum(f"__v_{n}").over(upto) for n in sums} | {n: F.last(c, ignorenulls=True).over(upto) for n, c in last.items()}
-    within |= {n: F.max(f"__v_{n}").over(upto) for n in greatest} | {n: F.min(f"__v_{n}").over(inside.rowsBetween(0, W.unboundedFollowing)) for n in least}
+    within |= {n: F.max(f"__v_{n}").over(upto) for n in greatest} | {n: F.min(f"__v_{n}").over(onward) for n in least}
     rows = rows.withColumns({f"__i_{n}": x for n, x in within.items()}).drop(*(f"__v_{n}" for n in valued))
     joined = _join_bins(rows, bins, keys)
     joint = {n: F.greatest for n in greatest} | {n: F.least for n in least} | {n: lambda i, x: F.col(i) + F.col(x) for n in sums}
