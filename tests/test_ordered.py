@@ -159,6 +159,23 @@ def test_overlap_join_by_bins(spark, width):
     assert within == sorted((x, y) for x in a for y in b if x[0] == y[0] and x[1] <= x[2] and y[1] <= x[1] and x[2] <= y[2])
 
 
+def test_overlap_join_of_all_lengths(spark):
+    """Lengths from 1 to 10^8, bins dealt to several tasks, repeated rows, nulls; and how many places an interval has."""
+    r = random.Random(7)
+    rows = lambda n: [(r.choice("cd"), s := r.choice([r.randrange(-100, 2000), r.randrange(10**8)]), s + r.randrange(10 ** r.randrange(9)), i) for i in range(n)]  # noqa: E731, F841
+    a, b = rows(150), rows(150)
+    a, b = [*a, *a[:3], ("c", 0, 249_999_999, -1), (None, 1, 2, -2), ("c", None, 2, -3), ("c", 5, 4, -4)], [*b, *b[:3], ("c", 3, None, -5)]
+    schema = INTERVALS + ", i long"
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    sound = lambda x: None not in x and x[1] <= x[2]
+    for how in ("overlap", "within"):
+        got = sorted((tuple(x.a), tuple(x.b)) for x in jn.overlap_join(left, right, how, most=5).collect())
+        assert got == sorted((x, y) for x in a for y in b if sound(x) and sound(y) and x[0] == y[0] and ((x[1] <= y[2] and y[1] <= x[2]) if how == "overlap" else (y[1] <= x[1] and x[2] <= y[2])))
+    homes = jn.in_bins(left, True).where("part = 1").groupBy("item.i").count()
+    assert homes.agg(F.max("count")).first()[0] <= 4  # a repeated row's two copies, in two bins each
+    assert homes.where("i = -1").first()["count"] <= 2
+
+
 def test_argmax_takes_the_first_of_equals(spark):
     ranges = spark.createDataFrame([("c", 0, 10), ("c", 20, 30)], INTERVALS)
     points = spark.createDataFrame([("c", 3, 5), ("c", 2, 5), ("c", 10, 4), ("c", 31, 9), ("d", 1, 9)], "contig string, pos long, value long")

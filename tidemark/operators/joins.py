@@ -1,4 +1,4 @@
-"""Interval joins: overlap and containment by bins, argmax within a range, as-of lookups."""
+"""Interval joins: overlap and containment by bins of several sizes, as-of lookups."""
 
 from __future__ import annotations
 
@@ -9,28 +9,62 @@ from ..tables import cut
 from .ordered import with_last
 from .ranges import argmax_in_range, first_in_range
 
-#: Positions of one bin of a range join. An interval is copied to every bin that it touches, so bins should be no
-#: smaller than usual intervals; pairs meet once, in the bin where the later of the two starts lies.
+#: Positions of one bin where starts are looked up in bins of one size.
 BIN = 1 << 10
+#: Positions of the finest bins of an overlap join, by how much the next level's are larger, and number of levels.
+FINEST, FACTOR, LEVELS = 1 << 6, 8, 13
+#: Left rows of one bin that one task joins.
+MOST = 100_000
 
 
-def overlap_join(left: DataFrame, right: DataFrame, how: str = "overlap", bin_width: int = BIN) -> DataFrame:
-    """Pairs of rows (as structs ``a`` and ``b``) of one contig whose closed [start, stop] overlap; ``how="within"``: a lies in b.
+def _width(level: Column, finest: int) -> Column:
+    return F.element_at(F.array(*(F.lit(finest * FACTOR**k) for k in range(LEVELS))), level + 1)
+
 
-    The bins make it an equi-join on (contig, bin), so a long contig spreads over many tasks. Rows with stop before start
-    or nulls meet nothing.
+def in_bins(df: DataFrame, left: bool, finest: int = FINEST) -> DataFrame:
+    """Rows (item, contig, part, level, bin) of an overlap join's side: where each interval is to meet the other side's.
+
+    An interval is at home on the first level whose bins are as long as it is, so in two bins at most. Two intervals meet
+    at the home of the longer one, where the other one is a guest: part 1 has left homes and their right guests (of the same
+    level or less), part 2 right homes and their left guests (of a lower level). Rows with nulls or with stop before start are left out.
     """
-    bins = F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("stop") / bin_width))
+    rows = df.where("contig IS NOT NULL AND start <= stop").select(F.struct(*df.columns).alias("item"), "contig", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    long_as = F.array(*(F.lit(finest * FACTOR**k) for k in range(LEVELS - 1)))
+    rows = rows.withColumn("home", F.size(F.filter(long_as, lambda w: w < F.col("stop") - F.col("start") + 1)))
+    at_home = [(1, F.lit(True))] if left else [(1, F.lit(True)), (2, F.lit(True))]
+    guest = 2 if left else 1
+
+    def places(level: Column) -> Column:
+        w = _width(level, finest)
+        bins = F.sequence(F.floor(F.col("start") / w), F.floor(F.col("stop") / w))
+        own = F.array(*(F.lit(p) for p, _ in at_home))
+        parts = F.when(level == F.col("home"), own).otherwise(F.array(F.lit(guest)))
+        return F.flatten(F.transform(parts, lambda p: F.transform(bins, lambda b: F.struct(p.alias("part"), level.alias("level"), b.alias("bin")))))
 
-    def dealt(df: DataFrame, name: str) -> DataFrame:
-        return df.where("start <= stop").select(F.struct(*df.columns).alias(name), F.col("contig").alias(f"{name}_contig"), F.explode(bins).alias(f"{name}_bin"))
+    every = F.flatten(F.transform(F.sequence("home", F.lit(LEVELS - 1)), places))
+    return rows.select("item", "contig", "home", F.explode(every).alias("x")).select("item", "contig", "home", "x.part", "x.level", "x.bin")
 
-    a, b = dealt(left, "a"), dealt(right, "b")
-    meet = (F.col("a_contig") == F.col("b_contig")) & (F.col("a_bin") == F.col("b_bin"))
+
+def overlap_join(left: DataFrame, right: DataFrame, how: str = "overlap", bin_width: int = FINEST, most: int = MOST) -> DataFrame:
+    """Pairs of rows (as structs ``a`` and ``b``) of one contig whose closed [start, stop] overlap; ``how="within"``: a lies in b.
+
+    Intervals meet in bins that fit the longer one (``in_bins``), so it is an equi-join however lengths differ. A bin with more
+    than ``most`` left rows is dealt to several tasks by a hash of them, with its right rows in each; left rows that are
+    equal in all columns stay together. Rows with stop before start or nulls meet nothing.
+    """
+    keys = ["contig", "part", "level", "bin"]
+    a, b = in_bins(left, True, bin_width), in_bins(right, False, bin_width)
+    # Only levels that are some interval's home are visited: part 1 has left homes, part 2 right ones. A few rows.
+    homes = a.where("part = 1").select("part", "level").distinct().unionByName(b.where("part = 2").select("part", "level").distinct())
+    a, b = (x.drop("home").join(F.broadcast(homes), ["part", "level"]) for x in (a, b))
+    hot = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("tasks"))
+    a = a.join(hot, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("item"), F.col("tasks")).cast("int"), F.lit(0))).drop("tasks")
+    b = b.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
+    a, b = a.withColumnRenamed("item", "a"), b.withColumnRenamed("item", "b")
     over = (F.col("a.start") <= F.col("b.stop")) & (F.col("b.start") <= F.col("a.stop"))
-    once = F.col("a_bin") == F.floor(F.greatest("a.start", "b.start") / bin_width)
+    once = F.col("bin") == F.floor(F.greatest("a.start", "b.start") / _width(F.col("level"), bin_width))
     inside = (F.col("a.start") >= F.col("b.start")) & (F.col("a.stop") <= F.col("b.stop")) if how == "within" else F.lit(True)
-    return a.join(b, meet & over & once & inside).select("a", "b")
+    return a.join(b, [*keys, "salt"]).where(over & once & inside).select("a", "b")
 
 
 def last_before(ranges: DataFrame, points: DataFrame) -> DataFrame:
