@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import cut
-from .ordered import with_last
-from .ranges import argmax_in_range, first_in_range
+from .ranges import RANGE, argmax_in_range, points_around
 
 #: Positions of one bin where starts are looked up in bins of one size.
 BIN = 1 << 10
@@ -67,34 +66,19 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "overlap", bin_wi
     return a.join(b, [*keys, "salt"]).where(over & once & inside).select("a", "b")
 
 
-def last_before(ranges: DataFrame, points: DataFrame) -> DataFrame:
-    """For each range the last of the points (contig, start, stop) that begin before it, as struct ``last`` (null without one)."""
-    none = F.lit(None).cast("struct<start:bigint,stop:bigint>")
-    tagged = points.select("contig", F.col("start").cast("long").alias("pos"), F.lit(1).alias("kind"), F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).alias("p"), F.lit(None).cast(ranges_type(ranges)).alias("r"))
-    asked = ranges.select("contig", F.col("start").cast("long").alias("pos"), F.lit(0).alias("kind"), none.alias("p"), F.struct(*ranges.columns).alias("r"))
-    seen = with_last(asked.unionByName(tagged), ["contig"], ["pos", "kind", "p"], "p", "pos", "last")
-    return seen.where("r IS NOT NULL").select("r.*", "last")
-
-
-def ranges_type(df: DataFrame) -> str:
-    return df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType.simpleString()
-
-
 def bridge(ranges: DataFrame, bridges: DataFrame) -> DataFrame:
     """For each range (contig, start, stop, ...) the bridge that meets it, as (from, to).
 
     That is the first bridge that begins in the range; else the last one that begins before it, if it reaches the range's
     start: then (the range's middle, the bridge's stop). Ranges that no bridge meets are left out.
     """
-    # Both sides are read by several branches: they are written down.
+    # Ranges and bridges are read several times: they are written down.
     ranges, bridges = cut(ranges, "ranges"), cut(bridges.select("contig", "start", "stop"), "bridges")
-    keyed = ranges.select("contig", "start", "stop").distinct()
-    inside = first_in_range(keyed, bridges)
-    before = last_before(keyed, bridges).where("last.stop >= start")
-    both = keyed.join(inside, ["contig", "start", "stop"], "left").join(before, ["contig", "start", "stop"], "left")
+    both = points_around(ranges, bridges)
+    both = both.select(*RANGE, F.when(F.col("first.start") <= F.col("stop"), F.col("first")).alias("first"), F.when(F.col("prior.stop") >= F.col("start"), F.col("prior")).alias("last"))
     middle = F.expr("start + (stop - start) div 2")
-    found = both.select("contig", "start", "stop", F.when(F.col("first").isNotNull(), F.struct(F.col("first.start").cast("long").alias("from"), F.col("first.stop").cast("long").alias("to"))).when(F.col("last").isNotNull(), F.struct(middle.cast("long").alias("from"), F.col("last.stop").cast("long").alias("to"))).alias("bridge")).where("bridge IS NOT NULL")
-    return ranges.join(found, ["contig", "start", "stop"])
+    found = both.select(*RANGE, F.when(F.col("first").isNotNull(), F.struct(F.col("first.start").cast("long").alias("from"), F.col("first.stop").cast("long").alias("to"))).when(F.col("last").isNotNull(), F.struct(middle.cast("long").alias("from"), F.col("last.stop").cast("long").alias("to"))).alias("bridge")).where("bridge IS NOT NULL")
+    return ranges.join(found, RANGE)
 
 
 def started_bridged_ended(starters: DataFrame, enders: DataFrame, bridges: DataFrame, around: int = 5) -> DataFrame:
@@ -103,7 +87,7 @@ def started_bridged_ended(starters: DataFrame, enders: DataFrame, bridges: DataF
     A bridge is looked up around the starter, the ender around what the bridge covers. start may lie behind stop.
     """
     near = starters.select("contig", (F.col("pos") - around).alias("start"), (F.col("pos") + around).alias("stop"), F.col("pos").alias("starter"))
-    over = bridge(near, bridges).select("contig", F.col("bridge.from").alias("start"), (F.col("bridge.to") + around).alias("stop"), "starter")
+    over = cut(bridge(near, bridges).select("contig", F.col("bridge.from").alias("start"), (F.col("bridge.to") + around).alias("stop"), "starter"), "bridged")
     return argmax_in_range(over, enders).select("contig", F.col("starter").alias("start"), F.col("best.pos").alias("stop"))
 
 

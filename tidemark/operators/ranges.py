@@ -107,12 +107,18 @@ def argmax_in_range(ranges: DataFrame, points: DataFrame) -> DataFrame:
     return ranges.join(found, RANGE).select(*(ranges[c] for c in ranges.columns), F.struct((-F.col("m.back")).alias("pos"), F.col("m.value").alias("value")).alias("best"))
 
 
-def first_in_range(ranges: DataFrame, points: DataFrame, width: int = WIDTH) -> DataFrame:
-    """For each range the first of the points (contig, start, stop) that begin in it, as struct ``first``; ranges without one are left out."""
+def points_around(ranges: DataFrame, points: DataFrame, width: int = WIDTH) -> DataFrame:
+    """contig, start and stop of each range once, with the structs (start, stop) ``first``: the first of the points (contig, start, stop)
+    that begins at the range's start or behind it, wherever that is, and ``prior``: the last one that begins before it; null without one.
+    """
     none = F.lit(None).cast("long")
     own = points.where("contig IS NOT NULL AND start IS NOT NULL").select("contig", F.col("start").cast("long").alias("pos"), F.lit(1).alias("kind"), none.alias("until"), F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).alias("p"))
-    own = own.groupBy("contig", "pos", "kind", "until").agg(F.min("p").alias("p"))
     keyed = ranges.where("start <= stop").select("contig", F.col("start").cast("long").alias("pos"), F.lit(0).alias("kind"), F.col("stop").cast("long").alias("until")).distinct()
     asked = keyed.withColumn("p", F.lit(None).cast("struct<start:bigint,stop:bigint>"))
-    seen = with_context(own.unionByName(asked), ["contig"], ["pos", "kind", "until"], "pos", width, least={"first": F.col("p")}).where("kind = 0 AND first.start <= until")
-    return ranges.join(seen.select("contig", F.col("pos").alias("start"), F.col("until").alias("stop"), "first"), RANGE)
+    seen = with_context(own.unionByName(asked), ["contig"], ["pos", "kind", "until", "p"], "pos", width, last={"prior": "p"}, least={"first": F.col("p")})
+    return seen.where("kind = 0").select("contig", F.col("pos").alias("start"), F.col("until").alias("stop"), "first", "prior")
+
+
+def first_in_range(ranges: DataFrame, points: DataFrame, width: int = WIDTH) -> DataFrame:
+    """For each range the first of the points (contig, start, stop) that begin in it, as struct ``first``; ranges without one are left out."""
+    return ranges.join(points_around(ranges, points, width).where("first.start <= stop").drop("prior"), RANGE)
