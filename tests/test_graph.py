@@ -156,8 +156,8 @@ def test_reassembly(spark):
     rows = [(f"q{i}", "c", 1 + s, s + 24, 1 + s, 60, genome[s : s + 24]) for i, s in enumerate([*range(0, 13, 3)] * 5)]
     reads = spark.createDataFrame(rows, "qname string, contig string, aln_start int, aln_end int, unclipped_start int, mapq int, seq string")
     parameters = ra.Parameters(k=15)
-    found = spark.createDataFrame(ra.haplotypes(reads, "c", 1, 36, parameters, deepest=50).collect(), "seq string, pos int, mean_weight double")
-    assert [(x.seq, x.pos) for x in found.collect()] == [(genome, 1)]
-    assert [(x.seq, x.pos) for x in ra.best_contig(reads, "c", 1, 36, parameters).collect()] == [(genome, 1)]
-    out = ra.as_reads(found, spark.createDataFrame([(genome,)], "seq string"), "c", 1).collect()
+    found = spark.createDataFrame(ra.haplotypes(reads, "c", 1, 36, parameters, deepest=50).collect(), "seq string, pos int, stop int, mean_weight double")
+    assert [(x.seq, x.pos, x.stop) for x in found.collect()] == [(genome, 1, 36)]
+    assert [(x.seq, x.pos, x.stop) for x in ra.best_contig(reads, "c", 1, 36, parameters).collect()] == [(genome, 1, 36)]
+    out = ra.as_reads(found, spark.createDataFrame([("c", genome)], "name string, seq string"), "c").collect()
     assert [(x.cigar, x.mapq, x.aln_start) for x in out] == [("36M", 60, 1)]

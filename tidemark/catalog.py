@@ -888,7 +888,7 @@ def _short_reads(spark, sf_dir):
 
 @query()
 def haplotypes(spark, sf_dir):
-    return ra.haplotypes(_short_reads(spark, sf_dir), "chr1", 90, 110, ra.Parameters(k=9)).withColumn("mean_weight", F.round("mean_weight", 6))
+    return ra.haplotypes(_short_reads(spark, sf_dir), "chr1", 98, 106, ra.Parameters(k=9)).withColumn("mean_weight", F.round("mean_weight", 6))
 
 
 @query()
