@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import __spark_entry__ as entry
 import corpus_pipeline as cp
 from tidemark.llm import queries
@@ -20,7 +22,10 @@ def test_stages_and_run(spark, sf):
 
 def test_stages_on_odd_rows(spark):
     """Nulls in any column, repeats, empty and blank texts, columns with clashing names, and an empty table."""
-    good = lambda k: "\n".join(f"line {i} of text {k} tells something about number {i * k + k} and more words to fill it up" for i in range(12))
+    def good(k):
+        r = random.Random(k)
+        return "\n".join(" ".join("".join(r.choice("abdeginorstu") for _ in range(r.randrange(2, 9))) for _ in range(12)) + "." for _ in range(12))
+
     rows = [(1, good(1)), (2, good(2)), (2, good(2)), (None, good(3)), (None, good(4)), (5, None), (6, ""), (7, " \n "), (8, good(5)), (9, good(5))]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     made = spark.createDataFrame([(i, t, [None, "*", ""][k % 3], None, len(t or "")) for k, (i, t) in enumerate(rows)], schema)
