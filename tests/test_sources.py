@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import gzip
+import random
 import struct
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
 from tidemark import cli
 from tidemark.operators import reads as rd
+from tidemark.sources import bam as bm
 from tidemark.sources import bed, fasta, sam
 from tidemark.sources.text import path_exists, read_lines
 
@@ -26,7 +29,7 @@ def block(data):
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(raw) + 25) + raw + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def bam():
+def bam_data():
     head = SAM[: SAM.index("r1")].encode()
     out = b"BAM\1" + struct.pack("<i", len(head)) + head + struct.pack("<i", 3)
     for name, size in ((b"chr1", 1000), (b"chrUn", 50), (b"X", 70)):
@@ -41,6 +44,11 @@ def bam():
     out += record("r1", 99, 0, 11, 60, [(2, "S"), (8, "M")], 0, 101, 100, "ACGTACGTAC", b"XXZa\0NMC\x02")
     out += record("r1", 147, 0, 101, 60, [(4, "M"), (2, "D"), (4, "M"), (3, "H")], 0, 11, -100, "ACGTACGT")
     out += record("r2", 4, -1, 0, 0, [], -1, 0, 0, "AC")
+    return out
+
+
+def bam():
+    out = bam_data()
     return block(out[:100]) + block(out[100:]) + block(b"")
 
 
@@ -73,8 +81,8 @@ def test_bam_as_sam(spark, tmp_path):
     (tmp_path / "x.bam").write_bytes(bam())
     columns = [c for c in sam.read_sam(spark, str(tmp_path / "x.sam")).columns if c not in ("file_ord", "mate_start", "aln_start", "aln_end", "unclipped_start", "unclipped_end")]
     want = [str(r) for r in sam.read_sam(spark, str(tmp_path / "x.sam")).orderBy("file_ord").select(columns).collect()]
-    assert [str(r) for r in sam.read_bam(spark, str(tmp_path / "x.bam")).orderBy("file_ord").select(columns).collect()] == want
-    spark.dataSource.register(sam.BamSource)
+    assert [str(r) for r in bm.read_bam(spark, str(tmp_path / "x.bam")).orderBy("file_ord").select(columns).collect()] == want
+    spark.dataSource.register(bm.BamSource)
     raw = spark.read.format("bam").load(str(tmp_path / "x.bam")).orderBy("file_ord").collect()
     assert [(r.qname, r.flag, r.cigar, r.nm) for r in raw] == [("r1", 99, "2S8M", 2), ("r1", 147, "4M2D4M3H", None), ("r2", 4, "*", None)]
 
@@ -132,3 +140,119 @@ def test_regions_paths_and_warnings(spark, tmp_path):
         cli.main(["extract-region", "-i", path, "-o", str(tmp_path / "none"), "-r", "chr7"])
     bed.write_warnings(spark.createDataFrame([("chr1", 5, 9)], "contig string, start long, stop long"), str(tmp_path / "w"))
     assert [r.value for r in spark.read.text(str(tmp_path / "w")).collect()] == ["chr1\t5\t9\tlow¬coverage"]
+
+
+def many_reads(spark, n=4000, seed=3):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        size = r.choice([0, 1, 35, 150, 151])
+        seq = "".join(r.choice("ACGTN") for _ in range(size)) or "*"
+        qual = "".join(chr(33 + r.randrange(60)) for _ in range(size)) if size and r.random() < 0.8 else "*"
+        contig = r.choice(["chr1", "chr1", "chr2", "*"])
+        start = 0 if contig == "*" else r.randrange(1, 3_000_000)
+        cigar = "*" if contig == "*" or not size else r.choice([f"{size}M", f"{size}M200000N5M", f"3S{size}M2D"])
+        rows.append((i, f"read{i}", r.randrange(4096), contig, start, r.randrange(61), cigar, r.choice(["chr1", "chr2", "*"]), r.randrange(9000), r.randrange(-500, 500), seq, qual, r.choice([None, 0, 7])))
+    return spark.createDataFrame(rows, sam.RAW)
+
+
+CONTIGS = [("chr1", 3_500_000), ("chr2", 3_500_000), ("chr3", 10)]
+
+
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("bam")
+    reads = many_reads(spark)
+    bm.write_bam(reads, str(folder / "out"), CONTIGS, files=3)
+    return str(folder / "out"), sorted((tuple(r)[1:] for r in reads.collect()), key=repr)
+
+
+def test_bam_round_trip_by_any_split(spark, written):
+    path, want = written
+    whole = bm.read_bam(spark, path).select(*bm.COLUMNS).orderBy("file_ord").collect()
+    assert sorted((tuple(r)[1:] for r in whole), key=repr) == want
+    files = bm.bam_files(path)
+    assert len(files) == 3 and len({r.file_ord for r in whole}) == len(want)
+    # In file order: sorted, rows without a contig last.
+    place = [({"chr1": 0, "chr2": 1}.get(r.contig, 2), r.aln_start) for r in whole]
+    assert place == sorted(place)
+    for split in (7_000, 40_000, 100_003):
+        df = bm.read_bam(spark, path, split_bytes=split)
+        assert df.rdd.getNumPartitions() == sum(-(-size // split) for _, size in files)
+        assert df.select(*bm.COLUMNS).orderBy("file_ord").collect() == whole
+
+
+def test_bam_records_larger_than_splits(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, f"r{i}", 0, "chr1", i + 1, 9, f"{n}M", "*", 0, 0, "".join(r.choice("ACGT") for _ in range(n)), "".join(chr(33 + r.randrange(90)) for _ in range(n)), None) for i, n in enumerate([10, 400_000, 20, 300_000, 5])]
+    bm.write_bam(spark.createDataFrame(rows, sam.RAW), str(tmp_path / "o"), CONTIGS, files=1)
+    got = bm.read_bam(spark, str(tmp_path / "o"), split_bytes=30_000).select(*bm.COLUMNS).orderBy("file_ord").collect()
+    assert [tuple(x)[1:] for x in got] == [x[1:] for x in rows]
+
+
+@pytest.mark.parametrize("region", [("chr1", 1, 10), ("chr1", 1_000_000, 1_001_000), ("chr2", 16_384, 16_385), ("chr2", 2_999_000, 4_000_000), ("chr3", 1, 10), ("chr1", None, None), ("chr9", 1, 5)])
+def test_bam_regions(spark, written, region):
+    path, _ = written
+    contig, low, high = region[0], region[1] or 1, region[2] or 1 << 31
+    want = bm.read_bam(spark, path).where((F.col("contig") == contig) & (F.col("aln_start") <= high) & (F.col("aln_end") >= low)).select(*bm.COLUMNS).orderBy("file_ord").collect()
+    for split in (bm.SPLIT_BYTES, 9_000):
+        assert bm.read_bam(spark, path, *region, split_bytes=split).select(*bm.COLUMNS).orderBy("file_ord").collect() == want
+    assert want or region not in (("chr1", 1_000_000, 1_001_000), ("chr1", None, None), ("chr2", 2_999_000, 4_000_000))
+
+
+def bytes_read(options, filters=()):
+    reader, total, rows = bm.PushingReader(options), 0, 0
+    list(reader.pushFilters(list(filters)))
+    for part in reader.partitions():
+        if part.path:
+            blocks = bm.Blocks(part.path)
+            rows += sum(1 for _ in bm.records(blocks, part))
+            total += blocks.bytes_read
+    return total, rows
+
+
+def test_bam_index_bounds_what_is_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bm.Blocks, "FETCH", 1 << 12)
+    r = random.Random(9)
+    seqs = ["".join(r.choice("ACGT") for _ in range(200)) for _ in range(50)]
+    rows = [(i, f"r{i}", 0, "chr1", 1 + i * 100, 9, "200M", "*", 0, 0, r.choice(seqs), "".join(chr(33 + r.randrange(60)) for _ in range(200)), 1) for i in range(20_000)]
+    path = str(tmp_path / "o")
+    bm.write_bam(spark.createDataFrame(rows, sam.RAW).repartition(4), path, CONTIGS, files=1)
+    size = bm.bam_files(path)[0][1]
+    assert size > 2_000_000
+    total, n = bytes_read({"path": path, "contig": "chr1", "start": "1000000", "stop": "1000500"})
+    assert n == sum(1 for x in rows if x[4] <= 1_000_500 and x[4] + 199 >= 1_000_000) and total < size / 10
+    pushed, n = bytes_read({"path": path}, [EqualTo(("contig",), "chr1"), GreaterThanOrEqual(("aln_start",), 1_000_000), LessThan(("aln_start",), 1_000_500)])
+    assert n >= 5 and pushed < size / 10
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = bm.read_bam(spark, path).where("contig = 'chr1' AND aln_start >= 1000000 AND aln_start < 1000500")
+        assert got.count() == 5 and got.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_bam_odd_files(spark, tmp_path):
+    (tmp_path / "x.bam").write_bytes(bam())
+    assert bm.bam_contigs(str(tmp_path / "x.bam")) == [("chr1", 1000), ("chrUn", 50), ("X", 70)]
+    assert bm.read_bam(spark, str(tmp_path / "x.bam"), "chr1", 105, 200).count() == 1  # no index: read whole
+    (tmp_path / "cut.bam").write_bytes(block(bam_data()[:-9]) + block(b""))
+    with pytest.raises(Exception, match="ends within a record"):
+        bm.read_bam(spark, str(tmp_path / "cut.bam")).collect()
+    empty = spark.createDataFrame([], sam.RAW)
+    bm.write_bam(empty, str(tmp_path / "none"), CONTIGS)
+    assert bm.read_bam(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="there already"):
+        bm.write_bam(empty, str(tmp_path / "none"), CONTIGS)
+    bm.write_bam(many_reads(spark, 10), str(tmp_path / "none"), CONTIGS, overwrite=True)
+    assert bm.read_bam(spark, str(tmp_path / "none")).count() == 10
+
+
+def test_extract_region_from_bam_to_bam(spark, written, tmp_path):
+    path, _ = written
+    one = bm.bam_files(path)[0][0]
+    cli.main(["extract-region", "-i", one, "-o", str(tmp_path / "r"), "-r", "chr1:500000-600000", "--bam", "--files", "1"])
+    want = bm.read_bam(spark, one, "chr1", 500_000, 600_000)
+    got = bm.read_bam(spark, str(tmp_path / "r"))
+    columns = [c for c in bm.COLUMNS if c != "file_ord"]
+    assert want.count() > 3 and sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))

@@ -16,7 +16,8 @@ from .operators.variants import coordinates, renumber, statistics
 from .plans.callers import callers
 from .session import session
 from .sources.bed import write_bedgraph
-from .sources.sam import header_contigs, read_bam, read_sam, write_contig_sizes, write_sam
+from .sources.bam import bam_contigs, read_bam, write_bam
+from .sources.sam import header_contigs, read_sam, write_contig_sizes, write_sam
 from .sources.text import read_lines, with_header
 from .sources.vcf import read_vcf, write_calls
 from .tables import clean
@@ -26,6 +27,10 @@ def _reads(spark: SparkSession, path: str) -> DataFrame:
     return read_bam(spark, path) if path.endswith(".bam") else read_sam(spark, path)
 
 
+def _contigs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.createDataFrame(bam_contigs(path), "region string, size int") if path.endswith(".bam") else header_contigs(spark, path)
+
+
 def _limits(reads: DataFrame) -> Limits:
     t = fragment_thresholds(reads, ["file_ord"]).first()
     return Limits(int(t.low), int(t.high)) if t and t.low is not None else Limits()
@@ -53,11 +58,16 @@ def _extract(spark: SparkSession, a: argparse.Namespace) -> None:
 def _region(spark: SparkSession, a: argparse.Namespace) -> None:
     contig, _, span = a.region.partition(":")
     start, stop = (int(x.replace(",", "")) for x in span.split("-")) if span else (1, 1 << 31)
-    found, missing = check_regions([contig], [r.region for r in header_contigs(spark, a.input).collect()])
+    contigs = [(r.region, r.size) for r in _contigs(spark, a.input).collect()]  # a header's lines
+    found, missing = check_regions([contig], [name for name, _ in contigs])
     if missing:
         raise SystemExit(f"no such contig: {contig}")
-    contigs = [(r.region, r.size) for r in header_contigs(spark, a.input).collect()]
-    write_sam(on_region(_reads(spark, a.input), found[0], start, stop, a.contained), a.output, contigs)
+    reads = read_bam(spark, a.input, found[0], start, stop) if a.input.endswith(".bam") else read_sam(spark, a.input)
+    rows = on_region(reads, found[0], start, stop, a.contained)
+    if a.bam:
+        write_bam(rows, a.output, contigs, a.files)
+    else:
+        write_sam(rows, a.output, contigs)
 
 
 def _generate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -71,7 +81,7 @@ def _generate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _regions(spark: SparkSession, a: argparse.Namespace) -> None:
-    contigs = main_contigs(header_contigs(spark, a.input))
+    contigs = main_contigs(_contigs(spark, a.input))
     if a.output:
         write_contig_sizes(contigs, a.output)
     else:
@@ -104,11 +114,13 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("-r", "--region", nargs="*", default=[])
     e.add_argument("--bedgraph", action="store_true")
     e.set_defaults(run=_extract)
-    x = top.add_parser("extract-region", help="the reads of a region (contig or contig:start-stop) as SAM")
+    x = top.add_parser("extract-region", help="the reads of a region (contig or contig:start-stop) as SAM or BAM")
     x.add_argument("-i", "--input", required=True)
     x.add_argument("-o", "--output", required=True)
     x.add_argument("-r", "--region", required=True)
     x.add_argument("--contained", action="store_true", help="only reads that lie within it")
+    x.add_argument("--bam", action="store_true", help="write a folder of indexed BAM files")
+    x.add_argument("--files", type=int, help="how many")
     x.set_defaults(run=_region)
     vcf = top.add_parser("vcf", help="variant files").add_subparsers(dest="sub", required=True)
     g = vcf.add_parser("generate", help="call events from signals and reads")

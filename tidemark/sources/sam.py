@@ -1,17 +1,13 @@
-"""SAM text and BAM files as reads; SAM text as a sink."""
+"""SAM text as reads, and as a sink."""
 
 from __future__ import annotations
 
 import struct
-import zlib
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.cigar import is_clipped, leading_clip, operations, reference_length, trailing_clip
-from ..ship import ship
 from .text import read_lines, with_header
 
 RAW = "file_ord long, qname string, flag int, contig string, aln_start int, mapq int, cigar string, mate_contig string, mate_start int, tlen int, seq string, qual string, nm int"
@@ -67,25 +63,7 @@ def write_contig_sizes(contigs: DataFrame, path: str) -> None:
     contigs.select("region", "size").write.csv(path, sep="\t")
 
 
-def blocks(raw: bytes, at: int = 0) -> Iterator[bytes]:
-    """The inflated blocks of blocked gzip."""
-    while at + 18 <= len(raw):
-        if raw[at : at + 4] != b"\x1f\x8b\x08\x04":
-            raise ValueError(f"no gzip block at {at}")
-        extra = struct.unpack_from("<H", raw, at + 10)[0]
-        fields, size, k = raw[at + 12 : at + 12 + extra], None, 0
-        while k + 4 <= extra:
-            length = struct.unpack_from("<H", fields, k + 2)[0]
-            if fields[k : k + 2] == b"BC":
-                size = struct.unpack_from("<H", fields, k + 4)[0] + 1
-            k += 4 + length
-        if size is None:
-            raise ValueError(f"the gzip block at {at} has no size")
-        yield zlib.decompress(raw[at + 12 + extra : at + size - 8], -15)
-        at += size
-
-
-_BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+_OPS = "MIDNSHP=X"
 _TAG_SIZE = {b"A": 1, b"c": 1, b"C": 1, b"s": 2, b"S": 2, b"i": 4, b"I": 4, b"f": 4}
 _TAG_FORMAT = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I"}
 
@@ -104,102 +82,3 @@ def _edit_distance(tags: bytes) -> int | None:
         else:
             at += _TAG_SIZE[kind]
     return None
-
-
-def decode_bam(data: bytes) -> tuple[list[tuple[str, int]], Iterator[tuple]]:
-    """(contigs, records in the order of RAW) of an inflated BAM file."""
-    if data[:4] != b"BAM\1":
-        raise ValueError("no BAM file")
-    at = 8 + struct.unpack_from("<i", data, 4)[0]
-    (n,) = struct.unpack_from("<i", data, at)
-    at += 4
-    contigs = []
-    for _ in range(n):
-        length = struct.unpack_from("<i", data, at)[0]
-        contigs.append((data[at + 4 : at + 3 + length].decode(), struct.unpack_from("<i", data, at + 4 + length)[0]))
-        at += 8 + length
-    name = lambda i: contigs[i][0] if i >= 0 else "*"
-
-    def records(at: int) -> Iterator[tuple]:
-        order = 0
-        while at + 4 <= len(data):
-            (size,) = struct.unpack_from("<i", data, at)
-            ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
-            p = at + 36
-            qname = data[p : p + l_name - 1].decode()
-            p += l_name
-            cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack_from(f"<{n_ops}I", data, p)) or "*"
-            p += 4 * n_ops
-            packed = data[p : p + (l_seq + 1) // 2]
-            seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq] or "*"
-            p += (l_seq + 1) // 2
-            qual = data[p : p + l_seq]
-            p += l_seq
-            quality = "*" if not l_seq or qual[0] == 255 else "".join(chr(q + 33) for q in qual)
-            yield (order, qname, flag, name(ref), pos + 1, mapq, cigar, name(mate), mate_pos + 1, tlen, seq, quality, _edit_distance(data[p : at + 4 + size]))
-            order += 1
-            at += 4 + size
-
-    return contigs, records(at)
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class BamReader(DataSourceReader):
-    """One task a file."""
-
-    def __init__(self, options: dict):
-        self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
-
-    def partitions(self):
-        return [_File(p) for p in self.paths]
-
-    def read(self, partition: _File):
-        with open(partition.path, "rb") as f:
-            data = b"".join(blocks(f.read()))
-        yield from decode_bam(data)[1]
-
-
-class BamSource(DataSource):
-    """``spark.read.format("bam").load(path)``, after ``spark.dataSource.register(BamSource)``; files on a mount that executors share."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return RAW
-
-    def reader(self, schema) -> BamReader:
-        return BamReader(self.options)
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of BAM files at any path that Spark reads: each file is one binary row, inflated and decoded in its task.
-
-    A file is as large as its task's memory allows; split larger ones by contig first.
-    """
-    from ..ship import ship
-
-    ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def run(batches):
-        import pandas as pd
-
-        names = [x.split()[0] for x in RAW.split(", ")]
-        for pdf in batches:
-            for content in pdf["content"]:
-                rows = []
-                for r in decode_bam(b"".join(blocks(bytes(content))))[1]:
-                    rows.append(r)
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=names).astype({"nm": "Int32"})
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names).astype({"nm": "Int32"})
-
-    return with_derived(files.mapInPandas(run, RAW))
