@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +138,61 @@ def test_kmers_and_contigs(spark):
     assert sorted((r.kmer, r.reads) for r in km.read_sets(reads.withColumn("i", F.monotonically_increasing_id() * 0), 3, "i").collect())[0] == ("AC", [0])
 
 
+@pytest.mark.parametrize("k", [1, 2, 9, 31, 32, 52, 62, 63])
+def test_packed_counts_as_texts(spark, k, monkeypatch):
+    monkeypatch.setattr(km, "SLICE", 50)
+    r = random.Random(k)
+    seqs = ["".join(r.choice("ACGT" * 9 + "Nac") for _ in range(r.randrange(0, 300))) for _ in range(30)] + ["A" * 200] * 3 + ["ACGé" * 40, "ACG\nTT", "", None, "ACGT" * 20]
+    want = Counter(s[i : i + k] for s in seqs if s for i in range(len(s) - k + 1))
+    reads = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    assert {x.kmer: x.n for x in km.count_kmers(reads, k).collect()} == want
+    total = Counter()
+    for (numbers, counts), odd in km._count_batch([s for s in seqs if s], k) if k <= km.TWO_LONGS else []:
+        total.update(odd)
+        for row in zip(*(c.tolist() for c in numbers), counts.tolist()):
+            number = row[0] if k <= km.ONE_LONG else row[0] << 62 | row[1]
+            total["".join("ACGT"[number >> 2 * (k - 1 - i) & 3] for i in range(k))] += row[-1]
+    assert total == (want if k <= km.TWO_LONGS else {})
+
+
+def test_numbers_are_exact(spark):
+    texts = ["", "A", "AA", "C", "T" * 31, "ACGT" * 7, "N", "ACGTN", "T" * 32]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(km.number_of(F.col("x"))).collect()]
+    assert got[:6] == [int("1" + "".join(str("ACGT".index(c)) for c in x), 4) for x in texts[:6]]
+    assert all(x < 0 for x in got[6:]) and len(set(got)) == len(got)
+
+
+def chains_brute(pairs):
+    out, into = {}, {}
+    for a, b in set(pairs):
+        out.setdefault(a, []).append(b)
+        into.setdefault(b, []).append(a)
+    follows = {a: b[0] for a, b in out.items() if len(b) == 1 and len(into[b[0]]) == 1}
+    reached, made = set(follows.values()), []
+    for v in set(out) | set(into):
+        if v not in reached:
+            seq = v
+            while v in follows:
+                v = follows[v]
+                seq += v[-1]
+            made.append(seq)
+    return sorted(made)
+
+
+def test_contigs_of_branching_and_circular_graphs(spark):
+    r = random.Random(8)
+    genome = "".join(r.choice("ACGT") for _ in range(400))
+    texts = [genome, genome[:100] + "ACGT" + genome[130:300], genome[200:260] + genome[:40], "ACGTTGCA" * 9, "A" * 30]
+    e = km.de_bruijn(spark.createDataFrame([(t,) for t in texts], "seq string"), 11)
+    want = chains_brute([(t[i : i + 11], t[i + 1 : i + 12]) for t in texts for i in range(len(t) - 11)])
+    assert len(want) >= 5 and sorted(x.seq for x in km.contigs(e).collect()) == want
+    chunks = {}
+    for x in km.contig_chunks(e, 7).orderBy("head", "chunk").collect():
+        assert len(x.bases) <= 7 + 10
+        chunks[x.head] = chunks.get(x.head, "") + x.bases
+    assert sorted(chunks.values()) == want
+
+
 def test_positions(spark):
     reads = spark.createDataFrame([("AACCGGTT", 10, 17, 10), ("AACCGGTT", 12, 17, 10)], "seq string, aln_start int, aln_end int, unclipped_start int")
     got = {r.kmer: [(p.pos, p.n) for p in r.positions] for r in km.kmer_positions(reads, 4, 0.5).collect()}

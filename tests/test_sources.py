@@ -106,10 +106,35 @@ def test_bed(spark, tmp_path):
 
 
 def test_fasta(spark, tmp_path):
-    (tmp_path / "x.fa").write_text(">chr1 first\nACGT\nAC\n>chr2\nGG\n")
+    (tmp_path / "x.fa").write_text("TT\n>chr1 first\r\nACGT\r\n\nAC\n>none\n>chr2\nGG\n")
     rows = fasta.read_fasta(spark, str(tmp_path / "x.fa"))
-    assert sorted(map(tuple, rows.collect())) == [("chr1 first", "ACGTAC"), ("chr2", "GG")]
+    assert sorted(((r.name, r.chunk, r.bases) for r in rows.collect()), key=repr) == sorted([("chr1 first", 0, "ACGTAC"), ("chr2", 0, "GG"), (None, 0, "TT")], key=repr)
     assert fasta.base_slice(rows, "chr1", 3, 5).first().seq == "GTA"
+    (tmp_path / "e.fa").write_text("")
+    assert fasta.read_fasta(spark, str(tmp_path / "e.fa")).collect() == []
+
+
+def test_fasta_in_chunks_across_splits(spark, tmp_path):
+    """Contigs far larger than a split and than a chunk; every split but the first begins within a record."""
+    r = random.Random(4)
+    whole = {name: "".join(r.choice("ACGTN") for _ in range(n)) for name, n in [("a", 60_000), ("b", 1), ("c x", 24_576), ("d", 9000)]}
+    text = "".join(f">{name}\n" + "\n".join(seq[i : i + 61] for i in range(0, len(seq), 61)) + "\n" for name, seq in whole.items())
+    (tmp_path / "x.fa").write_text(text + ">d\n" + "T" * 5000 + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for size in (4096, 1000):
+            rows = fasta.read_fasta(spark, str(tmp_path / "x.fa"), size)
+            got = {}
+            for x in rows.orderBy("record", "chunk").collect():
+                assert len(x.bases) <= size and len(got.get((x.name, x.record.number), "")) == x.chunk * size
+                got[x.name, x.record.number] = got.get((x.name, x.record.number), "") + x.bases
+            assert got == {("a", 1): whole["a"], ("b", 2): whole["b"], ("c x", 3): whole["c x"], ("d", 4): whole["d"], ("d", 5): "T" * 5000}
+            asked = [("a", 1, 60_000, 1), ("a", 990, 9001, 2), ("c", 4096, 4097, 3), ("a", 59_999, 70_000, 4), ("b", 2, 9, 5), ("zz", 1, 5, 6), ("a", -5, 3, 7), ("a", 5, 4, 8)]
+            ranges = spark.createDataFrame(asked, "contig string, start long, stop long, tag int")
+            found = fasta.slices(rows, ranges, size).collect()
+            assert {x.tag: x.bases for x in found} == {1: whole["a"], 2: whole["a"][989:9001], 3: whole["c x"][4095:4097], 4: whole["a"][59_998:], 7: whole["a"][:3]}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_command_line(spark, tmp_path, capsys):

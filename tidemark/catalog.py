@@ -728,9 +728,13 @@ def kmer_read_sets(spark, sf_dir):
     return km.read_sets(fx.sequences(spark, sf_dir), 14, "read_id").select("kmer", F.array_join(F.transform("reads", lambda x: x.cast("string")), ",").alias("reads"))
 
 
-@query(f"WITH s AS ({fx.SEQUENCES_SQL}) SELECT read_id, CASE WHEN length(seq) = 0 THEN 0 ELSE greatest(length(seq) - 20, 1) END::INTEGER AS n FROM s")
+@query(f"""WITH s AS ({fx.SEQUENCES_SQL}), i AS (SELECT read_id, seq, unnest(range(1, greatest(length(seq) - 8, 1) + 1)) AS i FROM s WHERE length(seq) > 0), x AS (SELECT read_id, i, substr(seq, i, 9) AS x FROM i),
+  n AS (SELECT read_id, i, list_sum([(strpos('ACGT', substr(x, j, 1)) - 1) * (1 << (2 * (length(x) - j))) FOR j IN range(1, length(x) + 1)])::BIGINT + (1 << (2 * length(x))) AS number FROM x)
+  SELECT s.read_id, count(i) AS n, coalesce(sum(number), 0)::BIGINT AS total, coalesce(sum(number * (i % 1000)), 0)::BIGINT AS by_place FROM s LEFT JOIN n USING (read_id) GROUP BY s.read_id""")
 def annotated_reads(spark, sf_dir):
-    return km.annotate_reads(fx.sequences(spark, sf_dir), 21).select("read_id", F.size("numbers").alias("n"))
+    """Each read's k-mers' numbers: how many, their sum, and their sum by place."""
+    rows = km.annotate_reads(fx.sequences(spark, sf_dir), 9).select("read_id", F.posexplode_outer("numbers").alias("i", "number"))
+    return rows.groupBy("read_id").agg(F.count("number").alias("n"), F.coalesce(F.sum("number"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.col("number") * ((F.col("i") + 1) % 1000)), F.lit(0)).alias("by_place"))
 
 
 @query(f"WITH {_READS} SELECT contig, round(coalesce(avg(nm), 0), 6) AS mean, round(coalesce(stddev_pop(nm), 0), 6) AS deviation FROM mapped GROUP BY contig")

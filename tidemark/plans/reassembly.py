@@ -11,6 +11,7 @@ from ..functions.align import align_cigar
 from ..operators.graph import prune_edges, prune_vertices, simple_paths, thread_threshold, vertices_of
 from ..operators.kmers import anchored, contigs, de_bruijn, kmer_positions, kmers, map_sequence, path_sequence, position_of
 from ..operators.reads import on_region
+from ..sources.fasta import as_chunks, slices
 from ..tables import cut
 
 
@@ -80,15 +81,13 @@ def best_contig(reads: DataFrame, contig: str, start: int, stop: int, parameters
 def as_reads(found: DataFrame, fasta: DataFrame, contig: str, parameters: Parameters = Parameters(), record: str | None = None) -> DataFrame:
     """SAM-like rows of sequences (seq, pos, stop; as few as ``haplotypes`` gives), each aligned to its own slice of the reference.
 
-    The slice is bases pos to stop of the FASTA record (name, seq) whose name's first word is ``record``: the contig without
+    The slice is bases pos to stop of the FASTA record (chunks, or name and seq) whose name's first word is ``record``: the contig without
     "chr", unless given. Names hold the place and a hash of the sequence. Without such a record there are no rows.
     """
-    name = F.get(F.split("name", r"\s"), F.lit(0))
-    own = fasta.where(name == (record or contig.replace("chr", ""))).select(F.col("seq").alias("bases"))
-    both = own.join(F.broadcast(found.select("seq", "pos", "stop")))  # a few rows beside one record
-    slice_ = F.expr("substring(bases, CAST(pos AS INT), CAST(stop - pos + 1 AS INT))")
+    chunks = fasta if "chunk" in fasta.columns else as_chunks(fasta)
+    both = slices(chunks, found.select(F.lit(record or contig.replace("chr", "")).alias("contig"), F.col("pos").alias("start"), "stop", "seq", "pos"))
     place = F.concat(F.lit(f"Haplotype_{contig}:"), F.col("pos").cast("string"), F.lit("-"), F.col("stop").cast("string"), F.lit("_"), F.hex(F.xxhash64("seq")))
-    return both.select(place.alias("qname"), F.lit(0).alias("flag"), F.lit(contig).alias("contig"), F.col("pos").cast("long").alias("aln_start"), F.lit(parameters.mapq).alias("mapq"), align_cigar(F.col("seq"), slice_).alias("cigar"), "seq", F.lit(parameters.quality).alias("qual"))
+    return both.select(place.alias("qname"), F.lit(0).alias("flag"), F.lit(contig).alias("contig"), F.col("pos").cast("long").alias("aln_start"), F.lit(parameters.mapq).alias("mapq"), align_cigar(F.col("seq"), F.col("bases")).alias("cigar"), "seq", F.lit(parameters.quality).alias("qual"))
 
 
 def region_records(reads: DataFrame, fasta: DataFrame, contig: str, start: int, stop: int, parameters: Parameters = Parameters()) -> DataFrame:
