@@ -1,8 +1,10 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then sampling by calibrated probabilities.
 
 Cells (source, language, topic) hold the documents' tokens. Raking multiplies the cells' weights until each margin's
-weighted tokens have their target shares. A document is then kept with a probability proportional to its cell's weight,
-calibrated so that the expected tokens are the wanted fraction of all; the draw is a hash of its id, so a document's
+weighted tokens have their target shares. A document is then kept with the probability fraction * weight, so the expected
+tokens are that fraction of all. Weights are raked under the bound 1 / fraction: a cell at the bound is taken whole and the
+others make up for it, so that what is sampled has the target shares, not only what is weighted. Where the wanted fraction
+leaves no such weights (a value has too few tokens), a smaller one is taken. The draw is a hash of its id, so a document's
 fate depends on nothing but its id, its cell and the cells' totals.
 """
 
@@ -21,7 +23,9 @@ DIMENSIONS = ("source", "lang", "topic")
 #: own tokens to the power TEMPERATURE, so that large sources are damped and small ones raised.
 TARGETS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}}
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-FRACTION = 0.6
+#: Tokens wanted; the factor between fractions that are tried where a fraction leaves no solution, and the share of the wanted
+#: one below which the targets are given up instead (with a warning, or an error if strict).
+FRACTION, STEP, LEAST = 0.6, 0.95, 0.5
 #: Rounds of raking at most, and the relative departure of a margin from its target that ends it. It also ends where PATIENCE
 #: rounds lower the departure by under a hundredth: then the targets contradict each other.
 ROUNDS, TOLERANCE, PATIENCE = 5000, 1e-6, 30
@@ -76,8 +80,16 @@ class _Progress:
         return worst < self.tolerance or self.since >= PATIENCE
 
 
-def rake_driver(cells: list[tuple], targets: dict | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
-    """Weights of cells (source, lang, topic, tokens), in their order, and the last round's worst departure."""
+def _factor(want, cut, free):
+    """What a margin's free tokens are multiplied by, those of cells at the bound being ``cut``; numpy arrays."""
+    now = cut + free
+    room = (want > cut) & (free > 0)
+    scaled = np.divide(want, now, out=np.ones(len(now)), where=now > 0)
+    return np.where(room, np.divide(want - cut, free, out=np.ones(len(now)), where=free > 0), np.minimum(1.0, scaled))
+
+
+def rake_driver(cells: list[tuple], targets: dict | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE, bound: float = float("inf")) -> tuple[np.ndarray, float]:
+    """Weights, ``bound`` at most, of cells (source, lang, topic, tokens), in their order, and the last round's worst departure."""
     t = np.array([c[3] for c in cells], float)
     margins = []
     for i, d in enumerate(DIMENSIONS):
@@ -89,16 +101,18 @@ def rake_driver(cells: list[tuple], targets: dict | None = None, rounds: int = R
     for _ in range(rounds):
         worst = 0.0
         for code, want in margins:
-            now = np.bincount(code, w * t, len(want)).astype(float)
-            factor = np.divide(want, now, out=np.ones_like(now), where=now > 0)
-            worst = max(worst, np.abs(factor[now > 0] - 1).max(initial=0.0))
-            w *= factor[code]
+            at = w >= bound
+            cut = np.bincount(code, np.where(at, t * min(bound, 1e300), 0.0), len(want))
+            free = np.bincount(code, np.where(at, 0.0, t * w), len(want))
+            some = (cut + free > 0) & (want > 0)
+            worst = max(worst, np.abs((cut + free)[some] / want[some] - 1).max(initial=0.0))
+            w *= _factor(want, cut, free)[code]
         if progress.done(worst):
             break
-    return w, float(worst)
+    return np.minimum(w, bound), float(worst)
 
 
-def rake_frame(cells: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+def rake_frame(cells: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE, bound: float = float("inf")) -> tuple[DataFrame, float]:
     """The same for any number of cells: (source, lang, topic, tokens, weight), and the departure."""
     spark, goals, targets = cells.sparkSession, {}, TARGETS if targets is None else targets
     for d in DIMENSIONS:
@@ -112,61 +126,49 @@ def rake_frame(cells: DataFrame, targets: dict | None = None, rounds: int = ROUN
         goals[d] = cut(margin.select("v", (F.col("want") / total).alias("want")), "target")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now, worst, progress = cells.withColumn("weight", F.lit(1.0)), 0.0, _Progress(tolerance)
+    at, limit = F.col("weight") >= bound, F.lit(min(bound, 1e300))
     for _ in range(rounds):
         steps = []
         for d in DIMENSIONS:
-            sums = now.groupBy(F.col(d).alias("u")).agg(F.sum(F.col("weight") * F.col("tokens")).alias("t")).where("t > 0")
-            factor = sums.join(goals[d], F.col("u").eqNullSafe(F.col("v"))).select(F.col("u").alias(f"u_{d}"), (F.col("want") * total / F.col("t")).alias(f"f_{d}"))
-            now = now.join(factor, F.col(d).eqNullSafe(F.col(f"u_{d}")), "left").withColumn("weight", F.col("weight") * F.coalesce(f"f_{d}", F.lit(1.0)))
-            steps.append(F.abs(F.coalesce(f"f_{d}", F.lit(1.0)) - 1))
+            sums = now.groupBy(F.col(d).alias("u")).agg(F.sum(F.when(at, limit * F.col("tokens")).otherwise(0.0)).alias("c"), F.sum(F.when(at, 0.0).otherwise(F.col("weight") * F.col("tokens"))).alias("t"))
+            want, whole = F.col("want") * total, F.col("c") + F.col("t")
+            factor = F.when((want > F.col("c")) & (F.col("t") > 0), (want - F.col("c")) / F.col("t")).otherwise(F.least(F.lit(1.0), want / whole))
+            off = F.when(want > 0, F.abs(whole / want - 1)).otherwise(0.0)
+            found = sums.where("c + t > 0").join(goals[d], F.col("u").eqNullSafe(F.col("v"))).select(F.col("u").alias(f"u_{d}"), factor.alias(f"f_{d}"), off.alias(f"off_{d}"))
+            now = now.join(found, F.col(d).eqNullSafe(F.col(f"u_{d}")), "left").withColumn("weight", F.col("weight") * F.coalesce(f"f_{d}", F.lit(1.0)))
+            steps.append(F.coalesce(f"off_{d}", F.lit(0.0)))
         now = cut(now.select(*DIMENSIONS, "tokens", "weight", F.greatest(*steps).alias("worst")), "rake")
         worst = now.agg(F.max("worst")).first()[0] or 0.0
         now = now.drop("worst")
         if progress.done(worst):
             break
-    return now, worst
-
-
-def calibrate(expected, total: float, weighted: float, least: float, fraction: float) -> float:
-    """c such that ``expected([c])``, the tokens that probabilities min(1, c * weight) select, is ``fraction`` of ``total``.
-
-    ``weighted`` is the sum of weight times tokens, ``least`` the least positive weight: c lies between what would do
-    without the bound of 1 and what makes all probabilities 1. Each pass narrows it among 64 candidates.
-    """
-    if not total or not weighted:
-        return 1.0
-    low, high = fraction * total / weighted, 1 / least
-    for _ in range(10):
-        if high <= low * (1 + 1e-14):
-            break
-        grid = np.geomspace(low, high, 64).tolist()
-        k = next((i for i, s in enumerate(expected(grid)) if s >= fraction * total), 63)
-        low, high = grid[max(k - 1, 0)], grid[k]
-    return (low + high) / 2
+    return now.withColumn("weight", F.least("weight", F.lit(bound))), worst
 
 
-def cell_probabilities(cells: DataFrame, fraction: float = FRACTION, targets: dict | None = None, strict: bool = False, driver_bytes: int = DRIVER_BYTES, rounds: int = ROUNDS) -> DataFrame:
-    """(c_source, c_lang, c_topic, c_salt, weight, probability, gap) of cells (source, lang, topic, tokens).
+def cell_probabilities(cells: DataFrame, fraction: float = FRACTION, targets: dict | None = None, strict: bool = False, driver_bytes: int = DRIVER_BYTES, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
+    """(c_source, c_lang, c_topic, c_salt, weight, probability, fraction, gap) of cells (source, lang, topic, tokens).
 
-    c_salt is null where the table is broadcast, else each cell has SALTS rows. gap is the worst relative departure of a
-    margin from its target: margins that contradict each other (a value's documents all lie in cells that other targets
-    bound) have no solution. Then the last round's weights hold, with a warning; with ``strict`` it is an error.
+    c_salt is null where the table is broadcast, else each cell has SALTS rows. probability is fraction * weight, fraction
+    being the largest tried of the wanted one and its multiples by powers of STEP, down to ``least`` times it, whose sampled
+    tokens have the target shares. gap is the worst relative departure of a margin's sampled share from its target. Targets
+    that no fraction meets (they contradict each other, or a value has far too few tokens) leave the last one tried, with a
+    warning; with ``strict`` it is an error.
     """
     spark, names = cells.sparkSession, ("c_source", "c_lang", "c_topic")
     size = cells.agg(F.sum(sum((F.coalesce(F.octet_length(d), F.lit(0)) for d in DIMENSIONS), F.lit(80)))).first()[0] or 0
-    if size <= driver_bytes:
-        rows = sorted(((r.source, r.lang, r.topic, r.tokens) for r in cells.collect()), key=repr)
-        weights, gap = rake_driver(rows, targets, rounds)
-        t = np.array([r[3] for r in rows], float)
-        c = calibrate(lambda grid: [(np.minimum(1.0, x * weights) * t).sum() for x in grid], t.sum(), (weights * t).sum(), weights[weights > 0].min(initial=1.0), fraction)
-        made = [(*r[:3], None, float(w), float(min(1.0, c * w)), gap) for r, w in zip(rows, weights)]
-        out = F.broadcast(spark.createDataFrame(made, ", ".join(f"{x} string" for x in names) + ", c_salt int, weight double, probability double, gap double"))
-    else:
-        raked, gap = rake_frame(cells, targets, rounds)
-        s = raked.agg(F.sum("tokens"), F.sum(F.col("weight") * F.col("tokens")), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
-        c = calibrate(lambda grid: raked.agg(*(F.sum(F.least(F.lit(1.0), F.col("weight") * x) * F.col("tokens")) for x in grid)).first(), s[0], s[1], s[2], fraction)
+    rows = sorted(((r.source, r.lang, r.topic, r.tokens) for r in cells.collect()), key=repr) if size <= driver_bytes else None
+    taken = fraction
+    while True:
+        raked, gap = rake_frame(cells, targets, rounds, bound=1 / taken) if rows is None else rake_driver(rows, targets, rounds, bound=1 / taken)
+        if gap < TOLERANCE or taken * STEP < fraction * least:
+            break
+        taken *= STEP
+    if rows is None:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("c_salt")
-        out = raked.select(*(F.col(d).alias(x) for d, x in zip(DIMENSIONS, names)), salts, "weight", F.least(F.lit(1.0), F.col("weight") * c).alias("probability"), F.lit(gap).alias("gap"))
+        out = raked.select(*(F.col(d).alias(x) for d, x in zip(DIMENSIONS, names)), salts, "weight", F.least(F.lit(1.0), F.col("weight") * taken).alias("probability"), F.lit(taken).alias("fraction"), F.lit(gap).alias("gap"))
+    else:
+        made = [(*r[:3], None, float(w), float(min(1.0, taken * w)), taken, gap) for r, w in zip(rows, raked)]
+        out = F.broadcast(spark.createDataFrame(made, ", ".join(f"{x} string" for x in names) + ", c_salt int, weight double, probability double, fraction double, gap double"))
     if gap >= TOLERANCE:
         if strict:
             raise ValueError(f"the targets can't be met together: a margin is off by {gap:.2g}")
@@ -179,9 +181,9 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mixed(docs: DataFrame, fraction: float = FRACTION, targets: dict | None = None, strict: bool = False, topic_of=topic, driver_bytes: int = DRIVER_BYTES, rounds: int = ROUNDS) -> DataFrame:
+def mixed(docs: DataFrame, fraction: float = FRACTION, targets: dict | None = None, strict: bool = False, topic_of=topic, driver_bytes: int = DRIVER_BYTES, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
     """row (the document's columns as a struct, so that their names can't clash), doc_id, source, lang, topic, n_tokens,
-    weight, probability, gap and selected of every document.
+    weight, probability, fraction, gap and selected of every document.
 
     ``targets`` are shares of tokens by dimension and value (TARGETS). Null sources and languages are values of their
     own, named None. A null or empty text has no tokens; a cell without tokens keeps the weight that its margins give it.
@@ -189,7 +191,7 @@ def mixed(docs: DataFrame, fraction: float = FRACTION, targets: dict | None = No
     """
     full = described(docs, topic_of)
     cells = cut(full.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    found = cell_probabilities(cells, fraction, targets, strict, driver_bytes, rounds)
+    found = cell_probabilities(cells, fraction, targets, strict, driver_bytes, rounds, least)
     salt = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int")
     same = F.col("source").eqNullSafe(F.col("c_source")) & F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("topic").eqNullSafe(F.col("c_topic"))
     joined = full.join(found, same & (F.col("c_salt").isNull() | (salt == F.col("c_salt"))))
@@ -211,4 +213,4 @@ def sample_documents(docs: DataFrame, fraction: float = FRACTION, targets: dict
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), F.round("gap", 9).alias("gap"), "selected")
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), F.round("fraction", 9).alias("fraction"), F.round("gap", 9).alias("gap"), "selected")
