@@ -14,7 +14,7 @@ def near(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def brute(rows, least=1, long=20):
+def brute(rows, least=1, long=2):
     lines = sorted({(i, t, n, x) for i, t in rows for n, x in enumerate((t or "").split("\n")) if t is not None and len(x) >= least and x.strip(" \t\n\v\f\r")}, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     first = {}
     for i, _, n, x in lines:
@@ -43,7 +43,7 @@ def corpus(seed=0):
 
     docs = ["\n".join(edit(r.choice(base), r.choice([0, 0, 1, 1, 2, 3])) for _ in range(r.randrange(1, 9))) for _ in range(60)]
     counter = ["\n".join(f"the page number is {i:04d} of many" for i in range(120))]
-    return list(enumerate([*docs, *counter, None, "", "\n\n", docs[0], "q" * 40, "q" * 41, "q" * 42, "long line " * 9000, "short", "short\nshors\n \t\n\nx\nx", "a" * 18 + "b", "a" * 19 + "b", "a" * 20 + "b"]))
+    return list(enumerate([*docs, *counter, None, "", "\n\n", docs[0], "q" * 40, "q" * 41, "q" * 42, "long line " * 9000, "short", "short\nshors\nab\nac\nabc\nb\nshor\n \t\n\nx\nx", "a" * 18 + "b", "a" * 19 + "b", "a" * 20 + "b"]))
 
 
 def test_against_all_pairs(docs_of):
@@ -67,6 +67,13 @@ def test_bounds_are_parameters(docs_of):
         assert got == brute(rows, least, long)
 
 
+def test_short_lines_meet(docs_of):
+    """No length switches the bound off: lines of 19 letters, of three and of two, one letter apart."""
+    rows = list(enumerate(["a line of 19 letter", "a line of 18 letter", "abc", "abd", "xy", "xz", "p", "q", "pq"]))
+    got = {r.doc_id: (r.kept, r.of_doc) for r in ld.near_lines(docs_of(rows)).collect()}
+    assert got == {0: (True, None), 1: (False, 0), 2: (True, None), 3: (False, 2), 4: (True, None), 5: (False, 4), 6: (True, None), 7: (True, None), 8: (True, None)}
+
+
 def test_very_long_lines(docs_of):
     """Work grows far less than with the square of a line's length: lines of 40,000 and 150,000 letters, with an edit anywhere."""
     r = random.Random(1)

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_groups, small_side, table
 
-#: Lines of fewer code points are left alone (1: none), and the edit bound is 0 under NEAR_CHARS, where lines are near
-#: each other by chance, and 1 from there on.
-MIN_CHARS, NEAR_CHARS = 1, 20
+#: Lines of fewer code points are left alone (1: none), and the edit bound is 0 under NEAR_CHARS (a single letter is within
+#: one edit of any other) and 1 from there on.
+MIN_CHARS, NEAR_CHARS = 1, 2
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -161,6 +161,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_lines(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+# DuckDB's levenshtein counts bytes, so lines with longer characters are compared by their common beginnings and ends too.
+_ONE_EDIT = """(levenshtein(a.line, b.line) <= 1 OR ((strlen(a.line) <> length(a.line) OR strlen(b.line) <> length(b.line)) AND len(list_filter(range(0, least(length(a.line), length(b.line)) + 1),
+    lambda i: left(a.line, i) = left(b.line, i) AND substr(a.line, i + 1 + (length(a.line) >= length(b.line))::INTEGER) = substr(b.line, i + 1 + (length(b.line) >= length(a.line))::INTEGER))) > 0))"""
+
 OP10_SQL = f"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
@@ -174,7 +178,7 @@ halves AS (
 ), near AS (
   SELECT a.line, min(b.first) AS earlier
   FROM halves a JOIN halves b ON a.t = b.t AND a.side = b.side AND a.part = b.part AND a.line <> b.line AND b.first < a.first
-  WHERE a.back + b.back < 2 AND levenshtein(a.line, b.line) <= 1
+  WHERE a.back + b.back < 2 AND {_ONE_EDIT}
   GROUP BY a.line
 )
 SELECT l.doc_id, l.line_no::INTEGER AS line_no,
