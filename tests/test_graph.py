@@ -155,6 +155,42 @@ def test_packed_counts_as_texts(spark, k, monkeypatch):
     assert total == (want if k <= km.TWO_LONGS else {})
 
 
+ODD_READS = [(i % 7 if i % 5 else None, x) for i, x in enumerate(["ACGTACGTTTGACA" * 4, "ACGTACNTTTGACA" * 3, "ACGé" * 9, "AC", "N", "", None, "ACG\nTTA", "A" * 70, "AC", "ACGTACGTTTGACA" * 2] * 3)]
+
+
+def pieces_brute(s, k):
+    return [s[i : i + k] for i in range(max(len(s) - k + 1, 1))] if s else []
+
+
+@pytest.mark.parametrize("k", [11, 29, 31, 51, 62])
+def test_clean_reads_keep_all_letters(spark, k):
+    r = random.Random(k)
+    seqs = ["".join(r.choice("ACGT") for _ in range(200)) for _ in range(20)]
+    reads = spark.createDataFrame(list(enumerate(seqs)), "i long, seq string")
+    want = Counter(x for s in seqs for x in pieces_brute(s, k))
+    assert {x.kmer: x.n for x in km.count_kmers(reads, k).collect()} == want
+    assert {x.kmer for x in km.read_sets(reads, k, "i").collect()} == set(want)
+
+
+@pytest.mark.parametrize("k", [3, 11, 32])
+def test_votes_as_positions(spark, k):
+    rows = [(s, 100 + i % 3, 102 + i % 4 if i % 6 else None, 140 + i % 9) for i, (_, s) in enumerate(ODD_READS)]
+    reads = spark.createDataFrame(rows, "seq string, unclipped_start int, aln_start int, aln_end int")
+    want = {}
+    for s, u, a, e in rows:
+        for j, x in enumerate(pieces_brute(s, k)):
+            left, right, most = max(0, (a or u) - u - j), max(0, u + j + k - 1 - e), int(0.3 * k) - 1
+            pos = u + j if left <= most and right <= most else None
+            want.setdefault(x, Counter())[pos] += 1
+    assert {r.kmer: {p.pos: p.n for p in r.positions} for r in km.kmer_positions(reads, k).collect()} == want
+    votes = {}
+    for x, c in want.items():
+        ranked = sorted((-n, p) for p, n in c.items() if p is not None)
+        if ranked:
+            votes[x] = (ranked[0][1], ranked[0][1] if len(ranked) < 2 or ranked[0][0] < 2 * ranked[1][0] else None)
+    assert {r.kmer: (r.best, r.voted) for r in km.kmer_votes(reads, k).collect()} == votes
+
+
 def test_numbers_are_exact(spark):
     texts = ["", "A", "AA", "C", "T" * 31, "ACGT" * 7, "N", "ACGTN", "T" * 32]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(km.number_of(F.col("x"))).collect()]
