@@ -162,6 +162,19 @@ def pieces_brute(s, k):
     return [s[i : i + k] for i in range(max(len(s) - k + 1, 1))] if s else []
 
 
+@pytest.mark.parametrize("k", [1, 2, 5, 11, 31, 32])
+def test_kmers_by_stretches(spark, k, monkeypatch):
+    monkeypatch.setattr(km, "SLICE", 50)
+    reads = spark.createDataFrame(ODD_READS, "i long, seq string")
+    n, sets = Counter(), {}
+    for i, s in ODD_READS:
+        for x in pieces_brute(s, k):
+            n[x] += 1
+            sets.setdefault(x, set()).update([i] if i is not None else [])
+    got = km.counts_and_reads(reads, k, "i").collect()
+    assert len(got) == len(n) and {r.kmer: (r.n, r.n_reads) for r in got} == {x: (n[x], len(sets[x])) for x in n}
+
+
 @pytest.mark.parametrize("k", [11, 29, 31, 51, 62])
 def test_clean_reads_keep_all_letters(spark, k):
     r = random.Random(k)
