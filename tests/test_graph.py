@@ -173,6 +173,9 @@ def test_kmers_by_stretches(spark, k, monkeypatch):
             sets.setdefault(x, set()).update([i] if i is not None else [])
     got = km.counts_and_reads(reads, k, "i").collect()
     assert len(got) == len(n) and {r.kmer: (r.n, r.n_reads) for r in got} == {x: (n[x], len(sets[x])) for x in n}
+    numbers = km.annotate_reads(reads, k).collect()
+    want = {r.seq: r.x for r in reads.select("seq", F.transform(km.pieces(F.col("seq"), k), km.number_of).alias("x")).collect()}
+    assert len(numbers) == len(ODD_READS) and all(r.numbers == want[r.seq] for r in numbers)
 
 
 @pytest.mark.parametrize("k", [11, 29, 31, 51, 62])
