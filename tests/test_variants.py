@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import datetime
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import tables
 from tidemark.functions.align import alignment_ops, cigar
 from tidemark.functions.stats import legacy_percentile, mean_or_zero, population_deviation
 from tidemark.operators import variants as va
@@ -117,3 +120,36 @@ def test_percentiles_and_moments(spark):
     assert got[0] == pytest.approx((5.005, 500.5, 995.995)) and got[1] == (3.0, 3.0, 3.0) and got[2] == (1.0, 1.5, 2.0) and got[3] == (None, None, None)
     none = spark.createDataFrame([], "x int").agg(mean_or_zero(F.col("x")), population_deviation(F.col("x"))).first()
     assert tuple(none) == (0.0, 0.0)
+
+
+def share_brute(truth, candidates):
+    def ok(s1, e1, s2, e2):
+        return max(0, min(e1, e2) - max(s1, s2)) / max(max(e1 - s1, 1), max(e2 - s2, 1)) >= (0.6 if e1 - s1 <= 1000 else 0.8)
+
+    def hit(c, s, e):
+        r = int((e - s) * (0.4 if e - s <= 1000 else 0.2) // 1)
+        return any(c == c2 and s - r <= s2 <= s + r and ok(s, e, s2, e2) for c2, s2, e2 in set(candidates))
+
+    tp = Counter(c for c, s, e in truth if hit(c, s, e))
+    n, m = Counter(c for c, *_ in truth), Counter(c for c, *_ in candidates)
+    return {(c, tp[c], n[c] - tp[c], m[c] - tp[c], m[c]) for c in n | m}
+
+
+def test_shares_of_piled_and_long_intervals(spark):
+    r = random.Random(4)
+
+    def some(n):
+        return [(r.choice("xy"), s, s + r.choice([-3, 0, 1, 10, 40, 90, 900, 1001, 5000, 70000]) + r.randrange(9)) for s in (r.randrange(-50, 3000) for _ in range(n))]
+
+    truth, candidates = some(300) + [("z", 7, 90)] * 30, some(300) + [("z", 8, 91)] * 3 + [("w", 1, 2)]
+    schema = "contig string, start long, stop long"
+    got = va.compare_by_share(spark.createDataFrame(truth, schema), spark.createDataFrame(candidates, schema)).collect()
+    assert {(x.contig, x.tp, x.fn, x.fp, x.n_candidates) for x in got} == share_brute(truth, candidates)
+
+
+def test_share_makes_no_pairs(spark):
+    rows = spark.createDataFrame([("c", 100 + i % 50, 190 + i % 70) for i in range(20_000)], "contig string, start long, stop long")
+    found = va.compare_by_share(rows, rows)
+    assert "LeftSemi" in found._jdf.queryExecution().toString().split("near")[0] and found.first().tp == 20_000
+    written = [p for p in tables._written[spark.sparkContext.applicationId] if "/truths-" in p][-1]
+    assert spark.read.parquet(written).count() == rows.distinct().count()

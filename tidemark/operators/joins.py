@@ -16,7 +16,7 @@ FINEST, FACTOR, LEVELS = 1 << 6, 8, 13
 MOST = 100_000
 
 
-def _width(level: Column, finest: int) -> Column:
+def bin_size(level: Column, finest: int) -> Column:
     return F.element_at(F.array(*(F.lit(finest * FACTOR**k) for k in range(LEVELS))), level + 1)
 
 
@@ -34,7 +34,7 @@ def in_bins(df: DataFrame, left: bool, finest: int = FINEST) -> DataFrame:
     guest = 2 if left else 1
 
     def places(level: Column) -> Column:
-        w = _width(level, finest)
+        w = bin_size(level, finest)
         bins = F.sequence(F.floor(F.col("start") / w), F.floor(F.col("stop") / w))
         own = F.array(*(F.lit(p) for p, _ in at_home))
         parts = F.when(level == F.col("home"), own).otherwise(F.array(F.lit(guest)))
@@ -61,7 +61,7 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "overlap", bin_wi
     b = b.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
     a, b = a.withColumnRenamed("item", "a"), b.withColumnRenamed("item", "b")
     over = (F.col("a.start") <= F.col("b.stop")) & (F.col("b.start") <= F.col("a.stop"))
-    once = F.col("bin") == F.floor(F.greatest("a.start", "b.start") / _width(F.col("level"), bin_width))
+    once = F.col("bin") == F.floor(F.greatest("a.start", "b.start") / bin_size(F.col("level"), bin_width))
     inside = (F.col("a.start") >= F.col("b.start")) & (F.col("a.stop") <= F.col("b.stop")) if how == "within" else F.lit(True)
     return a.join(b, [*keys, "salt"]).where(over & once & inside).select("a", "b")
 

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 from ..tables import cut
-from .joins import BIN, reciprocal_overlap
+from .joins import BIN, FACTOR, FINEST, LEVELS, bin_size, reciprocal_overlap
+
+
+#: Stops of one start that are one row's are as far apart at most.
+STOPS = 1 << 12
 
 
 def parse_info(info: Column) -> Column:
@@ -185,13 +189,19 @@ def compare_by_share(truth: DataFrame, candidates: DataFrame) -> DataFrame:
     """The older comparison, per contig: candidates within 40 % (20 % beyond 1,000) of the truth's length around its start; false positives are the rest by number."""
     length = F.col("stop") - F.col("start")
     around = F.when(length <= 1000, F.floor(length * 0.4)).otherwise(F.floor(length * 0.2)).cast("long")
-    bin_width = BIN
-    low, high = F.col("start") - around, F.col("start") + around
-    t = truth.select("contig", "start", "stop", F.explode(F.sequence(F.floor(low / bin_width), F.floor(high / bin_width))).alias("bin"), low.alias("low"), high.alias("high"))
-    c = candidates.select(F.col("contig").alias("c_contig"), F.col("start").alias("c_start"), F.col("stop").alias("c_stop"), F.floor(F.col("start") / bin_width).alias("c_bin"))
-    hit = t.join(c, (F.col("contig") == F.col("c_contig")) & (F.col("bin") == F.col("c_bin")) & F.col("c_start").between(F.col("low"), F.col("high")) & accept_by_length(F.col("start"), F.col("stop"), F.col("c_start"), F.col("c_stop")))
-    found = truth.join(hit.select("contig", "start", "stop").distinct(), ["contig", "start", "stop"], "left_semi")
-    n = found.groupBy("contig").agg(F.count(F.lit(1)).alias("tp"))
+    own = truth.groupBy("contig", "start", "stop").agg(F.count(F.lit(1)).alias("n")).withColumns({"low": F.col("start") - around, "high": F.col("start") + around}).where("low <= high")
+    # Equal truths are asked once, candidates of one start are one row, and a truth is done with the first that it accepts.
+    t = cut(own.withColumn("level", F.size(F.filter(F.array(*(F.lit(FINEST * FACTOR**k) for k in range(LEVELS - 1))), lambda w: w < F.col("high") - F.col("low") + 1))), "truths")
+    stops = candidates.select("contig", F.col("start").alias("c_start"), F.col("stop").alias("c_stop")).distinct()
+    stops = stops.groupBy("contig", "c_start", F.floor(F.col("c_stop") / STOPS).alias("part")).agg(F.collect_list("c_stop").alias("stops")).drop("part")
+    c = stops.join(F.broadcast(t.select("level").distinct()))  # LEVELS rows at most
+    c = c.select(F.col("contig").alias("c_contig"), "c_start", "stops", F.col("level").alias("c_level"), F.floor(F.col("c_start") / bin_size(F.col("level"), FINEST)).alias("c_bin"))
+    size = bin_size(F.col("level"), FINEST)
+    t = t.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / size), F.floor(F.col("high") / size))))
+    near = (F.col("contig") == F.col("c_contig")) & (F.col("level") == F.col("c_level")) & (F.col("bin") == F.col("c_bin")) & F.col("c_start").between(F.col("low"), F.col("high"))
+    some = F.exists("stops", lambda stop: accept_by_length(F.col("start"), F.col("stop"), F.col("c_start"), stop))
+    hit = t.join(c, near & some, "left_semi").select("contig", "start", "stop", "n").distinct()
+    n = hit.groupBy("contig").agg(F.sum("n").alias("tp"))
     per_truth = truth.groupBy("contig").agg(F.count(F.lit(1)).alias("n_truth"))
     per_candidate = candidates.groupBy("contig").agg(F.count(F.lit(1)).alias("n_candidates"))
     out = per_truth.join(per_candidate, "contig", "full").join(n, "contig", "left").na.fill(0, ["tp", "n_truth", "n_candidates"])
