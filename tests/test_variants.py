@@ -11,6 +11,7 @@ from tidemark import tables
 from tidemark.functions.align import alignment_ops, cigar
 from tidemark.functions.stats import legacy_percentile, mean_or_zero, population_deviation
 from tidemark.operators import variants as va
+from tidemark.plans import callers as ca
 from tidemark.sources import vcf
 
 INFO = "IMPRECISE;SVTYPE=DEL;END=321887;SVLEN=-205;CIPOS=-56,20;CIPOS=-1,2;x=a=b;;NS"
@@ -153,3 +154,15 @@ def test_share_makes_no_pairs(spark):
     assert "LeftSemi" in found._jdf.queryExecution().toString().split("near")[0] and found.first().tp == 20_000
     written = [p for p in tables._written[spark.sparkContext.applicationId] if "/truths-" in p][-1]
     assert spark.read.parquet(written).count() == rows.distinct().count()
+
+
+def test_links_and_inversions_of_piled_reads(spark):
+    r = random.Random(5)
+    events = [("c", s, s + r.choice([-1, 0, 5, 40, 300])) for s in (r.randrange(-20, 400) for _ in range(80))] * 3
+    reads = [("c", s, s + r.randrange(0, 30), r.choice("de"), r.randrange(0, 300)) for s in (r.randrange(-20, 500) for _ in range(150))] * 2
+    df = spark.createDataFrame(reads, "contig string, aln_start long, aln_end long, mate_contig string, mate_start long").withColumns({"unmapped": F.lit(False), "mate_unmapped": F.lit(False), "mapq": F.lit(9)})
+    want = Counter((c, s // 50, mc, ms // 50) for c, s, e in events for c2, a, b, mc, ms in reads if s <= e and a <= e and s <= b)
+    got = ca.graph_bins(spark.createDataFrame(events, "contig string, start long, stop long"), df, 50).collect()
+    assert {(x.contig, x.bin, x.mate_contig, x.mate_bin): x.n for x in got} == {k: n for k, n in want.items() if n > 10}
+    written = [p for p in tables._written[spark.sparkContext.applicationId] if "/asked-" in p][-1]
+    assert spark.read.parquet(written).count() < len(got) * 300

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.edges import average_depth, jumps, level_segments, peaks
 from ..operators.islands import fill_missing, join_close, join_touching, merge_overlapping, predicate_runs
 from ..operators.joins import overlap_join, started_bridged_ended
+from ..operators.ordered import with_running_sum
 from ..operators.reads import Limits, orientation
 from ..tables import cut
 
@@ -162,9 +163,21 @@ def copy_numbers(signals: DataFrame, coverage: int, shortest: int = 50, over: in
 
 def graph_bins(events: DataFrame, reads: DataFrame, width: int = GRAPH_BIN, over: int = GRAPH_COUNT) -> DataFrame:
     """contig, bin, mate_contig, mate_bin, n: cross-contig reads at events (contig, start, stop), counted by bins of both ends."""
-    far = as_intervals(reads.where(~F.col("unmapped") & ~F.col("mate_unmapped") & (F.col("mapq") != 0) & (F.col("mate_contig") != F.col("contig"))), "mate_contig", "mate_start")
-    rows = overlap_join(far, events).select("b.contig", F.floor(F.col("b.start") / width).alias("bin"), F.col("a.mate_contig").alias("mate_contig"), F.floor(F.col("a.mate_start") / width).alias("mate_bin"))
-    return rows.groupBy("contig", "bin", "mate_contig", "mate_bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > over)
+    sound = "contig IS NOT NULL AND start <= stop"
+    far = as_intervals(reads.where(~F.col("unmapped") & ~F.col("mate_unmapped") & (F.col("mapq") != 0) & (F.col("mate_contig") != F.col("contig"))), "mate_contig", F.floor(F.col("mate_start") / width).alias("mate_bin"))
+    far = far.where(sound).groupBy(*far.columns).agg(F.count(F.lit(1)).alias("n"))
+    # Of a bin's events a read meets those that begin by its stop, less those that end before its start: no pairs of both.
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("start").cast("long").alias("pos")), F.struct(F.lit(1).alias("kind"), F.col("stop").cast("long").alias("pos"))))
+    points = events.where(sound).select("contig", F.floor(F.col("start") / width).alias("bin"), ends.alias("e")).groupBy("contig", "bin", "e.kind", "e.pos").agg(F.count(F.lit(1)).alias("m"))
+    points = cut(points, "event_ends")
+    reach = points.groupBy("contig", "bin").agg(F.min(F.when(F.col("kind") == 0, F.col("pos"))).alias("start"), F.max(F.when(F.col("kind") == 1, F.col("pos"))).alias("stop"))
+    asks = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("a.stop").cast("long").alias("pos"), F.col("a.n").alias("w")), F.struct(F.lit(1).alias("kind"), (F.col("a.start").cast("long") - 1).alias("pos"), (-F.col("a.n")).alias("w"))))
+    asked = overlap_join(far, reach).select("b.contig", "b.bin", "a.mate_contig", "a.mate_bin", asks.alias("x")).groupBy("contig", "bin", "x.kind", "x.pos", "mate_contig", "mate_bin").agg(F.sum("x.w").alias("w"))
+    asked, at = cut(asked, "asked"), ["contig", "bin", "kind", "pos"]
+    both = points.withColumn("ask", F.lit(0)).unionByName(asked.select(*at, F.lit(0).cast("long").alias("m"), F.lit(1).alias("ask")).distinct())
+    seen = with_running_sum(both.groupBy(*at).agg(F.sum("m").alias("m"), F.max("ask").alias("ask")), at[:3], ["pos"], F.col("m"), "pos", "upto").where("ask = 1").select(*at, "upto")
+    rows = asked.join(seen, at).groupBy("contig", "bin", "mate_contig", "mate_bin").agg(F.sum(F.col("w") * F.col("upto")).alias("n"))
+    return rows.where(F.col("n") > over)
 
 
 def graph_ends(bins: DataFrame, width: int = GRAPH_BIN) -> tuple[DataFrame, DataFrame]:
