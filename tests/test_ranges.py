@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import tables
 from tidemark.operators import ranges as rg
 
 INTERVALS = "contig string, start long, stop long, value long"
@@ -80,3 +81,13 @@ def test_a_range_over_a_million_points_reads_few_nodes(spark):
     best = max(range(3, (1 << 20) - 4), key=lambda i: ((i * 7919) % 1048573, -i))
     out = rg.argmax_in_range(asked, points)
     assert [r.best.pos for r in out.collect()] == [best]
+
+
+def test_equal_intervals_are_one_row(spark):
+    reads = spark.createDataFrame([("c", 5, 9, 2)] * 4000 + [("c", 1, 9, 3)] * 3, "contig string, start long, stop long, v long")
+    asked = spark.createDataFrame([("c", 4, 9), ("c", 0, 20)], "contig string, start long, stop long")
+    found = rg.aggregate_ranges(asked, reads, {"v": F.col("v")}, within=True)
+    assert sorted((r.start, r.n, r.v) for r in found.collect()) == [(0, 4003, 8009), (4, 4000, 8000)]
+    # The tree's nodes are made for the two distinct intervals only.
+    written = [p for p in tables._written[spark.sparkContext.applicationId] if "/intervals-" in p][-1]
+    assert spark.read.parquet(written).count() == 2

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import cut
 from .ordered import WIDTH, with_context
 
 #: Positions are moved up by this, so that none is negative, and have so many bits then.
@@ -61,6 +62,8 @@ def aggregate_ranges(ranges: DataFrame, intervals: DataFrame, values: dict[str,
     names = ["__n", *(f"__v_{k}" for k in values)]
     sound = "contig IS NOT NULL AND start <= stop"
     own = intervals.where(sound).select("contig", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.lit(1).cast("long").alias("__n"), *(F.coalesce(v.cast("long"), F.lit(0)).alias(f"__v_{k}") for k, v in values.items()))
+    # Equal intervals are one row from here on; written down, as they are read two or three times.
+    own = cut(own.groupBy(*RANGE).agg(*(F.sum(c).alias(c) for c in names)), "intervals")
     keyed = ranges.where(sound).select("contig", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).distinct()
     # At one position: a range's start, then intervals' starts, their stops, and a range's stop.
     none = F.lit(None).cast("long")
