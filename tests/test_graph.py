@@ -171,6 +171,7 @@ def test_kmers_by_stretches(spark, k, monkeypatch):
         for x in pieces_brute(s, k):
             n[x] += 1
             sets.setdefault(x, set()).update([i] if i is not None else [])
+    assert {r.kmer: set(r.reads) for r in km.read_sets(reads, k, "i").collect()} == sets
     got = km.counts_and_reads(reads, k, "i").collect()
     assert len(got) == len(n) and {r.kmer: (r.n, r.n_reads) for r in got} == {x: (n[x], len(sets[x])) for x in n}
     numbers = km.annotate_reads(reads, k).collect()
@@ -269,3 +270,11 @@ def test_reassembly(spark):
     assert [(x.seq, x.pos, x.stop) for x in ra.best_contig(reads, "c", 1, 36, parameters).collect()] == [(genome, 1, 36)]
     out = ra.as_reads(found, spark.createDataFrame([("c", genome)], "name string, seq string"), "c").collect()
     assert [(x.cigar, x.mapq, x.aln_start) for x in out] == [("36M", 60, 1)]
+
+
+def test_levels_of_many_edges_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(gr, "BROADCAST", 3)
+    e = edges(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("b", "d"), ("d", "b")])
+    paths = gr.simple_paths(gr.vertices_of(e), e)
+    assert "strategy=merge" in paths._jdf.queryExecution().toString()
+    assert {tuple(r.path) for r in paths.collect()} == {("a", "b", "c", "d"), ("a", "b", "d")}

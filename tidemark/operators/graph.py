@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..tables import cut
 
+#: Edges that a level of a recursion may broadcast.
+BROADCAST = 10_000
 EDGE_SCHEMA = "src string, dst string, weight long"
 
 
@@ -123,16 +125,19 @@ def _grow(spark: SparkSession, starts: DataFrame, edges: DataFrame, done: str, d
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     # The error names e.dst, so that it is not raised before the join, for a path that ends.
     grows = "NOT p.closed" if deepest is None else f"CASE WHEN p.closed THEN false WHEN size(p.path) > {deepest} THEN CAST(raise_error(concat('a path is longer than {deepest} steps, at ', e.dst)) AS BOOLEAN) ELSE true END"
+    # Each level would send a broadcast table through the driver again, so only few edges may be broadcast.
+    links = cut(edges.select("src", "dst").distinct())
+    hint = "/*+ MERGE(p, e) */" if links.limit(BROADCAST + 1).count() > BROADCAST else ""
     return spark.sql(
         f"""
         WITH RECURSIVE paths(path, last, closed) AS (
           SELECT array(id), id, false FROM {{starts}}
           UNION ALL
-          SELECT concat(p.path, array(e.dst)), e.dst, array_contains(p.path, e.dst)
+          SELECT {hint} concat(p.path, array(e.dst)), e.dst, array_contains(p.path, e.dst)
           FROM paths p JOIN {{edges}} e ON p.last = e.src WHERE {grows}
         ) SELECT path, closed FROM paths WHERE {done}""",
         starts=cut(starts.select("id")),  # each level reads both again
-        edges=cut(edges.select("src", "dst").distinct()),
+        edges=links,
     )
 
 
