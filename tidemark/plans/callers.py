@@ -129,10 +129,14 @@ def inversions(signals: DataFrame, reads: DataFrame, read_length: int, over: int
     islands = join_close(of_signal(signals, "DiscordantTandemOrientation").where(F.col("value") > over).select("contig", "start", "stop")).where(F.col("stop") - F.col("start") > read_length)
     islands = cut(islands, "islands").withColumn("middle", F.expr("start + (stop - start) div 2"))
     tandem = as_intervals(reads.where(~F.col("unmapped") & ~F.col("mate_unmapped") & (F.col("mapq") != 0) & (F.col("mate_contig") == F.col("contig")) & (orientation() == "TANDEM")), "mate_start")
-    here = overlap_join(tandem, islands.where(F.col("stop") - F.col("start") <= largest))
-    mates = here.select("a.contig", F.col("a.mate_start").alias("start"), F.col("a.mate_start").alias("stop"), F.col("b.middle").alias("from"))
-    there = overlap_join(mates, islands).select("a.contig", F.col("a.from").alias("from"), F.col("b.middle").alias("to")).where(F.col("from") != F.col("to"))
-    counted = there.groupBy("contig", F.least("from", "to").alias("start"), F.greatest("from", "to").alias("stop")).agg(F.count(F.lit(1)).alias("score"))
+    # Equal reads are looked up once, and mates of one island are counted by their start before they are.
+    tandem = tandem.groupBy(*tandem.columns).agg(F.count(F.lit(1)).alias("n"))
+    tandem = cut(tandem, "tandem")
+    met = overlap_join(tandem.select("contig", "start", "stop").distinct(), islands.where(F.col("stop") - F.col("start") <= largest)).select("a.*", F.col("b.middle").alias("from"))
+    mates = tandem.join(met, ["contig", "start", "stop"]).groupBy("contig", "mate_start", "from").agg(F.sum("n").alias("n"))
+    mates = cut(mates.select("contig", F.col("mate_start").alias("start"), F.col("mate_start").alias("stop"), "from", "n"), "mates")
+    there = overlap_join(mates, islands).select("a.contig", F.col("a.from").alias("from"), F.col("b.middle").alias("to"), "a.n").where(F.col("from") != F.col("to"))
+    counted = there.groupBy("contig", F.least("from", "to").alias("start"), F.greatest("from", "to").alias("stop")).agg(F.sum("n").alias("score"))
     return counted.where(F.col("score") > links)
 
 
