@@ -162,16 +162,26 @@ def pieces_brute(s, k):
     return [s[i : i + k] for i in range(max(len(s) - k + 1, 1))] if s else []
 
 
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("k", [1, 2, 5, 11, 31, 32])
-def test_kmers_by_stretches(spark, k, monkeypatch):
+def test_kmers_by_stretches(spark, k, monkeypatch, small_batches):
     monkeypatch.setattr(km, "SLICE", 50)
+    monkeypatch.setattr(km, "BUCKETS", 3)
     reads = spark.createDataFrame(ODD_READS, "i long, seq string")
     n, sets = Counter(), {}
     for i, s in ODD_READS:
         for x in pieces_brute(s, k):
             n[x] += 1
             sets.setdefault(x, set()).update([i] if i is not None else [])
-    assert {r.kmer: set(r.reads) for r in km.read_sets(reads, k, "i").collect()} == sets
+    for chosen in (reads, reads.withColumn("i", F.col("i").cast("string"))):
+        got = {r.kmer: r.reads for r in km.read_sets(chosen, k, "i").collect()}
+        assert {x: set(map(int, y)) for x, y in got.items()} == sets and all(y == sorted(set(y)) for y in got.values())
     got = km.counts_and_reads(reads, k, "i").collect()
     assert len(got) == len(n) and {r.kmer: (r.n, r.n_reads) for r in got} == {x: (n[x], len(sets[x])) for x in n}
     numbers = km.annotate_reads(reads, k).collect()
