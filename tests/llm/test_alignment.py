@@ -86,3 +86,12 @@ def test_whole_small_table(spark, sf):
     for (i, _), w in zip(rows, brute(rows)):
         assert tuple(got[i][c] for c in al.SUMS) == w[:6]
         assert got[i].groups_sha256 == (hashlib.sha256(w[6].encode()).hexdigest() if w[6] else "")
+
+
+def test_no_segment_is_shuffled(spark, docs_of, monkeypatch):
+    """What blocks share are pairs of ids: no text and no tokens leave their block."""
+    seen = {}
+    monkeypatch.setattr(al, "compose", lambda blocks, weights, with_ends, old=al.compose: seen.update(blocks=blocks, weights=weights) or old(blocks, weights, with_ends))
+    al.align_tokens(docs_of(["alpha beta gamma " * 50, "beta gamma delta " * 50]), block_chars=100).collect()
+    assert [f.name for f in seen["weights"].schema if f.dataType.simpleString() in ("string", "binary")] == []
+    assert all(len(r.a) == len(set(zip(r.a, r.b))) == len(r.n) for r in seen["blocks"].collect())

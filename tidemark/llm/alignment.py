@@ -1,4 +1,4 @@
-"""Two tokenizers' tokens aligned by the bytes that they cover, each distinct segment tokenised once.
+"""Two tokenizers' tokens aligned by the bytes that they cover, each distinct segment of a block tokenised once.
 
 A text, with one space in front, is cut before each run of white space that begins with a space and follows another
 character. Neither vocabulary can join tokens across such a place, which is verified when they are loaded: the byte-level
@@ -6,12 +6,11 @@ one cuts words there by its pattern, whatever stands around, and no piece of the
 character. So a segment's tokens are the same wherever it stands, both vocabularies have a token end at every cut, and a document's
 alignment is its segments' alignments one after another.
 
-1. Documents become blocks: each has its distinct segments once, and every document as numbers of segments.
-2. The corpus's distinct segments are tokenised and aligned once.
-3. Pairs of tokens that end together are counted over all occurrences, by segments' counts.
-4. Alignments are joined back to the blocks' segments, and each block's documents are composed.
+1. Documents become blocks: each has its distinct segments' tokens once, aligned, and every document as numbers of segments.
+2. Pairs of tokens that end together are counted: a block names each of its pairs once.
+3. The corpus's counts go back to the blocks' pairs, and each block's documents are composed.
 
-A block names a segment once, so a segment has at most one row a block, however often it occurs.
+No segment's text or tokens are shuffled: what blocks share are pairs of ids, of which a block has far fewer than segments.
 """
 
 from __future__ import annotations
@@ -23,14 +22,13 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
 from .bpe import Numbers
 from .bpe import _ragged as ragged
-from .common import BROADCAST_BYTES, bound_batches, cut, free_shuffles, join_groups, lean, map_batches, table, to_arrow
+from .common import ARROW_ROWS, BROADCAST_BYTES, bound_batches, cut, free_shuffles, join_groups, lean, table, to_arrow
 
 #: Code points of a block, unless one text is larger.
 BLOCK_CHARS = 16 << 20
@@ -40,6 +38,10 @@ WHITE = r"\s\x85\u1680\u180e\u200b-\u200d\u2060\ufeff"
 SEGMENT = re.compile(f" [^ ]*(?:(?<=[{WHITE}]) [^ ]*)*")
 #: Segments that are tokenised in one call: each ends in a character that isn't white space, so it stays by itself.
 TOGETHER = 512
+#: Segments that are aligned at a time: the libraries' own tokens are large.
+AT_ONCE = 4096
+#: Bits of an id: a token takes three bytes with its place in MARKS, a pair of ids one long.
+ID_BITS = 22
 #: What follows a token: another one of its kind in the group, the second kind, the next group, nothing.
 MARKS = ",", "|", ";", ""
 SPACE = "▁"
@@ -119,8 +121,8 @@ def tokenise(segments: list[str], first: str, second: str) -> list[np.ndarray]:
     return out
 
 
-def align(segments: list[str], first: str, second: str) -> dict[str, list | pa.Array]:
-    """Of each segment the tokens as ``pack`` has them, the tokens that end together as links, and the groups' ends.
+def align(segments: list[str], first: str, second: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All segments' tokens as numbers 4 * id + place in MARKS, how many each has, and the bytes of its segment at which each group ends.
 
     A group ends where tokens of both end. Tokens have bytes, so two tokens end together only if both are a group's last.
     """
@@ -140,46 +142,68 @@ def align(segments: list[str], first: str, second: str) -> dict[str, list | pa.A
     coded = np.empty(len(a) + len(b), np.int64)
     coded[np.arange(len(a)) + np.repeat(upto_b - size_b, size_a)] = coded_a
     coded[np.arange(len(b)) + np.repeat(upto_a, size_b)] = coded_b
-    begin = pa.array(np.concatenate([[0], last + 1]), pa.int32())
-    pairs = pa.StructArray.from_arrays([pa.array(x[upto - 1], pa.int32()) for x, upto in ((a, upto_a), (b, upto_b))], ["a", "b"])
+    if len(coded) and coded.max() >= 4 << ID_BITS:
+        raise ValueError("ids from 2^22 on don't fit")
     ends = cuts - np.repeat(np.concatenate([[0], stop[:-1]]), np.diff(last, prepend=-1))
-    return {"tokens": pack(coded, upto_a[last] + upto_b[last]), "links": pa.ListArray.from_arrays(begin, pairs), "ends": pa.ListArray.from_arrays(begin, pa.array(ends, pa.int32()))}
+    return coded.astype(np.int32), np.diff(upto_a[last] + upto_b[last], prepend=0).astype(np.int32), ends.astype(np.int32)
 
 
-def pack(coded: np.ndarray, upto: np.ndarray) -> list[bytes]:
-    """Numbers 4 * id + place in MARKS, three bytes each, by segments that end at ``upto``."""
-    if len(coded) and coded.max() >= 1 << 24:
-        raise ValueError("ids from 2^22 on don't fit")
-    raw = coded.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-    at = np.concatenate([[0], 3 * upto]).tolist()
-    return [raw[x:y] for x, y in zip(at, at[1:])]
+def align_all(segments: list[str], first: str, second: str) -> list[np.ndarray]:
+    """``align`` of any number of segments, some at a time."""
+    parts = [align(segments[i : i + AT_ONCE], first, second) for i in range(0, len(segments), AT_ONCE)]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int32)] * 3
+
+
+def links_of(coded: np.ndarray) -> np.ndarray:
+    """The two last tokens of each group, as one number."""
+    place = coded & 3
+    return (coded[place == 1] >> 2).astype(np.int64) << ID_BITS | coded[place >= 2] >> 2
+
+
+def pack(coded: np.ndarray) -> bytes:
+    """Numbers of tokens in three bytes each, compressed."""
+    return pa.compress(coded.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), "zstd", asbytes=True)
+
+
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(packed, 3 * n, "zstd"), np.uint8).reshape(-1, 3).astype(np.int32)
+    return raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
+
 
+def pack_ints(values: np.ndarray) -> bytes:
+    return pa.compress(values.astype(np.int32).tobytes(), "zstd", asbytes=True)
 
-def unpack(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(the numbers of all segments, how many each segment has)."""
-    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
-    return raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, pc.binary_length(packed).to_numpy().astype(np.int64) // 3
 
+def unpack_ints(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 4 * n, "zstd"), np.int32)
 
-def cut_segments(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row a block: its distinct segments and how often they occur, and for each document how many segments it has, and which (compressed 32-bit numbers of all documents together).
+
+def align_blocks(docs: DataFrame, first: str, second: str, with_ends: bool, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row a block: for each document how many segments it has, and which (numbers of all documents together); its distinct
+    segments' tokens, how many each has and, if asked for, where its groups end; and its pairs of linked tokens in order, as a
+    and b, with the number n of links that hold them. What only one block needs is compressed.
 
     Null and empty texts, and those with the space mark itself, have none: the second vocabulary takes the mark for a space, so its tokens aren't the text.
     """
     spark = docs.sparkSession
     ship(spark)
     bound_batches(spark)
-    schema = "segments array<string>, occurs array<long>, doc_ids array<long>, counts array<int>, numbers binary"
+    schema = "doc_ids array<long>, counts array<int>, numbers binary, tokens binary, sizes binary, ends binary, a array<int>, b array<int>, n array<long>"
     arrow = to_arrow(schema)
 
     def run(batches):
         ids, counts, numbers, own, size = [], [], array("i"), Numbers(), 0
 
         def row():
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             flat = np.array(numbers, np.int32)
-            made = (one(pa.array(own, pa.string())), one(pa.array(np.bincount(flat, minlength=len(own)), pa.int64())), pa.array([ids], pa.list_(pa.int64())), one(pa.array(counts, pa.int32())), pa.array([pa.compress(flat.tobytes(), "zstd", asbytes=True)], pa.binary()))
-            return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow)], schema=arrow)
+            coded, sizes, ends = align_all(list(own), first, second)
+            of = np.repeat(np.arange(len(sizes)), sizes)[(coded & 3) == 1]  # each group's segment
+            pairs, which = np.unique(links_of(coded), return_inverse=True)
+            n = np.zeros(len(pairs), np.int64)
+            np.add.at(n, which, np.bincount(flat, minlength=len(own))[of])
+            made = (ids, counts, pack_ints(flat), pack(coded), pack_ints(sizes), pack_ints(ends) if with_ends else None, pairs >> ID_BITS, pairs & ((1 << ID_BITS) - 1), n)
+            one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind.value_type)) if pa.types.is_list(kind) else pa.array([x], kind)
+            return pa.RecordBatch.from_arrays([one(x, f.type) for x, f in zip(made, arrow)], schema=arrow)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -198,16 +222,6 @@ def cut_segments(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     return cut(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
-def align_segments(segments: DataFrame, first: str, second: str, with_ends: bool) -> DataFrame:
-    """segment, n -> with packed tokens, links and, if asked for, the groups' ends."""
-    schema = "segment string, n long, tokens binary, links array<struct<a:int,b:int>>" + (", ends array<int>" if with_ends else "")
-
-    def make():
-        return lambda rows: rows | align(rows["segment"], first, second) if rows["segment"] else rows | {k: [] for k in ("tokens", "links", "ends")}
-
-    return cut(map_batches(segments, ["segment", "n"], make, schema), "aligned")
-
-
 def pair_counts(linked: DataFrame) -> DataFrame:
     """a, b, count (links that hold the pair, over the whole corpus), best (no other a has a greater count with b), size (rows of ``linked``)."""
     pairs = linked.groupBy("a", "b").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("size"))
@@ -216,59 +230,77 @@ def pair_counts(linked: DataFrame) -> DataFrame:
 
 
 def weigh(linked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """segment, n_best and count_sum of each aligned segment."""
+    """of, at, count and best of each block's pairs."""
     n_pairs, total = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     if n_pairs * 40 <= BROADCAST_BYTES:
         met = linked.join(F.broadcast(pairs.drop("size")), ["a", "b"])
     else:
-        met = join_groups(linked, pairs, ["a", "b"], total, ["segment"])
-    return met.groupBy("segment").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        met = join_groups(linked, pairs, ["a", "b"], total, ["of"])
+    return met.select("of", "at", "count", "best")
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def compose(blocks: DataFrame, rows: DataFrame, with_ends: bool) -> DataFrame:
-    """Each block's documents from its segments' rows (of: the block, no, tokens, n_best, count_sum, ends)."""
+def compose(blocks: DataFrame, weights: DataFrame, with_ends: bool) -> DataFrame:
+    """Each block's documents, with what its pairs weigh (of: the block, at: the pair's place in it, count, best)."""
     schema = f"doc_id long, {', '.join(f'{c} long' for c in SUMS)}, groups string" + (", ends array<long>" if with_ends else "")
     arrow = to_arrow(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         doc_ids, counts = (left.column(c).combine_chunks().flatten() for c in ("doc_ids", "counts"))
-        right = right.sort_by("no").combine_chunks()
+        packed = {c: left.column(c)[0].as_py() for c in ("numbers", "tokens", "sizes", "ends")}
         counts = counts.to_numpy().astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(counts)])
-        numbers = np.frombuffer(pa.decompress(left.column("numbers")[0].as_py(), int(4 * upto[-1]), "zstd"), np.int32)
-        coded, size = unpack(right.column("tokens"))
+        numbers = unpack_ints(packed["numbers"], int(upto[-1]))
+        size = unpack_ints(packed["sizes"], int(numbers.max()) + 1 if len(numbers) else 0).astype(np.int64)
+        coded = unpack(packed["tokens"], int(size.sum()))
         place = coded & 3
         stop = np.cumsum(size)
-        of = {c: right.column(c).to_numpy() for c in ("n_best", "count_sum")}
+        pairs, which = np.unique(links_of(coded), return_inverse=True)
+        right = right.sort_by("at").combine_chunks()
+        if len(pairs) != right.num_rows:
+            raise ValueError(f"{right.num_rows} of a block's {len(pairs)} pairs were counted")
+
+        def summed(marked: np.ndarray, upto: np.ndarray, n: np.ndarray) -> np.ndarray:
+            running = np.concatenate([[0], np.cumsum(marked, dtype=np.int64)])
+            return running[upto] - running[upto - n]
+
         # A group's second tokens are those behind its bar, up to its end; each group links its last two tokens.
-        for c, marked in (("n_b", np.cumsum((place == 1).astype(np.int8) - (place >= 2), dtype=np.int64) + (place >= 2)), ("n_groups", place == 1)):
-            running = np.concatenate([[0], np.cumsum(marked if c == "n_groups" else marked - (place == 1), dtype=np.int64)])
-            of[c] = running[stop] - running[stop - size]
+        opened = np.cumsum((place == 1).astype(np.int8) - (place >= 2), dtype=np.int64) + (place >= 2)
+        of = {"n_b": summed(opened - (place == 1), stop, size), "n_groups": summed(place == 1, stop, size)}
         of["n_a"], of["n_links"] = size - of["n_b"], of["n_groups"]
+        last = np.cumsum(of["n_groups"])
+        for c, name in (("n_best", "best"), ("count_sum", "count")):
+            of[c] = summed(right.column(name).to_numpy()[which], last, of["n_groups"])
         out = [doc_ids]
         for c in SUMS:
-            running = np.concatenate([[0], np.cumsum(of[c][numbers], dtype=np.int64)])
-            out.append(pa.array(running[upto[1:]] - running[upto[:-1]], pa.int64()))
-        known, which = np.unique(coded, return_inverse=True)
-        words = np.array([f"{x >> 2}{MARKS[x & 3]}" for x in known.tolist()], object)[which].tolist()
-        groups, own = ["".join(words[x:y]) for x, y in zip((stop - size).tolist(), stop.tolist())], numbers.tolist()
-        del words
-        out.append(pa.array([";".join([groups[i] for i in own[x:y]]) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.string()))
+            out.append(pa.array(summed(of[c][numbers], upto[1:], counts), pa.int64()))
+        groups = []
+        for i in range(0, len(size), AT_ONCE):
+            begin, part = stop[i] - size[i], stop[i : i + AT_ONCE]
+            known, which = np.unique(coded[begin : part[-1]], return_inverse=True)
+            words = np.array([f"{x >> 2}{MARKS[x & 3]}" for x in known.tolist()], object)[which].tolist()
+            groups += ["".join(words[x:y]) for x, y in zip((part - size[i : i + AT_ONCE] - begin).tolist(), (part - begin).tolist())]
+        spans = list(zip(upto[:-1].tolist(), upto[1:].tolist()))
+        texts = (pa.array([";".join([groups[j] for j in numbers[x:y].tolist()]) for x, y in spans[i : i + ARROW_ROWS]], pa.string()) for i in range(0, len(spans), ARROW_ROWS))
+        out.append(pa.chunked_array(texts, pa.string()))
         if with_ends:
-            edges = right.column("ends").combine_chunks()
-            length, flat = edges.value_lengths().to_numpy().astype(np.int64), edges.flatten().to_numpy().astype(np.int64)
+            length, flat = of["n_groups"], unpack_ints(packed["ends"], int(of["n_groups"].sum())).astype(np.int64)
             first = np.cumsum(length) - length
             begin = np.concatenate([[0], np.cumsum(flat[first + length - 1][numbers])])  # of segments, in the block's bytes
             shift = begin[:-1] - np.repeat(begin[upto[:-1]], counts)
             ends = flat[ragged(first[numbers], length[numbers]).astype(np.int64)] + np.repeat(shift, length[numbers])
             at = np.concatenate([[0], np.cumsum(length[numbers])])[upto]
             out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ends, pa.int64())))
-        return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(out, arrow)], schema=arrow)
+        made = pa.Table.from_arrays([x.cast(f.type) for x, f in zip(out, arrow)], schema=arrow)
+        return pa.Table.from_batches(made.to_batches(max_chunksize=ARROW_ROWS), arrow)  # each is sent by itself
+
+    def leanly(left: pa.Table, right: pa.Table) -> pa.Table:
+        (made,) = lean(lambda _: iter([run(left, right)]))(iter(()))
+        return made
 
-    return blocks.select("block", "doc_ids", "counts", "numbers").groupBy("block").cogroup(rows.groupBy("of")).applyInArrow(run, schema)
+    return blocks.drop("a", "b", "n").groupBy("block").cogroup(weights.groupBy("of")).applyInArrow(leanly, schema)
 
 
 def align_tokens(docs: DataFrame, first: str = "byte_bpe_50k.json", second: str = "piece_bpe_32k.model", with_ends: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -281,14 +313,11 @@ def align_tokens(docs: DataFrame, first: str = "byte_bpe_50k.json", second: str
     U+2581), have no tokens: zeros and an empty string. Repeated rows and null ids give rows of their own and count each
     time; other columns are ignored; an empty table gives no rows.
     """
-    blocks = cut_segments(docs, block_chars)
-    listed = blocks.select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("segments", "occurs")).alias("no", "x")).select("of", "no", F.col("x.segments").alias("segment"), F.col("x.occurs").alias("n"))
-    aligned = align_segments(listed.groupBy("segment").agg(F.sum("n").alias("n")), first, second, with_ends)
-    linked = aligned.select("segment", "n", F.explode("links").alias("x")).select("segment", "n", "x.a", "x.b")
-    weights = weigh(linked, pair_counts(linked))
+    blocks = align_blocks(docs, first, second, with_ends, block_chars)
+    listed = blocks.select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("a", "b", "n")).alias("at", "x")).select("of", "at", "x.a", "x.b", "x.n")
+    weights = weigh(listed, pair_counts(listed))
     free_shuffles(docs.sparkSession)
-    rows = listed.drop("n").join(aligned.drop("n", "links"), "segment").join(weights, "segment").drop("segment")
-    return compose(blocks, rows, with_ends)
+    return compose(blocks, weights, with_ends)
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
