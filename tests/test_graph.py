@@ -256,6 +256,29 @@ def test_contigs_of_branching_and_circular_graphs(spark):
     assert sorted(chunks.values()) == want
 
 
+def test_contigs_of_reads(spark, monkeypatch):
+    r = random.Random(9)
+    genome = "".join(r.choice("ACGT") for _ in range(600))
+    short = [genome[i : i + r.randrange(12, 60)] for i in (r.randrange(560) for _ in range(60))]
+    odd = [genome[:100] + "ACGT" + genome[130:300], genome[200:260] + genome[:40], "ACGTTGCA" * 9, "A" * 30, "A" * 25 + "C" + "A" * 20, "", "ACG", None]
+    # One vertex that begins a chain in one read and ends it in another: C and G before it, A and T behind the next.
+    x = "".join(r.choice("ACGT") for _ in range(11))
+    alone = ["C" + x, "C" + x[:10] + "A", x + "G", "T" + x[1:] + "G"]
+    many = ["".join(r.choice("AC") for _ in range(r.randrange(8, 40))) for _ in range(80)]
+    for texts in (short, [*short, *odd, genome], odd, alone, many, [*odd, "ACGTNACGTACGTACGTACG"]):
+        monkeypatch.setattr(km, "BUCKETS", 3 if texts is many else 1 << 18)
+        got = sorted(q.seq for q in km.read_contigs(spark.createDataFrame([(t,) for t in texts], "seq string").repartition(3), 11).collect())
+        assert got == chains_brute([(t[i : i + 11], t[i + 1 : i + 12]) for t in texts if t for i in range(len(t) - 11)])
+
+
+def test_contigs_of_reads_write_no_graph_in_rounds(spark, monkeypatch):
+    """Reads whose chains are held whole need no rounds of pointer jumping, whatever the graph's size."""
+    monkeypatch.setattr(km, "longest_runs", lambda edges: pytest.fail("the graph was walked"))
+    r = random.Random(10)
+    texts = ["".join(r.choice("ACGT") for _ in range(300)) for _ in range(20)] * 2
+    assert sorted(q.seq for q in km.read_contigs(spark.createDataFrame([(t,) for t in texts], "seq string"), 25).collect()) == sorted(set(texts))
+
+
 def test_positions(spark):
     reads = spark.createDataFrame([("AACCGGTT", 10, 17, 10), ("AACCGGTT", 12, 17, 10)], "seq string, aln_start int, aln_end int, unclipped_start int")
     got = {r.kmer: [(p.pos, p.n) for p in r.positions] for r in km.kmer_positions(reads, 4, 0.5).collect()}
