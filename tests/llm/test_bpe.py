@@ -87,3 +87,50 @@ def test_every_piece_encodes_to_itself():
 def test_null_ids_and_empty_table(docs_of):
     assert [tuple(r)[:2] for r in bpe.encode_decode(docs_of([(None, "ab ab"), (None, "ab ab")])).collect()] == [(None, 2), (None, 2)]
     assert bpe.encode_decode(docs_of([])).collect() == []
+
+
+def odd_ranks(r):
+    """A vocabulary whose longer pieces may come before their parts."""
+    made = {"".join(r.choice("abc") for _ in range(r.randrange(2, 6))).encode() for _ in range(r.randrange(2, 40))}
+    pieces = sorted(made | {bytes([i]) for i in range(256)})
+    r.shuffle(pieces)
+    return {p: i for i, p in enumerate(pieces)}
+
+
+def test_first_states():
+    """Merged on from the first states words give what they give from bytes, and a quarter of these words' bytes are joined there."""
+    r = random.Random(10)
+    full = bpe.load_ranks(VOCABULARIES[0])
+    words = ["".join(r.choice(["th", "er", "ión", "ou", "sch", "é", "q"]) for _ in range(r.randrange(1, 9))) for _ in range(2000)]
+    cases = [(full, [w.encode() for w in words])] + [(odd_ranks(r), ["".join(r.choice("abcd") for _ in range(r.randrange(1, 20))).encode() for _ in range(60)]) for _ in range(80)]
+    for ranks, units in cases:
+        pieces, ids = sorted(ranks, key=ranks.get), np.array([ranks[bytes([i])] for i in range(256)])
+        begins, pairs = bpe.pair_rows(ranks)
+        ends, states = bpe.first_states(units, ids, bpe.byte_pairs(ranks), begins, pairs)
+        merges = 0
+        for unit, state in zip(units, np.split(states, ends[:-1])):
+            tokens = [pieces[x & bpe.NO_RANK] for x in state.tolist()]
+            assert b"".join(tokens) == unit and [x >> bpe.BITS & 1023 for x in state.tolist()] == list(range(len(tokens)))
+            merges += len(unit) - len(tokens)
+            known = [ranks.get(a + b, bpe.NO_RANK) for a, b in zip(tokens, tokens[1:])] + [bpe.NO_RANK]
+            assert [x >> (bpe.BITS + bpe.PLACE) for x in state.tolist()] == known
+            while len(tokens) > 1 and (least := min(near := [ranks.get(a + b, bpe.NO_RANK) for a, b in zip(tokens, tokens[1:])])) < bpe.NO_RANK:
+                i = near.index(least)
+                tokens[i : i + 2] = [tokens[i] + tokens[i + 1]]
+            assert [ranks[t] for t in tokens] == bpe.merge_bytes(unit, ranks), unit
+        if ranks is full:
+            assert merges > 0.25 * sum(map(len, units))
+    assert [len(x) for x in bpe.first_states([], ids, bpe.byte_pairs(ranks), begins, pairs)] == [0, 0]
+
+
+def test_every_pair_has_one_place():
+    r = random.Random(11)
+    for ranks in [*map(bpe.load_ranks, VOCABULARIES), odd_ranks(r), {bytes([i]): i for i in range(256)}]:
+        begins, pairs = bpe.pair_rows(ranks)
+        known, n = bpe.pair_ranks(ranks), len(ranks)
+        for (a, b), rank in known.items():
+            assert pairs[begins[a] + b] == rank << (bpe.BITS + bpe.PLACE) | a
+        for _ in range(20000):
+            a, b = r.randrange(n), r.randrange(n)
+            assert (a, b) in known or pairs[begins[a] + b] & bpe.NO_RANK != a
+        assert len(pairs) < 2 * n + 4 * len(known)

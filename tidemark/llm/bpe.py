@@ -1,8 +1,8 @@
-"""Byte-level BPE: ranked merges folded by Spark's higher-order functions over byte arrays of distinct words.
+"""Byte-level BPE: ranked merges folded by Spark's higher-order functions over arrays of distinct words' bytes.
 
 A block of documents is cut into words in Python (the vocabulary's pattern needs Unicode classes and look-ahead as
 its library has them) and becomes one row: the bytes of the distinct words that its task hasn't sent yet, and each
-document as numbers of words. Spark folds the merges over each of these words, so a word costs once per task, however
+document as numbers of words. Bytes that are joined whatever else is are one token from the start. Spark folds the merges over each of these words, so a word costs once per task, however
 often it occurs. The ids are put together per document, in the same task and order, and Spark decodes them: it looks up
 each id's piece and concatenates. All steps are narrow: no shuffle, nothing collected; a block and the words that a
 task remembers are bounded.
@@ -13,8 +13,8 @@ tokens are the encoding of their bytes if and only if every two neighbours are t
 merge across a boundary would also happen in the two tokens beside it alone. A word whose windows share no token is
 merged as a whole, by a heap.
 
-The rank map is a literal. Spark looks a map up by scanning its keys, so the literal is laid out as a hash table in an
-array: a pair's own hash gives the two slots that can hold its rank.
+The rank map is a literal. Spark looks a map up by scanning its keys, so the literal is laid out as an array of rows,
+one for each left id, that are shifted into each other's gaps: a pair's rank is found at one place or nowhere.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ import re
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +41,8 @@ BITS, PLACE = 18, 10
 BLOCK_CHARS, MOST_WORDS = 2 << 20, 600_000
 #: Bytes that are folded at once, and by how much one window of a longer word begins behind another.
 WINDOW, STEP = 64, 32
+#: Pairs that a short row of the rank table has at most.
+FEW = 20
 NO_RANK = (1 << BITS) - 1
 
 
@@ -105,33 +106,83 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-def pair_table(ranks: dict[bytes, int]) -> np.ndarray:
-    """Cuckoo table of longs id | id | rank, BITS each: a pair is in slot h mod n or (h / 2^32) mod n; -1 is empty. n is a power of two."""
-    entries = [(a << BITS | b, rank) for (a, b), rank in pair_ranks(ranks).items()]
-    slots = 1 << (2 * len(entries) + 1).bit_length()
-    place: dict[int, tuple[int, int, int]] = {}
-    for key, rank in entries:
-        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42)  # as Spark's xxhash64 of a long
-        item, at = (key, rank, h), h % slots
-        for _ in range(500):
-            item, place[at] = place.get(at), item
-            if item is None:
+def pair_rows(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, pairs): that of ids a and b is at begins[a] + b of ``pairs``, as rank | place 0 | a; what has another a there isn't theirs.
+
+    Each a's row is laid over the others at the first place where all of its entries fall into gaps, long rows first.
+    """
+    rows: dict[int, list[int]] = {}
+    known = pair_ranks(ranks)
+    for a, b in known:
+        rows.setdefault(a, []).append(b)
+    begins, taken, low = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), bool), 0
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        at, width = low, 1 << (16 if len(row) > FEW else 13)
+        while True:
+            if at + width + len(ranks) > len(taken):
+                taken = np.concatenate([taken, np.zeros(len(taken) + width, bool)])
+            full = taken[at + row[0] : at + row[0] + width].copy()
+            for b in row[1:]:
+                full |= taken[at + b : at + b + width]
+            if not full.all():
                 break
-            one, two = item[2] % slots, (item[2] >> 32) % slots
-            at = two if at == one else one
-        else:
-            raise ValueError("the table is too small")
-    table_ = np.full(slots, -1, np.int64)
-    for at, (key, rank, _) in place.items():
-        table_[at] = key << BITS | rank
-    return table_
+            at += width
+        begins[a] = at + full.argmin()
+        taken[begins[a] + np.array(row)] = True
+        low = at if len(row) <= FEW else low  # what has no gap for a short row is nearly full
+    pairs = np.full(begins.max() + len(ranks), -1, np.int64)
+    for (a, b), rank in known.items():
+        pairs[begins[a] + b] = rank << (BITS + PLACE) | a
+    return begins, pairs
 
 
-def byte_table(ranks: dict[bytes, int]) -> np.ndarray:
-    """A fold's first elements, without their places: at 256 a + b for byte a before byte b, at 65,536 + a for a last byte a."""
-    own = np.array([ranks[bytes([a])] for a in range(256)], np.int64)
-    both = np.array([[ranks.get(bytes([a, b]), NO_RANK) for b in range(256)] for a in range(256)], np.int64)
-    return np.concatenate([(both << (BITS + PLACE) | own[:, None]).reshape(-1), NO_RANK << (BITS + PLACE) | own])
+def pair_table(ranks: dict[bytes, int]) -> np.ndarray:
+    return pair_rows(ranks)[1]
+
+
+def byte_pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At 256 a + b for bytes a and b: their rank, if no longer piece that begins or ends with them has a lower one; the least rank of pieces that end with them; of those that begin with them."""
+    pair, ends, starts, longer = np.full((4, 1 << 16), NO_RANK, np.int64)
+    for piece, rank in ranks.items():
+        if len(piece) > 1:
+            end, start = piece[-2] << 8 | piece[-1], piece[0] << 8 | piece[1]
+            ends[end], starts[start] = min(ends[end], rank), min(starts[start], rank)
+            if len(piece) == 2:
+                pair[start] = rank
+            else:
+                longer[end], longer[start] = min(longer[end], rank), min(longer[start], rank)
+    return np.where(pair < longer, pair, NO_RANK), ends, starts
+
+
+def first_states(units: list[bytes], ids: np.ndarray, two: tuple[np.ndarray, np.ndarray, np.ndarray], begins: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, elements) of the states that the merges of ``units`` are folded from; ``ids`` has those of bytes, ``two`` is ``byte_pairs``.
+
+    Two bytes are one token from the start if they are joined whatever else is: their rank is lower than that of each piece
+    that could take the left one with bytes before it, the right one with bytes behind it, or both with either. So
+    nothing takes one of them before their turn, nor has its turn before theirs because they are joined already.
+    """
+    if not units:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+    letters = np.frombuffer(b"".join(units), np.uint8).astype(np.int32)
+    pair, ending, starting = two
+    codes = letters[:-1] << 8 | letters[1:]
+    inside = np.ones(len(codes), bool)
+    inside[ends[:-1] - 1] = False
+    rank = np.where(inside, pair[codes], NO_RANK)
+    sure = rank < NO_RANK
+    sure[1:] &= ~inside[:-1] | (rank[1:] < ending[codes[:-1]])
+    sure[:-1] &= ~inside[1:] | (rank[:-1] < starting[codes[1:]])
+    tokens = ids[letters]
+    tokens[:-1][sure] = rank[sure]
+    kept = np.concatenate([[True], ~sure])
+    tokens, ends = tokens[kept], np.cumsum(kept)[ends - 1]
+    size = np.diff(ends, prepend=0)
+    found = np.full(len(tokens), -1, np.int64)
+    found[:-1] = pairs[begins[tokens[:-1]] + tokens[1:]]
+    found[ends - 1] = -1
+    found = np.where((found & NO_RANK) == tokens, found, NO_RANK << (BITS + PLACE) | tokens)
+    return ends, found | (np.arange(len(tokens)) - np.repeat(ends - size, size)) << BITS
 
 
 def long_literal(spark: SparkSession, values: np.ndarray) -> Column:
@@ -147,43 +198,38 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(word: Column, first: Column, pairs: Column, slots: int) -> Column:
-    """The ids of one word (array<int>: each byte with its neighbour, as ``byte_table`` numbers them).
+def fold_merges(word: Column, begins: Column, pairs: Column) -> Column:
+    """The ids of one word (array<long>, from ``first_states``).
 
     Of all neighbours the pair of least rank is joined, leftmost first, until none has a rank; a joined pair's id is its
     rank. The state is one array with an element rank | place | id for each token, rank being that of it and the next.
     """
     shift = BITS + PLACE
-    low, places, none = F.lit((1 << BITS) - 1).cast("long"), F.lit((1 << PLACE) - 1).cast("long"), F.lit(NO_RANK << shift)
-    mask, one_place = F.lit(slots - 1).cast("long"), F.lit(1 << BITS).cast("long")
+    low, own, places = (F.lit(x).cast("long") for x in ((1 << BITS) - 1, (1 << shift) - 1, (1 << shift) - (1 << BITS)))
+    none, one_place = F.lit(NO_RANK << shift), F.lit(1 << BITS).cast("long")
 
-    def rank(a: Column, b: Column) -> Column:
-        def at(h: Column, key: Column) -> Column:
-            one, two = F.get(pairs, h.bitwiseAND(mask).cast("int")), F.get(pairs, F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int"))
-            return F.when(F.shiftright(one, BITS) == key, F.shiftleft(one.bitwiseAND(low), shift)).when(F.shiftright(two, BITS) == key, F.shiftleft(two.bitwiseAND(low), shift)).otherwise(none)
-
-        return _let(F.shiftleft(a, BITS).bitwiseOR(b), lambda key: _let(F.xxhash64(key), lambda h: at(h, key)))
+    def element(token: Column, behind: Column) -> Column:
+        pair = F.get(pairs, F.get(begins, token.bitwiseAND(low)) + behind)
+        return F.when(pair.bitwiseXOR(token).bitwiseAND(low) == 0, pair.bitwiseOR(token)).otherwise(none.bitwiseOR(token))
 
     def merge(state: Column) -> Column:
         def join(least: Column, i: Column) -> Column:
-            joined, place = F.shiftright(least, shift), F.shiftleft(i.cast("long"), BITS)
-            behind = F.coalesce(rank(joined, F.get(state, i + 2).bitwiseAND(low)), none)
-            before = F.get(state, i - 1).bitwiseAND(low)
+            joined = F.shiftright(least, shift)
+            both = element(least.bitwiseAND(places).bitwiseOR(joined), F.get(state, i + 2).bitwiseAND(low))
             return F.transform(
-                F.slice(state, F.lit(2), F.size(state)),
-                lambda x, k: F.when(k > i, x - one_place).when(k < i - 1, F.get(state, k)).when(k == i, behind + place + joined).otherwise(rank(before, joined) + (place - one_place) + before),
+                F.array_remove(state, F.get(state, i + 1)),
+                lambda x, k: F.when(k > i, x - one_place).when(k < i - 1, x).when(k == i, both).otherwise(element(x.bitwiseAND(own), joined)),
             )
 
-        return _let(F.array_min(state), lambda least: F.when(least >= none, state).otherwise(_let(F.shiftright(least, BITS).bitwiseAND(places).cast("int"), lambda i: join(least, i))))
+        return _let(F.array_min(state), lambda least: F.when(least >= none, state).otherwise(_let(F.shiftright(least.bitwiseAND(places), BITS).cast("int"), lambda i: join(least, i))))
 
-    start = F.transform(word, lambda code, k: F.get(first, code).bitwiseOR(F.shiftleft(k.cast("long"), BITS)))
     # As many steps as there are pairs: more can't be joined.
-    return F.transform(F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, lambda state, _: merge(state)), lambda x: x.bitwiseAND(low).cast("int"))
+    return F.transform(F.aggregate(F.slice(word, F.lit(2), F.size(word)), word, lambda state, _: merge(state)), lambda x: x.bitwiseAND(low).cast("int"))
 
 
-def encode_words(words: Column, whole: Column, first: Column, pairs: Column, slots: int) -> Column:
-    """array<array<int>> of words -> of tokens; ``whole`` has the id of a word that is a piece itself, else -1. The literals are bound to names, so the plan holds each once."""
-    return _let(first, lambda f: _let(pairs, lambda p: F.zip_with(words, whole, lambda w, piece: F.when(piece >= 0, F.array(piece)).otherwise(fold_merges(w, f, p, slots)))))
+def encode_words(words: Column, whole: Column, begins: Column, pairs: Column) -> Column:
+    """array<array<long>> of words -> array<array<int>> of tokens; ``whole`` has the id of a word that is a piece itself, else -1. The literals are bound to names, so the plan holds each once."""
+    return _let(begins, lambda b: _let(pairs, lambda p: F.zip_with(words, whole, lambda w, piece: F.when(piece >= 0, F.array(piece)).otherwise(fold_merges(w, b, p)))))
 
 
 def merge_bytes(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -239,22 +285,23 @@ class Numbers(dict):
         return n
 
 
-BLOCK_SCHEMA = "known long, words array<array<int>>, whole array<int>, parts array<int>, doc_ids array<long>, counts array<int>, numbers array<int>"
+BLOCK_SCHEMA = "known long, words array<array<long>>, whole array<int>, parts array<int>, doc_ids array<long>, counts array<int>, numbers array<int>"
 
 
-def cut_words(docs: DataFrame, ranks: dict[bytes, int], block_chars: int = BLOCK_CHARS, most_words: int = MOST_WORDS) -> DataFrame:
+def cut_words(docs: DataFrame, ranks: dict[bytes, int], begins: np.ndarray, pairs: np.ndarray, block_chars: int = BLOCK_CHARS, most_words: int = MOST_WORDS) -> DataFrame:
     """One row a block: its new words, numbered from ``known`` on (0: all numbers begin anew), each as so many ``parts``, and for each document how many words it has and which.
 
-    A part is its bytes; one that is a piece itself has that piece's id as ``whole``, as the library's rule is.
+    A part is the first state of its bytes' merges; one that is a piece itself has that piece's id as ``whole``, as the library's rule is.
     """
     spark = docs.sparkSession
     ship(spark)
     bound_batches(spark)
     pat, arrow = pattern(), to_arrow(BLOCK_SCHEMA)
-    shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
+    own = np.array([ranks[bytes([a])] for a in range(256)], np.int64)
+    shared = spark.sparkContext.broadcast((ranks, own, byte_pairs(ranks), begins, pairs))  # as large as the vocabulary
 
     def run(batches):
-        find, pieces = word_finder(pat), shared.value
+        find, (pieces, *tables) = word_finder(pat), shared.value
         seen = Numbers()
         size = 0
         ids: list = []
@@ -276,12 +323,8 @@ def cut_words(docs: DataFrame, ranks: dict[bytes, int], block_chars: int = BLOCK
             whole = [pieces.get(w, -1) for w, n in zip(new, parts) for _ in range(n)]
             units = [u for w, n in zip(new, parts) for u in ([w] if n == 1 else windows(w))]
             units = [u if k < 0 else b"\0" for u, k in zip(units, whole)]
-            ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-            letters = np.frombuffer(b"".join(units), np.uint8).astype(np.int32)
-            codes = letters << 8
-            codes[:-1] |= letters[1:]
-            codes[ends - 1] = letters[ends - 1] | 1 << 16
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(codes, pa.int32()))
+            ends, states = first_states(units, *tables)
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(states))
             made = (pa.array([known]), one(flat), one(pa.array(whole, pa.int32())), one(pa.array(parts, pa.int32())), pa.array([ids], pa.list_(pa.int64())), one(pa.array(counts, pa.int32())), one(pa.array(number[coded.indices.to_numpy()], pa.int32())))
             return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow)], schema=arrow)
 
@@ -378,10 +421,10 @@ def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", wi
         raise ValueError("ranks must run from 0 without gaps")
     if len(ranks) >= NO_RANK:
         raise ValueError("the vocabulary has too many pieces")
-    pairs = pair_table(ranks)
-    blocks = cut_words(docs, ranks, block_chars, most_words)
+    begins, pairs = pair_rows(ranks)
+    blocks = cut_words(docs, ranks, begins, pairs, block_chars, most_words)
     give_back(spark)  # the literals below are large
-    words = encode_words(F.col("words"), F.col("whole"), long_literal(spark, byte_table(ranks)), long_literal(spark, pairs), len(pairs))
+    words = encode_words(F.col("words"), F.col("whole"), long_literal(spark, begins), long_literal(spark, pairs))
     rows = put_together(blocks.select(words.alias("ids"), "known", "parts", "doc_ids", "counts", "numbers"), ranks)
     rows = rows.select("doc_id", "ids_sha256", "ids", decode(F.col("ids"), ranks).alias("decoded"))
     also = ["ids", "decoded"] if with_ids else []
