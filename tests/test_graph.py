@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,6 +280,33 @@ def test_contigs_of_reads_write_no_graph_in_rounds(spark, monkeypatch):
     assert sorted(q.seq for q in km.read_contigs(spark.createDataFrame([(t,) for t in texts], "seq string"), 25).collect()) == sorted(set(texts))
 
 
+def test_contigs_of_reads_in_slices(spark, monkeypatch):
+    """Slices, buckets and texts so small that reads, stretches and large buckets cross them; equal to the plain graph's chains."""
+    r = random.Random(12)
+    genome = "".join(r.choice("ACGT") for _ in range(300))
+    texts = [genome[i : i + r.randrange(20, 120)] for i in (r.randrange(280) for _ in range(40))] + ["ACGTTGCA" * 9, "A" * 90, genome, genome] + ["".join(r.choice("AC") for _ in range(60)) for _ in range(9)]
+    reads = spark.createDataFrame([(t,) for t in texts], "seq string").repartition(2)
+    for slices, branch, longest in ((1 << 22, 1 << 23, 1 << 24), (40, 64, 16), (130, 1 << 20, 40)):
+        monkeypatch.setattr(km, "SLICE", slices)
+        monkeypatch.setattr(km, "BRANCH_BYTES", branch)
+        monkeypatch.setattr(km, "LONGEST", longest)
+        for k in (4, 11, 28, 31) if slices < 1000 else (25,):
+            got = sorted(q.seq for q in km.read_contigs(reads, k).collect())
+            assert got == chains_brute([(t[i : i + k], t[i + 1 : i + k + 1]) for t in texts for i in range(len(t) - k)])
+
+
+def test_vertices_travel_in_few_rows(spark):
+    """A slice's stretches are one row a bucket, which is a small part of the k-mers' number, in under two bytes a k-mer."""
+    r = random.Random(13)
+    codes = np.array([r.randrange(4) for _ in range(50_000)], np.uint8)
+    least = km._minimizers(codes, 25, 9)
+    place, size = km._runs(np.ones(len(least), bool), least, 17)
+    assert size.sum() == len(least) and (place[1:] == place[:-1] + size[:-1]).all() and size.max() <= 17
+    key, blobs = km._dealt(least[place], np.zeros((len(place), 15), np.uint8))
+    assert len(key) == len(set(key.tolist())) <= 1 << km.BUCKET_BITS and 15 * len(place) < 2 * len(least)
+    assert len(km._records(blobs, 15)[0]) == len(place)
+
+
 def test_positions(spark):
     reads = spark.createDataFrame([("AACCGGTT", 10, 17, 10), ("AACCGGTT", 12, 17, 10)], "seq string, aln_start int, aln_end int, unclipped_start int")
     got = {r.kmer: [(p.pos, p.n) for p in r.positions] for r in km.kmer_positions(reads, 4, 0.5).collect()}
