@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +220,55 @@ def test_votes_as_positions(spark, k):
     assert {r.kmer: (r.best, r.voted) for r in km.kmer_votes(reads, k).collect()} == votes
 
 
+@pytest.mark.parametrize("k", [4, 11, 29, 31])
+def test_votes_by_blocks_of_positions(spark, k, monkeypatch, small_batches):
+    """Reads across blocks, positions below zero, hot k-mers and tasks that send on what they hold early; no k-mer is a row of a shuffle."""
+    r = random.Random(k)
+    genome = "".join(r.choice("ACGT") for _ in range(150))
+    rows = []
+    for i in range(60):
+        a = r.randrange(120)
+        at = r.choice([a - 70, a - 70, a + 300, a])
+        rows.append((genome[a : a + r.randrange(3, 90)], at if i % 9 else None, at + r.randrange(5) if i % 4 else None, at + r.randrange(20, 90) if i % 3 else None))
+    rows += [("A" * 80, 5, 5, 90)] * 3 + [("ACGNACGTTGCATTGCAACGTNN" * 3, 40, 41, 300), ("ACGNACGTTGCATTGCAACGTNN" * 3, 40, 40, None), (None, 1, 1, 9)]
+    reads = spark.createDataFrame(rows, "seq string, unclipped_start int, aln_start int, aln_end int").repartition(3)
+    want = {}
+    for s, u, a, e in rows:
+        for j, x in enumerate(pieces_brute(s, k)):
+            most = int(0.3 * k) - 1
+            if u is not None and (a or 0, u)[a is None] - u - j <= most and (e is None or u + j + k - 1 - e <= most):
+                want.setdefault(x, Counter())[u + j] += 1
+    votes = {}
+    for x, c in want.items():
+        ranked = sorted((-n, p) for p, n in c.items())
+        votes[x] = (ranked[0][1], ranked[0][1] if len(ranked) < 2 or ranked[0][0] < 2 * ranked[1][0] else None)
+    for slices, buckets, held in ((1 << 22, 1 << 18, 1 << 23), (60, 3, 20)):
+        monkeypatch.setattr(km, "SLICE", slices)
+        monkeypatch.setattr(km, "BUCKETS", buckets)
+        monkeypatch.setattr(km, "HELD", held)
+        found = km.kmer_votes(reads, k)
+        assert "explode" not in found._jdf.queryExecution().toString()
+        got = found.collect()
+        assert len(got) == len(votes) and {q.kmer: (q.best, q.voted) for q in got} == votes
+
+
+def test_best_of_parts():
+    """Most votes, least place and next votes are the same from whole counts, by either way of sorting, and from parts."""
+    r = np.random.default_rng(3)
+    number, place = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(-30, 30), indexing="ij"))
+    n = r.integers(1, 5, len(number))
+    want = []
+    for x in range(40):
+        ranked = sorted((-v, p) for v, p in zip(n[number == x].tolist(), place[number == x].tolist()))
+        want.append((x, -ranked[0][0], ranked[0][1], -ranked[1][0]))
+    assert list(zip(*(x.tolist() for x in km._best(number, n, place)))) == want
+    far = km._best(number << 55, n, place)
+    assert list(zip((far[0] >> 55).tolist(), *(x.tolist() for x in far[1:]))) == want
+    part = r.integers(0, 3, len(number))
+    parts = [km._best(*(x[part == i] for x in (number, n, place))) for i in range(3)]
+    assert list(zip(*(x.tolist() for x in km._best(*(np.concatenate(x) for x in zip(*parts)))))) == want
+
+
 def test_numbers_are_exact(spark):
     texts = ["", "A", "AA", "C", "T" * 31, "ACGT" * 7, "N", "ACGTN", "T" * 32]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(km.number_of(F.col("x"))).collect()]
@@ -286,9 +336,9 @@ def test_contigs_of_reads_in_slices(spark, monkeypatch):
     genome = "".join(r.choice("ACGT") for _ in range(300))
     texts = [genome[i : i + r.randrange(20, 120)] for i in (r.randrange(280) for _ in range(40))] + ["ACGTTGCA" * 9, "A" * 90, genome, genome] + ["".join(r.choice("AC") for _ in range(60)) for _ in range(9)]
     reads = spark.createDataFrame([(t,) for t in texts], "seq string").repartition(2)
-    for slices, branch, longest in ((1 << 22, 1 << 23, 1 << 24), (40, 64, 16), (130, 1 << 20, 40)):
+    for slices, buckets, longest in ((1 << 22, 1 << 18, 1 << 24), (40, 3, 16), (130, 1 << 18, 40)):
         monkeypatch.setattr(km, "SLICE", slices)
-        monkeypatch.setattr(km, "BRANCH_BYTES", branch)
+        monkeypatch.setattr(km, "BUCKETS", buckets)
         monkeypatch.setattr(km, "LONGEST", longest)
         for k in (4, 11, 28, 31) if slices < 1000 else (25,):
             got = sorted(q.seq for q in km.read_contigs(reads, k).collect())
@@ -304,7 +354,7 @@ def test_vertices_travel_in_few_rows(spark):
     assert size.sum() == len(least) and (place[1:] == place[:-1] + size[:-1]).all() and size.max() <= 17
     key, blobs = km._dealt(least[place], np.zeros((len(place), 15), np.uint8))
     assert len(key) == len(set(key.tolist())) <= 1 << km.BUCKET_BITS and 15 * len(place) < 2 * len(least)
-    assert len(km._records(blobs, 15)[0]) == len(place)
+    assert len(km._records(pa.chunked_array([blobs[:7], blobs[7:]]), 15)[0]) == len(place)
 
 
 def test_positions(spark):
