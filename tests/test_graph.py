@@ -269,6 +269,33 @@ def test_best_of_parts():
     assert list(zip(*(x.tolist() for x in km._best(*(np.concatenate(x) for x in zip(*parts)))))) == want
 
 
+@pytest.mark.parametrize("k", [3, 14, 31])
+def test_read_sets_as_records(spark, k, monkeypatch, small_batches):
+    """Ids of any size, unknown ones and equal reads, with slices, buckets and shares of large ones so small that all are crossed."""
+    r = random.Random(k)
+    genome = "".join(r.choice("ACGT") for _ in range(200))
+    ids = [None, 0, 5, 6, 300, 70_000, 1 << 40, -(1 << 63), (1 << 63) - 1, -7]
+    rows = [(r.choice(ids), genome[a : a + r.randrange(1, 90)]) for a in (r.randrange(190) for _ in range(60))]
+    rows += [(None, "T" * 45), (8, "A" * 70), (9, "A" * 70), (9, "ACGTNACGTACGTACGTTT"), (None, "NNNN"), (4, "NNNN"), (3, ""), (3, None)]
+    want = {}
+    for i, s in rows:
+        for x in pieces_brute(s, k):
+            want.setdefault(x, set()).update([] if i is None else [i])
+    for slices, buckets in ((1 << 22, 1 << 18), (30, 2)):
+        monkeypatch.setattr(km, "SLICE", slices)
+        monkeypatch.setattr(km, "BUCKETS", buckets)
+        for few in (rows, [x for x in rows if x[0] is None or 0 <= x[0] < 1 << 31]):
+            kind = "long" if few is rows else "int"
+            found = km.read_sets(spark.createDataFrame(few, f"i {kind}, seq string").repartition(3), k, "i")
+            assert found.schema["reads"].dataType.elementType.simpleString() == {"long": "bigint", "int": "int"}[kind]
+            assert "packed" not in found._jdf.queryExecution().toString()
+            got = found.collect()
+            if few is rows:
+                assert len(got) == len(want) and {q.kmer: q.reads for q in got} == {x: sorted(y) for x, y in want.items()}
+            else:
+                assert all(set(q.reads) == {i for i, s in few if i is not None and q.kmer in pieces_brute(s, k)} for q in got)
+
+
 def test_numbers_are_exact(spark):
     texts = ["", "A", "AA", "C", "T" * 31, "ACGT" * 7, "N", "ACGTN", "T" * 32]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(km.number_of(F.col("x"))).collect()]
