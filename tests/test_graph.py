@@ -363,11 +363,11 @@ def test_contigs_of_reads_in_slices(spark, monkeypatch):
     genome = "".join(r.choice("ACGT") for _ in range(300))
     texts = [genome[i : i + r.randrange(20, 120)] for i in (r.randrange(280) for _ in range(40))] + ["ACGTTGCA" * 9, "A" * 90, genome, genome] + ["".join(r.choice("AC") for _ in range(60)) for _ in range(9)]
     reads = spark.createDataFrame([(t,) for t in texts], "seq string").repartition(2)
-    for slices, buckets, longest in ((1 << 22, 1 << 18, 1 << 24), (40, 3, 16), (130, 1 << 18, 40)):
+    for slices, buckets, longest in ((1 << 22, 1 << 18, 1 << 24), (200, 3, 16), (900, 1 << 18, 40)):
         monkeypatch.setattr(km, "SLICE", slices)
         monkeypatch.setattr(km, "BUCKETS", buckets)
         monkeypatch.setattr(km, "LONGEST", longest)
-        for k in (4, 11, 28, 31) if slices < 1000 else (25,):
+        for k in (4, 11, 28, 31) if slices == 200 else (12, 31) if slices < 1000 else (25,):
             got = sorted(q.seq for q in km.read_contigs(reads, k).collect())
             assert got == chains_brute([(t[i : i + k], t[i + 1 : i + k + 1]) for t in texts for i in range(len(t) - k)])
 
@@ -384,6 +384,18 @@ def test_vertices_travel_in_few_rows(spark):
     assert len(km._records(pa.chunked_array([blobs[:7], blobs[7:]]), 15)[0]) == len(place)
 
 
+def test_whole_keys():
+    """Every row once and in order, no key in two tables, and no table of more than the least beyond one key."""
+    r = random.Random(5)
+    keys = sorted(r.randrange(30) for _ in range(400))
+    rows = pa.table({"key": keys, "bits": pa.array([None if i % 7 == 0 else b"x" * r.randrange(9) for i in range(400)], pa.binary())})
+    for least in (1, 50, 10_000):
+        for size in (1, 7, 400):
+            made = [t.column("key").to_pylist() for t in km._whole_keys(rows.to_batches(size), "bits", least)]
+            assert sum(made, []) == keys and all(a[-1] < b[0] for a, b in zip(made, made[1:]))
+            assert all(len(set(x)) <= 1 or 4 * len([y for y in x if y != x[-1]]) <= least for x in made)
+
+
 def test_positions(spark):
     reads = spark.createDataFrame([("AACCGGTT", 10, 17, 10), ("AACCGGTT", 12, 17, 10)], "seq string, aln_start int, aln_end int, unclipped_start int")
     got = {r.kmer: [(p.pos, p.n) for p in r.positions] for r in km.kmer_positions(reads, 4, 0.5).collect()}
